@@ -53,7 +53,7 @@ def text_features(text: str | None) -> tuple[int, ...]:
     lower = text.lower()
     # Letters with case: those that one of the two forms changes.
     n_upper = sum(map(str.isupper, text)) if lower != text else 0
-    n_letters = sum(map(str.isalpha, text))
+    n_letters = sum(map(str.isalnum, text))  # and digits
     return (
         len(h), len(text) - white, sum(text.count(c) for c in _SYMBOLS), n_lines, n_dup, _repeated_words(h),
         n_letters, n_upper, len(text), len(np.unique(h)), n_ended, text.count("!"),
@@ -92,7 +92,7 @@ def default_rules() -> dict:
         "letters": when(letters < 0.73, 0).when(letters > 0.76, 1),
         "line_ends": when(ended < 0.5, 0).when(ended >= 0.9, 1),
         "repeats": when(repeats > 0.2, 0).when(repeats < 0.1, 1),
-        "line_copies": when(dups > 0.3, 0).when((dups < 0.1) & (F.col("n_lines") >= 3), 1),
+        "line_copies": when(dups > 0.35, 0).when((dups < 0.1) & (F.col("n_lines") >= 3), 1),
         "word_length": when((length < 3) | (length > 9), 0).when((length > 4) & (length < 6.5), 1),
         "distinct": when((distinct < 0.3) & enough & (F.col("n_words") < 2000), 0).when((distinct > 0.5) & enough, 1),
         "exclaims": when(exclaims > 0.2, 0).when(exclaims < 0.05, 1),
@@ -115,15 +115,16 @@ class VoteModel:
     def fit(cls, names: list[str], votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
         """EM over vote patterns with their counts. votes: patterns x rules, 0, 1 or 2.
 
-        Starts at the share of good votes in each pattern, so class 1 stays the good one. Tiny pseudo-counts keep
-        rates off 0. With no rows at all the prior stays and every rule says nothing.
+        Starts from the share of good votes in each pattern, sharpened since most rules see nothing in most bad texts,
+        so class 1 stays the good one. Pseudo-counts keep rates off 0. With no rows at all the prior stays and every rule says nothing.
         """
         n = len(names)
         self = cls(names, rates=np.full((n, 2, 2), 1 / 2))
         if not len(counts):
             return self
         good, bad = (votes == 1).sum(1), (votes == 0).sum(1)
-        q = np.clip((good + 0.5) / (good + bad + 1), 0.02, 0.98)
+        q = np.clip(((good + 0.5) / (good + bad + 1)) ** 4, 0.02, 0.98)
+        q[bad == 0] = 0.98
         one_hot = (votes[:, :, None] == np.arange(2)).astype(float)
         for _ in range(rounds):
             weight = np.stack([counts * (1 - q), counts * q])
