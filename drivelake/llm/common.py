@@ -18,6 +18,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A text is hashed in pieces of about this many bytes, cut between words, so that long texts stay cheap.
 _PIECE = 1 << 20
 
@@ -37,10 +38,18 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table into the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    What the write has shuffled is removed from the executors' disks as soon as it has ended.
+    """
+    path, spark = f"{folder}/{name}", df.sparkSession
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _powers = np.ones(1, np.uint64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, token_files
+from . import lines, quality, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped_lines")
+
+
 def op6_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_size(_table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,6 +36,28 @@ def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
+
+#: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
+LINE_DEDUP_SQL = r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM cut),
+plain AS (SELECT doc_id, no, trim(regexp_replace(line, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM raw),
+full_lines AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS pos FROM plain WHERE t <> ''),
+firsts AS (SELECT t, min(pos) AS pos FROM full_lines GROUP BY t),
+long_lines AS (SELECT pos, t, string_split(t, ' ') AS w, len(string_split(t, ' ')) AS n FROM firsts),
+keyed AS (SELECT pos, t, w, n, w[1:5] AS a, w[n - 4:n] AS z FROM long_lines WHERE n >= 10),
+pairs AS (SELECT x.pos AS pos, x.t AS t, x.w AS w, x.n AS n, y.w AS v, y.n AS m FROM keyed x JOIN keyed y ON x.a = y.a AND y.pos < x.pos AND abs(x.n - y.n) <= 1
+    UNION ALL SELECT x.pos, x.t, x.w, x.n, y.w, y.n FROM keyed x JOIN keyed y ON x.z = y.z AND y.pos < x.pos AND abs(x.n - y.n) <= 1),
+near AS (SELECT DISTINCT t FROM pairs WHERE CASE
+    WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: w[i] <> v[i])) <= 1
+    WHEN n > m THEN len(list_filter(range(1, n + 1), lambda i: w[1:i - 1] = v[1:i - 1] AND w[i + 1:n] = v[i:m])) > 0
+    ELSE len(list_filter(range(1, m + 1), lambda i: v[1:i - 1] = w[1:i - 1] AND v[i + 1:m] = w[i:n])) > 0 END),
+gone AS (SELECT l.doc_id, l.no FROM full_lines l JOIN firsts f ON l.t = f.t WHERE l.pos <> f.pos OR l.t IN (SELECT t FROM near)),
+kept AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.no) AS text, count(*) AS n FROM raw r
+    WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = r.doc_id AND g.no = r.no) GROUP BY r.doc_id)
+SELECT c.doc_id, CASE WHEN c.text IS NOT NULL THEN coalesce(k.text, '') END AS text, CAST(coalesce(len(c.ls) - coalesce(k.n, 0), 0) AS BIGINT) AS n_dropped_lines
+FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
