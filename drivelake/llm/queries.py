@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, near_dup, quality, sharding, token_files
+from . import lines, near_dup, packing, quality, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -26,6 +26,11 @@ def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_size(_table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,7 +45,7 @@ def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_odd_sketch_dedup, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_odd_sketch_dedup, op5_bm25_packing, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
 
 #: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
 LINE_DEDUP_SQL = r"""
