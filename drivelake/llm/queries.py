@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, near_dup, packing, quality, sharding, token_files
+from . import html_text, lines, near_dup, packing, quality, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +22,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped_lines")
 
 
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -45,7 +49,7 @@ def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_odd_sketch_dedup, op5_bm25_packing, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op5_bm25_packing, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
 
 #: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
 LINE_DEDUP_SQL = r"""
