@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lines, near_dup, packing, quality, sharding, token_files
+from . import html_text, lines, near_dup, neighbours, packing, quality, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -49,7 +49,12 @@ def op9_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op5_bm25_packing, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files)}
+def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op5_bm25_packing, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours)}
 
 #: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
 LINE_DEDUP_SQL = r"""
