@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lines, near_dup, neighbours, packing, quality, sharding, token_files
+from . import html_text, licenses, lines, near_dup, neighbours, packing, pieces, quality, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -30,6 +30,10 @@ def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -40,6 +44,14 @@ def op6_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    out = pieces.decode_texts(encoded, model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("decoded").cast("long").alias("n_chars"), same.alias("same_text"))
+
+
 def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_quality(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -54,7 +66,7 @@ def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op5_bm25_packing, op6_longest_first_shards, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op4_license_scan, op5_bm25_packing, op6_longest_first_shards, op7_piece_round_trip, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours)}
 
 #: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
 LINE_DEDUP_SQL = r"""
