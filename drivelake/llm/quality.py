@@ -182,3 +182,11 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     p = 1 / (1 + F.exp(-odds))
     return rows.withColumns({"p_good": p, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score_quality keeps. Rows that agree in key and text have one verdict."""
+    row = "_row_of_text"
+    marked = docs.withColumn(row, F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))))
+    good = score_quality(marked, row, text, rules, threshold).filter("kept").select(row).distinct()
+    return marked.join(good, row, "left_semi").drop(row)
