@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, work_folder
 
-#: ASCII white space, as in the other operators.
-_WS = r"[ \t\n\x0B\f\r]+"
+#: ASCII white space, as in the other operators, where it isn't one space already.
+_WS = r"[ \t\n\x0B\f\r][ \t\n\x0B\f\r]+|[\t\n\x0B\f\r]"
 #: Segments of a line; one edit leaves all but one of them as they are.
 SEGMENTS = 4
 #: Words of the first, coarse keys. One edit in 2 * OUTER words or more leaves the first or the last OUTER as they are.
@@ -49,10 +49,12 @@ def _near_lines(docs: DataFrame, groups: DataFrame, key: str, text: str, near_wo
     chosen = outer.join(met, "ok", "left_semi").select("pos.*", "h1", "h2").distinct()
     per_row = chosen.groupBy("rid", "k").agg(F.collect_list(F.struct("no", "h1", "h2")).alias("picks"))
     d = _lines(docs, key, text).alias("d")
-    p = per_row.alias("p")
+    p = per_row.hint("shuffle_hash").alias("p")  # else whole texts are sorted
     found = d.join(p, (F.col("d.rid") == F.col("p.rid")) & F.col("d.k").eqNullSafe(F.col("p.k")))
-    found = found.select("d.k", "d.rid", F.split("d.body", "\n").alias("lines"), F.explode("p.picks").alias("pick"))
-    words = F.split(_plain(F.get("lines", F.col("pick.no"))), " ")
+    found = found.select("d.k", "d.rid", F.split("d.body", "\n").alias("lines"), "p.picks")
+    picked = F.transform("picks", lambda x: F.struct(x["no"].alias("no"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("lines", x["no"]).alias("line")))
+    found = found.select("k", "rid", F.explode(picked).alias("pick"))
+    words = F.split(_plain(F.col("pick.line")), " ")
     found = found.select(F.struct("k", "rid", F.col("pick.no").alias("no")).alias("pos"), "pick.h1", "pick.h2", words.alias("words"))
     texts = stored(found, work, "texts")
 
@@ -112,10 +114,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
     gone = stored(gone.groupBy("rid", "k").agg(F.array_sort(F.collect_set("no")).alias("gone")), work, "gone")
 
     rid = F.xxhash64(F.col(f"d.`{key}`"), F.coalesce(F.col(f"d.`{text}`"), F.lit("")))
-    both = docs.alias("d").join(gone.alias("g"), (rid == F.col("g.rid")) & F.col(f"d.`{key}`").eqNullSafe(F.col("g.k")), "left")
-    cut = F.split(F.col(f"d.`{text}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("g.gone"))
-    rest = F.when(F.col("g.gone").isNull(), F.col(f"d.`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(cut, i)), "\n"))
+    hashed = gone.hint("shuffle_hash").alias("g")
+    both = docs.alias("d").join(hashed, (rid == F.col("g.rid")) & F.col(f"d.`{key}`").eqNullSafe(F.col("g.k")), "left")
+    both = both.withColumn("_cut", F.when(F.col("g.gone").isNotNull(), F.split(F.col(f"d.`{text}`"), "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), F.col("g.gone"))
+    rest = F.when(F.col("g.gone").isNull(), F.col(f"d.`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_cut", i)), "\n"))
     if drop_emptied:
         both = both.filter(F.col("g.gone").isNull() | rest.rlike(r"[^ \t\n\x0B\f\r]"))
     columns = [rest.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns if c != count_column]
