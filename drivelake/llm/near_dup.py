@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from .common import mix, stored, windows, word_hashes, work_folder
 
 #: MinHash samples of a set, and bits of the parity bitmap that they are folded into.
-SAMPLES, BITS = 128, 1024
+SAMPLES, BITS = 512, 4096
 #: Samples in a band.
 ROWS = 4
 #: A linked pair shares no band with at most this probability.
 MISS = 1e-6
-#: A pair is sifted out if its estimate is so many standard deviations under the threshold.
-MARGIN = 5.0
+#: A pair is sifted out if its sketches differ in so many standard deviations more bits than at the threshold: 3 of
+#: 100,000 pairs that lie at it exactly, far fewer above it.
+MARGIN = 4.0
 #: Members of a bucket that are compared in one step; larger buckets are compared part by part.
 BLOCK = 1024
 
@@ -33,17 +34,18 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seeds[:SAMPLES] | np.uint64(1), seeds[SAMPLES:]
+    seeds = (mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    return seeds[:SAMPLES] | np.uint32(1), seeds[SAMPLES:]
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each permutation over a set that isn't empty."""
+    """The smallest value of each permutation of 32-bit numbers over a set that isn't empty."""
     times, plus = _permutations()
-    out = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        np.minimum(out, ((shingles[at : at + 512, None] ^ plus) * times).min(0), out=out)
-    return out
+    x = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    out = np.full(SAMPLES, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 256):
+        np.minimum(out, ((x[at : at + 256] ^ plus) * times).min(0), out=out)
+    return out.astype(np.uint64)
 
 
 def odd_sketch(mins: np.ndarray) -> bytes:
@@ -53,11 +55,12 @@ def odd_sketch(mins: np.ndarray) -> bytes:
 
 
 def most_odd_bits(threshold: float) -> int:
-    """The largest XOR count that leaves a pair in: of the similarity MARGIN deviations under the threshold."""
-    low = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / SAMPLES)
-    # Expected odd bits of d = 2 * SAMPLES * (1 - J) flips, and as many deviations of the folding itself.
-    mean = BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - low) / BITS))
-    return int(mean + MARGIN * math.sqrt(mean) / 2)
+    """The largest XOR count that leaves a pair in: MARGIN deviations above that of pairs at the threshold."""
+    flips = 2 * SAMPLES * (1 - threshold)
+    mean = BITS / 2 * (1 - math.exp(-2 * flips / BITS))
+    # The samples of a pair differ by a binomial count; flips that meet in one bit add a little.
+    spread = math.sqrt(4 * SAMPLES * threshold * (1 - threshold) + 2 * flips * flips / BITS)
+    return int(mean + MARGIN * spread)
 
 
 def bands_for(threshold: float) -> int:
@@ -152,17 +155,31 @@ def components(edges: DataFrame, work: str, name: str) -> DataFrame:
         now = stored(small.filter(F.col("a") != F.col("b")).distinct(), work, f"{name}-{i}")
 
 
-def _across(members: DataFrame, most: int, only_best: bool) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in other components whose sketches are close.
+def _sift(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches are close and whose sets are of sizes that can fit."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
+            yield b.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
+
+    a, b = (sketches.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
-    members: band, k, label, sketch. Large buckets are cut into parts; each pair of parts is one step, so no step
+
+def _across(members: DataFrame, most: int, percent: int, only_best: bool) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in other components whose sketches are close and whose sizes can fit.
+
+    members: band, k, n, label, sketch. Large buckets are cut into parts; each pair of parts is one step, so no step
     holds more than 2 * BLOCK or so members. only_best: for each member the closest one only.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     cut = members.join(sizes, "band").withColumn("part", part).select("*", other)
-    step = cut.select("band", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), "part", "k", "label", "sketch")
+    step = cut.select("band", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), "part", "k", "n", "label", "sketch")
     kind = members.schema["k"].dataType.simpleString()
 
     def compare(rows: list[dict]) -> Iterator[tuple]:
@@ -172,13 +189,17 @@ def _across(members: DataFrame, most: int, only_best: bool) -> DataFrame:
         if len(code) < 2:
             return
         parts = np.array([r["part"] for r in rows])
+        size = np.array([r["n"] for r in rows])
         bits = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
         one_part = rows[0]["x"] == rows[0]["y"]
         for i in range(len(rows)):
-            odd = np.bitwise_count(bits[i] ^ bits).sum(1, dtype=np.int64)
-            fit = (odd <= most) & (label != label[i])
+            fit = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
             if not one_part:
                 fit &= parts != parts[i]
+            if not fit.any():
+                continue
+            odd = np.bitwise_count(bits[i] ^ bits).sum(1, dtype=np.int64)
+            fit &= odd <= most
             if only_best and fit.any():
                 j = int(np.where(fit, odd, 1 << 30).argmin())
                 yield tuple(sorted((keys[i], keys[j])))
@@ -230,21 +251,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     signed = stored(_signatures(rows, words, bands), work, "signatures")
     usable = signed.filter("n > 0 AND k IS NOT NULL")
-    firsts = usable.groupBy("s1", "s2").agg(F.min(F.struct("k", "sketch", "bands")).alias("f"))
+    firsts = usable.groupBy("s1", "s2").agg(F.min(F.struct("k", "n", "sketch", "bands")).alias("f"))
     firsts = stored(firsts.select("s1", "s2", "f.*"), work, "firsts")
 
     banded = firsts.select("k", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("k").alias("pivot"), F.max("k").alias("last")).filter("pivot <> last").drop("last")
     members = stored(banded.join(met, "band"), work, "members")
-    sketches = firsts.select("k", "sketch")
-    a, b = (sketches.select(F.col("k").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    sketches = firsts.select("k", "n", "sketch")
     star = members.filter("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct()
-    odd = F.bit_count(F.lit(0).cast("long"))
-    for i in range(0, BITS // 8, 8):
-        word = (F.conv(F.hex(F.substring(c, i + 1, 8)), 16, -10).cast("long") for c in ("sa", "sb"))
-        x, y = word
-        odd = odd + F.bit_count(x.bitwiseXOR(y))
-    star = stored(star.join(a, "a").join(b, "b").filter(odd <= most).select("a", "b"), work, "star")
+    star = stored(_sift(star, sketches, most, percent), work, "star")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
@@ -255,8 +270,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     for step, only_best in enumerate((True, False), 1):
         labelled = members.select("band", "k").join(labels, "k", "left").withColumn("label", F.coalesce("component", "k"))
         mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
-        rest = labelled.join(mixed, "band", "left_semi").join(sketches, "k").select("band", "k", "label", "sketch")
-        pairs = stored(_across(rest, most, only_best).join(tried, ["a", "b"], "left_anti"), work, f"across-{step}")
+        rest = labelled.join(mixed, "band", "left_semi").join(sketches, "k").select("band", "k", "n", "label", "sketch")
+        pairs = stored(_across(rest, most, percent, only_best).join(tried, ["a", "b"], "left_anti"), work, f"across-{step}")
         if pairs.isEmpty():
             if only_best:
                 continue
