@@ -172,14 +172,14 @@ def _sift(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -> Dat
 def _across(members: DataFrame, most: int, percent: int, only_best: bool) -> DataFrame:
     """Pairs (a, b) of members of one bucket in other components whose sketches are close and whose sizes can fit.
 
-    members: band, k, n, label, sketch. Large buckets are cut into parts; each pair of parts is one step, so no step
+    members: band, k, n, label, sketch, bands. A pair that shares several buckets counts in the first of them. Large buckets are cut into parts; each pair of parts is one step, so no step
     holds more than 2 * BLOCK or so members. only_best: for each member the closest one only.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     cut = members.join(sizes, "band").withColumn("part", part).select("*", other)
-    step = cut.select("band", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), "part", "k", "n", "label", "sketch")
+    step = cut.select("band", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y"), "part", "k", "n", "label", "sketch", "bands")
     kind = members.schema["k"].dataType.simpleString()
 
     def compare(rows: list[dict]) -> Iterator[tuple]:
@@ -190,6 +190,8 @@ def _across(members: DataFrame, most: int, percent: int, only_best: bool) -> Dat
             return
         parts = np.array([r["part"] for r in rows])
         size = np.array([r["n"] for r in rows])
+        every = np.array([r["bands"] for r in rows], np.int64)
+        shared = every == rows[0]["band"]  # the place of this bucket's band
         bits = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
         one_part = rows[0]["x"] == rows[0]["y"]
         for i in range(len(rows)):
@@ -200,6 +202,8 @@ def _across(members: DataFrame, most: int, percent: int, only_best: bool) -> Dat
                 continue
             odd = np.bitwise_count(bits[i] ^ bits).sum(1, dtype=np.int64)
             fit &= odd <= most
+            near = np.flatnonzero(fit)
+            fit[near] = shared[i, (every[near] == every[i]).argmax(1)]
             if only_best and fit.any():
                 j = int(np.where(fit, odd, 1 << 30).argmin())
                 yield tuple(sorted((keys[i], keys[j])))
@@ -257,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     banded = firsts.select("k", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("k").alias("pivot"), F.max("k").alias("last")).filter("pivot <> last").drop("last")
     members = stored(banded.join(met, "band"), work, "members")
-    sketches = firsts.select("k", "n", "sketch")
+    sketches = firsts.select("k", "n", "sketch", "bands")
     star = members.filter("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct()
     star = stored(_sift(star, sketches, most, percent), work, "star")
 
@@ -270,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     for step, only_best in enumerate((True, False), 1):
         labelled = members.select("band", "k").join(labels, "k", "left").withColumn("label", F.coalesce("component", "k"))
         mixed = labelled.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p <> q").select("band")
-        rest = labelled.join(mixed, "band", "left_semi").join(sketches, "k").select("band", "k", "n", "label", "sketch")
+        rest = labelled.join(mixed, "band", "left_semi").join(sketches, "k").select("band", "k", "n", "label", "sketch", "bands")
         pairs = stored(_across(rest, most, percent, only_best).join(tried, ["a", "b"], "left_anti"), work, f"across-{step}")
         if pairs.isEmpty():
             if only_best:
