@@ -100,11 +100,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
         raise ValueError(f"near_words must be {2 * OUTER} at least")
     work = work_folder(docs.sparkSession)
     lines = _lines(docs, key, text).select("k", "rid", F.posexplode(F.split("body", "\n")).alias("no", "line"))
-    lines = lines.select("k", "rid", "no", _plain(F.col("line")).alias("t")).filter("t <> ''")
+    lines = lines.select("k", "rid", "no", _plain(F.col("line")).alias("t"))
     is_long = F.substring_index("t", " ", near_words - 1) != F.col("t")
     coarse = (F.when(is_long, F.xxhash64(F.lit(s), F.substring_index("t", " ", s * OUTER))) for s in (1, -1))
     k1, k2 = coarse
-    lines = stored(lines.select("k", "rid", "no", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), F.col("t"), F.lit(2)).alias("h2"), k1.alias("k1"), k2.alias("k2")), work, "lines")
+    lines = stored(lines.select("k", "rid", "no", F.when(F.col("t") != "", F.xxhash64("t")).alias("h1"), F.xxhash64(F.lit(1), F.col("t"), F.lit(2)).alias("h2"), k1.alias("k1"), k2.alias("k2")), work, "lines").filter("h1 IS NOT NULL")  # filtered before, each line would be cleaned twice
     pos = F.struct("k", "rid", "no")
     groups = lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
     groups = stored(groups, work, "groups")
