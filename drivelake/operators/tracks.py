@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from drivelake.functions import geo
 
 SECOND = 1_000_000_000
-BY_DRIVE = Window.partitionBy("drive_id").orderBy("t_ns", "seq")
+
+
+def by_drive() -> Window:
+    return Window.partitionBy("drive_id").orderBy("t_ns", "seq")
 
 
 def range_frame(seconds: float) -> Window:
@@ -37,7 +40,7 @@ def with_steps(fixes: DataFrame) -> DataFrame:
 
 def with_last(fixes: DataFrame, when: Column, columns: dict[str, Column]) -> DataFrame:
     """As-of join of a track with itself: for each row the values of the last row before it (in order) where `when` holds."""
-    frame = BY_DRIVE.rowsBetween(Window.unboundedPreceding, -1)
+    frame = by_drive().rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(when, F.struct(*(c.alias(n) for n, c in columns.items()))), ignorenulls=True).over(frame)
     out = fixes.withColumn("_last", last)
     return out.select(*fixes.columns, *(F.col("_last")[n].alias(n) for n in columns))
@@ -93,8 +96,8 @@ def tick_grid(track: DataFrame, period_s: float = 1.0) -> DataFrame:
 
 def gap_sessions(track: DataFrame, gap_s: float) -> DataFrame:
     """Runs without a gap of gap_s or more: drive_id, session (from 0), t0, t1, n."""
-    broken = F.coalesce((F.col("t_ns") - F.lag("t_ns").over(BY_DRIVE) >= int(gap_s * SECOND)).cast("long"), F.lit(0))
-    numbered = track.withColumn("_new", broken).withColumn("session", F.sum("_new").over(BY_DRIVE.rowsBetween(Window.unboundedPreceding, 0)))
+    broken = F.coalesce((F.col("t_ns") - F.lag("t_ns").over(by_drive()) >= int(gap_s * SECOND)).cast("long"), F.lit(0))
+    numbered = track.withColumn("_new", broken).withColumn("session", F.sum("_new").over(by_drive().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("drive_id", "session").agg(F.min("t_ns").alias("t0"), F.max("t_ns").alias("t1"), F.count("*").alias("n"))
 
 
