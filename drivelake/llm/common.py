@@ -10,6 +10,8 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space: the only separators of words.
@@ -166,7 +168,7 @@ class WordEncoder:
     other ways than by ASCII lower case and plain letters go through the tokenizers library.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         import regex
         import tiktoken
 
@@ -187,12 +189,17 @@ class WordEncoder:
     def _encode_new(self, new: list[str]) -> list[list[int]] | tuple[np.ndarray, np.ndarray]:
         plain = [c for c in new if not _HARD.search(c)]
         hard = [c for c in new if _HARD.search(c)] if len(plain) < len(new) else []
-        pieces = self.words.findall("\n".join(plain).lower()) if plain else []
-        real = [p for p in pieces if p != "\n"]
+        # Letters alone are one piece; the rest is cut, words apart by line ends.
+        plain.sort(key=str.isalpha)
+        mixed = sum(not w.isalpha() for w in plain)
+        pieces = self.words.findall("\n".join(plain[:mixed]).lower()) if mixed else []
+        letters = "\x01".join(plain[mixed:]).lower().split("\x01") if mixed < len(plain) else []
+        real = [p for p in pieces if p != "\n"] + letters
         ids = np.asarray(self.quick.encode_ordinary("\x01".join(real) + "\x01") if real else [], np.int64)
         ends = np.concatenate([[0], np.flatnonzero(self.mark[ids]) + 1])  # ids up to the n-th piece
         breaks = np.flatnonzero(np.fromiter((p == "\n" for p in pieces), bool, len(pieces)))
-        counts = np.append(breaks - np.arange(len(breaks)), len(real)) if plain else np.empty(0, np.int64)
+        counts = np.append(breaks - np.arange(len(breaks)), len(real) - len(letters)) if mixed else np.empty(0, np.int64)
+        counts = np.concatenate([counts, len(real) - len(letters) + 1 + np.arange(len(letters))])
         lens = np.diff(ends[counts], prepend=0)
         for c in hard:
             one = np.asarray(self.slow.encode(c, add_special_tokens=False).ids, np.int64)
@@ -215,27 +222,31 @@ class WordEncoder:
         self.at[k + 1 : k + 1 + len(new)] = base + np.cumsum(lens)
         self.code.update(zip(new, range(k, k + len(new))))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as uint16."""
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as uint16. Each distinct word of the batch is looked up once."""
         if len(self.code) > self.room:
             self._clear()
-        cut = [t.split() for t in texts]
-        get = self.code.get
-        codes = [np.fromiter(map(get, c, repeat(-1)), np.int64, len(c)) for c in cut]
-        missing = [np.flatnonzero(c < 0) for c in codes]
-        new = list({c[i] for c, m in zip(cut, missing) for i in m})
-        if new:
-            self._add(new)
-            get = self.code.__getitem__
-            for c, m, code in zip(cut, missing, codes):
-                code[m] = [get(c[i]) for i in m]
-        out = []
-        for code in codes:
-            first = self.at[code]
-            lens = self.at[code + 1] - first
-            total = np.cumsum(lens)
-            n = int(total[-1]) if len(total) else 0
-            out.append(self.ids[np.repeat(first - total + lens, lens) + np.arange(n)] if n else np.empty(0, np.uint16))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pc.utf8_split_whitespace(column)
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        words = cut.flatten().dictionary_encode()
+        distinct, place = words.dictionary.to_pylist(), words.indices.to_numpy()
+        code = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            self._add([distinct[i] for i in missing])
+            code[missing] = [self.code[distinct[i]] for i in missing]
+        # The ids of the distinct words in a row, then of all words out of those: small enough to stay in the cache.
+        first = self.at[code]
+        size = (self.at[code + 1] - first).astype(np.int32)
+        begin = np.cumsum(size, dtype=np.int32) - size
+        known = self.ids[np.repeat(first - begin, size) + np.arange(size.sum())]
+        lens = size[place]
+        total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        ids = known[np.repeat(begin[place] - total[:-1], lens) + np.arange(total[-1])]
+        out = np.split(ids, total[ends[1:-1]]) if len(column) > 1 else [ids][: len(column)]
+        for i in np.flatnonzero(pc.match_substring_regex(column, _RARE_SPACE).to_numpy(zero_copy_only=False)):
+            out[i] = np.asarray(self.slow.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.uint16)
         return out
 
 
@@ -258,6 +269,8 @@ def _read(path: str, end: str) -> tuple:
     return slow, ranks
 
 
+#: What only some take for white space, so that texts with it are never cut.
+_RARE_SPACE = "[\\x1c-\\x1f\\x{85}\\x{1680}\\x{180e}\\x{200b}\\x{2028}\\x{2029}\\x{feff}]"
 #: What composes or lower-cases in context, or is a mark of ours: anything beyond Latin letters of one code point.
 _HARD = re.compile(r"[\x00-\x1f\x7f-\xa0\u0130\u0180-\uffff\U00010000-\U0010ffff]")
 

@@ -34,11 +34,11 @@ class WaveletMatrix:
         seq = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
         zeros, planes = np.zeros(bits, np.int64), np.zeros((bits, (len(seq) + 7) // 8), np.uint8)
         for level in range(bits):
-            one = (seq >> (bits - 1 - level) & 1).astype(bool)
+            one = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
             planes[level] = np.packbits(one)
-            low = seq[~one]
+            low = np.compress(~one, seq)
             zeros[level] = len(low)
-            seq = np.concatenate([low, seq[one]])
+            seq = np.concatenate([low, np.compress(one, seq)])
         return cls(len(ids), zeros, planes)
 
     def to_bytes(self, level: int = 1) -> bytes:
@@ -62,8 +62,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             z = int(self.zeros[level])
             up = np.empty(self.n, dtype)
-            up[~one] = seq[:z]
-            up[one] = seq[z:] | dtype(1 << (self.bits - 1 - level))
+            np.place(up, ~one, seq[:z])
+            np.place(up, one, seq[z:] | dtype(1 << (self.bits - 1 - level)))
             seq = up
         return seq
 
@@ -158,9 +158,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "w
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(keys), 256):
-                for k, ids in zip(keys[at : at + 256], enc.encode([t or "" for t in texts[at : at + 256]])):
+            keys, texts = b.column(0).to_pylist(), b.column(1).fill_null("")
+            for at in range(0, len(keys), 2048):
+                for k, ids in zip(keys[at : at + 2048], enc.encode(texts.slice(at, 2048))):
                     held.append((k, np.append(ids, np.uint16(end_id))))
                     size += len(ids) + 1
                     if size >= shard_tokens:
