@@ -24,12 +24,13 @@ class PieceModel:
     in a text is a character in no piece, so every text comes back as it was.
     """
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 800_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         self.byte_ids, self.bytes_of = [0] * 256, []
         self.trie: dict = {}
+        self.every = 1
         scores, inner = [0.0], False
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -42,6 +43,7 @@ class PieceModel:
                 body = piece.replace(_MARK, " ")
                 inner |= " " in body.lstrip(" ") or "\n" in body
                 self.bytes_of.append(body.encode())
+                self.every = max(self.every, 2 * len(body))
                 node = self.trie
                 for c in body:
                     node = node.setdefault(c, {})
@@ -77,6 +79,8 @@ class PieceModel:
             walks = still
             score.append(best)
             back.append(step)
+            if at % self.every:
+                continue
             # Paths that can still win end here or where a piece is going on.
             live = {at, *(start for start, _ in walks)}
             while len(live) > 1:
@@ -99,18 +103,21 @@ class PieceModel:
             at -= n
         return list(chain.from_iterable(reversed(out)))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text. Parts met before are looked up."""
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text, little-endian unsigned 32-bit. Parts met before are looked up."""
         if not text:
-            return np.empty(0, np.uint32)
+            return b""
         if self.part is None:
-            return np.fromiter(self.stream([" ", text]), np.uint32)
+            return np.fromiter(self.stream([" ", text]), "<u4").tobytes()
         known, parts = self.known, self.part.findall(" " + text)
         if len(known) > self.room:
             known.clear()
         for p in set(parts).difference(known):
-            known[p] = tuple(self.stream([p]))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.uint32)
+            known[p] = np.array(list(self.stream([p])), "<u4").tobytes()
+        return b"".join(map(known.__getitem__, parts))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), "<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -135,7 +142,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)
         for b in batches:
-            out = [m.encode(t or "").astype("<u4").tobytes() for t in b.column(rest.index(text)).to_pylist()]
+            out = [m.encode_bytes(t or "") for t in b.column(rest.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*rest, ids])
 
     return docs.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, f"{schema}, `{ids}` binary")
