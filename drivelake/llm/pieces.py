@@ -24,14 +24,14 @@ class PieceModel:
     in a text is a character in no piece, so every text comes back as it was.
     """
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         self.byte_ids, self.bytes_of = [0] * 256, []
-        self.trie: dict = {}
-        self.every = 1
-        scores, inner = [0.0], False
+        self.every, self._trie = 1, None
+        self.pieces: list[tuple[str, float, int]] = []
+        inner = False
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -44,16 +44,24 @@ class PieceModel:
                 inner |= " " in body.lstrip(" ") or "\n" in body
                 self.bytes_of.append(body.encode())
                 self.every = max(self.every, 2 * len(body))
-                node = self.trie
-                for c in body:
-                    node = node.setdefault(c, {})
-                node[""] = (sp.get_score(i), i)
-                scores.append(sp.get_score(i))
-        self.unknown = min(scores) - _UNKNOWN
+                self.pieces.append((body, sp.get_score(i), i))
+        self.unknown = min([0.0, *(score for _, score, _ in self.pieces)]) - _UNKNOWN
         #: No piece goes on across the start of a word or a line end: parts between those are segmented on their own.
         self.part = None if inner else re.compile(r" +[^ \n]*|\n|[^ \n]+")
         self.room, self.known = room, {}
 
+    @property
+    def trie(self) -> dict:
+        """Pieces by their characters; "" leads to score and id. Built when first needed: decoding doesn't."""
+        if self._trie is None:
+            self._trie = {}
+            for body, score, i in self.pieces:
+                node = self._trie
+                for c in body:
+                    node = node.setdefault(c, {})
+                node[""] = (score, i)
+        return self._trie
+
     def stream(self, text: Iterable[str]) -> Iterator[int]:
         """Ids of characters that come in strings of any length.
 
@@ -61,12 +69,12 @@ class PieceModel:
         go through; whenever they meet again at one, the ids before it are final and leave the window.
         """
         # Of each boundary in the window: score, length of the last piece, its id (or None: bytes).
-        score, back, chars, base = [0.0], [(0, None)], "", 0
+        score, back, chars, root = [0.0], [(0, None)], "", self.trie
         walks: list[tuple[int, dict]] = []  # boundaries from which a piece may still go on, and where in the trie
         for c in chain.from_iterable(text):
             chars += c
             at = len(chars)
-            walks.append((at - 1, self.trie))
+            walks.append((at - 1, root))
             best, step, still = score[at - 1] + self.unknown, (1, None), []
             for start, node in walks:
                 node = node.get(c)
@@ -131,6 +139,13 @@ def piece_model(path: str) -> PieceModel:
 
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that only few texts and their ids are in memory at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of docs and `ids`: the text's ids as little-endian unsigned 32-bit integers (binary).
 
@@ -141,7 +156,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)
-        for b in batches:
+        for b in _few(batches):
             out = [m.encode_bytes(t or "") for t in b.column(rest.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*rest, ids])
 
@@ -155,7 +170,7 @@ def decode_texts(encoded: DataFrame, model: str, ids: str = "ids", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model)
-        for b in batches:
+        for b in _few(batches):
             raw = b.column(rest.index(ids)).to_pylist()
             out = [None if x is None else m.decode(np.frombuffer(x, "<u4").tolist()) for x in raw]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*rest, text])
