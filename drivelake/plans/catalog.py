@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from drivelake.functions import geo
 from drivelake.operators import metrics, scenario, tables, tracks, trust
 from drivelake.sources.fixes import FIX_SQL, fix_view
+from drivelake.streaming.trust_fold import trust_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -178,6 +179,12 @@ def stateless_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("drive_id", "seq", "state", _r("confidence").alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
 
 
+@_query()
+def trust_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful fold over every drive; a test holds it against its stream twin."""
+    return trust_batch(fix_view(spark, sf_dir).withColumn("latency_s", (F.col("seq") * 13 % 140) / F.lit(10.0)))
+
+
 _STATS_SQL = """count(err_m) AS n, round(sqrt(avg(err_m * err_m)), 6) AS rmse_m, round(quantile_cont(err_m, 0.5), 6) AS p50_m, round(quantile_cont(err_m, 0.95), 6) AS p95_m, round(max(err_m), 6) AS max_m,
     round(avg(CASE WHEN err_m <= r68 THEN 1.0 WHEN err_m > r68 THEN 0.0 END), 6) AS within68, round(avg(CASE WHEN err_m <= r68 * 2.4477::DOUBLE / 1.5096::DOUBLE THEN 1.0 WHEN err_m > r68 * 2.4477::DOUBLE / 1.5096::DOUBLE THEN 0.0 END), 6) AS within95"""
 
