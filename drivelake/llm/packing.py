@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .common import encoder, mix
 
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up: those of the largest weight.
-QUERY_TERMS = 12
-#: Neighbours that one look-up returns.
+#: Neighbours that one look-up returns; the same seed is looked up again when they are used up.
 NEIGHBOURS = 16
+#: Terms that one document in so many has are kept as rows over all documents: adding rows is quicker than following postings.
+DENSE = 8
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -59,27 +59,36 @@ class Bm25:
         self.weight = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[doc])
         self.doc = doc
         ends = np.searchsorted(term, np.arange(len(df) + 1))
-        by_doc = np.lexsort((term, -self.weight, doc))
-        at = np.searchsorted(doc[by_doc], np.arange(n + 1))
-        self.spans = []
-        for i in range(n):
-            top = term[by_doc[at[i] : min(at[i + 1], at[i] + QUERY_TERMS)]]
-            self.spans.append((ends[top], ends[top + 1]))
+        common = np.flatnonzero(np.diff(ends) * DENSE >= max(n, 1))
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n))
+        at = self.row[term]
+        self.dense[at[at >= 0], doc[at >= 0]] = self.weight[at >= 0]
+        self.ends, self.term = ends, term[np.argsort(doc, kind="stable")]  # by document
+        self.own = np.searchsorted(np.sort(doc), np.arange(n + 1))
+        self.last: tuple[int, np.ndarray] = (-1, np.empty(0))
+
+    def scores(self, i: int) -> np.ndarray:
+        """The score of every document for all terms of document i that any other one has."""
+        if self.last[0] != i:
+            terms = self.term[self.own[i] : self.own[i + 1]]
+            rows = self.row[terms]
+            low, high = self.ends[terms[rows < 0]], self.ends[terms[rows < 0] + 1]
+            size = high - low
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self.last = i, np.bincount(self.doc[at], self.weight[at], self.n) + self.dense[rows[rows >= 0]].sum(0)
+        return self.last[1]
 
     def neighbours(self, i: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with document i, by score, the smaller number first at ties."""
-        low, high = self.spans[i]
-        if not len(low):
-            return low
-        at = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist())])
-        found = self.doc[at]
-        score = np.bincount(found, self.weight[at], self.n)
-        score[used] = 0
-        best = np.argsort(-score, kind="stable")[:NEIGHBOURS] if self.n <= 4 * NEIGHBOURS else None
-        if best is None:
-            best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
-            best = best[np.lexsort((best, -score[best]))]
-        return best[score[best] > 0]
+        """Unused documents that share a term with document i, by score, the smaller number first at ties."""
+        left = np.flatnonzero(~used)
+        score = self.scores(i)[left]
+        if len(left) > 4 * NEIGHBOURS:  # all that tie with the last one, too
+            least = np.partition(score, len(left) - NEIGHBOURS)[len(left) - NEIGHBOURS]
+            left, score = left[score >= least], score[score >= least]
+        best = np.lexsort((left, -score))[:NEIGHBOURS]
+        return left[best[score[best] > 0]]
 
 
 def order_by_retrieval(lengths: np.ndarray, index: Bm25, window: int) -> Iterator[int]:

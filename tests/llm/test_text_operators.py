@@ -178,6 +178,22 @@ def test_retrieval_puts_related_documents_side_by_side():
     assert sorted(order) == [0, 1, 2, 3, 4] and set(order[:3]) == {0, 2, 4}
 
 
+def test_neighbours_are_those_of_the_whole_query():
+    rng = np.random.default_rng(11)
+    found = [rng.choice(400, rng.integers(60, 150), p=np.arange(400, 0, -1) / 80200).astype(np.uint64) for _ in range(120)]
+    index, df, mean = packing.Bm25(found), {}, np.mean([len(x) for x in found])
+    for x in found:
+        for t in set(x.tolist()):
+            df[t] = df.get(t, 0) + 1
+    for i in range(0, 120, 7):
+        want = [sum(np.log1p((120 - df[t] + 0.5) / (df[t] + 0.5)) * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
+                    for t in set(found[i].tolist()) if df[t] > 1 and (f := int((x == t).sum()))) for x in found]
+        used = np.zeros(120, bool)
+        used[i] = used[3] = True
+        best = [j for j in np.argsort(-np.array(want), kind="stable") if not used[j]][: packing.NEIGHBOURS]
+        assert index.neighbours(i, used).tolist() == best
+
+
 def test_shards_are_even_and_keep_equal_texts_together(spark):
     rng = random.Random(7)
     rows = [(d, rng.choice(("same", "other", None, "")) if d % 3 == 0 else " ".join(words(rng, rng.randrange(200)))) for d in range(600)]
