@@ -1,4 +1,4 @@
-"""Packing of documents into fixed windows: lexical neighbours of a seed, found by BM25 in its shard, fill its window."""
+"""Packing of documents into fixed windows: lexical neighbours of a seed, found by BM25 in its shard of related documents, fill its window."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, mix
+from .common import encoder, mix, stored, work_folder
 
 K1, B = 1.2, 0.75
 #: Neighbours that one look-up returns; the same seed is looked up again when they are used up.
@@ -18,45 +18,222 @@ NEIGHBOURS = 16
 #: Terms that one document in so many has are kept as rows over all documents: adding rows is quicker than following postings.
 DENSE = 8
 
+#: Dimensions of the vectors by which related documents are placed together.
+DIMS = 128
+#: Documents from which the tree of shards is cut, at most; every document then goes down the tree.
+SAMPLE = 1 << 16
+#: Terms of at least one in so many documents have weights of their own in those vectors; rarer ones share the largest.
+RARE = 100
+#: Tokens that are looked at together.
+TOKENS = 1 << 20
+
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 @lru_cache(maxsize=2)
 def _starts_word(tokenizer: str) -> np.ndarray:
-    """True for ids whose bytes don't continue a word."""
+    """True for ids whose bytes don't continue a word: the first one is ASCII, but no letter or digit (white space stands as letters from 256 on)."""
     slow = encoder(tokenizer, "byte").slow
     out = np.ones(1 << 16, bool)
     for token, i in slow.get_vocab(with_added_tokens=True).items():
-        out[i] = not token[:1].isalnum()
+        out[i] = not token[:1].isalnum() or 0 <= ord(token[0]) - 256 <= 33
     return out
 
 
 def word_terms(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A hash of each word of a token sequence."""
+    return _words(ids, starts, np.zeros(1, np.int64))[0]
+
+
+def _words(ids: np.ndarray, starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of joined token sequences that begin at the given places, and the number of its sequence."""
     if not len(ids):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     at = starts[ids]
-    at[0] = True
+    at[begins[begins < len(ids)]] = True
     first = np.flatnonzero(at)
     place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    return np.add.reduceat(mix(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(20))), first)
+    return np.add.reduceat(mix(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(20))), first), np.searchsorted(begins, first, "right") - 1
+
+
+def _chunks(column: pa.Array, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For successive documents of about TOKENS ids: their number, their distinct terms, each pair of document and place of its term once."""
+    held, size = [], 0
+    for i, raw in enumerate(column, 1):
+        held.append(np.frombuffer(raw.as_py(), np.uint16))
+        size += len(held[-1])
+        if size >= TOKENS or i == len(column):
+            begins = np.cumsum([0, *map(len, held[:-1])])
+            term, owner = _words(np.concatenate(held), starts, begins)
+            distinct, place = np.unique(term, return_inverse=True)
+            width = max(len(distinct), 1)
+            pair = np.unique(owner * width + place)
+            yield len(held), distinct, pair // width, pair % width
+            held, size = [], 0
+
+
+def count_terms(ids: DataFrame, tokenizer: str) -> DataFrame:
+    """term, df: the documents that hold each word, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, held, size = _starts_word(tokenizer), [], 0
+
+        def merged() -> pa.RecordBatch:
+            term, place = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            df = np.bincount(place, np.concatenate([n for _, n in held]), len(term)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df)], ["term", "df"])
+
+        for b in batches:
+            for _, distinct, _, place in _chunks(b.column(0), starts):
+                held.append((distinct, np.bincount(place, minlength=len(distinct))))
+                size += len(distinct)
+                if size > 2 * TOKENS:
+                    yield merged()
+                    held, size = [], 0
+        if held:
+            yield merged()
+
+    return ids.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _vectors(n: int, distinct: np.ndarray, owner: np.ndarray, place: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A unit vector for each document: its terms by their inverse document frequency, each with a sign in one dimension."""
+    weight = np.full(len(distinct), np.log(RARE))
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], distinct), len(common[0]) - 1)
+        weight = np.where(common[0][at] == distinct, common[1][at], weight)
+    spread = mix(distinct)
+    where, signed = (spread % np.uint64(DIMS)).astype(np.int64), np.where(spread >> np.uint64(63), weight, -weight)
+    out = np.bincount(owner * DIMS + where[place], signed[place], n * DIMS).reshape(n, DIMS)
+    return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
+
+
+def cut_tree(vectors: np.ndarray, sizes: np.ndarray, leaf_size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, thresholds and children of a tree that cuts the vectors along their main direction, where the middle is thinnest, until no leaf is larger than leaf_size.
+
+    A child below zero is leaf -1 - child; leaves are numbered from left to right, so that near ones are related.
+    """
+    ways, limits, children, leaves = [], [], [], [0]
+
+    def grow(rows: np.ndarray) -> int:
+        x = vectors[rows] - vectors[rows].mean(0)
+        way = x[np.argmax((x**2).sum(1))]
+        for _ in range(12):
+            way = x.T @ (x @ way)
+            way = way / max(np.sqrt(way @ way), 1e-12)
+        along = vectors[rows] @ way
+        order = np.argsort(along, kind="stable")
+        steps = along[order]
+        span = max(1, len(rows) // 20)
+        low, high = len(rows) * 7 // 20, max(len(rows) * 13 // 20, len(rows) * 7 // 20 + 1)
+        gaps = steps[np.minimum(np.arange(low, high) + span, len(rows) - 1)] - steps[np.arange(low, high)]
+        at = low + int(np.argmax(gaps)) + (span + 1) // 2
+        at = min(max(at, 1), len(rows) - 1)
+        limit = (steps[at - 1] + steps[at]) / 2
+        left = along <= limit
+        if sizes[rows].sum() <= leaf_size or len(rows) < 8 or left.all() or not left.any():
+            leaves[0] += 1
+            return -leaves[0]
+        node = len(ways)
+        ways.append(way), limits.append(limit), children.append([0, 0])
+        children[node] = [grow(rows[left]), grow(rows[~left])]
+        return node
+
+    if len(vectors) > 1:
+        grow(np.arange(len(vectors)))
+    return np.array(ways).reshape(-1, vectors.shape[1]), np.array(limits), np.array(children, np.int64).reshape(-1, 2)
+
+
+def leaf_of(vectors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The leaf that each vector comes down to."""
+    ways, limits, children = tree
+    at = np.zeros(len(vectors), np.int64) if len(ways) else np.full(len(vectors), -1)
+    while (inner := np.flatnonzero(at >= 0)).size:
+        node = at[inner]
+        at[inner] = children[node, ((vectors[inner] * ways[node]).sum(1) > limits[node]).astype(int)]
+    return -1 - at
+
+
+def _placed(ids: DataFrame, tokenizer: str, df: DataFrame, n: int, total: int, shard_bytes: int, work: str) -> DataFrame:
+    """shard, k, ids: related documents in one shard of about shard_bytes.
+
+    A tree cut from the vectors of a sample leads every document to a leaf; small neighbouring leaves share a shard. A leaf over
+    shard_bytes is split by a MinHash sample, which keeps near copies together, and what is then still over twice of it by a hash of the row.
+    """
+    kind, spark = ids.schema["k"].dataType.simpleString(), ids.sparkSession
+    if total <= shard_bytes:
+        return ids.select(F.lit(0).cast("long").alias("shard"), "k", "ids")
+    rows = df.filter(F.col("df") * RARE >= n).collect()
+    order = np.argsort(np.array([r.term for r in rows], np.int64).view(np.uint64))
+    common = (np.array([r.term for r in rows], np.int64).view(np.uint64)[order], np.log(n / np.array([r.df for r in rows], float))[order])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = _starts_word(tokenizer)
+        for b in batches:
+            at = 0
+            for m, distinct, owner, place in _chunks(b.column(0), starts):
+                found = _vectors(m, distinct, owner, place, common).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), b.column(1).slice(at, m), b.column(2).slice(at, m)], ["v", "size", "h"])
+                at += m
+
+    share = min(1.0, min(SAMPLE, 64 * -(-total // shard_bytes)) / n)
+    sample = ids.filter(F.pmod(F.col("h"), F.lit(1 << 20)) < round(share * (1 << 20)) + 1).select("ids", "size", "h").mapInArrow(vectors, "v binary, size long, h long").collect()
+    sample.sort(key=lambda r: (r.h, r.v))
+    sizes = np.array([r.size for r in sample], float)
+    tree = cut_tree(np.frombuffer(b"".join(r.v for r in sample), "<f4").reshape(-1, DIMS).astype(float), sizes * (total / max(sizes.sum(), 1)), shard_bytes)
+
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = _starts_word(tokenizer)
+        for b in batches:
+            leaf, least = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for m, distinct, owner, place in _chunks(b.column(1), starts):
+                leaf.append(leaf_of(_vectors(m, distinct, owner, place, common).astype("<f4").astype(float), tree))
+                low = np.zeros(m, np.uint64)
+                if len(owner):
+                    first = np.flatnonzero(np.diff(owner, prepend=-1))
+                    low[owner[first]] = np.minimum.reduceat(mix(distinct ^ np.uint64(0x5851F42D4C957F2D))[place], first)
+                least.append(mix(low).view(np.int64))
+            columns = [*b.columns, pa.array(np.concatenate(leaf)), pa.array(np.concatenate(least))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "ids", "size", "h", "leaf", "least"])
+
+    found = stored(ids.select("k", "ids", "size", "h").mapInArrow(place_rows, f"k {kind}, ids binary, size long, h long, leaf long, least long"), work, "placed")
+    plan, shard, room = [], -1, 0
+    for leaf, size in sorted(map(tuple, found.groupBy("leaf").agg(F.sum("size")).collect())):
+        if size > room:
+            shard, room = shard + 1, shard_bytes
+        plan.append((leaf, shard, parts := max(1, -(-size // shard_bytes))))
+        shard, room = shard + parts - 1, room - size if parts == 1 else 0
+    found = found.join(F.broadcast(spark.createDataFrame(plan, "leaf long, first long, parts long")), "leaf").withColumn("shard", F.col("first") + F.pmod("least", "parts"))
+    large = found.groupBy("shard").agg(F.sum("size").alias("size")).filter(F.col("size") > 2 * shard_bytes).collect()
+    split, after = [], shard + 1
+    for r in sorted(large):
+        split.append((r.shard, after, parts := -(-r.size // shard_bytes)))
+        after += parts
+    again = F.broadcast(spark.createDataFrame(split, "shard long, after long, pieces long"))
+    final = F.when(F.col("after").isNull(), F.col("shard")).otherwise(F.col("after") + F.pmod("h", "pieces"))
+    return found.join(again, "shard", "left").select(final.alias("shard"), "k", "ids")
 
 
 class Bm25:
-    """An inverted index over the documents of one shard; terms of one document only are left out, as they find nothing."""
+    """An inverted index over the documents of one shard; terms of one document only are left out, as they find nothing.
 
-    def __init__(self, docs: list[np.ndarray]):
+    everywhere: documents, mean length, sorted terms and their document frequencies in the whole table; else those of the shard hold.
+    """
+
+    def __init__(self, docs: list[np.ndarray], everywhere: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         n = self.n = len(docs)
         size = np.array([len(d) for d in docs], float)
         every = np.concatenate(docs) if n else np.empty(0, np.uint64)
-        _, term = np.unique(every, return_inverse=True)
+        distinct, term = np.unique(every, return_inverse=True)
         pair, tf = np.unique(np.repeat(np.arange(n), size.astype(np.int64)) + term.astype(np.int64) * max(n, 1), return_counts=True)
         term, doc = pair // max(n, 1), pair % max(n, 1)  # by term, then document
         df = np.bincount(term)
         keep = df[term] > 1 if len(term) else np.empty(0, bool)
         term, doc, tf = term[keep], doc[keep], tf[keep]
-        norm = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1))
-        self.weight = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[doc])
+        total, mean, known, counts = everywhere or (n, size.mean() if n else 1, distinct, df)
+        norm = K1 * (1 - B + B * size / max(mean, 1))
+        within = counts[np.searchsorted(known, distinct[term])] if len(term) else df[:0]
+        self.weight = np.log1p((total - within + 0.5) / (within + 0.5)) * tf * (K1 + 1) / (tf + norm[doc])
         self.doc = doc
         ends = np.searchsorted(term, np.arange(len(df) + 1))
         common = np.flatnonzero(np.diff(ends) * DENSE >= max(n, 1))
@@ -121,23 +298,47 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
     Returns for each piece: key, start (its document's ids before it), length, doc_tokens (all ids of its document), sequence_id, offset
     (in the sequence), ids (little-endian unsigned 32-bit).
 
-    Rows go to shards of about shard_bytes of text by a hash of key and text, so memory and index are bounded and
-    shards are even; a shard's index is searched for neighbours of its own documents. Documents are cut only where a window
-    ends. Rows with equal or null keys are documents of their own. An empty table gives an empty result.
+    Related documents go to one shard of about shard_bytes of text, so memory and index are bounded; a shard's index is
+    searched for neighbours of its own documents, with document frequencies and mean length of the whole table. Documents
+    are cut only where a window ends. Rows with equal or null keys are documents of their own. An empty table gives an
+    empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(body) + 64)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), body.alias("t"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k", "t"), F.lit(shards)))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("t", "ascending")])
+    kind, work = docs.schema[key].dataType.simpleString(), work_folder(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("k"), body.alias("t"), (F.octet_length(body) + 64).cast("long").alias("size"), F.xxhash64(F.col(key), body).alias("h"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, starts = encoder(tokenizer, "byte"), _starts_word(tokenizer)
+        for b in batches:
+            found = coder.encode(b.column(1).to_pylist())
+            ids = pa.array([x.tobytes() for x in found], pa.binary())
+            words = [int(starts[x[1:]].sum()) + 1 if len(x) else 0 for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(2), b.column(3), pa.array(words, pa.int64())], ["k", "ids", "size", "h", "words"])
+
+    ids = stored(rows.mapInArrow(encode, f"k {kind}, ids binary, size long, h long, words long"), work, "ids")
+    n_docs, total, words = ids.agg(F.count("*"), F.sum("size"), F.sum("words")).first()
+    df = stored(count_terms(ids, tokenizer).filter("df > 1"), work, "df")
+    placed = _placed(ids, tokenizer, df, n_docs, total or 0, shard_bytes, work)
+
+    def terms(table: pa.Table) -> pa.Table:
+        """Terms that several documents of a shard hold."""
+        starts, found = _starts_word(tokenizer), []
+        for _, distinct, _, place in _chunks(table.column("ids").combine_chunks(), starts):
+            found.append((distinct, np.bincount(place, minlength=len(distinct))))
+        term, place = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+        several = term[np.bincount(place, np.concatenate([c for _, c in found]), len(term)) > 1]
+        return pa.table({"shard": pa.array(np.full(len(several), table.column("shard")[0].as_py(), np.int64)), "term": pa.array(several.view(np.int64))})
+
+    known = placed.groupBy("shard").applyInArrow(terms, "shard long, term long").join(df, "term").select("shard", "term", "df")
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        table = table.sort_by([("k", "ascending"), ("ids", "ascending")])
         shard = table.column("shard")[0].as_py()
-        ids = [np.append(x, np.uint16(end_id)) for x in encoder(tokenizer, "byte").encode(table.column("t").to_pylist())]
+        ids = [np.append(np.frombuffer(x, np.uint16), np.uint16(end_id)) for x in table.column("ids").to_pylist()]
         starts = _starts_word(tokenizer)
-        index = Bm25([word_terms(x[:-1], starts) for x in ids])
+        term, counts = known.column("term").to_numpy().view(np.uint64), known.column("df").to_numpy()
+        order = np.argsort(term)
+        index = Bm25([word_terms(x[:-1], starts) for x in ids], (n_docs, words / n_docs, term[order], counts[order]))
         at: list[tuple] = []
         parts, rows, filled = [], [], 0
         for d in order_by_retrieval(np.array([len(x) for x in ids]), index, window):
@@ -152,5 +353,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id:
         names = ["k", *(x.split()[0] for x in PIECES.split(", "))]
         return pa.Table.from_arrays([table.column("k").take(pa.array(rows, pa.int64())), *(pa.array(columns[:, i]) for i in range(5)), pa.array(parts, pa.binary())], names)
 
-    packed = rows.groupBy("shard").applyInArrow(run, f"k {kind}, {PIECES}")
+    packed = placed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, f"k {kind}, {PIECES}")
     return packed.withColumnRenamed("k", key)

@@ -194,6 +194,33 @@ def test_neighbours_are_those_of_the_whole_query():
         assert index.neighbours(i, used).tolist() == best
 
 
+def test_related_documents_share_a_shard(spark):
+    rng = random.Random(12)
+    vocabulary = [[f"{'abcdefgh'[g]}{i}" for i in range(300)] for g in range(8)]
+    rows = [(d, " ".join(rng.choices(vocabulary[d % 8], k=150))) for d in range(400)]
+    out = packing.pack_documents(docs(spark, rows), BYTES, shard_bytes=30_000).collect()
+    where = {r.doc_id: r.sequence_id >> 32 for r in out}
+    size, met, every = {}, 0, 0
+    for d, s in where.items():
+        size[s] = size.get(s, 0) + len(rows[d][1]) + 64
+        for e in range(d % 8, d, 8):
+            met, every = met + (where[e] == s), every + 1
+    shards = len(size)
+    assert 6 <= shards <= 20 and max(size.values()) <= 60_000
+    assert met / every > 3 / shards  # at random, one pair in as many as there are shards
+
+
+def test_document_frequencies_are_those_of_the_whole_table(spark):
+    rows = [(1, "one two two"), (2, "two three"), (3, ""), (4, "two three")]
+    ids = spark.createDataFrame([(d, packing.encoder(BYTES, "byte").encode([t])[0].tobytes()) for d, t in rows], "k long, ids binary")
+    assert sorted(r.df for r in packing.count_terms(ids.repartition(3), BYTES).collect()) == [1, 1, 2, 2]
+    x, y, z = np.array([1, 2], np.uint64), np.array([1, 3], np.uint64), np.array([2, 2], np.uint64)
+    one = packing.Bm25([x, y, z], (1000, 2.0, np.array([1, 2], np.uint64), np.array([2, 900])))
+    assert one.neighbours(0, np.array([True, False, False])).tolist() == [1, 2]
+    other = packing.Bm25([x, y, z], (1000, 2.0, np.array([1, 2], np.uint64), np.array([900, 2])))
+    assert other.neighbours(0, np.array([True, False, False])).tolist() == [2, 1]
+
+
 def test_shards_are_even_and_keep_equal_texts_together(spark):
     rng = random.Random(7)
     rows = [(d, rng.choice(("same", "other", None, "")) if d % 3 == 0 else " ".join(words(rng, rng.randrange(200)))) for d in range(600)]
