@@ -141,7 +141,11 @@ def trust_batch(fixes: DataFrame, rules: TrustRules = TrustRules()) -> DataFrame
 
 
 def trust_stream(fixes: DataFrame, rules: TrustRules = TrustRules()) -> DataFrame:
-    """The same verdicts over a stream; each micro-batch continues from the state of its drives."""
+    """A stream's verdicts; each micro-batch continues from the state of its drives.
+
+    They equal those of trust_batch if no fix comes in a later micro-batch than a fix of its drive that follows it in time: rows are
+    sorted inside one micro-batch only, as there is no reorder buffer yet. All rows of a drive in a micro-batch are held at once.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = json.loads(state.get[0]) if state.exists else {}
