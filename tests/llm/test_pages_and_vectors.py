@@ -30,6 +30,16 @@ def test_article_only_and_odd_pages(spark):
     assert html_text.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_template_of_a_rare_layout_goes(spark):
+    rare = "<div class='b'><p>Own {0}</p></div><div class='box'>Printed in layout B</div>"
+    rows = [(i, f"https://h.example.com/{i}", (rare if i % 20 == 0 else "<div class='a'><p>Own {0}</p></div><div class='box'>Text {0}</div>").format(i), None) for i in range(200)]
+    rows += [(500 + i, "https://g.example.com/same", "<div><p>One page, many times</p></div>", None) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(200):
+        assert got[i] == (f"Own {i}" if i % 20 == 0 else f"Own {i}\n\nText {i}")
+    assert all(got[500 + i] == "One page, many times" for i in range(8))
+
+
 def test_wrapper_marks_repeats_options_and_slots():
     w = html_text.Wrapper()
     for h in ("<ul><li>a<li>b</ul><p>same</p>", "<ul><li>a</ul><h2>t</h2><p>same</p>", "<ul><li>c</ul><p>same</p>"):
