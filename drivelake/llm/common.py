@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -132,12 +131,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary, equal to those of the tokenizers library without special tokens.
+    """Ids of a byte-level vocabulary, equal to those of the tokenizers library with add_special_tokens=False.
 
     Texts go through tiktoken with the ranks of the same file. Its rule (merge the pair whose joined bytes rank
     lowest) equals merging by rank, because every entry encodes to itself: inside the span of an entry, merges come
-    in the same order as in the entry alone, so its last two parts are its own pair. What tiktoken refuses goes
-    through the tokenizers library.
+    in the same order as in the entry alone, so its last two parts are its own pair. What tiktoken refuses, and texts that
+    spell out one of the file's added tokens (which the library takes as that token), go through the tokenizers library.
     """
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -145,7 +144,8 @@ class ByteEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        self.slow, ranks = _read(path, "")
+        self.slow, ranks, added = _read(path, "")
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         self.quick = tiktoken.Encoding("same", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -153,10 +153,12 @@ class ByteEncoder:
         return [np.asarray(self._one(t), np.uint16) for t in texts]
 
     def _one(self, text: str) -> list[int]:
-        try:
-            return self.quick.encode_ordinary(text)
-        except Exception:  # e.g. white space beyond its pattern engine's stack
-            return self.slow.encode(text, add_special_tokens=False).ids
+        if not self.added.search(text):
+            try:
+                return self.quick.encode_ordinary(text)
+            except Exception:  # e.g. white space beyond its pattern engine's stack
+                pass
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 class WordEncoder:
@@ -173,7 +175,8 @@ class WordEncoder:
         import tiktoken
 
         self.room = room
-        self.slow, ranks = _read(path, "</w>")
+        self.slow, ranks, added = _read(path, "</w>")
+        self.odd = "|".join([_RARE_SPACE, *(f"(?i:{re.escape(x)})" for x in added)])
         self.mark = np.zeros(max(ranks.values()) + 2, bool)
         self.mark[[i for b, i in ranks.items() if b[-1:] == b"\x01"]] = True
         ranks[b"\x01"] = max(ranks.values()) + 1  # never left over
@@ -245,18 +248,18 @@ class WordEncoder:
         total = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
         ids = known[np.repeat(begin[place] - total[:-1], lens) + np.arange(total[-1])]
         out = np.split(ids, total[ends[1:-1]]) if len(column) > 1 else [ids][: len(column)]
-        for i in np.flatnonzero(pc.match_substring_regex(column, _RARE_SPACE).to_numpy(zero_copy_only=False)):
+        for i in np.flatnonzero(pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)):
             out[i] = np.asarray(self.slow.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.uint16)
         return out
 
 
 def _read(path: str, end: str) -> tuple:
-    """The tokenizer of a file, and its vocabulary as bytes with ids; end marks that end a word become the byte 1."""
+    """The tokenizer of a file, its vocabulary as bytes with ids (end marks that end a word become the byte 1), and the texts of its added tokens."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     slow.no_padding()
+    slow.no_truncation()
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
@@ -266,7 +269,7 @@ def _read(path: str, end: str) -> tuple:
         if token not in special:
             ends = bool(end) and token.endswith(end)
             ranks[bytes(byte_of[c] for c in (token.removesuffix(end) if ends else token)) + b"\x01" * ends] = i
-    return slow, ranks
+    return slow, ranks, sorted(special)
 
 
 #: What only some take for white space, so that texts with it are never cut.
@@ -279,16 +282,3 @@ _HARD = re.compile(r"[\x00-\x1f\x7f-\xa0\u0130\u0180-\uffff\U00010000-\U0010ffff
 def encoder(path: str, kind: str):
     """One for each file and worker process ("byte" or "word"); workers are used again, and so is what they know."""
     return (ByteEncoder if kind == "byte" else WordEncoder)(path)
-
-
-def batches(rows: Iterator, n_chars: int) -> Iterator[list]:
-    """Lists of (key, text) rows of about n_chars characters."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[1])
-        if size >= n_chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
