@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,90 +21,65 @@ DENSE = 8
 DIMS = 128
 #: Documents from which the tree of shards is cut, at most; every document then goes down the tree.
 SAMPLE = 1 << 16
-#: Terms of at least one in so many documents have weights of their own in those vectors; rarer ones share the largest.
+#: Terms of fewer than one in so many documents share the largest weight in those vectors.
 RARE = 100
 #: Tokens that are looked at together.
 TOKENS = 1 << 20
+#: Token ids fit 16 bits; they are the terms, so statistics of the whole table have a fixed size.
+VOCABULARY = 1 << 16
+#: A sequence's number is its shard's, then this many bits for its place in the shard.
+SEQUENCE_BITS = 18
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-@lru_cache(maxsize=2)
-def _starts_word(tokenizer: str) -> np.ndarray:
-    """True for ids whose bytes don't continue a word: the first one is ASCII, but no letter or digit (white space stands as letters from 256 on)."""
-    slow = encoder(tokenizer, "byte").slow
-    out = np.ones(1 << 16, bool)
-    for token, i in slow.get_vocab(with_added_tokens=True).items():
-        out[i] = not token[:1].isalnum() or 0 <= ord(token[0]) - 256 <= 33
-    return out
-
-
-def word_terms(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each word of a token sequence."""
-    return _words(ids, starts, np.zeros(1, np.int64))[0]
-
-
-def _words(ids: np.ndarray, starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of joined token sequences that begin at the given places, and the number of its sequence."""
-    if not len(ids):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    at = starts[ids]
-    at[begins[begins < len(ids)]] = True
-    first = np.flatnonzero(at)
-    place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    return np.add.reduceat(mix(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(20))), first), np.searchsorted(begins, first, "right") - 1
+def _counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, id and count of every different id of each document."""
+    if len(docs) == 1:  # perhaps a very long one
+        n = np.bincount(docs[0], minlength=1)
+        ids = np.flatnonzero(n)
+        return np.zeros(len(ids), np.int64), ids, n[ids]
+    key = np.repeat(np.arange(len(docs), dtype=np.int64) << 16, [len(x) for x in docs])
+    key |= np.concatenate(docs)
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] >> 16, key[first] & 0xFFFF, np.diff(np.append(first, len(key)))
 
 
-def _chunks(column: pa.Array, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For successive documents of about TOKENS ids: their number, their distinct terms, each pair of document and place of its term once."""
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For successive documents of about TOKENS ids: their number, then document, id and count as _counted."""
     held, size = [], 0
     for i, raw in enumerate(column, 1):
         held.append(np.frombuffer(raw.as_py(), np.uint16))
         size += len(held[-1])
         if size >= TOKENS or i == len(column):
-            begins = np.cumsum([0, *map(len, held[:-1])])
-            term, owner = _words(np.concatenate(held), starts, begins)
-            distinct, place = np.unique(term, return_inverse=True)
-            width = max(len(distinct), 1)
-            pair = np.unique(owner * width + place)
-            yield len(held), distinct, pair // width, pair % width
+            yield len(held), *_counted(held)
             held, size = [], 0
 
 
-def count_terms(ids: DataFrame, tokenizer: str) -> DataFrame:
-    """term, df: the documents that hold each word, over all rows."""
+def document_frequencies(ids: DataFrame) -> np.ndarray:
+    """How many documents hold each id, over all rows. The vocabulary bounds it: 65,536 numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, held, size = _starts_word(tokenizer), [], 0
+        n = np.zeros(VOCABULARY, np.int64)
+        for b in batches:
+            for _, _, term, _ in _chunks(b.column(0)):
+                n += np.bincount(term, minlength=VOCABULARY)
+        term = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n[term])], ["term", "df"])
+
+    out = np.zeros(VOCABULARY, np.int64)
+    for r in ids.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        out[r.term] = r.df
+    return out
 
-        def merged() -> pa.RecordBatch:
-            term, place = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
-            df = np.bincount(place, np.concatenate([n for _, n in held]), len(term)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df)], ["term", "df"])
 
-        for b in batches:
-            for _, distinct, _, place in _chunks(b.column(0), starts):
-                held.append((distinct, np.bincount(place, minlength=len(distinct))))
-                size += len(distinct)
-                if size > 2 * TOKENS:
-                    yield merged()
-                    held, size = [], 0
-        if held:
-            yield merged()
-
-    return ids.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def _vectors(n: int, distinct: np.ndarray, owner: np.ndarray, place: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A unit vector for each document: its terms by their inverse document frequency, each with a sign in one dimension."""
-    weight = np.full(len(distinct), np.log(RARE))
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], distinct), len(common[0]) - 1)
-        weight = np.where(common[0][at] == distinct, common[1][at], weight)
-    spread = mix(distinct)
-    where, signed = (spread % np.uint64(DIMS)).astype(np.int64), np.where(spread >> np.uint64(63), weight, -weight)
-    out = np.bincount(owner * DIMS + where[place], signed[place], n * DIMS).reshape(n, DIMS)
-    return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
+def _vectors(n: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A unit vector for each document: its terms by their weight, each with a sign in one dimension."""
+    spread = mix(term.astype(np.uint64) + np.uint64(1))
+    signed = np.where(spread >> np.uint64(63), weight[term], -weight[term])
+    out = np.bincount(owner * DIMS + (spread % np.uint64(DIMS)).astype(np.int64), signed, n * DIMS).reshape(n, DIMS)
+    return (out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)).astype("<f4")
 
 
 def cut_tree(vectors: np.ndarray, sizes: np.ndarray, leaf_size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +128,7 @@ def leaf_of(vectors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]
     return -1 - at
 
 
-def _placed(ids: DataFrame, tokenizer: str, df: DataFrame, n: int, total: int, shard_bytes: int, work: str) -> DataFrame:
+def _placed(ids: DataFrame, df: np.ndarray, n: int, total: int, shard_bytes: int, work: str) -> DataFrame:
     """shard, k, ids: related documents in one shard of about shard_bytes.
 
     A tree cut from the vectors of a sample leads every document to a leaf; small neighbouring leaves share a shard. A leaf over
@@ -163,17 +137,14 @@ def _placed(ids: DataFrame, tokenizer: str, df: DataFrame, n: int, total: int, s
     kind, spark = ids.schema["k"].dataType.simpleString(), ids.sparkSession
     if total <= shard_bytes:
         return ids.select(F.lit(0).cast("long").alias("shard"), "k", "ids")
-    rows = df.filter(F.col("df") * RARE >= n).collect()
-    order = np.argsort(np.array([r.term for r in rows], np.int64).view(np.uint64))
-    common = (np.array([r.term for r in rows], np.int64).view(np.uint64)[order], np.log(n / np.array([r.df for r in rows], float))[order])
+    weight = np.log(np.clip(n / np.maximum(df, 1), 1, RARE))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = _starts_word(tokenizer)
         for b in batches:
             at = 0
-            for m, distinct, owner, place in _chunks(b.column(0), starts):
-                found = _vectors(m, distinct, owner, place, common).astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), b.column(1).slice(at, m), b.column(2).slice(at, m)], ["v", "size", "h"])
+            for m, owner, term, _ in _chunks(b.column(0)):
+                found = [x.tobytes() for x in _vectors(m, owner, term, weight)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1).slice(at, m), b.column(2).slice(at, m)], ["v", "size", "h"])
                 at += m
 
     share = min(1.0, min(SAMPLE, 64 * -(-total // shard_bytes)) / n)
@@ -183,67 +154,63 @@ def _placed(ids: DataFrame, tokenizer: str, df: DataFrame, n: int, total: int, s
     tree = cut_tree(np.frombuffer(b"".join(r.v for r in sample), "<f4").reshape(-1, DIMS).astype(float), sizes * (total / max(sizes.sum(), 1)), shard_bytes)
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = _starts_word(tokenizer)
+        order = mix(np.arange(VOCABULARY, dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
         for b in batches:
             leaf, least = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for m, distinct, owner, place in _chunks(b.column(1), starts):
-                leaf.append(leaf_of(_vectors(m, distinct, owner, place, common).astype("<f4").astype(float), tree))
+            for m, owner, term, _ in _chunks(b.column(1)):
+                leaf.append(leaf_of(_vectors(m, owner, term, weight).astype(float), tree))
                 low = np.zeros(m, np.uint64)
                 if len(owner):
                     first = np.flatnonzero(np.diff(owner, prepend=-1))
-                    low[owner[first]] = np.minimum.reduceat(mix(distinct ^ np.uint64(0x5851F42D4C957F2D))[place], first)
+                    low[owner[first]] = np.minimum.reduceat(order[term], first)
                 least.append(mix(low).view(np.int64))
             columns = [*b.columns, pa.array(np.concatenate(leaf)), pa.array(np.concatenate(least))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "ids", "size", "h", "leaf", "least"])
 
-    found = stored(ids.select("k", "ids", "size", "h").mapInArrow(place_rows, f"k {kind}, ids binary, size long, h long, leaf long, least long"), work, "placed")
+    # Twice, once for the sizes and once for the rows: much less to write than the ids once more.
+    found = ids.select("k", "ids", "size", "h").mapInArrow(place_rows, f"k {kind}, ids binary, size long, h long, leaf long, least long")
+    sizes = stored(found.select("size", "leaf", "least"), work, "sizes")
     plan, shard, room = [], -1, 0
-    for leaf, size in sorted(map(tuple, found.groupBy("leaf").agg(F.sum("size")).collect())):
+    for leaf, size in sorted(map(tuple, sizes.groupBy("leaf").agg(F.sum("size")).collect())):  # not more than SAMPLE leaves
         if size > room:
             shard, room = shard + 1, shard_bytes
         plan.append((leaf, shard, parts := max(1, -(-size // shard_bytes))))
         shard, room = shard + parts - 1, room - size if parts == 1 else 0
-    found = found.join(F.broadcast(spark.createDataFrame(plan, "leaf long, first long, parts long")), "leaf").withColumn("shard", F.col("first") + F.pmod("least", "parts"))
-    large = found.groupBy("shard").agg(F.sum("size").alias("size")).filter(F.col("size") > 2 * shard_bytes).collect()
-    split, after = [], shard + 1
-    for r in sorted(large):
-        split.append((r.shard, after, parts := -(-r.size // shard_bytes)))
-        after += parts
-    again = F.broadcast(spark.createDataFrame(split, "shard long, after long, pieces long"))
-    final = F.when(F.col("after").isNull(), F.col("shard")).otherwise(F.col("after") + F.pmod("h", "pieces"))
-    return found.join(again, "shard", "left").select(final.alias("shard"), "k", "ids")
+    plan = F.broadcast(spark.createDataFrame(plan, "leaf long, first long, parts long"))
+    at = F.col("first") + F.pmod("least", "parts")
+    large = sizes.join(plan, "leaf").groupBy(at.alias("shard")).agg(F.sum("size").alias("all")).filter(F.col("all") > 2 * shard_bytes)
+    large = stored(large.select("shard", F.ceil(F.col("all") / shard_bytes).alias("pieces")), work, "large")  # small ones are sent to all, as their size is known then
+    found = found.join(plan, "leaf").withColumn("shard", at)
+    piece = F.coalesce(F.pmod("h", "pieces"), F.lit(0))
+    return found.join(large, "shard", "left").select((F.col("shard") + piece * (shard + 1)).alias("shard"), "k", "ids")
 
 
 class Bm25:
-    """An inverted index over the documents of one shard; terms of one document only are left out, as they find nothing.
+    """An inverted index over the documents of one shard; its terms are token ids. Terms of one document only are left out, as they find nothing.
 
-    everywhere: documents, mean length, sorted terms and their document frequencies in the whole table; else those of the shard hold.
+    pairs: document, id and count as _counted. everywhere: documents, mean length and document frequencies of the whole table; else those of the shard hold.
     """
 
-    def __init__(self, docs: list[np.ndarray], everywhere: tuple[int, float, np.ndarray, np.ndarray] | None = None):
-        n = self.n = len(docs)
-        size = np.array([len(d) for d in docs], float)
-        every = np.concatenate(docs) if n else np.empty(0, np.uint64)
-        distinct, term = np.unique(every, return_inverse=True)
-        pair, tf = np.unique(np.repeat(np.arange(n), size.astype(np.int64)) + term.astype(np.int64) * max(n, 1), return_counts=True)
-        term, doc = pair // max(n, 1), pair % max(n, 1)  # by term, then document
-        df = np.bincount(term)
-        keep = df[term] > 1 if len(term) else np.empty(0, bool)
-        term, doc, tf = term[keep], doc[keep], tf[keep]
-        total, mean, known, counts = everywhere or (n, size.mean() if n else 1, distinct, df)
-        norm = K1 * (1 - B + B * size / max(mean, 1))
-        within = counts[np.searchsorted(known, distinct[term])] if len(term) else df[:0]
-        self.weight = np.log1p((total - within + 0.5) / (within + 0.5)) * tf * (K1 + 1) / (tf + norm[doc])
-        self.doc = doc
-        ends = np.searchsorted(term, np.arange(len(df) + 1))
-        common = np.flatnonzero(np.diff(ends) * DENSE >= max(n, 1))
-        self.row = np.full(len(df), -1)
+    def __init__(self, sizes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], everywhere: tuple[int, float, np.ndarray] | None = None):
+        n = self.n = len(sizes)
+        doc, term, tf = pairs
+        df = np.bincount(term, minlength=VOCABULARY)
+        total, mean, counts = everywhere or (n, sizes.mean() if n else 1.0, df)
+        norm = K1 * (1 - B + B * sizes / max(mean, 1e-9))
+        idf = np.log1p((total - counts + 0.5) / (counts + 0.5))
+        keep = df[term] > 1
+        doc, term, tf = doc[keep], term[keep], tf[keep]
+        self.term, self.own = term, np.searchsorted(doc, np.arange(n + 1))  # by document
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight, by_term = doc[order], weight[order], term[order]
+        self.ends = np.searchsorted(by_term, np.arange(VOCABULARY + 1))
+        common = np.flatnonzero(np.diff(self.ends) * DENSE >= max(n, 1))
+        self.row = np.full(VOCABULARY, -1)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), n))
-        at = self.row[term]
-        self.dense[at[at >= 0], doc[at >= 0]] = self.weight[at >= 0]
-        self.ends, self.term = ends, term[np.argsort(doc, kind="stable")]  # by document
-        self.own = np.searchsorted(np.sort(doc), np.arange(n + 1))
+        at = self.row[by_term]
+        self.dense[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
         self.last: tuple[int, np.ndarray] = (-1, np.empty(0))
 
     def scores(self, i: int) -> np.ndarray:
@@ -294,64 +261,52 @@ def order_by_retrieval(lengths: np.ndarray, index: Bm25, window: int) -> Iterato
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
     """Pack all documents into sequences of `window` ids at most; every sequence of a shard but its last is full.
 
-    A document's ids are those of the byte-level tokenizer without special tokens, then end_id; null texts are empty.
+    A document's ids are those of the byte-level tokenizer without added special tokens, then end_id; null texts are empty.
     Returns for each piece: key, start (its document's ids before it), length, doc_tokens (all ids of its document), sequence_id, offset
     (in the sequence), ids (little-endian unsigned 32-bit).
 
     Related documents go to one shard of about shard_bytes of text, so memory and index are bounded; a shard's index is
-    searched for neighbours of its own documents, with document frequencies and mean length of the whole table. Documents
-    are cut only where a window ends. Rows with equal or null keys are documents of their own. An empty table gives an
-    empty result.
+    searched for neighbours of its own documents, by all ids of the seed, with document frequencies and mean length of the
+    whole table. Documents are cut only where a window ends. Rows with equal or null keys are documents of their own. An
+    empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kind, work = docs.schema[key].dataType.simpleString(), work_folder(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), body.alias("t"), (F.octet_length(body) + 64).cast("long").alias("size"), F.xxhash64(F.col(key), body).alias("h"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, starts = encoder(tokenizer, "byte"), _starts_word(tokenizer)
+        coder = encoder(tokenizer, "byte")
         for b in batches:
-            found = coder.encode(b.column(1).to_pylist())
-            ids = pa.array([x.tobytes() for x in found], pa.binary())
-            words = [int(starts[x[1:]].sum()) + 1 if len(x) else 0 for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(2), b.column(3), pa.array(words, pa.int64())], ["k", "ids", "size", "h", "words"])
-
-    ids = stored(rows.mapInArrow(encode, f"k {kind}, ids binary, size long, h long, words long"), work, "ids")
-    n_docs, total, words = ids.agg(F.count("*"), F.sum("size"), F.sum("words")).first()
-    df = stored(count_terms(ids, tokenizer).filter("df > 1"), work, "df")
-    placed = _placed(ids, tokenizer, df, n_docs, total or 0, shard_bytes, work)
-
-    def terms(table: pa.Table) -> pa.Table:
-        """Terms that several documents of a shard hold."""
-        starts, found = _starts_word(tokenizer), []
-        for _, distinct, _, place in _chunks(table.column("ids").combine_chunks(), starts):
-            found.append((distinct, np.bincount(place, minlength=len(distinct))))
-        term, place = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-        several = term[np.bincount(place, np.concatenate([c for _, c in found]), len(term)) > 1]
-        return pa.table({"shard": pa.array(np.full(len(several), table.column("shard")[0].as_py(), np.int64)), "term": pa.array(several.view(np.int64))})
-
-    known = placed.groupBy("shard").applyInArrow(terms, "shard long, term long").join(df, "term").select("shard", "term", "df")
-
-    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+            ids = pa.array([x.tobytes() for x in coder.encode(b.column(1).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(2), b.column(3)], ["k", "ids", "size", "h"])
+
+    ids = stored(rows.mapInArrow(encode, f"k {kind}, ids binary, size long, h long"), work, "ids")
+    n_docs, total, tokens = ids.agg(F.count("*"), F.sum("size"), F.sum(F.octet_length("ids") / 2)).first()
+    df = document_frequencies(ids)
+    placed = _placed(ids, df, n_docs, total or 0, shard_bytes, work)
+
+    def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("k", "ascending"), ("ids", "ascending")])
         shard = table.column("shard")[0].as_py()
-        ids = [np.append(np.frombuffer(x, np.uint16), np.uint16(end_id)) for x in table.column("ids").to_pylist()]
-        starts = _starts_word(tokenizer)
-        term, counts = known.column("term").to_numpy().view(np.uint64), known.column("df").to_numpy()
-        order = np.argsort(term)
-        index = Bm25([word_terms(x[:-1], starts) for x in ids], (n_docs, words / n_docs, term[order], counts[order]))
+        raw = table.column("ids").combine_chunks()
+        sizes, pairs, before = np.array([len(x.as_py()) // 2 for x in raw]), [], 0
+        for m, owner, term, tf in _chunks(raw):
+            pairs.append((owner + before, term, tf))
+            before += m
+        index = Bm25(sizes, tuple(map(np.concatenate, zip(*pairs))), (n_docs, tokens / n_docs, df))
         at: list[tuple] = []
         parts, rows, filled = [], [], 0
-        for d in order_by_retrieval(np.array([len(x) for x in ids]), index, window):
-            raw, n, start = ids[d].astype("<u4").tobytes(), len(ids[d]), 0
+        for d in order_by_retrieval(sizes + 1, index, window):
+            ids, n, start = np.append(np.frombuffer(raw[d].as_py(), np.uint16), np.uint16(end_id)).astype("<u4").tobytes(), int(sizes[d]) + 1, 0
             while start < n:
                 length = min(n - start, window - filled % window)
-                at.append((start, length, n, shard << 32 | filled // window, filled % window))
-                parts.append(raw[4 * start : 4 * (start + length)])
+                at.append((start, length, n, shard << SEQUENCE_BITS | filled // window, filled % window))
+                parts.append(ids[4 * start : 4 * (start + length)])
                 rows.append(d)
                 start, filled = start + length, filled + length
         columns = np.array(at, np.int64).reshape(-1, 5)
         names = ["k", *(x.split()[0] for x in PIECES.split(", "))]
         return pa.Table.from_arrays([table.column("k").take(pa.array(rows, pa.int64())), *(pa.array(columns[:, i]) for i in range(5)), pa.array(parts, pa.binary())], names)
 
-    packed = placed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, f"k {kind}, {PIECES}")
+    packed = placed.groupBy("shard").applyInArrow(run, f"k {kind}, {PIECES}")
     return packed.withColumnRenamed("k", key)

@@ -153,7 +153,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_packing_places_each_id_once(spark):
     rng = random.Random(6)
-    rows = [*ODD[:5], *ODD[6:7], *((100 + d, " ".join(words(rng, rng.randrange(1, 900)))) for d in range(80))]
+    rows = [*ODD[:5], *ODD[6:], *((100 + d, " ".join(words(rng, rng.randrange(1, 900)))) for d in range(80))]
     out = packing.pack_documents(docs(spark, rows), BYTES, shard_bytes=60_000).collect()
     from tokenizers import Tokenizer
 
@@ -167,21 +167,39 @@ def test_packing_places_each_id_once(spark):
         assert by.get(r.sequence_id, 0) == r.offset and r.length > 0
         by[r.sequence_id] = r.offset + r.length
     full = sum(n == 1024 for n in by.values())
-    assert max(by.values()) == 1024 and len(by) - full <= len({s >> 32 for s in by})
+    assert max(by.values()) == 1024 and len(by) - full <= len({s >> packing.SEQUENCE_BITS for s in by})
     assert packing.pack_documents(docs(spark, []), BYTES).count() == 0
 
 
+def test_added_tokens_are_taken_as_the_library_takes_them(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|startoftext|>x<|endoftext|>", "A <|ENDOFTEXT|>", "plain"]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in packing.encoder(path, kind).encode(texts)] == want
+    out = packing.pack_documents(docs(spark, list(enumerate(texts))), BYTES).collect()
+    t = Tokenizer.from_file(BYTES)
+    assert {r.doc_id: r.ids for r in out} == {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, x in enumerate(texts)}
+
+
+def bm25(found, everywhere=None):
+    found = [np.asarray(x, np.uint16) for x in found]
+    return packing.Bm25(np.array([len(x) for x in found]), packing._counted(found), everywhere)
+
+
 def test_retrieval_puts_related_documents_side_by_side():
-    a, b = [np.array([hash((g, i % 40)) & 0xFFFFFFFF for i in range(200)], np.uint64) for g in (1, 2)]
-    index = packing.Bm25([a, b, a[:150], b[:150], a[50:]])
-    order = list(packing.order_by_retrieval(np.array([300] * 5), index, 1024))
+    a, b = [np.array([1 + g * 100 + i % 40 for i in range(200)]) for g in (1, 2)]
+    order = list(packing.order_by_retrieval(np.array([300] * 5), bm25([a, b, a[:150], b[:150], a[50:]]), 1024))
     assert sorted(order) == [0, 1, 2, 3, 4] and set(order[:3]) == {0, 2, 4}
 
 
 def test_neighbours_are_those_of_the_whole_query():
     rng = np.random.default_rng(11)
-    found = [rng.choice(400, rng.integers(60, 150), p=np.arange(400, 0, -1) / 80200).astype(np.uint64) for _ in range(120)]
-    index, df, mean = packing.Bm25(found), {}, np.mean([len(x) for x in found])
+    found = [rng.choice(400, rng.integers(60, 150), p=np.arange(400, 0, -1) / 80200) for _ in range(120)]
+    index, df, mean = bm25(found), {}, np.mean([len(x) for x in found])
     for x in found:
         for t in set(x.tolist()):
             df[t] = df.get(t, 0) + 1
@@ -196,29 +214,45 @@ def test_neighbours_are_those_of_the_whole_query():
 
 def test_related_documents_share_a_shard(spark):
     rng = random.Random(12)
-    vocabulary = [[f"{'abcdefgh'[g]}{i}" for i in range(300)] for g in range(8)]
+    vocabulary = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)] for _ in range(8)]
     rows = [(d, " ".join(rng.choices(vocabulary[d % 8], k=150))) for d in range(400)]
     out = packing.pack_documents(docs(spark, rows), BYTES, shard_bytes=30_000).collect()
-    where = {r.doc_id: r.sequence_id >> 32 for r in out}
+    where = {r.doc_id: r.sequence_id >> packing.SEQUENCE_BITS for r in out}
     size, met, every = {}, 0, 0
     for d, s in where.items():
         size[s] = size.get(s, 0) + len(rows[d][1]) + 64
         for e in range(d % 8, d, 8):
             met, every = met + (where[e] == s), every + 1
     shards = len(size)
-    assert 6 <= shards <= 20 and max(size.values()) <= 60_000
+    assert 6 <= shards <= 30 and max(size.values()) <= 60_000
     assert met / every > 3 / shards  # at random, one pair in as many as there are shards
 
 
+def test_large_groups_of_copies_are_split_and_keep_every_id(spark):
+    rows = [(d, "the very same text " * 50) for d in range(200)] + [(1000 + d, f"another text {d} " * 20) for d in range(40)]
+    out = packing.pack_documents(docs(spark, rows), BYTES, shard_bytes=20_000).collect()
+    assert len({r.sequence_id >> packing.SEQUENCE_BITS for r in out}) > 5
+    got = {}
+    for r in out:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert r.offset + r.length <= 1024
+    assert got == {r.doc_id: r.doc_tokens for r in out} and len(got) == 240
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
 def test_document_frequencies_are_those_of_the_whole_table(spark):
     rows = [(1, "one two two"), (2, "two three"), (3, ""), (4, "two three")]
-    ids = spark.createDataFrame([(d, packing.encoder(BYTES, "byte").encode([t])[0].tobytes()) for d, t in rows], "k long, ids binary")
-    assert sorted(r.df for r in packing.count_terms(ids.repartition(3), BYTES).collect()) == [1, 1, 2, 2]
-    x, y, z = np.array([1, 2], np.uint64), np.array([1, 3], np.uint64), np.array([2, 2], np.uint64)
-    one = packing.Bm25([x, y, z], (1000, 2.0, np.array([1, 2], np.uint64), np.array([2, 900])))
-    assert one.neighbours(0, np.array([True, False, False])).tolist() == [1, 2]
-    other = packing.Bm25([x, y, z], (1000, 2.0, np.array([1, 2], np.uint64), np.array([900, 2])))
-    assert other.neighbours(0, np.array([True, False, False])).tolist() == [2, 1]
+    found = [packing.encoder(BYTES, "byte").encode([t])[0] for _, t in rows]
+    df = packing.document_frequencies(spark.createDataFrame([(d, x.tobytes()) for (d, _), x in zip(rows, found)], "k long, ids binary").repartition(3))
+    want = np.zeros(packing.VOCABULARY, int)
+    for x in found:
+        want[list(set(x.tolist()))] += 1
+    assert (df == want).all()
+    x, counts = [[1, 2], [1, 3], [2, 2]], np.zeros(packing.VOCABULARY)
+    counts[[1, 2, 3]] = 2, 900, 2
+    assert bm25(x, (1000, 2.0, counts)).neighbours(0, np.array([True, False, False])).tolist() == [1, 2]
+    counts[[1, 2]] = 900, 2
+    assert bm25(x, (1000, 2.0, counts)).neighbours(0, np.array([True, False, False])).tolist() == [2, 1]
 
 
 def test_shards_are_even_and_keep_equal_texts_together(spark):
