@@ -40,6 +40,71 @@ def test_template_of_a_rare_layout_goes(spark):
     assert all(got[500 + i] == "One page, many times" for i in range(8))
 
 
+def texts_of(spark, pages, host="https://six.example.com/"):
+    rows = [(i, f"{host}{i}", h, None) for i, h in enumerate(pages)]
+    return [r.text for r in html_text.extract_text(spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
+
+
+def own(i, n=3):
+    rng = random.Random(i)
+    return "".join(f"<p>{' '.join(rng.choice('abcdefgh') * 5 for _ in range(25))} {i} {j}</p>" for j in range(n))
+
+
+def test_a_site_without_names_is_read_by_its_wrapper(spark):
+    """Only divs: a menu, the article, links to others, a footer; nothing but the structure tells them apart."""
+    rng = random.Random(5)
+    link = lambda: f"<a href=/{rng.random()}>go {rng.randrange(9)}</a>"
+    pages = [f"<html><body><div><ul>{''.join(f'<li>{link()}</li>' for _ in range(5))}</ul></div><div><h1>Title {i}</h1>{own(i, 1 + i % 4)}</div><div>{' '.join(link() for _ in range(8))}</div><div>Printed by us, all rights reserved</div></body></html>" for i in range(20)]
+    for i, t in enumerate(texts_of(spark, pages)):
+        blocks = t.split("\n\n")
+        assert blocks[0] == f"Title {i}" and len(blocks) == 2 + i % 4 and all(b.split()[-2] == str(i) for b in blocks[1:])
+
+
+def test_nothing_of_an_article_is_dropped(spark):
+    same = own(7)
+    plain = [x for x in same.replace("<p>", "").split("</p>") if x]
+    # Six pages with one article and different footers.
+    assert texts_of(spark, [f"<body><article>{same}</article><footer>foot {i}</footer></body>" for i in range(6)]) == ["\n\n".join(plain)] * 6
+    # A heading and a last line that all articles share.
+    got = texts_of(spark, [f"<body><div class=menu>Menu</div><article><h2>Daily news</h2>{own(i)}<p>Thank you for reading</p></article></body>" for i in range(6)])
+    assert all(t.startswith("Daily news\n\n") and t.endswith("Thank you for reading") and "Menu" not in t for t in got)
+    # Two articles; two content blocks.
+    for block in ("article", "div class=entry-content"):
+        got = texts_of(spark, [f"<body><nav>x</nav><{block}>{own(i)}</{block.split()[0]}><{block}>{own(100 + i)}</{block.split()[0]}></body>" for i in range(6)])
+        assert all(f" {i} 0" in t and f" {100 + i} 2" in t for i, t in enumerate(got))
+    # A headline before the content block, and one in the page's header.
+    for head in ("<h1>Head {0}</h1>", "<header><h1>Head {0}</h1></header>"):
+        got = texts_of(spark, [f"<body>{head.format(i)}<div class=content>{own(i)}</div><div class=sidebar>Side {i}</div></body>" for i in range(6)])
+        assert all(t.startswith(f"Head {i}\n\n") and "Side" not in t and t.endswith(f" {i} 2") for i, t in enumerate(got))
+    # Names that only look like those of asides.
+    got = texts_of(spark, [f"<body><article>{own(i)}<div class='side-by-side'>Left and right {i}</div><p class=alert>Mind this {i}</p><div class='comment-list'>First! {i}</div></article></body>" for i in range(6)])
+    assert all(f"Left and right {i}" in t and f"Mind this {i}" in t and "First" not in t for i, t in enumerate(got))
+
+
+def test_long_pages_and_single_pages(spark):
+    long = "".join(f"<h2>Part {j}</h2>{own(j, 2)}<ul><li>point {j}</ul>" for j in range(1500))
+    got = texts_of(spark, [f"<body><nav>Menu</nav><div class=post>{long}</div><footer>f</footer></body>", f"<body><nav>Menu</nav><div class=post>{own(1)}{long}</div><footer>f</footer></body>"])
+    assert [len(t.split("\n\n")) for t in got] == [6000, 6003]
+    assert texts_of(spark, ["<body><div class=top>A<br>B</div><div><h1>T</h1><p>Some words of an article that stands alone</p></div><div class=footer>z</div></body>"])[0].startswith("T\n\nSome words")
+    rows = [(i, None, f"<p>alone {i}", "x") for i in range(3)]
+    out = html_text.extract_text(spark.createDataFrame(rows, "text long, n_chars string, html string, page string"), key="text", url="n_chars")
+    assert out.count() == 3  # names that clash with those of the result don't crash
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("pqr") for _ in range(rng.randrange(9))] for _ in range(2))
+        pairs = html_text._align(a, b)
+        assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and [j for _, j in pairs if j >= 0] == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in pairs if i >= 0 and j >= 0)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert sum(i >= 0 and j >= 0 for i, j in pairs) == best[-1][-1]
+
+
 def test_wrapper_marks_repeats_options_and_slots():
     w = html_text.Wrapper()
     for h in ("<ul><li>a<li>b</ul><p>same</p>", "<ul><li>a</ul><h2>t</h2><p>same</p>", "<ul><li>c</ul><p>same</p>"):
