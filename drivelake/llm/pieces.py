@@ -87,7 +87,8 @@ class PieceModel:
             walks = still
             score.append(best)
             back.append(step)
-            if at % self.every:
+            # At the start of a word all pieces before have ended: the paths meet there at once. Inside, looking now and then is enough.
+            if len(walks) > 1 and at % self.every:
                 continue
             # Paths that can still win end here or where a piece is going on.
             live = {at, *(start for start, _ in walks)}
@@ -137,8 +138,6 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-
-
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that only few texts and their ids are in memory at once."""
     for b in batches:
