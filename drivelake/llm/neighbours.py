@@ -175,12 +175,12 @@ def build_index(rows: DataFrame, path: str, keep_ids: int, shard_size: int = 819
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending")])
         n, dim = table.num_rows, table.column("dim")[0].as_py()
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim)  # as given; the graph takes single precision
         ids = table.column("ids").combine_chunks()
         g = Graph.build(v.astype(np.float32), table.column("h").to_numpy())
         sizes = np.array([x.shape for x in g.links], np.int64)
         flat = lambda xs: np.concatenate([x.ravel() for x in xs]).astype("<i4").tobytes()
-        values = [dim, table.column("shard")[0].as_py(), n, g.vectors.tobytes(), ids.flatten().to_numpy().astype("<i8").tobytes(), np.cumsum(np.diff(ids.offsets.to_numpy())).astype("<i8").tobytes(), sizes.tobytes(), flat(g.nodes), flat(g.links)]
+        values = [dim, table.column("shard")[0].as_py(), n, v.tobytes(), ids.flatten().to_numpy().astype("<i8").tobytes(), np.cumsum(np.diff(ids.offsets.to_numpy())).astype("<i8").tobytes(), sizes.tobytes(), flat(g.nodes), flat(g.links)]
         return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int32()] * 3 + [pa.binary()] * 6)], [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
 
     cut = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
@@ -188,12 +188,14 @@ def build_index(rows: DataFrame, path: str, keep_ids: int, shard_size: int = 819
     return shards
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
+def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph, its original vectors, and the ids of each node."""
     n, dim = row["n"], row["dim"]
     sizes = np.frombuffer(row["level_sizes"], np.int64).reshape(-1, 2)
     nodes = np.split(np.frombuffer(row["nodes"], "<i4"), np.cumsum(sizes[:, 0])[:-1])
     links = [x.reshape(s) for x, s in zip(np.split(np.frombuffer(row["links"], "<i4"), np.cumsum(sizes.prod(1))[:-1]), sizes)]
-    return Graph(np.frombuffer(row["vectors"], np.float32).reshape(n, dim), nodes, links), np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
+    exact = np.frombuffer(row["vectors"], np.float32 if len(row["vectors"]) == 4 * n * dim else np.float64).reshape(n, dim)
+    return Graph(np.ascontiguousarray(exact, np.float32), nodes, links), exact, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", width: int = 128, shard_size: int = 8192, block: int = 1024) -> DataFrame:
@@ -204,11 +206,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     candidates than k give all of them. An empty table gives an empty result.
 
     Queries go through every shard in blocks: a task holds one shard and one block, whatever the input. Scores of what the graphs find
-    are made from the original vectors. width is the beam of the search: wider finds more.
+    are made from the original vectors, single or double precision; the graphs walk in single precision. width is the beam of the search: wider finds more.
     """
     work = work_folder(rows.sparkSession)
-    rows = _usable(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")))
-    queries = _usable(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))).distinct()
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = _usable(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")))
+    queries = _usable(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))).distinct()
     shards = build_index(rows, work, k + 1, shard_size)
     index = rows.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{work}/index")
     blocks = max(1, -(-queries.count() // block))
@@ -218,11 +221,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     def search(asked: pa.Table, indexed: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if asked.num_rows and indexed.num_rows:
-            graph, ids, ends = _load(indexed.to_pylist()[0])
+            graph, vectors, ids, ends = _load(indexed.to_pylist()[0])
             own = asked.column("id").to_pylist()
-            q = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float32)
-            found = graph.search(q, max(width, 2 * k), k + 12)
-            exact = np.einsum("qkd,qd->qk", graph.vectors[found].astype(np.float64), q.astype(np.float64))
+            q = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            found = graph.search(q.astype(np.float32), max(width, 2 * k), k + 12)
+            exact = np.einsum("qkd,qd->qk", vectors[found].astype(np.float64), q.astype(np.float64))
             for i, (row, scores) in enumerate(zip(found, exact)):
                 near = [(-s, v) for at, s in zip(row.tolist(), scores.tolist()) if at >= 0 for v in ids[ends[at - 1] if at else 0 : ends[at]].tolist() if v != own[i]]
                 near = sorted(near)[:k]
