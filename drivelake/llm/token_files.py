@@ -211,6 +211,40 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_i
     return joined.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long{extra}")
 
 
+def count_tokens(spark: SparkSession, path: str, values: list[int]) -> DataFrame:
+    """token, n: how often ids occur in token files. Each shard is asked by its ranks; one row a shard and id is summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                m = WaveletMatrix.from_bytes(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array([m.count(v) for v in values], pa.int64())], ["token", "n"])
+
+    found = spark.read.schema(FILE_SCHEMA).parquet(path).select("tokens").mapInArrow(run, "token long, n long")
+    every = spark.createDataFrame([(v,) for v in dict.fromkeys(values)], "token long")
+    return every.join(found.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def find_token(spark: SparkSession, path: str, value: int, key: str = "doc_id") -> DataFrame:
+    """key, place (from 0, in its document) of every occurrence of an id in token files, found by select; occurrences leave a task in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        un = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for row in b.to_pylist():
+                m, n = WaveletMatrix.from_bytes(row["tokens"]), row["n_docs"]
+                raw = un(row["doc_ids"])
+                keys, null = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, bool, n, 8 * n)
+                ends = np.cumsum(np.frombuffer(un(row["lengths"]), "<u4").astype(np.int64))
+                for first in range(0, m.count(value), 1 << 16):
+                    at = np.array([m.select(value, k) for k in range(first, min(m.count(value), first + (1 << 16)))], np.int64)
+                    doc = np.searchsorted(ends, at, "right")
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[doc], mask=null[doc]), pa.array(at - np.where(doc > 0, ends[doc - 1], 0))], [key, "place"])
+
+    files = spark.read.schema(FILE_SCHEMA).parquet(path).select("n_docs", "doc_ids", "lengths", "tokens")
+    return files.mapInArrow(run, f"`{key}` long, place long")
+
+
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write the token files of all documents into the shared folder and read them back."""
     path = f"{work_folder(docs.sparkSession)}/tokens"

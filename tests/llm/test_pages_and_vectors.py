@@ -139,3 +139,13 @@ def test_recall_order_and_odd_vectors(spark):
     few = table.filter("vec_id < 5")
     assert neighbours.nearest(few, few.filter("vec_id = 0"), 20).count() == 4
     assert neighbours.nearest(table.filter("false"), table.filter("false"), 20).count() == 0
+
+
+def test_scores_of_double_vectors_are_exact(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 5))
+    table = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, id long")
+    out = neighbours.nearest(table, table.filter("vec_id % 20 = 0").union(table.filter("vec_id = 0")), 20).collect()
+    assert len(out) == 60  # repeated queries count once
+    for r in out:
+        assert abs(r.score - float(v[r.query_id] @ v[r.vec_id])) < 1e-14

@@ -1,5 +1,6 @@
 """Operators on documents: defined results for odd rows, and brute-force twins."""
 
+import math
 import random
 import re
 import zlib
@@ -255,6 +256,70 @@ def test_document_frequencies_are_those_of_the_whole_table(spark):
     assert bm25(x, (1000, 2.0, counts)).neighbours(0, np.array([True, False, False])).tolist() == [2, 1]
 
 
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_patience_covers_what_a_longest_common_subsequence_does():
+    """Equal to it where no word repeats, near it for edited texts of real words, and all words of one copy."""
+    rng = random.Random(14)
+    for _ in range(60):
+        a, b = rng.sample(range(60), 30), rng.sample(range(60), 30)
+        a, b = [f"w{x}" for x in a], [f"w{x}" for x in b]
+        assert len(licenses.patience(a, b)) == longest_common(a, b)
+        assert len(licenses.patience(a, a)) == 30
+    for name in ("MIT", "ISC", "Zlib"):
+        b = licenses.words_of(licenses.TEMPLATES[name])
+        for _ in range(10):
+            a = list(b)
+            for _ in range(len(b) // 12):
+                a = edit(rng, a)
+            assert len(licenses.patience(a, b)) >= 0.97 * longest_common(a, b)
+
+
+def test_license_finds_equal_brute_force_coverage():
+    """A text holds a template if and only if the best stretch that a longest common subsequence finds covers it, up to what patience may miss."""
+    rng = random.Random(15)
+    template = licenses.words_of(licenses.TEMPLATES["Zlib"])[:60]
+    scanner = licenses.Scanner({"t": " ".join(template)}, 0.85, 1.4)
+    for _ in range(60):
+        part = list(template)
+        for _ in range(rng.randrange(20)):
+            part = edit(rng, part)
+        text = [*words(rng, 40), *part, *words(rng, 40)]
+        best = max(longest_common(text[i : i + 84], template) for i in range(0, len(text), 4)) / 60
+        found = scanner.scan(" ".join(text))
+        assert bool(found) == (best >= 0.85) or 0.83 <= best <= 0.88
+    assert licenses.Scanner({"one": "zzz"}, 0.85, 1.4).scan("a zzz b zzz")[0][:3] == ("one", 1, 1)
+
+
+def test_license_tables_keys_and_repeats(spark):
+    table = spark.createDataFrame([("own", "these words are our own license text and nothing else"), ("empty", None)], "name string, text string")
+    text = "x THESE words are our own license; text and nothing else y"
+    rows = [(None, text), (5, text), (5, text), (6, "quite another text " * 20_000)]
+    got = licenses.scan_licenses(docs(spark, rows), table).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "5", "None"] and {(r.license, r.n_matched) for r in got} == {("own", 10)}
+    assert {r.license for r in licenses.scan_licenses(docs(spark, [(1, licenses.TEMPLATES["BSD-3-Clause"])])).collect()} == {"BSD-3-Clause"}
+
+
+def test_shards_equal_plain_scheduling_where_groups_are_large(spark):
+    rng = random.Random(16)
+    rows = [(d, f"{d % 40} " * rng.randrange(200, 900)) for d in range(120)]
+    out = sharding.shard_by_size(docs(spark, [*rows, (None, rows[0][1])]), 4).collect()
+    group = {}
+    for d, t in [*rows, (None, rows[0][1])]:
+        group[t] = group.get(t, 0) + len(t) + 16
+    loads = [0] * 4
+    for size in sorted(group.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    got = sorted(sum(r.size for r in out if r.shard == s) for s in range(4))
+    assert got == sorted(loads) and len(out) == 121
+
+
 def test_shards_are_even_and_keep_equal_texts_together(spark):
     rng = random.Random(7)
     rows = [(d, rng.choice(("same", "other", None, "")) if d % 3 == 0 else " ".join(words(rng, rng.randrange(200)))) for d in range(600)]
@@ -298,6 +363,46 @@ def best_score(m, text):
     return best[-1], flat
 
 
+def path_score(m, flat, ids):
+    """The score of ids: bytes that are no piece make up characters, one unknown score each."""
+    score, held = 0.0, b""
+    for i in ids:
+        raw = m.bytes_of[i]
+        if len(raw) == 1 and m.byte_ids[raw[0]] == i:
+            held += raw
+            try:
+                held.decode()
+                score, held = score + m.unknown, b""
+            except UnicodeDecodeError:
+                pass
+        else:
+            score += flat[raw.decode()]
+    assert not held
+    return score
+
+
+def test_unknown_characters_are_on_a_best_path_too():
+    m = pieces.PieceModel(PIECES)
+    for text in ("\U0001f600", "a\U0001f600b \u2581\u2581 c", "\ue000\ue001 word \ue000", "\U0001f600" * 40):
+        want, flat = best_score(m, " " + text)
+        assert abs(path_score(m, flat, m.encode(text).tolist()) - want) < 1e-6 and m.decode(m.encode(text).tolist()) == text
+
+
+def test_ids_are_final_as_soon_as_the_paths_meet():
+    m, read = pieces.PieceModel(PIECES), []
+
+    def characters():
+        for c in " some words of a text " * 500:
+            read.append(c)
+            yield c
+
+    ids = m.stream(characters())
+    for _ in range(300):
+        next(ids)
+    done = sum(len(m.bytes_of[i]) for i in list(m.stream([" some words of a text " * 500]))[:300])
+    assert len(read) - done < 40  # not more than a word is open
+
+
 def test_streaming_viterbi_finds_a_best_path_and_decodes():
     m = pieces.PieceModel(PIECES)
     for text in ("hello world", "  two  spaces\nand\tmore ", "wörld 漢字 ▁ \U0001f600", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab", "x" * 3000):
@@ -306,6 +411,7 @@ def test_streaming_viterbi_finds_a_best_path_and_decodes():
         unknown = sum(len(m.bytes_of[i]) == 1 and m.byte_ids[m.bytes_of[i][0]] == i for i in ids)
         known = sum(flat[m.bytes_of[i].decode()] for i in ids if not (len(m.bytes_of[i]) == 1 and m.byte_ids[m.bytes_of[i][0]] == i))
         assert unknown or abs(known - want) < 1e-6
+        assert abs(path_score(m, flat, ids.tolist()) - want) < 1e-6
         assert m.decode(ids.tolist()) == text
         assert list(m.stream([" ", *text])) == ids.tolist() == list(m.stream([" " + text]))
 
@@ -333,6 +439,18 @@ def test_token_files_round_trip(spark):
     assert token_files.token_files(docs(spark, []), WORDS).count() == 0
 
 
+def test_occurrences_in_token_files(spark, tmp_path):
+    rows = [(7, "the cat and the dog"), (None, "the end"), (3, None), (9, "dog " * 300)]
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs(spark, rows), path, WORDS, shard_tokens=50)
+    ids = {d: [*packing.encoder(WORDS, "word").encode([t or ""])[0].tolist(), 2] for d, t in rows}
+    the, dog = ids[7][0], ids[7][4]
+    got = {r.token: r.n for r in token_files.count_tokens(spark, path, [the, dog, 2, 40000]).collect()}
+    assert got == {v: sum(x.count(v) for x in ids.values()) for v in (the, dog, 2, 40000)}
+    places = sorted((str(r.doc_id), r.place) for r in token_files.find_token(spark, path, the).collect())
+    assert places == sorted((str(d), i) for d, x in ids.items() for i, v in enumerate(x) if v == the)
+
+
 def test_wavelet_matrix_equals_a_plain_array():
     rng = np.random.default_rng(8)
     for n in (0, 1, 9, 3000):
@@ -365,3 +483,49 @@ def test_repeat_words_equal_brute_force():
         wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         want = len({i + j for i, x in enumerate(wins) if wins.count(x) > 1 for j in range(5)})
         assert quality.text_features(" ".join(w))[5] == want
+
+
+def test_features_equal_plain_counts(spark):
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ab .#*$%&|<>\n\t!\u00e9\u4e2d\u00a0") for _ in range(rng.randrange(200))) for _ in range(150)] + [None, "", "one", "x\n\n \nx\n x\nx"]
+    rows = [(d, t) for d, t in enumerate(texts)] + [(None, "a b"), (None, "a b"), (1, texts[1])]
+    got = quality.score_quality(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.n_words == 2
+            continue
+        t = texts[r.doc_id] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines, seen, dup = t.split("\n"), set(), 0
+        for line in lines:
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in seen
+                seen.add(line)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup)
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
+def test_expectation_maximisation_equals_a_plain_one():
+    rng = np.random.default_rng(18)
+    votes = rng.integers(0, 3, (40, 4))
+    counts = rng.integers(1, 50, 40).astype(float)
+    m = quality.VoteModel.fit(list("abcd"), votes, counts, rounds=25)
+    q = []
+    for v in votes:
+        good, bad = (v == 1).sum(), (v == 0).sum()
+        q.append(0.98 if bad == 0 else min(max(((good + 0.5) / (good + bad + 1)) ** 4, 0.02), 0.98))
+    for _ in range(25):
+        prior = min(max(sum(n * x for n, x in zip(counts, q)) / counts.sum(), 0.01), 0.99)
+        rates = np.zeros((4, 2, 2))
+        for r in range(4):
+            for c in (0, 1):
+                n = [sum(k * (x if c else 1 - x) for k, x, v in zip(counts, q, votes) if v[r] == vote) + (0.7 if vote == c else 0.3) for vote in (0, 1)]
+                rates[r, c] = np.array(n) / sum(n)
+        before, q = q, []
+        for v in votes:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(rates[r, 1, v[r]] / rates[r, 0, v[r]]) for r in range(4) if v[r] < 2)
+            q.append(1 / (1 + math.exp(-odds)))
+        if max(abs(x - y) for x, y in zip(q, before)) < 1e-9:
+            break
+    assert np.allclose(m.posterior(votes), q, atol=1e-7) and abs(m.prior - prior) < 1e-7
