@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivelake.functions.geo import R68_PER_SIGMA, R95_PER_SIGMA
@@ -30,17 +30,23 @@ def error_stats(err: str = "err_m", r68: str = "r68") -> list[Column]:
     ]
 
 
+def windows_of_drives(windows: DataFrame) -> DataFrame:
+    """drive_id, windows: an array of each drive's windows in order of step_idx, one element for each step of a scenario."""
+    w = F.struct("step_idx", "kind", "start_ns", "end_ns")
+    return windows.groupBy("drive_id").agg(F.array_sort(F.collect_list(w)).alias("windows"))
+
+
 def with_first_window(ticks: DataFrame, windows: DataFrame) -> DataFrame:
-    """Adds kind, since_s and step_idx of the first window (by step_idx) that holds each tick: null outside all.
+    """Adds step_idx, kind and since_s of the first window (by step_idx) that holds each tick: null outside all.
 
-    windows has step_idx, kind, start_ns, end_ns: one row for each step of a scenario, so it is small by its nature; a tick meets at most one row
-    for each step.
+    windows: drive_id, step_idx, kind, start_ns, end_ns. A drive's windows come to its ticks as one array by an equi-join, so ticks are
+    neither multiplied nor sorted. Ticks with null time or drive have no window.
     """
-    w = windows.select("step_idx", "kind", F.col("start_ns").alias("_a"), F.col("end_ns").alias("_b"))
-    met = ticks.join(F.broadcast(w), (F.col("t_ns") >= F.col("_a")) & (F.col("t_ns") < F.col("_b")), "left")
-    first = Window.partitionBy("drive_id", "t_ns", "seq").orderBy("step_idx")
-    met = met.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return met.withColumn("since_s", (F.col("t_ns") - F.col("_a")) / F.lit(1e9)).drop("_a", "_b", "_n")
+    both = ticks.join(windows_of_drives(windows), "drive_id", "left")
+    t = F.col("t_ns")
+    first = F.get(F.filter("windows", lambda w: (t >= w["start_ns"]) & (t < w["end_ns"])), F.lit(0))
+    both = both.withColumn("_w", first)
+    return both.select(*ticks.columns, "_w.step_idx", "_w.kind", ((t - F.col("_w.start_ns")) / F.lit(1e9)).alias("since_s"))
 
 
 def time_bins(ticks: DataFrame, bin_s: float = 10.0) -> DataFrame:
@@ -53,11 +59,14 @@ def time_bins(ticks: DataFrame, bin_s: float = 10.0) -> DataFrame:
 def window_metrics(ticks: DataFrame, windows: DataFrame, ends: DataFrame) -> DataFrame:
     """For each drive and window: max and last error inside, seconds until each threshold is exceeded, seconds to recovery.
 
-    ticks: drive_id, t_ns, seq, err_m. ends: drive_id, end_ns; no recovery is told where the window ends less than a second before the drive.
+    ticks: drive_id, t_ns, seq, err_m. windows: drive_id, step_idx, kind, start_ns, end_ns. ends: drive_id, end_ns; no recovery is told
+    where the window ends less than a second before the drive. Windows without a tick inside or after them give no row.
     """
     t, inside = F.col("t_ns"), (F.col("t_ns") >= F.col("start_ns")) & (F.col("t_ns") < F.col("end_ns"))
     after = (t >= F.col("end_ns")) & (t < F.col("end_ns") + int(RECOVERY_S * 1e9))
-    both = ticks.filter("err_m IS NOT NULL").join(F.broadcast(windows), inside | after)
+    holds = lambda w: ((t >= w["start_ns"]) & (t < w["end_ns"])) | ((t >= w["end_ns"]) & (t < w["end_ns"] + int(RECOVERY_S * 1e9)))
+    both = ticks.filter("err_m IS NOT NULL").join(windows_of_drives(windows), "drive_id")
+    both = both.select("drive_id", "t_ns", "seq", "err_m", F.explode(F.filter("windows", holds)).alias("_w")).select("drive_id", "t_ns", "seq", "err_m", "_w.*")
     exceed = [(F.min(F.when(inside & (F.col("err_m") > x), t - F.col("start_ns"))) / F.lit(1e9)).alias(f"exceed_{x}m_s") for x in THRESHOLDS_M]
     out = both.groupBy("drive_id", "step_idx", "kind", "start_ns", "end_ns").agg(
         F.max(F.when(inside, F.col("err_m"))).alias("max_err_m"),
@@ -70,7 +79,7 @@ def window_metrics(ticks: DataFrame, windows: DataFrame, ends: DataFrame) -> Dat
     return out.withColumn("recovery_s", recovery).drop("_back", "_end", "start_ns", "end_ns")
 
 
-def trust_confusion(verdicts: DataFrame) -> list[Column]:
+def trust_confusion() -> list[Column]:
     """Aggregates over state, offset_m and has_truth of GNSS verdicts: clean is an offset under 1 m with truth, perturbed 50 m or more."""
     clean, bad = (F.col("offset_m") < 1) & F.col("has_truth"), F.col("offset_m") >= 50
     trusted = F.col("state") == "TRUSTED"

@@ -13,6 +13,14 @@ def nest_children(parents: DataFrame, children: DataFrame, on: str, child_key: s
     return parents.join(packed, parents[on] == packed["_k"], "left").drop("_k").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def nest_by_time(parents: DataFrame, children: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """Every parent with an array of the children of its drive and time, in order of seq; without children an empty array."""
+    packed = children.groupBy("drive_id", "t_ns").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_c"))
+    packed = packed.select("drive_id", "t_ns", F.transform("_c", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
+    kind = packed.schema[name].dataType
+    return parents.join(packed, ["drive_id", "t_ns"], "left").select(*parents.columns, F.coalesce(name, F.array().cast(kind)).alias(name))
+
+
 def unnest_children(nested: DataFrame, keys: list[str], name: str = "items") -> DataFrame:
     """The children again, one row each."""
     return nested.select(*keys, F.explode(name).alias("_c")).select(*keys, "_c.*")

@@ -34,7 +34,7 @@ def with_steps(fixes: DataFrame) -> DataFrame:
     dt = (F.col("t_ns") - F.col("_t_ns")) / F.lit(1e9)
     step = geo.haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
     allowed = 2 * (F.coalesce("_h_acc_m", F.lit(50.0)) + F.coalesce("h_acc_m", F.lit(50.0)))
-    implied = F.when(dt > 0, F.greatest(step - allowed, F.lit(0.0)) / F.greatest(dt, F.lit(0.5)))
+    implied = F.when(dt > 0, geo.clamp(step - allowed, 0.0, float("inf")) / F.greatest(dt, F.lit(0.5)))
     return out.withColumns({"dt_s": dt, "step_m": step, "implied_mps": implied}).drop(*(f"_{c}" for c in before))
 
 
@@ -46,6 +46,18 @@ def with_last(fixes: DataFrame, when: Column, columns: dict[str, Column]) -> Dat
     return out.select(*fixes.columns, *(F.col("_last")[n].alias(n) for n in columns))
 
 
+def as_of(rows: DataFrame, others: DataFrame, columns: dict[str, Column], strict: bool = False) -> DataFrame:
+    """Each row with values of the last row of others (drive_id, t_ns, seq) in its drive that isn't later; null without one.
+
+    At equal times others come first, or not at all if strict. Both go through one shuffle and one sort by drive; nothing is multiplied.
+    """
+    mine = rows.select("drive_id", "t_ns", "seq", F.lit(0 if strict else 1).alias("_k"), F.struct(*rows.columns).alias("_row"), F.lit(True).alias("_is"))
+    theirs = others.select("drive_id", "t_ns", "seq", F.lit(1 if strict else 0).alias("_k"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("_o"), F.lit(False).alias("_is"))
+    w = Window.partitionBy("drive_id").orderBy("t_ns", "_k", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_last", F.last("_o", ignorenulls=True).over(w)).filter("_is")
+    return both.select("_row.*", *(F.col("_last")[n].alias(n) for n in columns))
+
+
 def brackets(track: DataFrame, columns: list[str]) -> DataFrame:
     """Each sample with the next one: t0, t1 and both values of each column (b null for the last). Of equal times the last stays."""
     latest = Window.partitionBy("drive_id", "t_ns").orderBy(F.desc("seq"))
@@ -65,10 +77,10 @@ def interpolate(rows: DataFrame, track: DataFrame, max_gap_s: float = 3.0) -> Da
     gap = int(max_gap_s * SECOND)
     b = brackets(track, ["lat", "lon", "speed_mps", "bearing_deg"])
     usable = F.col("t1").isNotNull() & (F.col("t1") - F.col("t0") <= gap)
-    last = F.when(usable, F.floor(F.col("t1") / gap)).otherwise(F.floor(F.col("t0") / gap))
-    b = b.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("t0") / gap), last)))
+    bucket = lambda c: F.expr(f"({c} - pmod({c}, {gap}L)) DIV {gap}L")  # noqa: E731  (in whole numbers)
+    b = b.withColumn("_bucket", F.explode(F.sequence(bucket("t0"), F.when(usable, bucket("t1")).otherwise(bucket("t0")))))
     b = b.withColumnRenamed("drive_id", "_drive")
-    left = rows.withColumn("_b", F.floor(F.col("t_ns") / gap))
+    left = rows.withColumn("_b", bucket("t_ns"))
     hit = (F.col("t_ns") == F.col("t0")) | (usable & (F.col("t_ns") > F.col("t0")) & (F.col("t_ns") < F.col("t1")))
     both = left.join(b, (F.col("drive_id") == F.col("_drive")) & (F.col("_b") == F.col("_bucket")) & hit, "left")
     u = F.when(F.col("t_ns") == F.col("t0"), 0.0).otherwise((F.col("t_ns") - F.col("t0")) / (F.col("t1") - F.col("t0")))
@@ -90,7 +102,9 @@ def tick_grid(track: DataFrame, period_s: float = 1.0) -> DataFrame:
     """Every full period of each drive from its first time on; none after its last."""
     p = int(period_s * SECOND)
     span = track.groupBy("drive_id").agg(F.min("t_ns").alias("a"), F.max("t_ns").alias("b"))
-    first = F.ceil(F.col("a") / p) * p
+    # In whole numbers: doubles can't tell nanoseconds apart at the size of an epoch.
+    before = F.col("a") + (p - 1)
+    first = before - F.pmod(before, F.lit(p))
     return span.filter(first <= F.col("b")).select("drive_id", F.explode(F.sequence(first, F.col("b"), F.lit(p))).alias("t_ns"))
 
 
@@ -104,8 +118,8 @@ def gap_sessions(track: DataFrame, gap_s: float) -> DataFrame:
 def velocity_consistency(fixes: DataFrame, window_s: float = 10.0, slack_m: float = 15.0, max_step_s: float = 3.0) -> DataFrame:
     """Displacement over about window_s against the integral of the reported velocity, for one source's fixes.
 
-    Adds span_s, diff_m, mismatch: null where the fixes of the last 1.2 windows span less than 0.6 of one, or a step among them takes
-    over max_step_s or no time. Cumulative trapezoids make the integral a difference of two values, so no list of fixes is collected.
+    Adds span_s, diff_m, mismatch: null where the fixes of the last 1.2 windows span less than 0.6 of one, a step among them takes
+    over max_step_s or no time, or one of them has no speed (or no bearing at 1 m/s or more). Cumulative trapezoids make the integral a difference of two values, so no list of fixes is collected.
     """
     w = Window.partitionBy("drive_id").orderBy("t_ns", "seq")
     fast = F.col("speed_mps") >= 1.0
@@ -113,14 +127,16 @@ def velocity_consistency(fixes: DataFrame, window_s: float = 10.0, slack_m: floa
     f = fixes.withColumns({"_ve": F.col("speed_mps") * F.sin(b), "_vn": F.col("speed_mps") * F.cos(b)})
     f = f.withColumn("_dt", (F.col("t_ns") - F.lag("t_ns").over(w)) / F.lit(1e9))
     f = f.withColumns({f"_s{x}": F.coalesce(0.5 * (F.col(f"_v{x}") + F.lag(f"_v{x}").over(w)) * F.col("_dt"), F.lit(0.0)) for x in "en"})
-    f = f.withColumn("_bad", F.coalesce(((F.col("_dt") <= 0) | (F.col("_dt") > max_step_s)).cast("long"), F.lit(0)))
+    # A step counts against a window that holds both its ends; a fix without velocity against every window that holds it.
+    unknown = F.col("speed_mps").isNull() | (fast & F.col("bearing_deg").isNull())
+    f = f.withColumns({"_bad": F.coalesce(((F.col("_dt") <= 0) | (F.col("_dt") > max_step_s)).cast("long"), F.lit(0)), "_no": unknown.cast("long")})
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumns({"_ce": F.sum("_se").over(to_here), "_cn": F.sum("_sn").over(to_here), "_cb": F.sum("_bad").over(to_here)})
-    first = F.min(F.struct("t_ns", "seq", "lat", "lon", "h_acc_m", "_ce", "_cn", "_cb")).over(range_frame(1.2 * window_s))
+    f = f.withColumns({"_ce": F.sum("_se").over(to_here), "_cn": F.sum("_sn").over(to_here), "_cb": F.sum("_bad").over(to_here), "_cu": F.sum("_no").over(to_here)})
+    first = F.min(F.struct("t_ns", "seq", "lat", "lon", "h_acc_m", "_ce", "_cn", "_cb", "_cu", "_no")).over(range_frame(1.2 * window_s))
     f = f.withColumn("_f", first)
     span = (F.col("t_ns") - F.col("_f.t_ns")) / F.lit(1e9)
     e, n = geo.to_enu(F.col("_f.lat"), F.col("_f.lon"), F.col("lat"), F.col("lon"))
     diff = F.hypot(e - (F.col("_ce") - F.col("_f._ce")), n - (F.col("_cn") - F.col("_f._cn")))
-    fit = (span >= 0.6 * window_s) & (F.col("_cb") == F.col("_f._cb"))
+    fit = (span >= 0.6 * window_s) & (F.col("_cb") == F.col("_f._cb")) & (F.col("_cu") == F.col("_f._cu") - F.col("_f._no"))
     allowed = slack_m + 2 * (F.coalesce("_f.h_acc_m", F.lit(20.0)) + F.coalesce("h_acc_m", F.lit(20.0)))
     return f.select(*fixes.columns, F.when(fit, span).alias("span_s"), F.when(fit, diff).alias("diff_m"), F.when(fit, diff > allowed).alias("mismatch"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivelake.functions import geo
@@ -49,3 +49,72 @@ def network_check(lat: str, lon: str, acc: str, t: str, max_age_s: float = 120.0
     d = F.when(age <= max_age_s, geo.haversine_m(F.col(lat), F.col(lon), F.col("lat"), F.col("lon")))
     allowed = 2 * (F.coalesce(acc, F.lit(1000.0)) + F.coalesce("h_acc_m", F.lit(50.0))) + age * 30
     return d, F.when(d > allowed + 20000, "GEOGRAPHICALLY_IMPOSSIBLE").when(d > allowed, "NETWORK_DISAGREEMENT")
+
+
+# Checks against other records, as columns. Each wants the other record's values as of the fix (tracks.as_of).
+
+
+def provider_state(fixes: DataFrame, events: DataFrame, echo_s: float = 10.0) -> DataFrame:
+    """Adds replaced (the fix's provider is overridden) and echo (a fused fix may repeat our output) to fixes (drive_id, t_ns, seq, source, provider).
+
+    events: drive_id, t_ns, seq, provider, event. At equal times events come first. A restore counts only for a provider that was overridden; for
+    echo_s after the last one, and while any provider is overridden, fused fixes are echoes.
+    """
+    e = events.filter(F.col("event").isin("OVERRIDDEN", "RESTORED")).select("drive_id", "t_ns", "seq", "provider", (F.col("event") == "OVERRIDDEN").alias("_on"), F.lit(0).alias("_k"))
+    own = Window.partitionBy("drive_id", "provider").orderBy("t_ns", "_k", "seq")
+    before = F.coalesce(F.lag("_on").over(own), F.lit(False))
+    e = e.withColumn("_change", F.when(F.col("_on") & ~before, 1).when(~F.col("_on") & before, -1).otherwise(0))
+    rows = fixes.select("drive_id", "t_ns", "seq", "provider", F.struct(*fixes.columns).alias("_fix"), F.lit(1).alias("_k")).unionByName(e, allowMissingColumns=True)
+    rows = rows.withColumn("replaced", F.coalesce(F.last("_on", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    every = Window.partitionBy("drive_id").orderBy("t_ns", "_k", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = F.coalesce(F.sum("_change").over(every), F.lit(0))
+    restored = F.max(F.when(F.col("_change") == -1, F.col("t_ns"))).over(every)
+    mixed = (open_ > 0) | F.coalesce((F.col("t_ns") - restored) / F.lit(1e9) < echo_s, F.lit(False))
+    rows = rows.withColumn("_mixed", mixed).filter("_k = 1")
+    return rows.select("_fix.*", "replaced", (F.coalesce(F.col("_fix.source") == "FUSED", F.lit(False)) & F.col("_mixed") & ~F.col("replaced")).alias("echo"))
+
+
+def obd_mismatch(speed: Column, obd: Column, age_s: Column) -> Column:
+    """A satellite speed that the car's own, 1.5 s old at most, contradicts; false where one is unknown."""
+    return F.coalesce((age_s <= 1.5) & (F.abs(speed - obd) > 1.5 + 0.08 * obd), F.lit(False))
+
+
+def satellite_hits(used: Column, std_db: Column, age_s: Column) -> tuple[Column, Column]:
+    """Too few satellites in use, and signals too much alike, by a status of at most 2 s."""
+    fresh = age_s <= 2
+    return F.coalesce(fresh & (used < 4), F.lit(False)), F.coalesce(fresh & (used >= 6) & (std_db < 1), F.lit(False))
+
+
+def moving_while_still(speed: Column, still_s: Column) -> Column:
+    return F.coalesce((still_s >= 3) & (speed > 3), F.lit(False))
+
+
+def course_mismatch(b0: Column, b1: Column, v0: Column, v1: Column, dt_s: Column, turn_rad: Column) -> Column:
+    """A change of course between two fixes at 5 m/s or more that the gyroscope (turn_rad, clockwise) doesn't confirm; false where one is unknown."""
+    diff = F.abs(geo.wrap_deg(geo.wrap_deg(b1 - b0) - F.degrees(turn_rad)))
+    return F.coalesce((v0 >= 5) & (v1 >= 5) & (dt_s > 0) & (dt_s <= 5) & (diff > 25 + 10 * dt_s), F.lit(False))
+
+
+def innovation_hit(value: Column, distance_m: Column) -> Column:
+    """The gate's reason severity: 2 beyond 50 and 5 km, 1 beyond 13.8, else 0."""
+    return F.when((value > 50) & (distance_m >= 5000), 2).when(value > 13.8, 1).otherwise(0)
+
+
+def agrees_with_estimate(distance_m: Column, acc: Column, obd_age_s: Column) -> Column:
+    """A fix of 30 m accuracy or better within 100 m of the prediction, without a car's speed of the last 10 s."""
+    return F.coalesce((distance_m <= 100) & (acc <= 30) & (obd_age_s.isNull() | (obd_age_s > 10)), F.lit(False))
+
+
+def source_states(ticks: DataFrame, verdicts: DataFrame, silent_s: float = 5.0) -> DataFrame:
+    """drive_id, t_ns, source, state at each tick for the sources of its drive: the last verdict's state, UNAVAILABLE after silent_s without one.
+
+    verdicts: drive_id, t_ns, seq, source, state. Ticks before a source's first verdict are UNAVAILABLE. Replaced and echoed fixes have UNAVAILABLE
+    verdicts already.
+    """
+    sources = verdicts.select("drive_id", "source").distinct()
+    t = ticks.select("drive_id", "t_ns").join(sources, "drive_id").withColumns({"_k": F.lit(1), "seq": F.lit(None).cast("long")})
+    v = verdicts.select("drive_id", "t_ns", "seq", "source", F.struct("t_ns", "state").alias("_v"), F.lit(0).alias("_k"))
+    w = Window.partitionBy("drive_id", "source").orderBy("t_ns", "_k", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    both = v.unionByName(t, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_k = 1")
+    fresh = (F.col("t_ns") - F.col("_last.t_ns")) / F.lit(1e9) <= silent_s
+    return both.select("drive_id", "t_ns", "source", F.when(fresh, F.col("_last.state")).otherwise("UNAVAILABLE").alias("state"))

@@ -1,7 +1,8 @@
-"""Stateful trust in location fixes: one pure step for each fix, run over sorted partitions in batch and over keyed state in a stream.
+"""Stateful trust in location fixes: one step for each event, run over sorted partitions in batch and over keyed state in a stream.
 
-Beyond the checks that need no state (operators.trust), a fix is held against the last trusted one of its source and the last
-network fix of its drive; after a rejection a source has to recover, unless a consistent stream of fixes resets it.
+Events are fixes, and what fixes are held against: vehicle speeds, satellite statuses, provider events. The prediction is that of the estimator
+that holds the last trusted satellite fix. Checks against gyroscope and stillness need a motion history, which events alone don't give: they are
+operators.motion and operators.trust columns, not part of this fold.
 """
 
 from __future__ import annotations
@@ -10,148 +11,345 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from drivelake.functions.geo import EARTH_RADIUS
+from drivelake.functions.geo import EARTH_RADIUS, R68_PER_SIGMA, WGS84_A, WGS84_E2
 from drivelake.operators.trust import BASE_CONFIDENCE, STATES
 
-COLUMNS = ["drive_id", "seq", "t_ns", "source", "lat", "lon", "h_acc_m", "speed_mps", "is_mock", "latency_s"]
-OUT = "drive_id long, seq long, t_ns long, source string, state string, confidence double, reasons string, implied_mps double, late boolean"
-#: What a consistent stream may outlast; nothing that says "physically impossible" is among it.
-RESETTABLE = {"IMPOSSIBLE_ACCELERATION", "RECOVERING"}
+#: The columns of events; rank orders kinds at equal times.
+EVENTS = (
+    "seq long, t_ns long, rank int, kind string, source string, provider string, lat double, lon double, h_acc_m double, speed_mps double, bearing_deg double, synthetic boolean, latency_s double, event string, used int, spread_db double"
+)
+COLUMNS = [c.split(" ")[0] for c in EVENTS.split(", ")]
+OUT = "seq long, t_ns long, source string, provider string, state string, confidence double, reasons string, innovation_nis double, implied_speed_mps double, late boolean"
+_NAMES = [x.split(" ")[0] for x in OUT.split(", ")]
+#: Rejections that a long consistent stream may outlast, and hits that agreement with the estimate takes away.
+RESETTABLE = {"INNOVATION_GATE", "IMPOSSIBLE_ACCELERATION", "RECOVERING", "CN0_UNIFORM", "COURSE_GYRO_MISMATCH", "VELOCITY_POSITION_MISMATCH"}
+OVERRIDDEN_BY_AGREEMENT = {"IMPOSSIBLE_ACCELERATION", "INNOVATION_GATE", "MOVING_WHILE_STATIONARY"}
 
 
 @dataclass(frozen=True)
 class TrustRules:
+    """The thresholds of the checks."""
+
     max_speed_mps: float = 70.0
     max_accel_mps2: float = 8.0
+    gate_question: float = 13.8
+    gate_reject: float = 50.0
+    gate_reject_m: float = 5000.0
+    velocity_window_s: float = 10.0
+    velocity_slack_m: float = 15.0
+    obd_abs_mps: float = 1.5
+    obd_share: float = 0.08
+    obd_age_s: float = 1.5
+    status_age_s: float = 2.0
+    few_satellites: int = 4
+    uniform_satellites: int = 6
+    uniform_db: float = 1.0
     network_max_age_s: float = 120.0
     network_impossible_m: float = 20_000.0
+    agree_m: float = 100.0
+    agree_acc_m: float = 30.0
+    agree_obd_s: float = 10.0
+    echo_s: float = 10.0
     recovery_fixes: int = 5
     reset_after_s: float = 120.0
     reset_with_network_s: float = 15.0
+    outage_s: float = 30.0
+    reset_after_outage_s: float = 10.0
+    hold_acc_m: float = 10.0
+    hold_growth_mps: float = 20.0
+
+
+class Event(NamedTuple):
+    seq: int
+    t_ns: int
+    rank: int
+    kind: str
+    source: str | None = None
+    provider: str | None = None
+    lat: float | None = None
+    lon: float | None = None
+    h_acc_m: float | None = None
+    speed_mps: float | None = None
+    bearing_deg: float | None = None
+    synthetic: bool | None = None
+    latency_s: float | None = None
+    event: str | None = None
+    used: int | None = None
+    spread_db: float | None = None
+
 
+# A fix in memory is the list [t_ns, lat, lon, acc, speed, bearing]: plain values, so that a state is JSON.
 
-def _metres(a: dict, b: dict) -> float:
-    p, q = math.radians(a["lat"]), math.radians(b["lat"])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
+
+def _metres(a: list, b: list) -> float:
+    p, q = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
     return 2 * EARTH_RADIUS * math.asin(math.sqrt(min(max(h, 0.0), 1.0)))
 
 
-def _excess_speed(a: dict, b: dict, least_s: float) -> float | None:
-    """Speed that the way from a to b needs beyond both accuracies; null if no time passes."""
-    dt = (b["t_ns"] - a["t_ns"]) / 1e9
-    if dt <= 0:
-        return None
-    allowed = 2 * sum(50.0 if x["h_acc_m"] is None else x["h_acc_m"] for x in (a, b))
-    return max(_metres(a, b) - allowed, 0.0) / max(dt, least_s)
-
-
-def _own_checks(fix: dict) -> list[tuple[str, int, float]]:
-    acc, late = fix["h_acc_m"], fix["latency_s"] or 0.0
-    if fix["source"] == "NETWORK":
-        out = [("STALE", 1, 0.5)] if late > 30 else []
-        return out + ([("NO_ACCURACY", 2, 1.0)] if acc is None else [("POOR_ACCURACY", 2, 1.0)] if acc > 5000 else [])
-    if fix["source"] not in ("GNSS", "FUSED"):
-        return []
-    out = [("STALE", 2, 1.0)] if late > 10 else [("STALE", 1, 0.7)] if late > 2 else []
+def _plane(a: list, b: list) -> tuple[float, float]:
+    """East and north metres from a to b."""
+    s = math.sin(math.radians(a[1]))
+    r = WGS84_A / math.sqrt(1 - WGS84_E2 * s * s)
+    turn = (b[2] - a[2] + 180) % 360 - 180
+    return math.radians(turn) * r * math.cos(math.radians(a[1])), math.radians(b[1] - a[1]) * r * (1 - WGS84_E2) / (1 - WGS84_E2 * s * s)
+
+
+def _or(x: float | None, other: float) -> float:
+    return other if x is None else x
+
+
+def _beyond(a: list, b: list) -> float:
+    """Metres between two fixes beyond what their accuracies allow."""
+    return max(_metres(a, b) - 2 * (_or(a[3], 50.0) + _or(b[3], 50.0)), 0.0)
+
+
+def _consistent(a: list | None, b: list, rules: TrustRules) -> bool:
+    if a is None:
+        return False
+    dt = (b[0] - a[0]) / 1e9
+    return 0 < dt <= 10 and _beyond(a, b) / dt <= rules.max_speed_mps
+
+
+def _velocity_differs(recent: list[list], fix: list, rules: TrustRules) -> bool:
+    """True if the way over the last window isn't the integral of the reported velocity; False where that can't be told."""
+    fixes = [f for f in [*recent, fix] if (fix[0] - f[0]) / 1e9 <= rules.velocity_window_s * 1.2]
+    if len(fixes) < 2 or (fix[0] - fixes[0][0]) / 1e9 < rules.velocity_window_s * 0.6:
+        return False
+    e = n = 0.0
+    for a, b in zip(fixes, fixes[1:]):
+        dt = (b[0] - a[0]) / 1e9
+        if not 0 < dt <= 3:
+            return False
+        for x in (a, b):
+            if x[4] is None or (x[4] >= 1 and x[5] is None):
+                return False
+            course = math.radians(x[5]) if x[4] >= 1 else 0.0
+            e, n = e + 0.5 * dt * x[4] * math.sin(course), n + 0.5 * dt * x[4] * math.cos(course)
+    east, north = _plane(fixes[0], fix)
+    return math.hypot(east - e, north - n) > rules.velocity_slack_m + 2 * (_or(fixes[0][3], 20.0) + _or(fix[3], 20.0))
+
+
+def observe(memory: dict, x: Event) -> None:
+    """Takes in an event that isn't a fix."""
+    if x.kind == "vehicle_speed":
+        memory["obd"] = [x.t_ns, x.speed_mps]
+    elif x.kind == "gnss_status":
+        memory["status"] = [x.t_ns, x.used, x.spread_db]
+    elif x.kind == "provider" and x.event == "OVERRIDDEN" and x.provider not in memory.setdefault("overridden", []):
+        memory["overridden"].append(x.provider)
+    elif x.kind == "provider" and x.event == "RESTORED" and x.provider in memory.get("overridden", []):
+        memory["overridden"].remove(x.provider)
+        memory["restored"] = x.t_ns
+
+
+def is_echo(memory: dict, t_ns: int, rules: TrustRules) -> bool:
+    """True while fused fixes may repeat our own output."""
+    return bool(memory.get("overridden")) or ("restored" in memory and (t_ns - memory["restored"]) / 1e9 < rules.echo_s)
+
+
+def _satellite_checks(memory: dict, own: dict, x: Event, fix: list, rules: TrustRules) -> tuple[list[tuple[str, int, float]], float | None, float | None, bool, bool]:
+    """Hits, innovation, implied speed, agreement with the network and with the estimate of a satellite or fused fix."""
+    hits, acc, late = [], x.h_acc_m, _or(x.latency_s, 0.0)
+    if late > 2:
+        hits.append(("STALE", 2, 1.0) if late > 10 else ("STALE", 1, 0.7))
     if acc is None:
-        return [*out, ("NO_ACCURACY", 1, 0.5)]
-    return out + ([("POOR_ACCURACY", 2, 1.0)] if acc > 150 else [("POOR_ACCURACY", 1, 0.6)] if acc > 30 else [])
+        hits.append(("NO_ACCURACY", 1, 0.5))
+    elif acc > 30:
+        hits.append(("POOR_ACCURACY", 2, 1.0) if acc > 150 else ("POOR_ACCURACY", 1, 0.6))
+    implied = innovation = None
+    if (last := own["trusted"]) is not None and (dt := (fix[0] - last[0]) / 1e9) > 0:
+        implied = _beyond(last, fix) / max(dt, 0.5)
+        if implied > rules.max_speed_mps:
+            hits.append(("IMPOSSIBLE_VELOCITY", 2, 1.0))
+        if None not in (last[4], fix[4]) and dt <= 5 and abs(fix[4] - last[4]) / max(dt, 0.2) > rules.max_accel_mps2:
+            hits.append(("IMPOSSIBLE_ACCELERATION", 1, 0.6))
+    held = memory.get("held")
+    if held is not None and acc is not None:
+        radius = _or(held[3], rules.hold_acc_m) + rules.hold_growth_mps * max(0.0, (fix[0] - held[0]) / 1e9)
+        spread = (radius / R68_PER_SIGMA) ** 2 + (acc / R68_PER_SIGMA) ** 2
+        e, n = _plane(held, fix)
+        if spread > 0:
+            innovation = (e * e + n * n) / spread
+            if innovation > rules.gate_reject and math.hypot(e, n) >= rules.gate_reject_m:
+                hits.append(("INNOVATION_GATE", 2, 1.0))
+            elif innovation > rules.gate_question:
+                hits.append(("INNOVATION_GATE", 1, 0.6))
+    if _velocity_differs(own["recent"], fix, rules):
+        hits.append(("VELOCITY_POSITION_MISMATCH", 1, 0.6))
+    obd = memory.get("obd")
+    obd_age = abs(fix[0] - obd[0]) / 1e9 if obd else math.inf
+    if obd_age <= rules.obd_age_s and None not in (obd[1], fix[4]) and abs(fix[4] - obd[1]) > rules.obd_abs_mps + rules.obd_share * obd[1]:
+        hits.append(("SPEED_OBD_MISMATCH", 1, 0.5))
+    near_network = False
+    if (net := memory.get("network")) is not None and (age := abs(fix[0] - net[0]) / 1e9) <= rules.network_max_age_s:
+        far = _metres(net, fix) - (2 * (_or(net[3], 1000.0) + _or(acc, 50.0)) + 30 * age)
+        near_network = far <= 0
+        if far > 0:
+            hits.append(("GEOGRAPHICALLY_IMPOSSIBLE", 2, 1.0) if far > rules.network_impossible_m else ("NETWORK_DISAGREEMENT", 1, 0.5))
+    status = memory.get("status")
+    if x.source == "GNSS" and status is not None and abs(fix[0] - status[0]) / 1e9 <= rules.status_age_s:
+        if status[1] < rules.few_satellites:
+            hits.append(("FEW_SATELLITES", 1, 0.7))
+        if status[1] >= rules.uniform_satellites and status[2] < rules.uniform_db:
+            hits.append(("CN0_UNIFORM", 0, 0.8))
+    agrees = held is not None and acc is not None and acc <= rules.agree_acc_m and obd_age > rules.agree_obd_s and _metres(held, fix) <= rules.agree_m
+    if agrees and any(r in OVERRIDDEN_BY_AGREEMENT for r, _, _ in hits):
+        hits = [h for h in hits if h[0] not in OVERRIDDEN_BY_AGREEMENT] + [("AGREES_WITH_ESTIMATE", 0, 1.0)]
+    return hits, innovation, implied, near_network, agrees
+
 
+def assess(memory: dict, x: Event, rules: TrustRules = TrustRules()) -> tuple[str, float, list[str], float | None, float | None]:
+    """State, confidence, sorted reasons, innovation and implied speed of a fix; memory (plain JSON values) is changed in place.
 
-def step(memory: dict, fix: dict, rules: TrustRules = TrustRules()) -> tuple[str, float, list[str], float | None]:
-    """State, confidence, sorted reasons and implied speed of a fix; memory (plain JSON values) is changed in place."""
-    if fix["is_mock"]:  # our own output must not touch what is known of the source
-        return "REJECTED", 0.0, ["SYNTHETIC_INPUT"], None
-    own = memory.setdefault(fix["source"], {"trusted": None, "recovery": 0, "first": None, "last": None})
-    hits, implied, agrees = _own_checks(fix), None, False
-    satellite = fix["source"] in ("GNSS", "FUSED")
+    Our own output and fixes of replaced providers leave no trace in memory. After a rejection a source has to recover, unless a consistent
+    stream of fixes resets it: after 120 s, or 15 s where the network agrees; streams that only the innovation gate questions after 10 s behind an outage.
+    """
+    hits = [("SYNTHETIC_INPUT", 2, 0.0)] if x.synthetic else []
+    if x.provider in memory.get("overridden", []):
+        hits.append(("SOURCE_OVERRIDDEN", 3, 0.0))
+    elif x.source == "FUSED" and is_echo(memory, x.t_ns, rules):
+        hits.append(("ECHO_OF_OUR_OUTPUT", 3, 0.0))
+    if hits:
+        return STATES[max(s for _, s, _ in hits)], 0.0, sorted({r for r, _, _ in hits}), None, None
+    own = memory.setdefault("sources", {}).setdefault(x.source, {"trusted": None, "recovery": 0, "first": None, "last": None, "recent": [], "previous": None, "outage": False, "q_first": None, "q_last": None, "q_outage": False})
+    fix = [x.t_ns, x.lat, x.lon, x.h_acc_m, x.speed_mps, x.bearing_deg]
+    innovation = implied = None
+    near_network = agrees = False
+    satellite = x.source in ("GNSS", "FUSED")
     if satellite:
-        if own["trusted"] is not None:
-            implied = _excess_speed(own["trusted"], fix, 0.5)
-            if implied is not None and implied > rules.max_speed_mps:
-                hits.append(("IMPOSSIBLE_VELOCITY", 2, 1.0))
-            dt, speeds = (fix["t_ns"] - own["trusted"]["t_ns"]) / 1e9, (own["trusted"]["speed_mps"], fix["speed_mps"])
-            if 0 < dt <= 5 and None not in speeds and abs(speeds[1] - speeds[0]) / max(dt, 0.2) > rules.max_accel_mps2:
-                hits.append(("IMPOSSIBLE_ACCELERATION", 1, 0.6))
-        net = memory.get("last_network")
-        age = abs(fix["t_ns"] - net["t_ns"]) / 1e9 if net else math.inf
-        if age <= rules.network_max_age_s:
-            allowed = 2 * ((1000.0 if net["h_acc_m"] is None else net["h_acc_m"]) + (50.0 if fix["h_acc_m"] is None else fix["h_acc_m"])) + 30 * age
-            far = _metres(net, fix) - allowed
-            agrees = far <= 0
-            if far > rules.network_impossible_m:
-                hits.append(("GEOGRAPHICALLY_IMPOSSIBLE", 2, 1.0))
-            elif far > 0:
-                hits.append(("NETWORK_DISAGREEMENT", 1, 0.5))
+        hits, innovation, implied, near_network, agrees = _satellite_checks(memory, own, x, fix, rules)
+    elif x.source == "NETWORK":
+        hits = [("STALE", 1, 0.5)] if _or(x.latency_s, 0.0) > 30 else []
+        hits += [("NO_ACCURACY", 2, 1.0)] if x.h_acc_m is None else [("POOR_ACCURACY", 2, 1.0)] if x.h_acc_m > 5000 else []
     worst, reasons = max((s for _, s, _ in hits), default=0), {r for r, _, _ in hits}
-    here = {k: fix[k] for k in ("t_ns", "lat", "lon", "h_acc_m", "speed_mps")}
+    outage = own["outage"] or own["previous"] is None or (fix[0] - own["previous"]) / 1e9 >= rules.outage_s
+    own["previous"], own["outage"] = fix[0], outage
+    own["recent"] = [f for f in [*own["recent"], fix] if f[0] >= fix[0] - int(rules.velocity_window_s * 1.5 * 1e9)]
+    reset = False
+    wait = rules.reset_with_network_s if near_network else rules.reset_after_s
     if satellite and worst == 2:
-        pace = _excess_speed(own["last"], fix, 0.0) if own["last"] else None
-        near = pace is not None and pace <= rules.max_speed_mps and fix["t_ns"] - own["last"]["t_ns"] <= 10e9
-        own["first"], own["last"], own["recovery"] = own["first"] if near else here, here, rules.recovery_fixes
-        waited = (fix["t_ns"] - own["first"]["t_ns"]) / 1e9
-        if reasons <= RESETTABLE and waited >= (rules.reset_with_network_s if agrees else rules.reset_after_s):
-            worst, reasons = 0, {"RESET_AFTER_CONSISTENT_STREAM"}
-            own["recovery"], own["first"], own["last"] = 0, None, None
-    elif satellite and worst == 0:
-        own["first"] = own["last"] = None
-        if own["recovery"] > 0:
+        begun = own["first"] if _consistent(own["last"], fix, rules) else fix
+        own["recovery"], own["first"], own["last"] = rules.recovery_fixes, begun, fix
+        if reasons <= RESETTABLE and (fix[0] - begun[0]) / 1e9 >= wait:
+            reset, own["recovery"], own["first"], own["last"] = True, 0, None, None
+    elif satellite and worst == 1:
+        if reasons != {"INNOVATION_GATE"}:
+            own["q_first"], own["q_last"], own["q_outage"] = None, None, False
+        else:
+            follows = _consistent(own["q_last"], fix, rules)
+            begun, after = (own["q_first"], own["q_outage"]) if follows else (fix, outage)
+            own["q_first"], own["q_last"], own["q_outage"] = begun, fix, after
+            limit = rules.reset_after_outage_s if after else wait if innovation is not None and innovation > rules.gate_reject else math.inf
+            if (fix[0] - begun[0]) / 1e9 >= limit:
+                reset, own["q_first"], own["q_last"], own["q_outage"] = True, None, None, False
+    elif satellite:
+        own["first"] = own["last"] = own["q_first"] = own["q_last"] = None
+        own["q_outage"] = False
+        if own["recovery"] > 0 and agrees:
+            own["recovery"], reasons = 0, reasons | {"AGREES_WITH_ESTIMATE"}
+        elif own["recovery"] > 0:
             own["recovery"] -= 1
             worst, reasons = 1, reasons | {"RECOVERING"}
+    if reset:
+        worst, reasons = 0, {"RESET_AFTER_CONSISTENT_STREAM"}
     if worst == 0:
-        own["trusted"] = here
-    if fix["source"] == "NETWORK" and worst < 2:
-        memory["last_network"] = here
-    confidence = math.prod([BASE_CONFIDENCE[worst], *(f for _, _, f in hits)])
-    return STATES[worst], confidence, sorted(reasons), implied
-
-
-def _fold(memory: dict, rows: pd.DataFrame, rules: TrustRules) -> list[tuple]:
-    out = []
-    for r in rows[COLUMNS].astype(object).where(rows[COLUMNS].notna(), None).to_dict("records"):
-        late = r["t_ns"] < memory.get("seen", r["t_ns"])  # late fixes are judged all the same, and marked
-        memory["seen"] = max(r["t_ns"], memory.get("seen", r["t_ns"]))
-        state, confidence, reasons, implied = step(memory, r, rules)
-        out.append((r["drive_id"], r["seq"], r["t_ns"], r["source"], state, confidence, ",".join(reasons), implied, late))
-    return out
+        own["trusted"], own["outage"] = fix, False
+        if x.source == "GNSS":
+            memory["held"] = fix
+    if x.source == "NETWORK" and worst < 2:
+        memory["network"] = fix
+    confidence = min(max(math.prod([BASE_CONFIDENCE[worst], *(f for _, _, f in hits)]), 0.0), 1.0)
+    return STATES[worst], confidence, sorted(reasons), innovation, implied
+
 
+def _judge(memory: dict, x: Event, rules: TrustRules) -> tuple | None:
+    """The output row of an event: none unless it is a fix. Events before the last one are taken all the same, and marked late."""
+    late = x.t_ns < memory.get("seen", x.t_ns)
+    memory["seen"] = x.t_ns
+    if x.kind != "location":
+        observe(memory, x)
+        return None
+    state, confidence, reasons, innovation, implied = assess(memory, x, rules)
+    return x.seq, x.t_ns, x.source, x.provider, state, confidence, ",".join(reasons), innovation, implied, late
 
-_NAMES = [x.split()[0] for x in OUT.split(", ")]
 
+def events_of(locations: DataFrame, speeds: DataFrame | None = None, statuses: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
+    """drive_id and EVENTS from record tables: location (with synthetic and latency_s), vehicle_speed, gnss_status (with used and std_db), provider_event. Rows without drive, time or place are left out."""
+    def rows(df: DataFrame, kind: str, rank: int, **values) -> DataFrame:
+        known = {"kind": F.lit(kind), "rank": F.lit(rank), "seq": F.col("seq"), "t_ns": F.col("t_ns")} | values
+        columns = [known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ") for c in EVENTS.split(", "))]
+        return df.filter("drive_id IS NOT NULL AND t_ns IS NOT NULL").select("drive_id", *columns)
 
-def trust_batch(fixes: DataFrame, rules: TrustRules = TrustRules()) -> DataFrame:
-    """A verdict for each fix, drive by drive in the order (t_ns, seq). Rows stream through a task; only the state of one drive is held."""
+    c = F.col
+    fixes = locations.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    out = rows(fixes, "location", 13, **{n: c(n) for n in ("source", "provider", "lat", "lon", "h_acc_m", "speed_mps", "bearing_deg", "synthetic", "latency_s")})
+    if speeds is not None:
+        out = out.unionByName(rows(speeds, "vehicle_speed", 12, speed_mps=c("speed_mps")))
+    if statuses is not None:
+        out = out.unionByName(rows(statuses, "gnss_status", 5, used=c("used"), spread_db=F.coalesce("std_db", F.lit(0.0))))
+    if providers is not None:
+        out = out.unionByName(rows(providers, "provider", 2, provider=c("provider"), event=c("event")))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def trust_batch(events: DataFrame, rules: TrustRules = TrustRules()) -> DataFrame:
+    """A verdict for each fix, drive by drive in the order (t_ns, rank, seq). Rows stream through a task; only one drive's memory is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drive, memory = None, {}
         for b in batches:
             out = []
-            for key, rows in b.groupby("drive_id", sort=False):
+            for key, *values in zip(*(c.to_pylist() for c in b.columns)):
                 if key != drive:
                     drive, memory = key, {}
-                out += _fold(memory, rows, rules)
-            yield pd.DataFrame(out, columns=_NAMES)
+                row = _judge(memory, Event(*values), rules)
+                if row is not None:
+                    out.append((key, *row))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], ["drive_id", *_NAMES])
 
-    return fixes.select(*COLUMNS).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "seq").mapInPandas(run, OUT)
+    kind = events.schema["drive_id"].dataType.simpleString()
+    simple = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = [simple[kind], *(simple[c.split(" ")[1]] for c in OUT.split(", "))]
+    rows = events.select("drive_id", *COLUMNS).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "rank", "seq")
+    return rows.mapInArrow(run, f"drive_id {kind}, {OUT}")
 
 
-def trust_stream(fixes: DataFrame, rules: TrustRules = TrustRules()) -> DataFrame:
-    """A stream's verdicts; each micro-batch continues from the state of its drives.
+def trust_stream(events: DataFrame, rules: TrustRules = TrustRules(), reorder_ns: int = 500_000_000, flush_ms: int = 2000) -> DataFrame:
+    """A stream's verdicts. Events wait in their drive's state until one comes that is reorder_ns later, and are judged in the order (t_ns, rank, seq).
 
-    They equal those of trust_batch if no fix comes in a later micro-batch than a fix of its drive that follows it in time: rows are
-    sorted inside one micro-batch only, as there is no reorder buffer yet. All rows of a drive in a micro-batch are held at once.
+    So verdicts equal those of trust_batch if no event comes more than reorder_ns behind a later one of its drive; what comes later still is judged
+    at once and marked. A drive that is silent for flush_ms is flushed. State holds the events of reorder_ns and one memory a drive.
     """
+    kind = events.schema["drive_id"].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["t_ns", "seq"])
-        out = pd.DataFrame(_fold(memory, rows, rules), columns=_NAMES)
-        state.update((json.dumps(memory, default=float),))
-        yield out
+        memory, waiting, seen = json.loads(state.get[0]) if state.exists else ({}, [], -(1 << 62))
+        for b in batches:
+            lists = [[None if v is pd.NA or v != v else v for v in b[c].astype(object).tolist()] for c in COLUMNS]
+            waiting += [list(x) for x in zip(*lists)]
+        seen = max([seen, *(int(x[1]) for x in waiting)])
+        limit = seen if state.hasTimedOut else seen - reorder_ns
+        waiting.sort(key=lambda x: (x[1], x[2], x[0]))
+        ready = [x for x in waiting if x[1] <= limit]
+        waiting = waiting[len(ready) :]
+        out = [r for x in ready if (r := _judge(memory, Event(*x), rules)) is not None]
+        state.update((json.dumps([memory, waiting, seen], default=lambda v: v.item()),))
+        if waiting:
+            state.setTimeoutDuration(flush_ms)
+        if out:
+            frame = pd.DataFrame(out, columns=_NAMES)
+            frame.insert(0, "drive_id", key[0])
+            yield frame
 
-    return fixes.select(*COLUMNS).groupBy("drive_id").applyInPandasWithState(run, OUT, "memory string", "append", GroupStateTimeout.NoTimeout)
+    # Whole numbers that may be null would come as doubles; texts keep nanoseconds whole.
+    rows = events.select("drive_id", *COLUMNS).fillna({"used": 0})
+    return rows.groupBy("drive_id").applyInPandasWithState(run, f"drive_id {kind}, {OUT}", "memory string", "append", GroupStateTimeout.ProcessingTimeTimeout)

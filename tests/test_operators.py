@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drivelake.functions import geo
-from drivelake.operators import metrics, scenario, tables, tracks, trust
+from drivelake.operators import metrics, motion, roads, scenario, tables, throttle, tracks, trust
 
 S = 1_000_000_000
 FIX = "drive_id long, seq long, t_ns long, source string, lat double, lon double, h_acc_m double, speed_mps double, bearing_deg double, is_mock boolean"
@@ -84,12 +84,13 @@ def test_all_scenarios_keep_or_drop_rows_only_as_named(spark, name):
     f = fix(spark, *((t * S, s, 50.0, 30.0, 5.0, 10.0, 0.0, False) for t in range(0, 500, 10) for s in ("GNSS", "NETWORK")))
     out = scenario.apply_steps(f, scenario.SCENARIOS[name])
     assert out.filter("source = 'NETWORK' AND lat = 50.0").count() == 50
+    assert scenario.apply_steps(f.filter("false"), scenario.SCENARIOS[name]).count() == 0
     assert (out.count() == 100) == ("drop" not in name and "absent" not in name)
 
 
 def test_first_window_wins_and_recovery(spark):
     ticks = spark.createDataFrame([(1, t * S, t, float(e), 10.0) for t, e in ((0, 1), (5, 60), (9, 300), (12, 150), (15, 5))], "drive_id long, t_ns long, seq long, err_m double, r68 double")
-    windows = spark.createDataFrame([(0, "a", 4 * S, 10 * S), (1, "b", 8 * S, 10 * S)], "step_idx int, kind string, start_ns long, end_ns long")
+    windows = spark.createDataFrame([(1, 0, "a", 4 * S, 10 * S), (1, 1, "b", 8 * S, 10 * S), (2, 0, "c", 0, 99 * S)], "drive_id long, step_idx int, kind string, start_ns long, end_ns long")
     got = {r.seq: r.kind for r in metrics.with_first_window(ticks, windows).collect()}
     assert got == {0: None, 5: "a", 9: "a", 12: None, 15: None}
     ends = spark.createDataFrame([(1, 15 * S)], "drive_id long, end_ns long")
@@ -118,3 +119,99 @@ def test_nesting_keeps_parents_without_children(spark):
     n = tables.nest_children(p, c, "id", "pid", ["v"], "pos")
     assert {r.id: [x.v for x in r["items"]] for r in n.collect()} == {1: ["a", "b"], 2: []}
     assert tables.unnest_children(n, ["id"]).count() == 2
+
+
+def test_teleport_keeps_differences_in_degrees_and_moves_fused_too(spark):
+    f = fix(spark, *((t * S, s, 50.0 + t / 1000, 30.0 + t / 1000, 5.0, 10.0, 0.0, False) for t, s in ((0, "GNSS"), (120, "GNSS"), (125, "FUSED"), (130, "NETWORK"), (420, "GNSS"))))
+    out = scenario.apply_steps(f, scenario.SCENARIOS["gnss_teleport_country"]).orderBy("t_ns").collect()
+    assert [(round(r.lat, 6), round(r.lon, 6)) for r in out] == [(50.0, 30.0), (-12.0464, -77.0428), (-12.0414, -77.0378), (50.13, 30.13), (50.42, 30.42)]
+    moved = scenario.apply_steps(f, scenario.SCENARIOS["gnss_jump_5km"])
+    assert {r.source for r in moved.filter("abs(lon - lon0) > 0.01").collect()} == {"GNSS", "FUSED"}
+
+
+def test_honest_noise_counts_unknown_accuracy_as_zero(spark):
+    f = fix(spark, (0, "GNSS", 50.0, 30.0, None, 10.0, 0.0, False))
+    assert abs(scenario.apply_steps(f, [scenario.Step("inflate_noise", sigma_m=10, honest=True)]).first().h_acc_m - 15.096) < 1e-9
+
+
+def test_windows_end_with_their_drive(spark):
+    spans = spark.createDataFrame([(1, 7, 100 * S)], "drive_id long, t0_ns long, end_ns long")
+    got = scenario.degraded_windows(spans, [scenario.Step("drop_source", 10), scenario.Step("drop_source", source="FUSED"), scenario.Step("drift", 90.5, 60, rate_mps=1)]).collect()
+    assert [(r.step_idx, r.kind, r.start_ns, r.end_ns) for r in got] == [(0, "gnss_outage", 10 * S + 7, 100 * S), (2, "gnss_drift", 90 * S + S // 2 + 7, 100 * S)]
+    assert scenario.degraded_windows(spans, []).count() == 0
+
+
+def test_scenario_files_and_variants(tmp_path):
+    (tmp_path / "b.json").write_text('{"name": "b", "seed": 7, "steps": [{"type": "offset", "startS": 1, "dEastM": 5, "dNorthM": 0, "sources": ["GNSS"], "new": 1}, {"type": "drop_sensor", "kind": "GYRO"}]}')
+    (tmp_path / "a.json").write_text('{"name": "a"}')
+    got = scenario.load_scenarios(str(tmp_path))
+    assert list(got) == ["a", "b"] and got["a"] == ([], 42) and got["b"][1] == 7
+    assert got["b"][0] == [scenario.Step("offset", 1.0, east_m=5.0, sources=frozenset({"GNSS"})), scenario.Step("drop_sensor", sensor="GYRO")]
+    for bad in ({"type": "nothing"}, {"type": "offset", "startS": 1}):
+        with pytest.raises(ValueError):
+            scenario.step_of(bad)
+    assert "phone+network+osm" not in scenario.load_variants() and len(scenario.load_variants(with_roads=True)) == 11
+    with pytest.raises(ValueError):
+        scenario.load_variants(names=["none"])
+
+
+def test_ticks_are_exact_at_epoch_times(spark):
+    t = 1_700_000_000 * S
+    f = fix(spark, *((x, "GNSS", 0.0, 0.0, 1.0, 0.0, 0.0, False) for x in (t + 1, t + 2 * S)))
+    assert [r.t_ns - t for r in tracks.tick_grid(f).orderBy("t_ns").collect()] == [S, 2 * S]
+
+
+def test_unknown_speed_voids_a_velocity_window(spark):
+    rows = [(t * S, "GNSS", 50.0, 30.0, 5.0, None if t == 5 else 0.5, None, False) for t in range(12)]
+    out = tracks.velocity_consistency(fix(spark, *rows)).orderBy("t_ns").collect()
+    assert out[11].mismatch is None
+    rows = [(t * S, "GNSS", 50.0, 30.0, 5.0, 0.5, None, False) for t in range(12)]
+    assert tracks.velocity_consistency(fix(spark, *rows)).orderBy("t_ns").collect()[11].mismatch is False
+
+
+def test_null_places_have_no_distance(spark):
+    lit = F.lit
+    assert one(spark, geo.haversine_m(lit(50.0), lit(30.0), lit(None), lit(30.0)), geo.cov_sigma(lit(None), lit(1.0)))[:] == (None, None)
+    assert one(spark, geo.speed_of_obd(lit("41\r0D2A")), geo.speed_of_obd(lit("41 0D GG\r41 0D 11")), geo.speed_of_obd(lit("410D\r41 0D 1F")))[:] == (None, None, 31)
+    assert one(spark, geo.ceil_to(lit(-1500), 1000), geo.ceil_to(lit(-1000), 1000), geo.ceil_to(lit(1), 1000))[:] == (-1000, -1000, 1000)
+
+
+def test_stops_and_departures(spark):
+    speeds = [0.0] * 6 + [5.0] * 4 + [0.2] * 3 + [4.0] * 3
+    own = [0.1] * 8 + [4.0] * 8
+    ticks = spark.createDataFrame([(1, t * S, t, a, b) for t, (a, b) in enumerate(zip(speeds, own))], "drive_id long, t_ns long, seq long, truth double, speed double")
+    r = motion.stop_score(ticks).first()
+    assert (r.n, r.moving, r.false_stops, r.longest_false_stop, r.stops, r.missed_stops, r.sustained_stops) == (16, 7, 2, 2, 9, 3, 1)
+    d = motion.departures(ticks).collect()
+    assert [(x.end_ns // S, x.departure_ns // S, x.delay_s, x.stopped_before) for x in d] == [(5, 6, 2.0, True)]
+    assert motion.stop_score(ticks.filter("false")).count() == 0
+
+
+def test_circles(spark):
+    p = [(g, 3 + 2 * math.cos(a), -1 + 2 * math.sin(a)) for g, n in ((1, 20), (2, 2)) for a in (2 * math.pi * k / n for k in range(n))] + [(3, float(x), 2.0 * x) for x in range(5)]
+    got = {r.g: (r.a, r.b, r.radius) for r in motion.circle_fit(spark.createDataFrame(p, "g long, x double, y double"), ["g"]).collect()}
+    assert all(abs(x - y) < 1e-9 for x, y in zip(got[1], (3, -1, 2))) and got[2] == got[3] == (None, None, None)
+
+
+def test_roads_between_parallel_streets(spark):
+    """An avenue 1-2-3, a one-way street 4-2-5, a bridge without a shared node."""
+    ways = spark.createDataFrame(
+        [(1, [1, 2, 3], [50.0, 50.0, 50.0], [30.0, 30.01, 30.02], "primary", False, 2, 0, "A"), (2, [4, 2, 5], [50.01, 50.0, 49.99], [30.01] * 3, "residential", True, 0, 0, "B"), (3, [6, 7], [50.01, 49.99], [30.015] * 2, "primary", False, 0, 1, "C"), (4, [8], [50.0], [30.0], "road", False, 0, 0, "")],
+        "way_id long, node_ids array<long>, lats array<double>, lons array<double>, road_class string, oneway boolean, lanes int, layer int, name string",
+    )
+    seg = roads.segments(ways)
+    assert {(r.way_id, r.piece, r.start_node, r.end_node) for r in seg.collect()} == {(1, 0, 1, 2), (1, 1, 2, 3), (2, 0, 4, 2), (2, 1, 2, 5), (3, 0, 6, 7)}
+    go = {(r.way_id, r.piece, r.side, r.to_way, r.to_piece, r.forward) for r in roads.successors(seg).collect()}
+    assert go == {(1, 0, "end", 1, 1, True), (1, 0, "end", 2, 1, True), (1, 1, "start", 1, 0, False), (1, 1, "start", 2, 1, True), (2, 0, "end", 1, 0, False), (2, 0, "end", 1, 1, True), (2, 0, "end", 2, 1, True)}
+    edges = roads.edges_of_segments(seg, 50.0, 30.01)
+    points = spark.createDataFrame([(1, 50.0001, 30.005), (2, 50.005, 30.0101)], "id long, lat double, lon double")
+    near = {(r.id, r.way_id, r.piece): r for r in roads.project(points, edges, 20.0, 50.0, 30.01, ["id"]).collect()}
+    assert set(near) == {(1, 1, 0), (2, 2, 0)} and abs(near[1, 1, 0].distance_m - 11.12) < 0.1 and near[1, 1, 0].cross_m < 0 and abs(near[1, 1, 0].bearing_deg - 90) < 0.01
+    assert near[2, 2, 0].cross_m < 0  # driving south, the east lies to the left
+    assert roads.segments(ways.filter("false")).count() == 0
+
+
+def test_throttle_keeps_changes_and_one_a_period(spark):
+    rows = [(1, t * S, t, p) for t, p in ((0, "a"), (1, "a"), (2, "b"), (3, "b"), (13, "b"), (14, "b"))] + [(2, 0, 9, "a"), (None, 0, 10, "a")]
+    t = spark.createDataFrame(rows, "drive_id long, t_ns long, seq long, plug string")
+    assert sorted(r.seq for r in throttle.at_most_every(t, ["plug"], 10.0).collect()) == [0, 2, 9, 13]
