@@ -237,3 +237,18 @@ def without_near(segs: DataFrame, projections: DataFrame) -> DataFrame:
 def network_size(segs: DataFrame) -> DataFrame:
     """Segments, their ways and their length."""
     return segs.agg(F.count("*").alias("segments"), F.countDistinct("way_id").alias("ways"), F.coalesce(F.sum("length_m"), F.lit(0.0)).alias("length_m"))
+
+
+def matched_right(states: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
+    """id, right: whether a matched road is that of the truth.
+
+    states: id, way_id, piece, bearing_deg of each match. near: id, way_id, piece, bearing_deg of every segment within 10 m of the truth. links: successors.
+    Right is the segment itself, another one of its way, or one that a drive can lead on to (or from) whose axis differs by less than 30 degrees.
+    """
+    n = near.select("id", F.col("way_id").alias("_w"), F.col("piece").alias("_p"), F.col("bearing_deg").alias("_b"))
+    pair = links.select("way_id", "piece", F.col("to_way").alias("_w"), F.col("to_piece").alias("_p"))
+    pair = pair.union(links.select("to_way", "to_piece", "way_id", "piece")).distinct().withColumn("_linked", F.lit(True))
+    met = states.join(n, "id", "left").join(pair, ["way_id", "piece", "_w", "_p"], "left")
+    axis = F.abs(geo.wrap_deg(F.col("_b") - F.col("bearing_deg"))) % 180 < 30
+    ok = (F.col("_w") == F.col("way_id")) | (F.col("_linked").isNotNull() & axis)
+    return met.groupBy("id").agg(F.coalesce(F.max(F.coalesce(ok, F.lit(False))), F.lit(False)).alias("right"))

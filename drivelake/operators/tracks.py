@@ -46,6 +46,15 @@ def with_last(fixes: DataFrame, when: Column, columns: dict[str, Column]) -> Dat
     return out.select(*fixes.columns, *(F.col("_last")[n].alias(n) for n in columns))
 
 
+def before(rows: DataFrame, others: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """As as_of, but of what comes before each row in the order (t_ns, seq), so a row isn't its own."""
+    mine = rows.select("drive_id", "t_ns", "seq", F.lit(0).alias("_k"), F.struct(*rows.columns).alias("_row"), F.lit(True).alias("_is"))
+    theirs = others.select("drive_id", "t_ns", "seq", F.lit(1).alias("_k"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("_o"), F.lit(False).alias("_is"))
+    w = Window.partitionBy("drive_id").orderBy("t_ns", "seq", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_last", F.last("_o", ignorenulls=True).over(w)).filter("_is")
+    return both.select("_row.*", *(F.col("_last")[n].alias(n) for n in columns))
+
+
 def as_of(rows: DataFrame, others: DataFrame, columns: dict[str, Column], strict: bool = False) -> DataFrame:
     """Each row with values of the last row of others (drive_id, t_ns, seq) in its drive that isn't later; null without one.
 

@@ -269,3 +269,16 @@ def route(estimates: DataFrame, fixes: DataFrame, max_acc_m: float = 100.0) -> D
     real = fixes.filter(F.col("source").isin("GNSS", "FUSED") & ~F.col("is_mock") & (F.col("h_acc_m").isNull() | (F.col("h_acc_m") <= max_acc_m)))
     lacking = real.join(ours.select("drive_id").distinct(), "drive_id", "left_anti")
     return ours.unionByName(lacking.select("drive_id", "t_ns", "seq", "lat", "lon", F.lit(False).alias("from_estimates")))
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Truth samples of JSON files that hold one array each: drive_id (the file's name), t_ns, seq, lat, lon, bearing_deg (null where it isn't a number), speed_mps."""
+    rows = spark.read.schema("tNs BIGINT, lat DOUBLE, lon DOUBLE, bearingDeg DOUBLE, speedMps DOUBLE").option("multiLine", "true").option("allowNonNumericNumbers", "true").json(path)
+    drive = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1)
+    return rows.select(drive.alias("drive_id"), F.col("tNs").alias("t_ns"), F.monotonically_increasing_id().alias("seq"), "lat", "lon", F.nanvl(F.col("bearingDeg"), F.lit(None).cast("double")).alias("bearing_deg"), F.col("speedMps").alias("speed_mps"))
+
+
+def register_views(tables: dict[str, DataFrame]) -> None:
+    """Temporary views by table name, for queries in SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
