@@ -40,22 +40,29 @@ def without_repeats(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def near_pairs(points: DataFrame, others: DataFrame, distance: Column, radius_m: float, cell_deg: float) -> DataFrame:
-    """Pairs of points and others within radius_m. An equi-join on grid cells finds them: each point looks into its cell and its neighbours.
+    """Pairs of points (lat, lon) and others (o_id, o_lat, o_lon) within radius_m. An equi-join on grid cells finds them.
 
-    others have o_id, o_lat, o_lon. distance is an expression over the columns of both. cell_deg must be wide enough that a radius
-    reaches the neighbouring cells at most.
+    Every other lies in all cells that its radius reaches, a point in its own, so a pair meets once whatever the cells' size; cells go round the globe at 180
+    degrees. distance is an expression over the columns of both. Rows without a place have no partner; a dense cell is one key of the join, which Spark
+    splits where it is skewed.
     """
-    at = lambda c: F.floor(F.col(c) / cell_deg)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    left = points.withColumn("_x", F.explode(F.transform(around, lambda d: at("lat") + d))).withColumn("_y", F.explode(F.transform(around, lambda d: at("lon") + d)))
-    right = others.withColumns({"_x": at("o_lat"), "_y": at("o_lon")})
+    around = round(360 / cell_deg)
+    row = lambda lat: F.floor((lat + 90) / cell_deg)
+    column = lambda lon: F.floor((lon + 180) / cell_deg)
+    d_lat = radius_m / 110_500.0 * 1.001  # a degree of latitude is longer everywhere
+    d_lon = F.least(d_lat / F.greatest(F.cos(F.radians(F.abs("o_lat") + d_lat)), F.lit(1e-6)), F.lit(180.0))
+    lat, lon = F.col("o_lat"), F.col("o_lon")
+    columns = F.array_distinct(F.transform(F.sequence(column(lon - d_lon), column(lon + d_lon)), lambda y: F.pmod(y, F.lit(around))))
+    right = others.filter("o_lat IS NOT NULL AND o_lon IS NOT NULL").withColumn("_x", F.explode(F.sequence(row(lat - d_lat), row(lat + d_lat)))).withColumn("_y", F.explode(columns))
+    left = points.withColumns({"_x": row(F.col("lat")), "_y": F.pmod(column(F.col("lon")), F.lit(around))})
     return left.join(right, ["_x", "_y"]).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m).drop("_x", "_y")
 
 
 def split_ways(ways: DataFrame) -> DataFrame:
     """Segments of ways (way_id, nodes array): a way ends and begins anew at nodes that several way places share.
 
-    way_id, piece (from 0), start_node, end_node, n_nodes.
+    way_id, piece (from 0), start_node, end_node, n_nodes. Null nodes belong to no way; ways without nodes have no segments. operators.roads.segments keeps
+    places and traits as well.
     """
     places = ways.select("way_id", F.size("nodes").alias("n"), F.posexplode("nodes").alias("pos", "node"))
     shared = places.groupBy("node").agg((F.count("*") > 1).alias("shared"))

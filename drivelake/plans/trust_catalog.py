@@ -101,3 +101,14 @@ def trust_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def throttled_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power states that a recorder keeps: changes, and one each minute."""
     return throttle.at_most_every(flat_view(spark, sf_dir, "power"), ["plug", "charging"], 60.0).select("drive_id", "seq")
+
+
+@_query()
+def probe_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When windows open and close under the full fold's verdicts, with short times, as the fix view's rows are far apart."""
+    from drivelake.streaming.probe import ProbeRules, probe_actions
+
+    number = lambda df: df.withColumn("drive_id", F.col("drive_id").cast("long"))
+    status = number(satellites.chip_health(record_tables(spark, sf_dir)["gnss_status"]))
+    rules = ProbeRules(healthy_s=0.0, pause_s=20.0, window_s=60.0, no_fix_s=40.0, status_age_s=60.0, loss_s=60.0, unhealthy_s=60.0)
+    return probe_actions(status.select("drive_id", "t_ns", "seq", "healthy"), trust_batch(fold_events(spark, sf_dir)), tracks.tick_grid(fix_view(spark, sf_dir)), rules)

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from drivelake.functions import geo
-from drivelake.operators import metrics, motion, roads, scenario, tables, throttle, tracks, trust
+from drivelake.operators import matching, metrics, motion, roads, scenario, tables, throttle, tracks, trust
+from drivelake.streaming.probe import Probe
 
 S = 1_000_000_000
 FIX = "drive_id long, seq long, t_ns long, source string, lat double, lon double, h_acc_m double, speed_mps double, bearing_deg double, is_mock boolean"
@@ -215,3 +217,48 @@ def test_throttle_keeps_changes_and_one_a_period(spark):
     rows = [(1, t * S, t, p) for t, p in ((0, "a"), (1, "a"), (2, "b"), (3, "b"), (13, "b"), (14, "b"))] + [(2, 0, 9, "a"), (None, 0, 10, "a")]
     t = spark.createDataFrame(rows, "drive_id long, t_ns long, seq long, plug string")
     assert sorted(r.seq for r in throttle.at_most_every(t, ["plug"], 10.0).collect()) == [0, 2, 9, 13]
+
+
+def test_near_pairs_of_any_cell_and_round_the_globe(spark):
+    points = spark.createDataFrame([(1, 50.0, 179.9999), (2, 50.0, 30.0), (3, None, 1.0)], "id long, lat double, lon double")
+    others = spark.createDataFrame([(7, 50.0, -179.9999), (8, 50.0009, 30.0), (9, 50.1, 30.0), (10, None, None)], "o_id long, o_lat double, o_lon double")
+    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
+    for cell in (0.0005, 0.01, 1.0):
+        got = sorted((r.id, r.o_id) for r in tables.near_pairs(points, others, d, 120.0, cell).collect())
+        assert got == [(1, 7), (2, 8)]
+
+
+def test_probe_opens_recovers_and_passes_through():
+    p = Probe()
+    for t in range(12):
+        p.on_status(t * S, True)
+        action = p.step(t * S)
+    assert p.phase == "WINDOW" and action == "NONE" and p.opened == 10 * S
+    p.on_verdict(12 * S, "GNSS", "REJECTED", {"INNOVATION_GATE"})  # says nothing
+    assert p.step(12 * S) == "NONE"
+    p.on_verdict(13 * S, "GNSS", "TRUSTED", set())
+    assert (p.step(13 * S), p.result, p.phase) == ("CLOSE", "RECOVERED", "IDLE")
+    p.on_status(72 * S, True)
+    assert p.step(72 * S) == "NONE"  # the pause lasts a minute
+    p.on_status(73 * S, True)
+    assert p.step(73 * S) == "OPEN"
+    p.on_verdict(74 * S, "GNSS", "TRUSTED", set())
+    assert (p.step(74 * S), p.phase) == ("HOLD", "PASSTHROUGH")
+    assert p.step(78 * S) == "NONE" and (p.step(79 * S), p.result) == ("CLOSE", "LOST")
+    q = Probe()
+    for t in range(11):
+        q.on_status(t * S, True)
+    assert q.step(10 * S) == "OPEN" and q.step(21 * S) == "NONE" and (q.step(22 * S), q.result, q.pause_s) == ("CLOSE", "FAILED", 120.0)
+
+
+def test_along_track_shift_of_a_bend(spark):
+    back = np.arange(0, 300, 5.0)
+    bend = lambda x: np.where(x < 110, 0.0, np.where(x < 150, (x - 110) / 40, 1.0))
+    got = matching.shift_of((back, bend(back - 12) + 0.3), (back, bend(back)))
+    assert got is not None and abs(got[0] - 12) <= 2 and got[2] < 2 and abs(got[3] - math.degrees(1.0)) < 1
+    assert matching.shift_of((back, back * 0), (back, back * 0)) is None  # straight roads tell nothing
+    assert matching.shift_of((back, np.sin(back / 4)), (back, bend(back))) is None
+    rows = [(i, float(b), float(v)) for i, shape in ((1, bend(back - 12)), (2, back * 0)) for b, v in zip(back, shape)]
+    road = [(i, float(b), float(v)) for i in (1, 2, 3) for b, v in zip(back, bend(back))]
+    out = matching.along_track(spark.createDataFrame(rows, "id long, back_m double, bearing double"), spark.createDataFrame(road, "id long, back_m double, bearing double")).collect()
+    assert [(r.id, abs(r.shift_m - 12) <= 2) for r in out] == [(1, True)]
