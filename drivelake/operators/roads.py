@@ -169,7 +169,7 @@ def project(points: DataFrame, edges: DataFrame, radius_m: float, lat0: float, l
     """keys, way_id, piece, distance_m, along_m, cross_m (right positive), bearing_deg, lat_on, lon_on: the nearest place of every segment within radius_m of each point (keys, lat, lon).
 
     Every edge lies in the grid cells of its box widened by the radius and a point in one cell, so a pair meets once; an equi-join by cell finds
-    them. Of places equally near the first edge wins.
+    them. Of places equally near, to a nanometre, the first edge wins.
     """
     px, py = geo.to_enu(F.lit(lat0), F.lit(lon0), F.col("lat"), F.col("lon"))
     cell = lambda c: F.floor(c / CELL_M)
@@ -179,7 +179,7 @@ def project(points: DataFrame, edges: DataFrame, radius_m: float, lat0: float, l
     t, d, side = geo.on_segment(F.col("_px"), F.col("_py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     met = q.join(e, ["_cx", "_cy"]).withColumns({"_t": t, "distance_m": d, "_side": side}).filter(F.col("distance_m") <= radius_m)
     on = [F.col("x0") + F.col("_t") * (F.col("x1") - F.col("x0")), F.col("y0") + F.col("_t") * (F.col("y1") - F.col("y0"))]
-    hit = F.struct("distance_m", "k", (F.col("along_m") + F.col("_t") * F.col("len_m")).alias("along_m"), F.col("_side").alias("cross_m"), "bearing_deg", on[0].alias("x"), on[1].alias("y"))
+    hit = F.struct(F.round("distance_m", 9).alias("_d"), "k", "distance_m", (F.col("along_m") + F.col("_t") * F.col("len_m")).alias("along_m"), F.col("_side").alias("cross_m"), "bearing_deg", on[0].alias("x"), on[1].alias("y"))
     best = met.groupBy(*keys, "way_id", "piece").agg(F.min(hit).alias("h"))
     e0, n0 = geo.plane_scale(F.lit(lat0))
     return best.select(*keys, "way_id", "piece", "h.distance_m", "h.along_m", "h.cross_m", "h.bearing_deg", (lat0 + F.degrees(F.col("h.y") / n0)).alias("lat_on"), geo.wrap_deg(lon0 + F.degrees(F.col("h.x") / e0)).alias("lon_on"))
