@@ -53,6 +53,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete stored tables that no later step reads, or the whole folder."""
+    for path in [f"{folder}/{n}" for n in names] or [folder]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 

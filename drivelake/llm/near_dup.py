@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored, windows, word_hashes, work_folder
+from .common import dropped, mix, stored, windows, word_hashes, work_folder
 
 #: MinHash samples of a set, and bits of the parity bitmap that they are folded into.
 SAMPLES, BITS = 512, 4096
@@ -155,6 +155,16 @@ def components(edges: DataFrame, work: str, name: str) -> DataFrame:
         now = stored(small.filter(F.col("a") != F.col("b")).distinct(), work, f"{name}-{i}")
 
 
+def _relabelled(labels: DataFrame, edges: DataFrame, work: str, name: str) -> DataFrame:
+    """Labels (k, component) after more edges: only the components that these join are walked through again."""
+    ends = edges.select(F.col("a").alias("k")).union(edges.select("b")).distinct()
+    every = labels.select("k", "component").union(ends.join(labels, "k", "left_anti").select("k", F.col("k").alias("component")))
+    of = lambda x: every.select(F.col("k").alias(x), F.col("component").alias(f"_{x}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b")
+    joined = components(between, work, name).select(F.col("k").alias("component"), F.col("component").alias("now"))
+    return every.join(joined, "component", "left").select("k", F.coalesce("now", "component").alias("component"))
+
+
 def _sift(pairs: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches are close and whose sets are of sizes that can fit."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -281,11 +291,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 continue
             break
         more = stored(_confirmed(pairs, sets_of(pairs, f"across-sets-{step}"), percent), work, f"edges-{step}")
-        edges, tried = edges.union(more), tried.union(pairs)
-        labels = components(edges, work, f"components-{step}")
+        tried = tried.union(pairs)
+        labels = stored(_relabelled(labels, more, work, f"components-{step}"), work, f"labels-{step}")
+    dropped(spark, work, "members", "star", "star-sets", "across-sets-1", "across-sets-2")
 
     rep = firsts.select("s1", "s2", F.col("k").alias("rep"))
-    out = signed.join(rep, ["s1", "s2"], "left").join(labels.select(F.col("k").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("k")).when(F.col("k").isNotNull(), F.coalesce("component", "rep", "k"))
-    out = out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    linked = usable.join(rep, ["s1", "s2"], "left").join(labels.select(F.col("k").alias("rep"), "component"), "rep", "left")
+    linked = linked.select("k", "n", F.coalesce("component", "rep", "k").alias("component_id"))
+    # Documents without words, and those without a key, go round the join: they all would be one key of it.
+    alone = signed.filter("n = 0 OR k IS NULL").select("k", "n", F.when(F.col("n") == 0, F.col("k")).alias("component_id"))
+    out = linked.unionByName(alone).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
