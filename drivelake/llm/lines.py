@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_folder
+from .common import dropped, stored, work_folder
 
 #: ASCII white space, as in the other operators, where it isn't one space already.
 _WS = r"[ \t\n\x0B\f\r][ \t\n\x0B\f\r]+|[\t\n\x0B\f\r]"
@@ -112,6 +112,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
     touched = groups.select("h1", "h2", "pos", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", F.col("pos").alias("first"), "near")
     gone = lines.select("k", "rid", "no", "h1", "h2").join(touched, ["h1", "h2"]).filter(F.col("near") | (pos != F.col("first")))
     gone = stored(gone.groupBy("rid", "k").agg(F.array_sort(F.collect_set("no")).alias("gone")), work, "gone")
+    dropped(docs.sparkSession, work, "lines", "groups", "texts", "variants")
 
     rid = F.xxhash64(F.col(f"d.`{key}`"), F.coalesce(F.col(f"d.`{text}`"), F.lit("")))
     hashed = gone.hint("shuffle_hash").alias("g")

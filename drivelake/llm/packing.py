@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, mix, stored, work_folder
+from .common import dropped, encoder, mix, stored, work_folder
 
 K1, B = 1.2, 0.75
 #: Neighbours that one look-up returns; the same seed is looked up again when they are used up.
@@ -180,6 +180,7 @@ def _placed(ids: DataFrame, df: np.ndarray, n: int, total: int, shard_bytes: int
     at = F.col("first") + F.pmod("least", "parts")
     large = sizes.join(plan, "leaf").groupBy(at.alias("shard")).agg(F.sum("size").alias("all")).filter(F.col("all") > 2 * shard_bytes)
     large = stored(large.select("shard", F.ceil(F.col("all") / shard_bytes).alias("pieces")), work, "large")  # small ones are sent to all, as their size is known then
+    dropped(spark, work, "sizes")
     found = found.join(plan, "leaf").withColumn("shard", at)
     piece = F.coalesce(F.pmod("h", "pieces"), F.lit(0))
     return found.join(large, "shard", "left").select((F.col("shard") + piece * (shard + 1)).alias("shard"), "k", "ids")
