@@ -88,7 +88,7 @@ class PieceModel:
             score.append(best)
             back.append(step)
             # At the start of a word all pieces before have ended: the paths meet there at once. Inside, looking now and then is enough.
-            if len(walks) > 1 and at % self.every:
+            if (len(walks) > 1 or at == 1) and at % self.every:
                 continue
             # Paths that can still win end here or where a piece is going on.
             live = {at, *(start for start, _ in walks)}
