@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
 columns of docs; the last returns the pieces of the packed sequences.
+
+Null and empty texts fail the quality rules and go; an empty table goes through as one. Rows with equal keys share one verdict of each stage; rows that
+agree in key and text are one document to them, so they stay or go together. Null keys are documents of their own.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivelake.llm.common import stored, work_folder
+from drivelake.llm.common import dropped, stored, work_folder
 from drivelake.llm.lines import dedup_lines
 from drivelake.llm.near_dup import near_duplicates
 from drivelake.llm.packing import pack_documents
@@ -47,10 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result but the last is written and read again."""
+    """All stages over the documents of sf_dir; each result but the last is written and read again, and dropped when the next one is written."""
     docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_folder(spark)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, work, name)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs = stored(stage(spark, docs, sf_dir), work, name)
+        if i:
+            dropped(spark, work, STAGES[i - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
