@@ -138,7 +138,7 @@ def record_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source by provider, synthetic fixes by flag or note, and unavailable values as null."""
     i = F.col("event_id")
     provider = F.element_at(F.array(*map(F.lit, ("gps", "network", "fused", "passive", "GPS", ""))), (i % 6 + 1).cast("int"))
-    extras = F.when(i % 5 == 1, F.create_map(F.lit("gpes.synthetic"), F.lit("1"))).when(i % 5 == 2, F.create_map(F.lit("gpes.synthetic"), F.lit("0"))).when(i % 5 == 3, F.create_map(F.lit("k"), F.lit("1")))
+    extras = F.when(i % 5 == 1, F.create_map(F.lit("synthetic"), F.lit("1"))).when(i % 5 == 2, F.create_map(F.lit("synthetic"), F.lit("0"))).when(i % 5 == 3, F.create_map(F.lit("k"), F.lit("1")))
     rssi = F.when(i % 3 == 0, F.lit((1 << 31) - 1)).otherwise((i % 100).cast("int"))
     cid = F.when(i % 4 == 0, F.lit((1 << 63) - 1)).otherwise(i)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

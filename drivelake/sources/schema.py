@@ -136,8 +136,8 @@ def source_of_provider(provider: Column) -> Column:
     return out
 
 
-def is_synthetic(is_mock: Column, extras: Column, key: str = "gpes.synthetic") -> Column:
-    """True for fixes that a test provider made, by their flag or their note."""
+def is_synthetic(is_mock: Column, extras: Column, key: str = "synthetic") -> Column:
+    """True for fixes that a test provider made, by their flag or by "1" under the key with which their recorder notes it."""
     return F.coalesce(is_mock, F.lit(False)) | F.coalesce(F.try_element_at(extras, F.lit(key)) == "1", F.lit(False))
 
 
