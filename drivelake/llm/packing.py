@@ -209,26 +209,38 @@ class Bm25:
         common = np.flatnonzero(np.diff(self.ends) * DENSE >= max(n, 1))
         self.row = np.full(VOCABULARY, -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n))
+        self.dense = np.zeros((len(common), n), np.float32)  # half the memory to read; equal documents keep equal scores
         at = self.row[by_term]
         self.dense[at[at >= 0], self.doc[at >= 0]] = self.weight[at >= 0]
+        self.live = np.arange(n)  # the documents that scores are made for
         self.last: tuple[int, np.ndarray] = (-1, np.empty(0))
 
+    def shrink(self, used: np.ndarray) -> None:
+        """Leave used documents out of the postings as soon as they are half of them: what is left has the same scores."""
+        keep = ~used[self.live]
+        if 2 * int(keep.sum()) > len(keep):
+            return
+        posted = keep[self.doc]
+        self.doc, self.weight = (np.cumsum(keep) - 1)[self.doc[posted]], self.weight[posted]
+        self.ends = np.concatenate([[0], np.cumsum(posted)])[self.ends]
+        self.dense, self.live, self.last = np.ascontiguousarray(self.dense[:, keep]), self.live[keep], (-1, np.empty(0))
+
     def scores(self, i: int) -> np.ndarray:
-        """The score of every document for all terms of document i that any other one has."""
+        """The score of every live document for all terms of document i that any other one has."""
         if self.last[0] != i:
             terms = self.term[self.own[i] : self.own[i + 1]]
             rows = self.row[terms]
             low, high = self.ends[terms[rows < 0]], self.ends[terms[rows < 0] + 1]
             size = high - low
             at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            self.last = i, np.bincount(self.doc[at], self.weight[at], self.n) + self.dense[rows[rows >= 0]].sum(0)
+            self.last = i, np.bincount(self.doc[at], self.weight[at], len(self.live)) + self.dense[rows[rows >= 0]].sum(0)
         return self.last[1]
 
     def neighbours(self, i: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with document i, by score, the smaller number first at ties."""
-        left = np.flatnonzero(~used)
-        score = self.scores(i)[left]
+        self.shrink(used)
+        left = np.flatnonzero(~used[self.live])
+        score, left = self.scores(i)[left], self.live[left]
         if len(left) > 4 * NEIGHBOURS:  # all that tie with the last one, too
             least = np.partition(score, len(left) - NEIGHBOURS)[len(left) - NEIGHBOURS]
             left, score = left[score >= least], score[score >= least]
