@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, html_text, licenses, lines, near_dup, neighbours, packing, pieces, quality, sharding, token_files
+from . import conversations, html_text, licenses, lines, near_dup, neighbours, packing, periods, pieces, quality, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -66,12 +66,21 @@ def op10_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op11_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.find_runs(_table(spark, sf_dir, "documents"), change=periods.planted)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_shape_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
     return conversations.repair_conversations(rows).withColumnRenamed("conv", "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op4_license_scan, op5_bm25_packing, op6_longest_first_shards, op7_piece_round_trip, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours, op13_shape_repair)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op4_license_scan, op5_bm25_packing, op6_longest_first_shards, op7_piece_round_trip, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours, op11_automaton_runs, op13_shape_repair)}
 
 #: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
 LINE_DEDUP_SQL = r"""
