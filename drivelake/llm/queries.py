@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, html_text, licenses, lines, near_dup, neighbours, packing, periods, pieces, quality, sharding, token_files
+from . import conversations, html_text, licenses, lines, near_dup, neighbours, packing, periods, pieces, quality, secrets, sharding, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -75,12 +75,20 @@ def op11_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_field_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 def op13_shape_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
     return conversations.repair_conversations(rows).withColumnRenamed("conv", "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op4_license_scan, op5_bm25_packing, op6_longest_first_shards, op7_piece_round_trip, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours, op11_automaton_runs, op13_shape_repair)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_wrapper_text, op3_odd_sketch_dedup, op4_license_scan, op5_bm25_packing, op6_longest_first_shards, op7_piece_round_trip, op8_weak_quality, op9_wavelet_token_files, op10_graph_neighbours, op11_automaton_runs, op12_field_secrets, op13_shape_repair)}
 
 #: Lines that one edit of a word apart begin or end with the same five words, so two equi-joins find all pairs.
 LINE_DEDUP_SQL = r"""
