@@ -79,8 +79,8 @@ def op12_field_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "model")
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
-    return out.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
 def op13_shape_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
