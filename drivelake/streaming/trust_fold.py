@@ -1,8 +1,8 @@
 """Stateful trust in location fixes: one step for each event, run over sorted partitions in batch and over keyed state in a stream.
 
 Events are fixes, and what fixes are held against: vehicle speeds, satellite statuses, provider events. The prediction is that of the estimator
-that holds the last trusted satellite fix. Checks against gyroscope and stillness need a motion history, which events alone don't give: they are
-operators.motion and operators.trust columns, not part of this fold.
+that holds the last trusted satellite fix, unless the caller has another one. Checks against gyroscope, stillness and odometry need a motion history
+(tracker.Tracker), which the fold of whole drives has (drive_fold); without one they are left out, as where a phone has no such sensors.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from drivelake.functions.geo import EARTH_RADIUS, R68_PER_SIGMA, WGS84_A, WGS84_E2
 from drivelake.operators.trust import BASE_CONFIDENCE, STATES
+from drivelake.streaming.tracker import Tracker
 
 #: The columns of events; rank orders kinds at equal times.
 EVENTS = (
-    "seq long, t_ns long, rank int, kind string, source string, provider string, lat double, lon double, h_acc_m double, speed_mps double, bearing_deg double, synthetic boolean, latency_s double, event string, used int, spread_db double"
+    "seq long, t_ns long, rank int, kind string, source string, provider string, lat double, lon double, h_acc_m double, speed_mps double, bearing_deg double, synthetic boolean, latency_s double, event string, used int, spread_db double, "
+    "x double, y double, z double, w double, speed_acc_mps double, bearing_acc_deg double"
 )
 COLUMNS = [c.split(" ")[0] for c in EVENTS.split(", ")]
 OUT = "seq long, t_ns long, source string, provider string, state string, confidence double, reasons string, innovation_nis double, implied_speed_mps double, late boolean"
@@ -65,6 +67,36 @@ class TrustRules:
     reset_after_outage_s: float = 10.0
     hold_acc_m: float = 10.0
     hold_growth_mps: float = 20.0
+    course_mps: float = 5.0
+    course_dt_s: float = 5.0
+    course_deg: float = 25.0
+    course_deg_per_s: float = 10.0
+    still_s: float = 3.0
+    still_mps: float = 3.0
+    vote_k: float = 3.0
+    vote_share: float = 0.05
+    vote_slack_m: float = 10.0
+    vote_age_s: float = 180.0
+    voters: int = 3
+    vote_floor_m: float = 50.0
+    vote_weighted: bool = True
+    vector_heading_deg: float = 15.0
+    vector_least_deg: float = 5.0
+    vector_k: float = 2.5
+    vector_no_satellite_s: float = 180.0
+    unconfirmed_reject: bool = False
+
+
+class Prediction(NamedTuple):
+    """An estimator's place at a time: covariance in the plane (east, north), heading clockwise from north where it is known."""
+
+    lat: float
+    lon: float
+    ee: float
+    en: float
+    nn: float
+    heading: float | None = None
+    heading_std: float | None = None
 
 
 class Event(NamedTuple):
@@ -84,6 +116,12 @@ class Event(NamedTuple):
     event: str | None = None
     used: int | None = None
     spread_db: float | None = None
+    x: float | None = None
+    y: float | None = None
+    z: float | None = None
+    w: float | None = None
+    speed_acc_mps: float | None = None
+    bearing_acc_deg: float | None = None
 
 
 # A fix in memory is the list [t_ns, lat, lon, acc, speed, bearing]: plain values, so that a state is JSON.
@@ -103,6 +141,11 @@ def _plane(a: list, b: list) -> tuple[float, float]:
     return math.radians(turn) * r * math.cos(math.radians(a[1])), math.radians(b[1] - a[1]) * r * (1 - WGS84_E2) / (1 - WGS84_E2 * s * s)
 
 
+def _half(degrees: float) -> float:
+    """An angle in (-180, 180]."""
+    return 180 - (180 - degrees) % 360
+
+
 def _or(x: float | None, other: float) -> float:
     return other if x is None else x
 
@@ -156,7 +199,67 @@ def is_echo(memory: dict, t_ns: int, rules: TrustRules) -> bool:
     return bool(memory.get("overridden")) or ("restored" in memory and (t_ns - memory["restored"]) / 1e9 < rules.echo_s)
 
 
-def _satellite_checks(memory: dict, own: dict, x: Event, fix: list, rules: TrustRules) -> tuple[list[tuple[str, int, float]], float | None, float | None, bool, bool]:
+def _held(memory: dict, t_ns: int, rules: TrustRules) -> Prediction | None:
+    """The last trusted satellite fix, with a radius that grows."""
+    if (held := memory.get("held")) is None:
+        return None
+    spread = ((_or(held[3], rules.hold_acc_m) + rules.hold_growth_mps * max(0.0, (t_ns - held[0]) / 1e9)) / R68_PER_SIGMA) ** 2
+    return Prediction(held[1], held[2], spread, 0.0, spread)
+
+
+def _motion_checks(own: dict, fix: list, motion: Tracker | None, rules: TrustRules) -> list[tuple[str, int, float]]:
+    """A course that the gyroscope doesn't confirm, and a speed while the car rests."""
+    hits, last = [], own["last_fix"]
+    if motion is None:
+        return hits
+    if last is not None and None not in (last[5], fix[5]) and min(_or(last[4], 0.0), _or(fix[4], 0.0)) >= rules.course_mps and 0 < (dt := (fix[0] - last[0]) / 1e9) <= rules.course_dt_s:
+        if (turn := motion.turn(last[0], fix[0])) is not None and abs(_half(fix[5] - last[5] - math.degrees(turn))) > rules.course_deg + rules.course_deg_per_s * dt:
+            hits.append(("COURSE_GYRO_MISMATCH", 1, 0.6))
+    if motion.still_s() >= rules.still_s and _or(fix[4], 0.0) > rules.still_mps:
+        hits.append(("MOVING_WHILE_STATIONARY", 1, 0.6))
+    return hits
+
+
+def _vote(memory: dict, a: list, b: list, motion: Tracker, predicted: Prediction | None, rules: TrustRules) -> tuple[bool, float] | None:
+    """Whether the way from fix a to fix b is as far as the car drove (where the heading is known without satellites: also in its direction),
+    and the vote's weight; None without odometry or accuracy."""
+    if None in (a[3], b[3]) or (odo := motion.odometry(a[0], b[0])) is None:
+        return None
+    way, chord, east, north, bearing = odo
+    sigmas = a[3] / R68_PER_SIGMA, b[3] / R68_PER_SIGMA
+    spread, slack = math.hypot(*sigmas), rules.vote_share * way + rules.vote_slack_m
+    weight = 1 / sum(max(s, rules.vote_floor_m) ** 2 for s in sigmas) if rules.vote_weighted else 1.0
+    last = [o["trusted"][0] for k, o in memory.get("sources", {}).items() if k in ("GNSS", "FUSED") and o["trusted"] is not None]
+    by_satellite = any((b[0] - t) / 1e9 <= rules.vector_no_satellite_s for t in last)
+    if predicted is not None and predicted.heading is not None and predicted.heading_std is not None and bearing is not None and math.degrees(predicted.heading_std) <= rules.vector_heading_deg and not by_satellite:
+        turn = predicted.heading - bearing
+        e, n = _plane(a, b)
+        off = math.hypot(e - (east * math.cos(turn) + north * math.sin(turn)), n - (north * math.cos(turn) - east * math.sin(turn)))
+        return off <= rules.vector_k * math.hypot(spread, chord * max(predicted.heading_std, math.radians(rules.vector_least_deg))) + slack, weight
+    return abs(_metres(a, b) - chord) <= rules.vote_k * spread + slack, weight
+
+
+def _odometry_vote(memory: dict, own: dict, fix: list, motion: Tracker | None, predicted: Prediction | None, rules: TrustRules) -> tuple[list[tuple[str, int, float]], list[int]]:
+    """What the last trusted coarse fixes say of a new one, and the times of fixes that it confirms if it is trusted.
+
+    The heavier side wins. Against a fix that follows its refused forerunner nothing is said; voters that nothing confirmed only dispute.
+    """
+    if motion is None:
+        return [], []
+    ask = lambda v: _vote(memory, v, fix, motion, predicted, rules)
+    votes = [(v[0], *said) for v in own["voters"] if (fix[0] - v[0]) / 1e9 <= rules.vote_age_s and (said := ask(v)) is not None]
+    agreeing, against = [t for t, yes, _ in votes if yes], [t for t, yes, _ in votes if not yes]
+    if sum(w for _, yes, w in votes if not yes) <= sum(w for _, yes, w in votes if yes):
+        return [], [*agreeing, fix[0]] if agreeing else []
+    last = own["last_fix"]
+    if last is not None and last != own["trusted"] and (said := ask(last)) is not None and said[0]:
+        return [], [fix[0]]
+    if rules.unconfirmed_reject or any(t in own["confirmed"] for t in against):
+        return [("COARSE_ODOMETRY_MISMATCH", 2, 1.0)], []
+    return [("COARSE_ODOMETRY_DISPUTED", 1, 0.5)], []
+
+
+def _satellite_checks(memory: dict, own: dict, x: Event, fix: list, motion: Tracker | None, predicted: Prediction | None, rules: TrustRules) -> tuple[list[tuple[str, int, float]], float | None, float | None, bool, bool]:
     """Hits, innovation, implied speed, agreement with the network and with the estimate of a satellite or fused fix."""
     hits, acc, late = [], x.h_acc_m, _or(x.latency_s, 0.0)
     if late > 2:
@@ -172,17 +275,18 @@ def _satellite_checks(memory: dict, own: dict, x: Event, fix: list, rules: Trust
             hits.append(("IMPOSSIBLE_VELOCITY", 2, 1.0))
         if None not in (last[4], fix[4]) and dt <= 5 and abs(fix[4] - last[4]) / max(dt, 0.2) > rules.max_accel_mps2:
             hits.append(("IMPOSSIBLE_ACCELERATION", 1, 0.6))
-    held = memory.get("held")
-    if held is not None and acc is not None:
-        radius = _or(held[3], rules.hold_acc_m) + rules.hold_growth_mps * max(0.0, (fix[0] - held[0]) / 1e9)
-        spread = (radius / R68_PER_SIGMA) ** 2 + (acc / R68_PER_SIGMA) ** 2
-        e, n = _plane(held, fix)
-        if spread > 0:
-            innovation = (e * e + n * n) / spread
+    here = None if predicted is None else [x.t_ns, predicted.lat, predicted.lon]
+    if here is not None and acc is not None:
+        noise = (acc / R68_PER_SIGMA) ** 2
+        ee, nn, en = predicted.ee + noise, predicted.nn + noise, predicted.en
+        e, n = _plane(here, fix)
+        if (det := ee * nn - en * en) > 0:
+            innovation = (nn * e * e - 2 * en * e * n + ee * n * n) / det
             if innovation > rules.gate_reject and math.hypot(e, n) >= rules.gate_reject_m:
                 hits.append(("INNOVATION_GATE", 2, 1.0))
             elif innovation > rules.gate_question:
                 hits.append(("INNOVATION_GATE", 1, 0.6))
+    hits += _motion_checks(own, fix, motion, rules)
     if _velocity_differs(own["recent"], fix, rules):
         hits.append(("VELOCITY_POSITION_MISMATCH", 1, 0.6))
     obd = memory.get("obd")
@@ -201,15 +305,18 @@ def _satellite_checks(memory: dict, own: dict, x: Event, fix: list, rules: Trust
             hits.append(("FEW_SATELLITES", 1, 0.7))
         if status[1] >= rules.uniform_satellites and status[2] < rules.uniform_db:
             hits.append(("CN0_UNIFORM", 0, 0.8))
-    agrees = held is not None and acc is not None and acc <= rules.agree_acc_m and obd_age > rules.agree_obd_s and _metres(held, fix) <= rules.agree_m
+    agrees = here is not None and acc is not None and acc <= rules.agree_acc_m and obd_age > rules.agree_obd_s and _metres(here, fix) <= rules.agree_m
     if agrees and any(r in OVERRIDDEN_BY_AGREEMENT for r, _, _ in hits):
         hits = [h for h in hits if h[0] not in OVERRIDDEN_BY_AGREEMENT] + [("AGREES_WITH_ESTIMATE", 0, 1.0)]
     return hits, innovation, implied, near_network, agrees
 
 
-def assess(memory: dict, x: Event, rules: TrustRules = TrustRules()) -> tuple[str, float, list[str], float | None, float | None]:
+def assess(
+    memory: dict, x: Event, rules: TrustRules = TrustRules(), motion: Tracker | None = None, predicted: Prediction | None | str = "held"
+) -> tuple[str, float, list[str], float | None, float | None]:
     """State, confidence, sorted reasons, innovation and implied speed of a fix; memory (plain JSON values) is changed in place.
 
+    motion tells turns, rest and odometry; predicted is the estimator's place at the fix's time (None: it has none), or that of the held fix.
     Our own output and fixes of replaced providers leave no trace in memory. After a rejection a source has to recover, unless a consistent
     stream of fixes resets it: after 120 s, or 15 s where the network agrees; streams that only the innovation gate questions after 10 s behind an outage.
     """
@@ -220,19 +327,26 @@ def assess(memory: dict, x: Event, rules: TrustRules = TrustRules()) -> tuple[st
         hits.append(("ECHO_OF_OUR_OUTPUT", 3, 0.0))
     if hits:
         return STATES[max(s for _, s, _ in hits)], 0.0, sorted({r for r, _, _ in hits}), None, None
-    own = memory.setdefault("sources", {}).setdefault(x.source, {"trusted": None, "recovery": 0, "first": None, "last": None, "recent": [], "previous": None, "outage": False, "q_first": None, "q_last": None, "q_outage": False})
+    own = memory.setdefault("sources", {}).setdefault(x.source, {
+        "trusted": None, "recovery": 0, "first": None, "last": None, "recent": [], "last_fix": None, "outage": False, "q_first": None, "q_last": None, "q_outage": False, "voters": [], "confirmed": [],
+    })
+    if predicted == "held":
+        predicted = _held(memory, x.t_ns, rules)
     fix = [x.t_ns, x.lat, x.lon, x.h_acc_m, x.speed_mps, x.bearing_deg]
     innovation = implied = None
     near_network = agrees = False
+    confirms: list[int] = []
     satellite = x.source in ("GNSS", "FUSED")
     if satellite:
-        hits, innovation, implied, near_network, agrees = _satellite_checks(memory, own, x, fix, rules)
+        hits, innovation, implied, near_network, agrees = _satellite_checks(memory, own, x, fix, motion, predicted, rules)
     elif x.source == "NETWORK":
         hits = [("STALE", 1, 0.5)] if _or(x.latency_s, 0.0) > 30 else []
         hits += [("NO_ACCURACY", 2, 1.0)] if x.h_acc_m is None else [("POOR_ACCURACY", 2, 1.0)] if x.h_acc_m > 5000 else []
+        said, confirms = _odometry_vote(memory, own, fix, motion, predicted, rules)
+        hits += said
     worst, reasons = max((s for _, s, _ in hits), default=0), {r for r, _, _ in hits}
-    outage = own["outage"] or own["previous"] is None or (fix[0] - own["previous"]) / 1e9 >= rules.outage_s
-    own["previous"], own["outage"] = fix[0], outage
+    outage = own["outage"] or own["last_fix"] is None or (fix[0] - own["last_fix"][0]) / 1e9 >= rules.outage_s
+    own["last_fix"], own["outage"] = fix, outage
     own["recent"] = [f for f in [*own["recent"], fix] if f[0] >= fix[0] - int(rules.velocity_window_s * 1.5 * 1e9)]
     reset = False
     wait = rules.reset_with_network_s if near_network else rules.reset_after_s
@@ -262,7 +376,8 @@ def assess(memory: dict, x: Event, rules: TrustRules = TrustRules()) -> tuple[st
     if reset:
         worst, reasons = 0, {"RESET_AFTER_CONSISTENT_STREAM"}
     if worst == 0:
-        own["trusted"], own["outage"] = fix, False
+        own["trusted"], own["outage"], own["voters"] = fix, False, [*own["voters"], fix][-rules.voters :]
+        own["confirmed"] = [t for t in {*own["confirmed"], *confirms} if any(v[0] == t for v in own["voters"])]
         if x.source == "GNSS":
             memory["held"] = fix
     if x.source == "NETWORK" and worst < 2:
@@ -283,7 +398,7 @@ def _judge(memory: dict, x: Event, rules: TrustRules) -> tuple | None:
 
 
 def events_of(locations: DataFrame, speeds: DataFrame | None = None, statuses: DataFrame | None = None, providers: DataFrame | None = None) -> DataFrame:
-    """drive_id and EVENTS from record tables: location (with synthetic and latency_s), vehicle_speed, gnss_status (with used and std_db), provider_event. Rows without drive, time or place are left out."""
+    """drive_id and EVENTS from record tables: location (with synthetic and latency_s), vehicle_speed, gnss_status (with used and std_db), provider_event. Rows without drive, time or place are left out; a status without a count has none in use, a speed without a number is left out."""
     def rows(df: DataFrame, kind: str, rank: int, **values) -> DataFrame:
         known = {"kind": F.lit(kind), "rank": F.lit(rank), "seq": F.col("seq"), "t_ns": F.col("t_ns")} | values
         columns = [known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ") for c in EVENTS.split(", "))]
@@ -291,11 +406,11 @@ def events_of(locations: DataFrame, speeds: DataFrame | None = None, statuses: D
 
     c = F.col
     fixes = locations.filter("lat IS NOT NULL AND lon IS NOT NULL")
-    out = rows(fixes, "location", 13, **{n: c(n) for n in ("source", "provider", "lat", "lon", "h_acc_m", "speed_mps", "bearing_deg", "synthetic", "latency_s")})
+    out = rows(fixes, "location", 13, **{n: c(n) for n in ("source", "provider", "lat", "lon", "h_acc_m", "speed_mps", "bearing_deg", "synthetic", "latency_s", "speed_acc_mps", "bearing_acc_deg") if n in locations.columns})
     if speeds is not None:
-        out = out.unionByName(rows(speeds, "vehicle_speed", 12, speed_mps=c("speed_mps")))
+        out = out.unionByName(rows(speeds.filter("speed_mps IS NOT NULL"), "vehicle_speed", 12, speed_mps=c("speed_mps"), **({"speed_acc_mps": c("std_mps")} if "std_mps" in speeds.columns else {})))
     if statuses is not None:
-        out = out.unionByName(rows(statuses, "gnss_status", 5, used=c("used"), spread_db=F.coalesce("std_db", F.lit(0.0))))
+        out = out.unionByName(rows(statuses, "gnss_status", 5, used=F.coalesce("used", F.lit(0)), spread_db=F.coalesce("std_db", F.lit(0.0))))
     if providers is not None:
         out = out.unionByName(rows(providers, "provider", 2, provider=c("provider"), event=c("event")))
     return out
