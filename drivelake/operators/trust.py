@@ -54,23 +54,23 @@ def network_check(lat: str, lon: str, acc: str, t: str, max_age_s: float = 120.0
 # Checks against other records, as columns. Each wants the other record's values as of the fix (tracks.as_of).
 
 
-def provider_state(fixes: DataFrame, events: DataFrame, echo_s: float = 10.0) -> DataFrame:
+def provider_state(fixes: DataFrame, events: DataFrame, echo_s: float = 10.0, strict: bool = False) -> DataFrame:
     """Adds replaced (the fix's provider is overridden) and echo (a fused fix may repeat our output) to fixes (drive_id, t_ns, seq, source, provider).
 
-    events: drive_id, t_ns, seq, provider, event. At equal times events come first. A restore counts only for a provider that was overridden; for
+    events: drive_id, t_ns, seq, provider, event. At equal times events come first, unless strict. A restore counts only for a provider that was overridden; for
     echo_s after the last one, and while any provider is overridden, fused fixes are echoes.
     """
     e = events.filter(F.col("event").isin("OVERRIDDEN", "RESTORED")).select("drive_id", "t_ns", "seq", "provider", (F.col("event") == "OVERRIDDEN").alias("_on"), F.lit(0).alias("_k"))
     own = Window.partitionBy("drive_id", "provider").orderBy("t_ns", "_k", "seq")
     before = F.coalesce(F.lag("_on").over(own), F.lit(False))
     e = e.withColumn("_change", F.when(F.col("_on") & ~before, 1).when(~F.col("_on") & before, -1).otherwise(0))
-    rows = fixes.select("drive_id", "t_ns", "seq", "provider", F.struct(*fixes.columns).alias("_fix"), F.lit(1).alias("_k")).unionByName(e, allowMissingColumns=True)
+    rows = fixes.select("drive_id", "t_ns", "seq", "provider", F.struct(*fixes.columns).alias("_fix"), F.lit(-1 if strict else 1).alias("_k")).unionByName(e, allowMissingColumns=True)
     rows = rows.withColumn("replaced", F.coalesce(F.last("_on", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
     every = Window.partitionBy("drive_id").orderBy("t_ns", "_k", "seq").rowsBetween(Window.unboundedPreceding, 0)
     open_ = F.coalesce(F.sum("_change").over(every), F.lit(0))
     restored = F.max(F.when(F.col("_change") == -1, F.col("t_ns"))).over(every)
     mixed = (open_ > 0) | F.coalesce((F.col("t_ns") - restored) / F.lit(1e9) < echo_s, F.lit(False))
-    rows = rows.withColumn("_mixed", mixed).filter("_k = 1")
+    rows = rows.withColumn("_mixed", mixed).filter("_k <> 0")
     return rows.select("_fix.*", "replaced", (F.coalesce(F.col("_fix.source") == "FUSED", F.lit(False)) & F.col("_mixed") & ~F.col("replaced")).alias("echo"))
 
 
@@ -105,16 +105,21 @@ def agrees_with_estimate(distance_m: Column, acc: Column, obd_age_s: Column) ->
     return F.coalesce((distance_m <= 100) & (acc <= 30) & (obd_age_s.isNull() | (obd_age_s > 10)), F.lit(False))
 
 
-def source_states(ticks: DataFrame, verdicts: DataFrame, silent_s: float = 5.0) -> DataFrame:
-    """drive_id, t_ns, source, state at each tick for the sources of its drive: the last verdict's state, UNAVAILABLE after silent_s without one.
+def source_states(ticks: DataFrame, verdicts: DataFrame, events: DataFrame, silent_s: float = 5.0, echo_s: float = 10.0) -> DataFrame:
+    """drive_id, t_ns, source, state at each tick for the sources of its drive, from what came before the tick (not at it).
 
-    verdicts: drive_id, t_ns, seq, source, state. Ticks before a source's first verdict are UNAVAILABLE. Replaced and echoed fixes have UNAVAILABLE
-    verdicts already.
+    verdicts: drive_id, t_ns, seq, source, provider, state, synthetic; events as in provider_state. Our own output (synthetic fixes, those of a
+    replaced provider, echoes) leaves a source's state alone. The state is that of the last other verdict; it is UNAVAILABLE without one of the
+    last silent_s, while the provider of that fix is replaced, and for fused sources while they may repeat our output. A null synthetic counts as
+    false; an empty table gives an empty result.
     """
     sources = verdicts.select("drive_id", "source").distinct()
-    t = ticks.select("drive_id", "t_ns").join(sources, "drive_id").withColumns({"_k": F.lit(1), "seq": F.lit(None).cast("long")})
-    v = verdicts.select("drive_id", "t_ns", "seq", "source", F.struct("t_ns", "state").alias("_v"), F.lit(0).alias("_k"))
+    seen = provider_state(verdicts, events, echo_s).filter(~F.coalesce("synthetic", F.lit(False)) & ~F.col("replaced") & ~F.col("echo"))
+    t = ticks.select("drive_id", "t_ns").join(sources, "drive_id").withColumns({"_k": F.lit(0), "seq": F.lit(None).cast("long")})
+    v = seen.select("drive_id", "t_ns", "seq", "source", F.struct("t_ns", "state", "provider").alias("_v"), F.lit(1).alias("_k"))
     w = Window.partitionBy("drive_id", "source").orderBy("t_ns", "_k", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = v.unionByName(t, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_k = 1")
-    fresh = (F.col("t_ns") - F.col("_last.t_ns")) / F.lit(1e9) <= silent_s
-    return both.select("drive_id", "t_ns", "source", F.when(fresh, F.col("_last.state")).otherwise("UNAVAILABLE").alias("state"))
+    both = v.unionByName(t, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_k = 0")
+    at = both.select("drive_id", "t_ns", "seq", "source", F.col("_last.provider").alias("provider"), F.col("_last.t_ns").alias("_t"), F.col("_last.state").alias("_state"))
+    at = provider_state(at, events, echo_s, strict=True)
+    fresh = F.coalesce((F.col("t_ns") - F.col("_t")) / F.lit(1e9) <= silent_s, F.lit(False)) & ~F.col("replaced") & ~F.col("echo")
+    return at.select("drive_id", "t_ns", "source", F.when(fresh, F.col("_state")).otherwise("UNAVAILABLE").alias("state"))

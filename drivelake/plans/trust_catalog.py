@@ -64,15 +64,27 @@ def fix_against_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query(f"""WITH {FIX_SQL}, v AS (SELECT drive_id, t_ns, seq, source, CASE WHEN h_acc_m > 150 THEN 'REJECTED' WHEN h_acc_m > 30 THEN 'QUESTIONABLE' ELSE 'TRUSTED' END AS state FROM fix), s AS (SELECT DISTINCT drive_id, source FROM fix),
-    t AS (SELECT drive_id, unnest(generate_series((a + 9999999999) // 10000000000 * 10000000000, b, 10000000000)) AS t_ns FROM (SELECT drive_id, min(t_ns) AS a, max(t_ns) AS b FROM fix GROUP BY drive_id)),
-    o AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY drive_id, source, t_ns ORDER BY seq DESC) AS k FROM v) WHERE k = 1), x AS (SELECT t.drive_id, t.t_ns, s.source FROM t JOIN s USING (drive_id))
-    SELECT x.drive_id, x.t_ns, x.source, CASE WHEN x.t_ns - o.t_ns <= 5000000000 THEN o.state ELSE 'UNAVAILABLE' END AS state FROM x ASOF LEFT JOIN o ON x.drive_id = o.drive_id AND x.source = o.source AND x.t_ns >= o.t_ns""")
+_SWITCH_SQL = "ev AS (SELECT *, event = 'OVERRIDDEN' AS o FROM v_provider_event WHERE event IN ('OVERRIDDEN', 'RESTORED')), ch AS (SELECT *, CASE WHEN o AND NOT coalesce(lag(o) OVER w, false) THEN 1 WHEN NOT o AND coalesce(lag(o) OVER w, false) THEN -1 ELSE 0 END AS d FROM ev WINDOW w AS (PARTITION BY drive_id, provider ORDER BY t_ns, seq))"
+
+
+def _switched(rows: str, before: str) -> str:
+    """Whether a row's provider is replaced (r), how many are (n), and when one was given back last (b), by events before (or at) it."""
+    hit = f"FROM ch e WHERE e.drive_id = l.drive_id AND e.t_ns {before} l.t_ns"
+    return f"SELECT l.*, coalesce((SELECT arg_max(o, {{'t': e.t_ns, 's': e.seq}}) {hit} AND e.provider = l.provider), false) AS r, coalesce((SELECT sum(d) {hit}), 0) AS n, (SELECT max(e.t_ns) {hit} AND d = -1) AS b FROM {rows} l"
+
+
+@_query(f"""WITH {flat_sql('location', 'provider_event')}, {_SWITCH_SQL}, f AS ({_switched('v_location', '<=')}),
+    v AS (SELECT drive_id, t_ns, seq, source, provider, CASE WHEN h_acc_m > 150 THEN 'REJECTED' WHEN h_acc_m > 30 THEN 'QUESTIONABLE' ELSE 'TRUSTED' END AS state FROM f WHERE NOT is_mock AND NOT r AND NOT (source = 'FUSED' AND (n > 0 OR coalesce(t_ns - b < 10000000000, false)))),
+    o AS (SELECT * EXCLUDE (k), t_ns AS vt FROM (SELECT *, row_number() OVER (PARTITION BY drive_id, source, t_ns ORDER BY seq DESC) AS k FROM v) WHERE k = 1),
+    t AS (SELECT drive_id, unnest(generate_series((a + 9999999999) // 10000000000 * 10000000000, b, 10000000000)) AS t_ns FROM (SELECT drive_id, min(t_ns) AS a, max(t_ns) AS b FROM v_location GROUP BY drive_id)),
+    x AS (SELECT t.drive_id, t.t_ns, s.source FROM t JOIN (SELECT DISTINCT drive_id, source FROM v_location) s USING (drive_id)),
+    y AS (SELECT x.*, o.provider, o.state, o.vt FROM x ASOF LEFT JOIN o ON x.drive_id = o.drive_id AND x.source = o.source AND x.t_ns > o.t_ns), z AS ({_switched('y', '<')})
+    SELECT drive_id, t_ns, source, CASE WHEN t_ns - vt <= 5000000000 AND NOT r AND NOT (source = 'FUSED' AND (n > 0 OR coalesce(t_ns - b < 10000000000, false))) THEN state ELSE 'UNAVAILABLE' END AS state FROM z""")
 def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source's state each ten seconds, by accuracy."""
-    f = fix_view(spark, sf_dir)
-    v = f.select("drive_id", "t_ns", "seq", "source", F.when(F.col("h_acc_m") > 150, "REJECTED").when(F.col("h_acc_m") > 30, "QUESTIONABLE").otherwise("TRUSTED").alias("state"))
-    return trust.source_states(tracks.tick_grid(f, 10.0), v)
+    """Every source's state each ten seconds, by accuracy, with synthetic fixes and replaced providers."""
+    f = flat_view(spark, sf_dir, "location")
+    v = f.select("drive_id", "t_ns", "seq", "source", "provider", F.col("is_mock").alias("synthetic"), F.when(F.col("h_acc_m") > 150, "REJECTED").when(F.col("h_acc_m") > 30, "QUESTIONABLE").otherwise("TRUSTED").alias("state"))
+    return trust.source_states(tracks.tick_grid(f, 10.0), v, flat_view(spark, sf_dir, "provider_event"))
 
 
 @_query(f"""WITH {flat_sql('power', 'wifi_scan', 'wifi_ap')}, w AS (SELECT drive_id, t_ns, seq, seen_ns, max(seen_ns) OVER (PARTITION BY drive_id ORDER BY t_ns RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM (SELECT drive_id, t_ns, seq, t_ns - (seq % 1000) * 40000000000 AS seen_ns FROM v_wifi_ap)) SELECT drive_id, t_ns, seq, 'wifi' AS type FROM w WHERE p IS NULL OR seen_ns > p""")

@@ -6,6 +6,7 @@ lacks count as empty.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -244,23 +245,51 @@ CLOCK_COLUMNS = "time_nanos,leap_second,time_unc_nanos,full_bias_nanos,bias_nano
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of drives by the path's extension: .jsonl (a file or a pattern), .sqlite or .db bundles, else a folder of Parquet tables by kind."""
+    """All tables of drives by the path's extension: .jsonl (a file or a pattern), .sqlite or .db bundles, else a folder of Parquet tables by kind.
+
+    Kinds that a folder lacks are empty tables; a folder with none of them is an error.
+    """
     from drivelake.sources.bundle import read_bundles
 
     if path.rstrip("/").endswith((".jsonl", ".jsonl.gz")):
         return read_json_lines(spark, path)
     if path.endswith((".sqlite", ".db", ".drive")):
         return read_bundles(spark, path)
-    return {t: spark.read.schema(k.ddl).parquet(f"{path}/{t}") for t, k in KINDS.items()}
+    found = [t for t in KINDS if _exists(spark, f"{path}/{t}")]
+    if not found:
+        raise FileNotFoundError(f"no record tables below {path}")
+    return {t: spark.read.schema(k.ddl).parquet(f"{path}/{t}").select(*_columns(k)) if t in found else spark.createDataFrame([], k.ddl) for t, k in KINDS.items()}
+
+
+def _columns(kind: Kind) -> list[str]:
+    """All columns in their own order: partition columns come last from a read."""
+    return ["drive_id", "seq", "t_ns", *kind.names]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Replaces what is at the path: JSON lines for .jsonl, else a folder of Parquet tables by kind, each partitioned by drive."""
+    """Replaces the kinds that tables hold at the path: JSON lines for .jsonl, else a folder of Parquet tables by kind, each partitioned by drive.
+
+    Parquet tables are all written aside and then take their places, so tables that were loaded from the path may be saved to it.
+    """
     if path.rstrip("/").endswith(".jsonl"):
         write_json_lines(tables, path)
         return
+    aside = f"_new-{uuid.uuid4().hex}"
+    for t, df in tables.items():
+        df.repartition("drive_id").write.partitionBy("drive_id").parquet(f"{path}/{aside}/{t}")
     for t, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{t}")
+        spark = df.sparkSession
+        new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}/{aside}/{t}", f"{path}/{t}"))
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"{new} could not become {old}")
+        fs.delete(new.getParent(), False) if not fs.listStatus(new.getParent()) else None
 
 
 def route(estimates: DataFrame, fixes: DataFrame, max_acc_m: float = 100.0) -> DataFrame:
