@@ -6,7 +6,9 @@ Tables have drive_id, t_ns, seq; windows are by drive. Null samples are left out
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,3 +240,40 @@ def outside_intervals(rows: DataFrame, intervals: DataFrame) -> DataFrame:
     t = F.col("t_ns")
     both = rows.join(every, "drive_id", "left")
     return both.filter(F.col("_iv").isNull() | ~F.exists("_iv", lambda i: (t >= i["from_ns"]) & (t <= i["until_ns"]))).select(*rows.columns)
+
+
+def low_pass(samples: DataFrame, columns: list[str], tau_s: float, most_s: float = 0.5) -> DataFrame:
+    """samples with smooth_<column>: each sample moves it by 1 - exp(-step / tau_s) of its distance; the first one is where it begins.
+
+    Steps are as irregular as the samples, and at most most_s; values are no window frame, so each drive's rows stream through a task in the order
+    (t_ns, seq) with one number a column kept. Rows where a column is null keep what was before. An empty table gives an empty result.
+    """
+    kinds = ", ".join(f"`{c}` {t}" for c, t in samples.dtypes) + "".join(f", `smooth_{c}` double" for c in columns)
+    at = {c: samples.columns.index(c) for c in ("drive_id", "t_ns", *columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drive, last, now = None, 0, [None] * len(columns)
+        for b in batches:
+            keys, times = b.column(at["drive_id"]).to_pylist(), b.column(at["t_ns"]).to_pylist()
+            out = [[] for _ in columns]
+            for key, t, *values in zip(keys, times, *(b.column(at[c]).to_pylist() for c in columns)):
+                if key != drive:
+                    drive, last, now = key, t, [None] * len(columns)
+                share = 1 - math.exp(-min(max((t - last) / 1e9, 0.0), most_s) / tau_s)
+                last = t
+                for i, v in enumerate(values):
+                    if v is not None:
+                        now[i] = v if now[i] is None else now[i] + (v - now[i]) * share
+                    out[i].append(now[i])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64()) for x in out)], [*b.schema.names, *(f"smooth_{c}" for c in columns)])
+
+    return samples.repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "seq").mapInArrow(run, kinds)
+
+
+def net_tilt(gyro: DataFrame, window_s: float = 3.0) -> DataFrame:
+    """gyro (drive_id, t_ns, seq, x, y: rates about the horizontal axes) with tilt_rad: the net rotation over the last window_s. A step lasts from the row before, 0.2 s at most."""
+    w = by_drive()
+    dt = F.least(F.coalesce((F.col("t_ns") - F.lag("t_ns").over(w)) / F.lit(1e9), F.lit(0.0)), F.lit(0.2))
+    frame = Window.partitionBy("drive_id").orderBy("t_ns").rangeBetween(-int(window_s * SECOND), 0)
+    steps = gyro.withColumns({"_x": F.col("x") * dt, "_y": F.col("y") * dt})
+    return steps.withColumn("tilt_rad", F.hypot(F.sum("_x").over(frame), F.sum("_y").over(frame))).drop("_x", "_y")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivelake.functions import geo
+from drivelake.operators import motion, tracks
 
 #: The states from best to worst, and what each leaves of the confidence.
 STATES = ("TRUSTED", "QUESTIONABLE", "REJECTED", "UNAVAILABLE")
@@ -123,3 +124,37 @@ def source_states(ticks: DataFrame, verdicts: DataFrame, events: DataFrame, sile
     at = provider_state(at, events, echo_s, strict=True)
     fresh = F.coalesce((F.col("t_ns") - F.col("_t")) / F.lit(1e9) <= silent_s, F.lit(False)) & ~F.col("replaced") & ~F.col("echo")
     return at.select("drive_id", "t_ns", "source", F.when(fresh, F.col("_state")).otherwise("UNAVAILABLE").alias("state"))
+
+
+def coarse_votes(fixes: DataFrame, reckoned: DataFrame, voters: int = 3, most_s: float = 180.0) -> DataFrame:
+    """What the last trusted coarse fixes of a drive say of each one: drive_id, seq, n_votes, weight_for, weight_against, disputed.
+
+    fixes: drive_id, t_ns, seq, lat, lon, h_acc_m, trusted; reckoned as motion.dead_reckoning gives it. A voter is a trusted fix before (not at) the
+    fix's time, one of the last `voters`, at most most_s old; it agrees where the way between both fixes is as long as the chord that the car drove, give or
+    take three sigmas, a twentieth of the way and ten metres. Votes weigh one over the sum of both variances, 50 m at least. Voters without
+    odometry or accuracy don't vote. Fixes without votes are not disputed.
+    """
+    w = Window.partitionBy("drive_id").orderBy("t_ns", "seq").rowsBetween(1 - voters, 0)
+    names = ("t_ns", "lat", "lon", "h_acc_m")
+    kept = fixes.filter("trusted").withColumn("_voters", F.collect_list(F.struct(*names)).over(w))
+    asked = tracks.as_of(fixes.select("drive_id", "t_ns", "seq", "lat", "lon", "h_acc_m"), kept, {"_voters": F.col("_voters")}, strict=True)
+    pairs = asked.select("*", F.posexplode("_voters").alias("_i", "_v")).filter((F.col("t_ns") - F.col("_v.t_ns")) / F.lit(1e9) <= most_s)
+    pairs = pairs.withColumn("id", F.col("seq") * voters + F.col("_i"))
+    odo = motion.way_between(pairs.select("drive_id", "id", F.col("_v.t_ns").alias("t1"), F.col("t_ns").alias("t2")), reckoned)
+    s = [geo.sigma_of_r68(c) for c in (F.col("_v.h_acc_m"), F.col("h_acc_m"))]
+    slack = 0.05 * F.col("way_m") + 10
+    near = F.abs(geo.haversine_m(F.col("_v.lat"), F.col("_v.lon"), F.col("lat"), F.col("lon")) - F.col("chord_m")) <= 3 * F.sqrt(s[0] * s[0] + s[1] * s[1]) + slack
+    floor = [F.greatest(x, F.lit(50.0)) for x in s]
+    weight = 1 / (floor[0] * floor[0] + floor[1] * floor[1])
+    told = pairs.join(odo, ["drive_id", "id"]).withColumns({"_agrees": near, "_w": weight}).filter("_agrees IS NOT NULL")
+    sums = told.groupBy("drive_id", "seq").agg(F.count("*").alias("n_votes"), F.sum(F.when(F.col("_agrees"), F.col("_w")).otherwise(0.0)).alias("weight_for"), F.sum(F.when(F.col("_agrees"), 0.0).otherwise(F.col("_w"))).alias("weight_against"))
+    out = fixes.select("drive_id", "seq").join(sums, ["drive_id", "seq"], "left").fillna(0, ["n_votes", "weight_for", "weight_against"])
+    return out.withColumn("disputed", F.col("weight_against") > F.col("weight_for"))
+
+
+def verdict_fixes(verdicts: DataFrame, fixes: DataFrame) -> DataFrame:
+    """fixes with the state of the verdict of their time and source; the last fix of equal ones takes it, the others and those without a verdict have null."""
+    last = Window.partitionBy("drive_id", "t_ns", "source").orderBy(F.desc("seq"))
+    one = verdicts.groupBy("drive_id", "t_ns", "source").agg(F.max_by("state", "seq").alias("state"))
+    rows = fixes.withColumn("_n", F.row_number().over(last)).join(one, ["drive_id", "t_ns", "source"], "left")
+    return rows.select(*fixes.columns, F.when(F.col("_n") == 1, F.col("state")).alias("state"))

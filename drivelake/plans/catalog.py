@@ -419,6 +419,6 @@ def tile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix_view(spark, sf_dir).groupBy(geo.tile_key(F.col("lat"), F.col("lon")).alias("tile")).agg(F.count("*").alias("n"))
 
 
-from drivelake.plans import motion_catalog, record_catalog, replay_catalog, road_catalog, trip_catalog, trust_catalog  # noqa: E402, F401  (they add their queries)
+from drivelake.plans import fold_catalog, motion_catalog, record_catalog, replay_catalog, road_catalog, trip_catalog, trust_catalog  # noqa: E402, F401  (they add their queries)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

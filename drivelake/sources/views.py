@@ -20,6 +20,10 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "imu": ("i % 2 = 0", None, {
         "kind": "CASE i % 6 WHEN 0 THEN 'ACCEL' WHEN 2 THEN 'GYRO' ELSE 'MAG_UNCAL' END", "x": "(i * 17 % 401) / 20.0::DOUBLE - 10", "y": "(i * 29 % 401) / 20.0::DOUBLE - 10", "z": "(i * 43 % 401) / 20.0::DOUBLE - 10",
         "bx": "CASE WHEN i % 6 = 4 THEN (i % 7) / 10.0::DOUBLE END", "by": "CASE WHEN i % 6 = 4 THEN (i % 5) / 10.0::DOUBLE END", "bz": "CASE WHEN i % 12 = 4 THEN (i % 3) / 10.0::DOUBLE END", "accuracy": "CAST(i % 4 AS INT)"}),
+    "phone_imu": ("true", "16", {
+        "kind": "CASE WHEN j % 2 = 1 THEN 'ACCEL' ELSE 'GYRO' END", "x": "CASE WHEN j % 2 = 1 THEN (i * 17 + j * 5) % 21 / 100.0::DOUBLE - 0.1::DOUBLE ELSE ((i * 7 + j) % 11 - 5) / 1000.0::DOUBLE END",
+        "y": "CASE WHEN j % 2 = 1 THEN (i * 29 + j * 3) % 21 / 100.0::DOUBLE - 0.1::DOUBLE ELSE ((i * 5 + j) % 11 - 5) / 1000.0::DOUBLE END",
+        "z": "CASE WHEN j % 2 = 1 THEN 9.75::DOUBLE + (i * 13 + j * 7) % 13 / 100.0::DOUBLE ELSE (i * 11 % 41 - 20) / 100.0::DOUBLE END"}),
     "orientation": ("i % 5 = 0", None, {
         "kind": "CASE i % 3 WHEN 0 THEN 'ROTATION_VECTOR' ELSE 'GAME_ROTATION_VECTOR' END", "qw": "cos(i % 628 / 100.0::DOUBLE)", "qx": "sin(i % 628 / 100.0::DOUBLE) * 0.6::DOUBLE", "qy": "sin(i % 628 / 100.0::DOUBLE) * 0.48::DOUBLE",
         "qz": "sin(i % 628 / 100.0::DOUBLE) * 0.64::DOUBLE", "heading_acc_rad": "CASE WHEN i % 10 = 0 THEN 0.2::DOUBLE END"}),
@@ -70,6 +74,19 @@ def flat_sql(*tables: str) -> str:
     return ", ".join(out)
 
 
+#: Samples of a phone's sensors: eight of each kind from each row on, 20 ms apart.
+PHONE_TIME = "t_ns + (seq % 1000 - 1) {div} 2 * 20000000 + (seq + 1) % 2 * 1000"
+
+
+def phone_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drive_id (a number), seq, t_ns, kind, x, y, z."""
+    return flat_view(spark, sf_dir, "phone_imu").selectExpr("CAST(drive_id AS BIGINT) AS drive_id", "seq", f"{PHONE_TIME.format(div='div')} AS t_ns", "kind", "x", "y", "z")
+
+
+def phone_sql() -> str:
+    return flat_sql("phone_imu") + f", phone AS (SELECT CAST(drive_id AS BIGINT) AS drive_id, seq, {PHONE_TIME.format(div='//')} AS t_ns, kind, x, y, z FROM v_phone_imu)"
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session for each drive, begun at its first row."""
     s = fix_view(spark, sf_dir).groupBy("drive_id").agg(F.min("t_ns").alias("t_ns"))
