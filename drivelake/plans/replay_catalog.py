@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivelake.functions import geo
 from drivelake.operators import metrics, replay, scenario, tracks
 from drivelake.plans.registry import _hav, _query, _r, _wrap
-from drivelake.plans.trust_catalog import fold_events
+from drivelake.plans.trust_catalog import fold_tables
 from drivelake.sources.fixes import FIX_SQL, fix_view
 from drivelake.sources.scratch import scratch_folder, stored
+from drivelake.sources.views import phone_samples
+from drivelake.streaming.drive_fold import estimates_of, fold_batch, fold_events_of, verdicts_of
 from drivelake.streaming.trust_fold import trust_batch
 
 _STEPS = [scenario.Step("drop_source", 100, 60, drop_raw=False), scenario.Step("offset", 250, 200, east_m=600, ramp_s=30)]
@@ -107,35 +111,64 @@ def replay_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def replay_runs(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("clean", "gnss_drop_2min", "gnss_jump_5km", "gnss_teleport_country")) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ticks, verdicts and summaries of every drive under named scenarios, with the full fold and the estimator that holds the last trusted fix.
+def replay_runs(spark: SparkSession, sf_dir: str, cells: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ticks, verdicts and summaries of every drive in cells (scenario, variant), with drive, scenario and variant.
 
-    A run's key is "drive|scenario"; the scenarios are configuration, and each run is folded for itself, so runs are spread over all tasks.
+    A run's key is "drive|scenario|variant". The steps of both act on fixes and on the other records (a dropped source takes its statuses along),
+    so a run's events are made from tables that are read once, without a join. Each run is folded for itself: runs are spread over all tasks.
+    Held fixes come from the fold of trust and an as-of join at ticks; the filter's estimates come from the fold of whole drives.
     """
     work = scratch_folder(spark)
-    events, fixes = stored(fold_events(spark, sf_dir), work, "events"), stored(fix_view(spark, sf_dir).withColumn("provider", F.lower("source")), work, "fixes")
-    truth = stored(replay.truth_track(trust_batch(events), fixes, 30.0), work, "truth")
+    tables = {t: stored(df, work, t) for t, df in fold_tables(spark, sf_dir).items()}
+    imu = phone_samples(spark, sf_dir)
+    fixes = tables["location"]
+    truth = stored(replay.truth_track(trust_batch(fold_events_of(tables)), fixes, 30.0), work, "truth")
     spans = fixes.groupBy("drive_id").agg(F.min("t_ns").alias("t0_ns"), F.max("t_ns").alias("end_ns"))
-    run = lambda df, name: df.withColumn("drive_id", F.concat_ws("|", F.col("drive_id").cast("string"), F.lit(name)))
+    starts = stored(spans, work, "spans")
     parts: dict[str, DataFrame] = {}
-    for name in names:
-        steps = scenario.SCENARIOS[name]
+    for name, variant in cells:
+        run = lambda df: df.withColumn("drive_id", F.concat_ws("|", F.col("drive_id").cast("string"), F.lit(name), F.lit(variant)))  # noqa: B023, E731
+        v = scenario.VARIANTS[variant]
+        steps = [*scenario.SCENARIOS[name], *v.steps]
         moved = scenario.apply_steps(fixes, steps)
-        kept = events.filter("kind <> 'location'").unionByName(events.filter("kind = 'location'").drop("lat", "lon", "h_acc_m", "speed_mps", "bearing_deg").join(moved.select("drive_id", "seq", "lat", "lon", "h_acc_m", "speed_mps", "bearing_deg"), ["drive_id", "seq"]))
+        kept = {t: scenario.apply_to_records(df, t, steps, starts.select("drive_id", "t0_ns")) for t, df in tables.items() if t != "location"} | {"location": moved}
+        held = v.estimator == "passthrough"
+        if not held:
+            kept["imu"] = scenario.apply_to_records(imu, "imu", steps, starts.select("drive_id", "t0_ns"))
         labels = moved.filter("source IN ('GNSS', 'FUSED')").select("drive_id", "t_ns", "seq", "provider", scenario.injected_offset(moved).alias("offset_m"))
-        for key, df in {"events": kept, "fixes": moved, "labels": labels, "truth": truth, "spans": spans, "windows": scenario.degraded_windows(spans, steps)}.items():
-            parts[key] = run(df, name) if key not in parts else parts[key].unionByName(run(df, name))
-    moved = stored(parts["fixes"], work, "moved")
-    verdicts = stored(trust_batch(parts["events"]), work, "verdicts")
-    estimates = replay.hold_last_fix(tracks.tick_grid(moved), verdicts, moved)
-    ticks = stored(_tick_rows(parts | {"estimates": estimates}), work, "ticks")
-    labelled = stored(replay.labelled(verdicts, parts["labels"], parts["truth"]), work, "labelled")
+        made = {f"events {held}": fold_events_of(kept), f"fixes {held}": moved, "labels": labels, "truth": truth, "spans": starts, "windows": scenario.degraded_windows(starts, steps)}
+        for key, df in made.items():
+            parts[key] = run(df) if key not in parts else parts[key].unionByName(run(df))
+    verdicts, estimates = [], []
+    if "events True" in parts:
+        moved = stored(parts["fixes True"], work, "moved")
+        verdicts.append(stored(trust_batch(parts["events True"]), work, "held_verdicts"))
+        estimates.append(replay.hold_last_fix(tracks.tick_grid(moved), verdicts[0], moved))
+    if "events False" in parts:
+        rows = stored(fold_batch(parts["events False"]), work, "folded")
+        verdicts.append(verdicts_of(rows))
+        estimates.append(estimates_of(rows))
+    names = ("drive_id", "t_ns", "lat", "lon", "r68", "heading_deg", "speed_mps", "mode", "confidence")
+    every = lambda dfs, columns: reduce(DataFrame.unionByName, (df.select(*columns) for df in dfs))
+    ticks = stored(_tick_rows(parts | {"estimates": every(estimates, names)}), work, "ticks")
+    labelled = stored(replay.labelled(every(verdicts, verdicts[0].columns), parts["labels"], parts["truth"]), work, "labelled")
     summaries = replay.summarize(ticks, labelled, parts["windows"], parts["spans"])
-    split = lambda df: df.select(F.substring_index("drive_id", "|", 1).alias("drive"), F.substring_index("drive_id", "|", -1).alias("scenario"), F.lit("hold-last-fix").alias("variant"), *[c for c in df.columns if c != "drive_id"])
+    key = lambda i: F.regexp_extract("drive_id", r"(?s)^(.*)\|([^|]*)\|([^|]*)$", i)
+    split = lambda df: df.select(key(1).alias("drive"), key(2).alias("scenario"), key(3).alias("variant"), *[c for c in df.columns if c != "drive_id"])
     return split(ticks), split(labelled), split(summaries)
 
 
+_KEYS = ["drive", "scenario", "variant"]
+
+
 @_query()
 def replay_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison table of every drive under four scenarios, through the full trust fold; a test holds its parts against each other."""
-    return replay.comparison(replay_runs(spark, sf_dir)[2], ["drive", "scenario", "variant"])
+    cells = [(n, "hold-last-fix") for n in ("clean", "gnss_drop_2min", "gnss_jump_5km", "gnss_teleport_country")]
+    return replay.comparison(replay_runs(spark, sf_dir, cells)[2], _KEYS)
+
+
+@_query()
+def filter_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison table of every drive without satellites for two minutes: the held fix against the filter on the gyroscope alone."""
+    return replay.comparison(replay_runs(spark, sf_dir, [("gnss_drop_2min", "hold-last-fix"), ("gnss_drop_2min", "gyro-only")])[2], _KEYS)

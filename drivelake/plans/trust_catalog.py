@@ -94,13 +94,20 @@ def newly_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throttle.newly_seen(ap).select("drive_id", "t_ns", "seq", F.lit("wifi").alias("type"))
 
 
-def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of all drives for the fold: fixes with a latency, recorded speeds, satellite statuses, provider events."""
+def fold_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Record tables of all drives for the folds: fixes with a latency, recorded speeds, satellite statuses, provider events. drive_id is a number."""
     fixes = fix_view(spark, sf_dir).select("drive_id", "seq", "t_ns", "source", F.lower("source").alias("provider"), "lat", "lon", "h_acc_m", "speed_mps", "bearing_deg", F.col("is_mock").alias("synthetic"), ((F.col("seq") * 13 % 140) / F.lit(10.0)).alias("latency_s"))
     number = lambda df: df.withColumn("drive_id", F.col("drive_id").cast("long"))
-    status = satellites.chip_health(record_tables(spark, sf_dir)["gnss_status"])
-    providers = flat_view(spark, sf_dir, "provider_event").filter("seq % 5 = 0")
-    return events_of(fixes, number(flat_view(spark, sf_dir, "vehicle_speed")), number(status), number(providers))
+    return {
+        "location": fixes, "vehicle_speed": number(flat_view(spark, sf_dir, "vehicle_speed")), "gnss_status": number(satellites.chip_health(record_tables(spark, sf_dir)["gnss_status"])),
+        "provider_event": number(flat_view(spark, sf_dir, "provider_event").filter("seq % 5 = 0")),
+    }
+
+
+def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as events."""
+    t = fold_tables(spark, sf_dir)
+    return events_of(t["location"], t["vehicle_speed"], t["gnss_status"], t["provider_event"])
 
 
 @_query()

@@ -157,7 +157,7 @@ def test_runs_comparison_and_reports(spark, tmp_path):
 
     from drivelake.plans.replay_catalog import replay_runs
 
-    ticks, verdicts, summaries = replay_runs(spark, "/root/testdata/sf0.001", ("clean", "gnss_jump_5km"))
+    ticks, verdicts, summaries = replay_runs(spark, "/root/testdata/sf0.001", [("clean", "hold-last-fix"), ("gnss_jump_5km", "hold-last-fix")])
     assert summaries.count() == 30 and ticks.select("drive", "scenario").distinct().count() <= 30
     jump = summaries.filter("scenario = 'gnss_jump_5km'").agg(F.sum("perturbed_fixes").alias("p"), F.sum("missed_detections").alias("m")).first()
     assert jump.p > 0 and jump.m == 0  # a jump of 5 km is never trusted
@@ -169,3 +169,24 @@ def test_runs_comparison_and_reports(spark, tmp_path):
     replay.write_reports(str(tmp_path), ticks, verdicts, summaries, ["drive", "scenario", "variant"])
     for name in ("ticks", "trust", "error_vs_time", "summaries", "comparison_csv", "comparison_md"):
         assert glob.glob(str(tmp_path / name / "*")), name
+
+
+def test_a_dropped_source_takes_its_statuses_along(spark):
+    """The first fix after an outage isn't judged by a status from within it."""
+    from drivelake.operators import scenario
+
+    statuses = spark.createDataFrame([(1, 0, t * S) for t in range(0, 300, 10)], "drive_id long, seq long, t_ns long")
+    t0 = spark.createDataFrame([(1, 0)], "drive_id long, t0_ns long")
+    left = scenario.apply_to_records(statuses, "gnss_status", scenario.SCENARIOS["gnss_drop_2min"], t0)
+    assert {r.t_ns // S for r in left.collect()} == {*range(0, 120, 10), *range(240, 300, 10)}
+
+
+def test_runs_of_the_filter_beside_the_held_fix(spark):
+    from drivelake.plans.replay_catalog import replay_runs
+
+    ticks, verdicts, summaries = replay_runs(spark, "/root/testdata/sf0.001", [("gnss_drop_2min", "hold-last-fix"), ("gnss_drop_2min", "gyro-only")])
+    assert {r.variant: r.n for r in summaries.groupBy("variant").agg(F.count("*").alias("n")).collect()} == {"hold-last-fix": 15, "gyro-only": 15}
+    assert ticks.filter("variant = 'gyro-only'").select("mode").distinct().count() >= 2
+    assert verdicts.filter("variant = 'gyro-only' AND source <> 'GNSS'").count() == 0 and verdicts.filter("variant = 'gyro-only'").count() > 0
+    outage = verdicts.join(summaries.select("drive", "scenario", "variant"), ["drive", "scenario", "variant"]).groupBy("drive", "variant").agg(F.count("*").alias("n"))
+    assert outage.groupBy("drive").agg(F.countDistinct("n").alias("k")).filter("k <> 1").count() == 0  # both see the same fixes
