@@ -91,6 +91,47 @@ def test_long_pages_and_single_pages(spark):
     assert out.count() == 3  # names that clash with those of the result don't crash
 
 
+def test_hostile_pages_take_seconds():
+    """Deep nesting, and a megabyte of what never ends."""
+    import time
+
+    cases = {
+        "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>out</p>": "deep\n\nout", "<a " * 350_000: ("<a " * 350_000).strip(), '<p title="x' * 100_000: '<p title="x' * 100_000, "<!-" * 350_000: "<!-" * 350_000,
+        "<p>a</p>" + "<!--" * 300_000: "a", "<div>" * 100_000 + "</p>" * 100_000 + "x": "x", "<svg>" * 100_000 + "x": "x", "<li><ul>" + "<div>" * 50_000 + "<li/>" * 50_000 + "x": "x", "x &amp; " * 200_000: ("x & " * 200_000).strip(),
+        "<div>" * 300 + "<nav>menu</nav>words of the page" + "</div>" * 300: "words of the page", "<script>" * 100_000: "", "<p>a</p><hr>" * 20_000: "\n\n".join(["a"] * 20_000), '<p title="a > b" data-x=\'<i>\'>t</p>': "t",
+    }
+    for page, want in cases.items():
+        start = time.time()
+        assert "\n\n".join(html_text.main_blocks(html_text.parse(page))) == want, page[:40]
+        w = html_text.Wrapper()
+        for _ in range(2):
+            w.add(html_text.parse(page))
+        assert "\n\n".join(html_text.main_blocks(html_text.parse(page), html_text.Wrapper.from_json(w.to_json()))) == want, page[:40]
+        assert time.time() - start < 20, page[:40]
+
+
+def test_names_do_not_drop_what_an_article_says(spark):
+    parts = [
+        '<h2 id="sharing">On sharing {0}</h2>', '<h2 id="navigation">On navigation {0}</h2>', '<h2 id="cookies">On cookies {0}</h2>', '<p id="footer-design">Footer design {0}</p>', '<section class="related-work">Related work {0}</section>',
+        '<div class="share-price">Share price {0}</div>', '<p class="comment">A comment on {0}</p>', '<div class="reply">The reply of {0}</div>', "<p>By <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math> we mean</p>",
+    ]
+    pages = [f"<body><nav>Menu</nav><article><h1>T {i}</h1>{own(i)}{''.join(parts).format(i)}<div class='share-buttons'>Share</div><div id='comments'>First!</div><div class='ad-slot'>Buy</div></article></body>" for i in range(6)]
+    for i, t in enumerate(texts_of(spark, pages)):
+        for said in ("On sharing", "On navigation", "On cookies", "Footer design", "Related work", "Share price", "A comment on", "The reply of"):
+            assert f"{said} {i}" in t
+        assert f"By x={i} we mean" in t and not any(x in t for x in ("Menu", "Share\n", "First!", "Buy"))
+
+
+def test_classes_with_numbers_make_no_layouts(spark):
+    """Each page has its key and its topics among the classes of its body and article; the template still goes by the wrapper."""
+    rng = random.Random(2)
+    page_of = lambda i: f"<html><body class='postid-{i} topic-{rng.choice('abcdefg')}{rng.choice('xyz')} single'><div class='box-{i}'>Printed by us since 1990</div><article class='post-{i} tag-{rng.random()}'><h1>Head {i}</h1>{own(i)}</article></body></html>"
+    pages = [page_of(i) for i in range(50)]
+    assert len({html_text.layout_of(html_text.parse(p)) for p in pages}) == 1
+    got = texts_of(spark, pages)
+    assert all(t.startswith(f"Head {i}\n\n") and "Printed" not in t and t.endswith(f" {i} 2") for i, t in enumerate(got))
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
