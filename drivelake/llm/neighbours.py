@@ -34,7 +34,7 @@ class Graph:
         Inner product isn't a distance, so one more component makes all vectors equally long; nearness between those
         orders as the inner product does for any query.
         """
-        v = np.ascontiguousarray(vectors, np.float32)
+        v = _single(vectors)
         norm = np.einsum("ij,ij->i", v, v, dtype=np.float64)
         even = np.concatenate([v, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None].astype(np.float32)], 1)
         even /= math.sqrt(max(norm.max(initial=0), 1e-300))
@@ -48,7 +48,10 @@ class Graph:
         return cls(v, nodes, links)
 
     def search(self, queries: np.ndarray, width: int, keep: int) -> np.ndarray:
-        """For each query the numbers of `keep` vectors found, best first (-1: none)."""
+        """For each query the numbers of `keep` vectors found, best first (-1: none). Only the direction of a query counts."""
+        queries = queries.astype(np.float64)
+        queries = queries / np.maximum(np.abs(queries).max(1, initial=0), np.finfo(float).tiny)[:, None]
+        queries = (queries / np.maximum(np.sqrt(np.einsum("qd,qd->q", queries, queries)), 1e-300)[:, None]).astype(np.float32)
         found: np.ndarray | None = None
         for at in range(len(self.nodes) - 1, -1, -1):
             place = np.full(len(self.vectors), -1, np.int32)
@@ -96,8 +99,17 @@ class Graph:
         return np.take_along_axis(ids, order, 1)
 
 
+def _single(vectors: np.ndarray) -> np.ndarray:
+    """The vectors in single precision, by their largest component: as order of inner products they stay the same, and none of these overflows."""
+    v = vectors.astype(np.float64)
+    return np.ascontiguousarray(v / max(np.abs(v).max(initial=0), np.finfo(float).tiny), np.float32)
+
+
 def _linked(v: np.ndarray, most: int, seeds: np.ndarray) -> np.ndarray:
-    """Links of each vector among the others: chosen so that none is closer to a chosen one than to its node, both ways (-1: none)."""
+    """Links of each vector among the others: chosen so that none is closer to a chosen one than to its node, both ways (-1: none).
+
+    Of the nodes that link to a node NEAREST at most are looked at for its own links; all of them keep theirs to it.
+    """
     n = len(v)
     far = np.flatnonzero(mix(seeds.astype(np.uint64) + np.uint64(77)) % np.uint64(FAR_SAMPLE) == 0)
     forward = np.full((n, most), -1, np.int64)
@@ -177,7 +189,7 @@ def build_index(rows: DataFrame, path: str, keep_ids: int, shard_size: int = 819
         n, dim = table.num_rows, table.column("dim")[0].as_py()
         v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim)  # as given; the graph takes single precision
         ids = table.column("ids").combine_chunks()
-        g = Graph.build(v.astype(np.float32), table.column("h").to_numpy())
+        g = Graph.build(v, table.column("h").to_numpy())
         sizes = np.array([x.shape for x in g.links], np.int64)
         flat = lambda xs: np.concatenate([x.ravel() for x in xs]).astype("<i4").tobytes()
         values = [dim, table.column("shard")[0].as_py(), n, v.tobytes(), ids.flatten().to_numpy().astype("<i8").tobytes(), np.cumsum(np.diff(ids.offsets.to_numpy())).astype("<i8").tobytes(), sizes.tobytes(), flat(g.nodes), flat(g.links)]
@@ -195,7 +207,7 @@ def _load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     nodes = np.split(np.frombuffer(row["nodes"], "<i4"), np.cumsum(sizes[:, 0])[:-1])
     links = [x.reshape(s) for x, s in zip(np.split(np.frombuffer(row["links"], "<i4"), np.cumsum(sizes.prod(1))[:-1]), sizes)]
     exact = np.frombuffer(row["vectors"], np.float32 if len(row["vectors"]) == 4 * n * dim else np.float64).reshape(n, dim)
-    return Graph(np.ascontiguousarray(exact, np.float32), nodes, links), exact, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
+    return Graph(_single(exact), nodes, links), exact, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_ends"], "<i8")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", width: int = 128, shard_size: int = 8192, block: int = 1024) -> DataFrame:
@@ -206,7 +218,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
     candidates than k give all of them. An empty table gives an empty result.
 
     Queries go through every shard in blocks: a task holds one shard and one block, whatever the input. Scores of what the graphs find
-    are made from the original vectors, single or double precision; the graphs walk in single precision. width is the beam of the search: wider finds more.
+    are made from the original vectors, single or double precision; the graphs walk in single precision, scaled so that vectors of any finite size
+    can be told apart unless others of their shard are more than 1e30 times as long. width is the beam of the search: wider finds more.
     """
     work = work_folder(rows.sparkSession)
     kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
@@ -224,7 +237,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id
             graph, vectors, ids, ends = _load(indexed.to_pylist()[0])
             own = asked.column("id").to_pylist()
             q = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            found = graph.search(q.astype(np.float32), max(width, 2 * k), k + 12)
+            found = graph.search(q, max(width, 2 * k), k + 12)
             exact = np.einsum("qkd,qd->qk", vectors[found].astype(np.float64), q.astype(np.float64))
             for i, (row, scores) in enumerate(zip(found, exact)):
                 near = [(-s, v) for at, s in zip(row.tolist(), scores.tolist()) if at >= 0 for v in ids[ends[at - 1] if at else 0 : ends[at]].tolist() if v != own[i]]

@@ -190,3 +190,19 @@ def test_scores_of_double_vectors_are_exact(spark):
     assert len(out) == 60  # repeated queries count once
     for r in out:
         assert abs(r.score - float(v[r.query_id] @ v[r.vec_id])) < 1e-14
+
+
+def test_vectors_of_any_finite_size(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(400, 8))
+    for kind, size in (("float", 1e25), ("float", 1e-25), ("float", 1e37), ("double", 1e150), ("double", 1e-150), ("double", 1e-200)):
+        v = (base * size).astype(np.float32 if kind == "float" else np.float64)
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, embedding array<{kind}>")
+        hit, rows = 0, neighbours.nearest(table, table.filter("vec_id % 20 = 0"), 20).collect()
+        assert len(rows) == 400, (kind, size)
+        for q in range(0, 400, 20):
+            # At 1e-200 products are zero in double precision too: any neighbours do, the smallest ids of those found first.
+            scores = base @ base[q] if size == 1e-200 else v.astype(float) @ v[q].astype(float)
+            want = [i for i in np.argsort(-scores, kind="stable") if i != q][:20]
+            hit += len({r.vec_id for r in rows if r.query_id == q} & set(want))
+        assert hit >= (0 if size == 1e-200 else 0.95 * 400), (kind, size, hit)
