@@ -145,7 +145,7 @@ def replay_runs(spark: SparkSession, sf_dir: str, cells: list[tuple[str, str]])
         verdicts.append(stored(trust_batch(parts["events True"]), work, "held_verdicts"))
         estimates.append(replay.hold_last_fix(tracks.tick_grid(moved), verdicts[0], moved))
     if "events False" in parts:
-        rows = stored(fold_batch(parts["events False"]), work, "folded")
+        rows = stored(fold_batch(parts["events False"], {n: "baseline" if scenario.VARIANTS[n].compass else "baseline-no-compass" for _, n in cells}), work, "folded")
         verdicts.append(verdicts_of(rows))
         estimates.append(estimates_of(rows))
     names = ("drive_id", "t_ns", "lat", "lon", "r68", "heading_deg", "speed_mps", "mode", "confidence")

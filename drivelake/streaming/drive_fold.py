@@ -68,13 +68,20 @@ class Drive:
 
 
 def fold_events_of(tables: dict[str, DataFrame]) -> DataFrame:
-    """drive_id and EVENTS of record tables (location with synthetic and latency_s, gnss_status with used and std_db, vehicle_speed, provider_event, imu, orientation); absent ones are empty."""
+    """drive_id and EVENTS of record tables (location with synthetic and latency_s, gnss_status with used and std_db, vehicle_speed, provider_event, imu, orientation, geomag, power); absent ones are empty."""
     out = events_of(tables["location"], tables.get("vehicle_speed"), tables.get("gnss_status"), tables.get("provider_event"))
-    for table, rank, places in (("imu", 3, {"x": "x", "y": "y", "z": "z"}), ("orientation", 4, {"x": "qx", "y": "qy", "z": "qz", "w": "qw"})):
+    c = F.col
+    others = {
+        "imu": (3, {"event": c("kind"), "x": c("x"), "y": c("y"), "z": c("z")}),
+        "orientation": (4, {"event": c("kind"), "x": c("qx"), "y": c("qy"), "z": c("qz"), "w": c("qw")}),
+        "geomag": (10, {"x": c("declination_deg"), "y": c("inclination_deg"), "z": c("field_ut")}),
+        "power": (11, {"event": c("plug"), "w": c("charging").cast("double")}),
+    }
+    for table, (rank, places) in others.items():
         if table in tables:
-            df = tables[table].filter("drive_id IS NOT NULL AND t_ns IS NOT NULL AND kind NOT LIKE 'MAG%'")
-            known = {"kind": F.lit(table), "rank": F.lit(rank), "seq": F.col("seq"), "t_ns": F.col("t_ns"), "event": F.col("kind")} | {k: F.col(v) for k, v in places.items()}
-            out = out.unionByName(df.select("drive_id", *[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ") for c in EVENTS.split(", "))]))
+            known = {"kind": F.lit(table), "rank": F.lit(rank), "seq": c("seq"), "t_ns": c("t_ns")} | places
+            df = tables[table].filter("drive_id IS NOT NULL AND t_ns IS NOT NULL")
+            out = out.unionByName(df.select("drive_id", *[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ") for x in EVENTS.split(", "))]))
     return out
 
 

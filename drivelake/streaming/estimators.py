@@ -16,6 +16,7 @@ import numpy as np
 
 from drivelake.functions.geo import R68_PER_SIGMA, WGS84_A, WGS84_E2
 from drivelake.operators.replay import GROWTH_MPS, HOLD_ACC_M, TRACKING_S
+from drivelake.streaming.compass import Compass, CompassRules, Reading
 from drivelake.streaming.tracker import Motion
 from drivelake.streaming.trust_fold import Event
 
@@ -255,6 +256,8 @@ class FilterRules:
     unsteady_max: float = 4.0
     unsteady_deg: float = 2.0
     bank: BankRules = BankRules()
+    #: None: no compass.
+    compass: CompassRules | None = CompassRules()
 
 
 #: Places in the state: east, north, heading, speed, gyroscope bias, speedometer scale, accelerometer bias.
@@ -298,6 +301,8 @@ class Filter:
         self.coarse: tuple[int, float] | None = None
         self.strays: tuple[_Stray, ...] = ()
         self.bank = HeadingBank(r.bank)
+        self.compass = None if r.compass is None else Compass(r.compass)
+        self.read_t: int | None = None
 
     def _since(self, t: int, then: int | None) -> float:
         return math.inf if then is None else (t - then) / 1e9
@@ -408,6 +413,23 @@ class Filter:
             # Only these two move: over long outages their covariances with the place are levers that noise must not pull.
             self._scalar(V, 0.0, 0.05**2, local=True)
             self._scalar(BIAS, m.yaw_rate, 0.003**2, local=True)
+        if self.compass is not None:
+            self.compass.motion(m, self.x[BIAS])
+            if self.read_t is None or t >= self.read_t:
+                self.read_t = t + self.compass.rules.period_ns
+                if (now := self.compass.reading(t)) is not None:
+                    self._steer(now)
+
+    def _steer(self, now: Reading) -> None:
+        """A compass reading begins an unknown heading; a known one it moves only if it is worth more, as its errors last for minutes."""
+        noise = now.sigma_rad**2
+        if not self.known:
+            self.x[PSI] = _half_turn(now.bearing_rad)
+            self._forget(PSI, noise)
+            self.known, self.blind = True, 0.0
+            self.bank.clear()
+        elif math.sqrt(self.p[PSI, PSI]) >= self.compass.rules.useful * now.sigma_rad and _half_turn(now.bearing_rad - self.x[PSI]) ** 2 / (self.p[PSI, PSI] + noise) <= self.compass.rules.gate_nis:
+            self._scalar(PSI, now.bearing_rad, noise)
 
     def _arc(self, m: Motion, ready: bool) -> None:
         """In turns the lateral force over the yaw rate is a speed."""
@@ -437,6 +459,12 @@ class Filter:
     def on_event(self, x: Event, state: str | None) -> None:
         if x.kind == "location" and state is not None:
             self._locate(x, state)
+        elif self.compass is not None and x.kind == "imu" and None not in (x.x, x.y, x.z):
+            self.compass.magnetic(x.event, x.t_ns, (x.x, x.y, x.z))
+        elif self.compass is not None and x.kind == "geomag":
+            self.compass.reference(x.x, x.y, x.z)
+        elif self.compass is not None and x.kind == "power":
+            self.compass.power(x.event, bool(x.w))
         elif x.kind == "vehicle_speed" and x.speed_mps is not None:
             r = self.rules
             self._advance(x.t_ns)
@@ -525,6 +553,8 @@ class Filter:
         if x.bearing_deg is None or x.speed_mps < self.rules.course_mps:
             return
         course = math.radians(x.bearing_deg)
+        if scale == 1.0 and self.compass is not None:
+            self.compass.calibrate(x.t_ns, course, x.speed_mps, self.yaw)
         noise = math.radians(max(3.0 if x.bearing_acc_deg is None else x.bearing_acc_deg, 1.0)) ** 2 * scale
         if self.known and abs(_half_turn(course - self.x[PSI])) <= math.radians(60):
             self._scalar(PSI, course, noise)
@@ -590,7 +620,7 @@ class Filter:
 
 
 #: Makers of estimators by name; `register` adds more.
-ESTIMATORS: dict[str, Callable[[], Estimator]] = {"passthrough": HoldLastFix, "baseline": Filter}
+ESTIMATORS: dict[str, Callable[[], Estimator]] = {"passthrough": HoldLastFix, "baseline": Filter, "baseline-no-compass": lambda: Filter(FilterRules(compass=None))}
 
 
 def register(name: str, make: Callable[[], Estimator]) -> None:
