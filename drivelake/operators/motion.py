@@ -180,6 +180,76 @@ def circle_fit(points: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "n", F.when(fits, F.col("_mx") + a).alias("a"), F.when(fits, F.col("_my") + b).alias("b"), F.when(fits, radius).alias("radius"))
 
 
+def ellipse_fit(points: DataFrame, keys: list[str], axes_ratio: float = 2.0) -> DataFrame:
+    """Least-squares ellipses A x^2 + B x y + C y^2 + D x + E y = 1 around the mean of points x, y: keys, n, a, b (the centre), w11, w12, w22, radius.
+
+    The symmetric matrix w makes the ellipse a circle of the radius. Null where points don't tell (fewer than six, or on a line or conic of another
+    kind) or where one axis is more than axes_ratio times the other. Sums of centred powers are enough, so each task sends one row a group; the
+    five normal equations are solved by elimination in columns.
+    """
+    c = points.groupBy(*keys).agg(F.count("*").alias("_n0"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    u, v = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
+    basis = [u * u, u * v, v * v, u, v]
+    sums = {f"_s{i}{j}": F.sum(basis[i] * basis[j]) for i in range(5) for j in range(i, 5)} | {f"_s{i}5": F.sum(basis[i]) for i in range(5)}
+    s = points.join(c, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_mx").alias("_mx"), F.first("_my").alias("_my"), *(e.alias(k) for k, e in sums.items()))
+    name = lambda i, j: f"_s{min(i, j)}{max(i, j)}" if j < 5 else f"_s{i}5"
+    s = s.withColumns({f"_e0{i}{j}": F.col(name(i, j)) for i in range(5) for j in range(6)})
+    for k in range(5):
+        pivot = F.nullif(F.col(f"_e{k}{k}{k}"), F.lit(0.0))
+        s = s.withColumns({f"_e{k + 1}{i}{j}": F.col(f"_e{k}{i}{j}") - F.col(f"_e{k}{i}{k}") / pivot * F.col(f"_e{k}{k}{j}") for i in range(k + 1, 5) for j in range(k + 1, 6)})
+    for i in range(4, -1, -1):
+        rest = F.col(f"_e{i}{i}5")
+        for j in range(i + 1, 5):
+            rest = rest - F.col(f"_e{i}{i}{j}") * F.col(f"_x{j}")
+        s = s.withColumn(f"_x{i}", rest / F.nullif(F.col(f"_e{i}{i}{i}"), F.lit(0.0)))
+    a, b, cc, d, e = (F.col(f"_x{i}") for i in range(5))
+    s = s.withColumn("_det", 4 * a * cc - b * b)
+    s = s.withColumns({"_cx": (b * e - 2 * cc * d) / F.nullif(F.col("_det"), F.lit(0.0)), "_cy": (b * d - 2 * a * e) / F.nullif(F.col("_det"), F.lit(0.0))})
+    level = 1 + a * F.col("_cx") * F.col("_cx") + b * F.col("_cx") * F.col("_cy") + cc * F.col("_cy") * F.col("_cy")
+    s = s.withColumn("_k", F.when((F.col("n") >= 6) & (a > 0) & (cc > 0) & (F.col("_det") > 0) & (level > 0), level))
+    m11, m12, m22 = a / F.col("_k"), b / 2 / F.col("_k"), cc / F.col("_k")
+    half = F.sqrt((m11 - m22) / 2 * ((m11 - m22) / 2) + m12 * m12)
+    s = s.withColumns({"_l1": F.sqrt((m11 + m22) / 2 + half), "_l2": F.sqrt(F.greatest((m11 + m22) / 2 - half, F.lit(0.0))), "_m11": m11, "_m12": m12, "_m22": m22})
+    fits = (F.col("_l2") > 0) & (F.col("_l1") <= axes_ratio * F.col("_l2"))
+    # The square root of a symmetric 2 x 2 matrix: (M + sqrt(det) I) / sqrt(trace + 2 sqrt(det)).
+    l1, l2 = F.col("_l1"), F.col("_l2")
+    radius = 1 / F.sqrt(l1 * l2)
+    root = lambda m, diagonal: (F.col(m) + (l1 * l2 if diagonal else F.lit(0.0))) / (l1 + l2) * radius
+    values = {"a": F.col("_mx") + F.col("_cx"), "b": F.col("_my") + F.col("_cy"), "w11": root("_m11", True), "w12": root("_m12", False), "w22": root("_m22", True), "radius": radius}
+    return s.select(*keys, "n", *(F.when(fits, x).alias(k) for k, x in values.items()))
+
+
+def widest(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and the largest distance between two points x, y of a group. A group's points come as one array: a compass has 31 centres in five minutes at most. Points with a null are left out."""
+    g = points.filter("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("p"))
+    apart = F.transform("p", lambda i: F.array_max(F.transform("p", lambda j: F.hypot(i["x"] - j["x"], i["y"] - j["y"]))))
+    return g.select(*keys, F.size("p").alias("n"), F.array_max(apart).alias("widest"))
+
+
+def signed_median(samples: DataFrame, column: str, first: int = 50, step: float = 0.02) -> DataFrame:
+    """samples with running: the mean of a drive's first values, which each later one moves a step toward itself. Rows where the column is null have what was before.
+
+    Each drive's rows stream through a task in the order (t_ns, seq) with two numbers kept.
+    """
+    at = samples.columns.index(column), samples.columns.index("drive_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drive, n, now = None, 0, None
+        for b in batches:
+            out = []
+            for v, key in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist()):
+                if key != drive:
+                    drive, n, now = key, 0, None
+                if v is not None:
+                    n += 1
+                    now = v if n == 1 else now + ((v - now) / n if n <= first else step * ((v > now) - (v < now)))
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "running"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in samples.dtypes)
+    return samples.repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "seq").mapInArrow(run, f"{kinds}, running double")
+
+
 def stop_score(ticks: DataFrame) -> DataFrame:
     """How well estimated speeds tell standing from driving, for each drive.
 

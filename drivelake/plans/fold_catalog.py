@@ -9,8 +9,8 @@ from drivelake.operators import motion, trust
 from drivelake.plans.motion_catalog import _RECKON_SQL, _reckoned
 from drivelake.plans.registry import _hav, _query, _r
 from drivelake.sources.fixes import FIX_SQL, fix_view
-from drivelake.sources.views import flat_view, phone_samples, phone_sql
-from drivelake.streaming import tracker
+from drivelake.sources.views import flat_sql, flat_view, phone_samples, phone_sql
+from drivelake.streaming import compass, tracker
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,3 +71,52 @@ def verdict_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fix_view(spark, sf_dir)
     v = f.filter("NOT is_mock").select("drive_id", "t_ns", "seq", "source", F.when(F.col("h_acc_m") > 150, "REJECTED").when(F.col("h_acc_m") > 30, "QUESTIONABLE").otherwise("TRUSTED").alias("state"))
     return trust.verdict_fixes(v, f).select("drive_id", "seq", "state")
+
+
+def _ellipse_sql() -> str:
+    """Sums of monomials of v_imu by drive, Gauss-Jordan elimination of the five normal equations, and the ellipse; one CTE a step."""
+    basis = ["u * u", "u * v", "v * v", "u", "v", "1"]
+    steps = ["p AS (SELECT drive_id, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM v_imu GROUP BY drive_id)", "q AS (SELECT i.drive_id, n, mx, my, x - mx AS u, y - my AS v FROM v_imu i JOIN p USING (drive_id))"]
+    steps.append("g0 AS (SELECT drive_id, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, " + ", ".join(f"sum({basis[i]} * {basis[j]}) AS m{i}{j}" for i in range(5) for j in range(6)) + " FROM q GROUP BY drive_id)")
+    for k in range(5):
+        row = lambda i, j: f"m{k}{j} / m{k}{k}" if i == k else f"m{i}{j} - m{i}{k} * (m{k}{j} / m{k}{k})"  # noqa: B023, E731
+        steps.append(f"g{k + 1} AS (SELECT drive_id, n, mx, my, " + ", ".join(f"{row(i, j)} AS m{i}{j}" for i in range(5) for j in range(6)) + f" FROM g{k})")
+    steps.append("e AS (SELECT *, m05 AS a, m15 AS b, m25 AS c, m35 AS d, m45 AS e, 4 * m05 * m25 - m15 * m15 AS det FROM g5)")
+    steps.append("f AS (SELECT *, (b * e - 2 * c * d) / det AS cx, (b * d - 2 * a * e) / det AS cy FROM e)")
+    steps.append("h AS (SELECT *, 1 + a * cx * cx + b * cx * cy + c * cy * cy AS k FROM f)")
+    steps.append("r AS (SELECT *, a / k AS p11, b / 2 / k AS p12, c / k AS p22 FROM h WHERE n >= 6 AND a > 0 AND c > 0 AND det > 0 AND k > 0)")
+    steps.append("w AS (SELECT *, sqrt((p11 + p22) / 2 + sqrt(pow((p11 - p22) / 2, 2) + p12 * p12)) AS s1, sqrt(greatest((p11 + p22) / 2 - sqrt(pow((p11 - p22) / 2, 2) + p12 * p12), 0)) AS s2, atan2(2 * p12, p11 - p22) / 2 AS t FROM r)")
+    return ", ".join(steps)
+
+
+@_query(f"""WITH {flat_sql('imu')}, {_ellipse_sql()}, z AS (SELECT *, 1 / sqrt(s1 * s2) AS rad FROM w WHERE s2 > 0 AND s1 <= 2 * s2)
+    SELECT p.drive_id, p.n, round(z.mx + cx, 4) + 0 AS a, round(z.my + cy, 4) + 0 AS b, round(rad * (pow(cos(t), 2) * s1 + pow(sin(t), 2) * s2), 5) + 0 AS w11, round(rad * cos(t) * sin(t) * (s1 - s2), 5) + 0 AS w12,
+    round(rad * (pow(sin(t), 2) * s1 + pow(cos(t), 2) * s2), 5) + 0 AS w22, round(rad, 4) + 0 AS radius FROM p LEFT JOIN z USING (drive_id)""")
+def ellipse_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = motion.ellipse_fit(flat_view(spark, sf_dir, "imu").select("drive_id", "x", "y"), ["drive_id"])
+    return e.select("drive_id", "n", *(_r(c, 4).alias(c) for c in ("a", "b")), *(_r(c, 5).alias(c) for c in ("w11", "w12", "w22")), _r("radius", 4).alias("radius"))
+
+
+@_query(f"""WITH {flat_sql('imu')}, c AS (SELECT drive_id, t_ns // 60000000000 AS m, avg(x) AS x, avg(y) AS y FROM v_imu GROUP BY ALL) SELECT a.drive_id, CAST(count(DISTINCT a.m) AS INTEGER) AS n, round(max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 6) + 0 AS widest FROM c a JOIN c b ON a.drive_id = b.drive_id GROUP BY a.drive_id""")
+def centre_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the centres of a drive's minutes are apart."""
+    c = flat_view(spark, sf_dir, "imu").groupBy("drive_id", F.expr("t_ns div 60000000000").alias("m")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return motion.widest(c, ["drive_id"]).withColumn("widest", _r("widest"))
+
+
+@_query(f"""WITH RECURSIVE {flat_sql('imu')}, a AS (SELECT drive_id, seq, z, row_number() OVER (PARTITION BY drive_id ORDER BY t_ns, seq) AS n FROM v_imu), y AS (SELECT drive_id, n, seq, z AS r FROM a WHERE n = 1 UNION ALL
+    SELECT a.drive_id, a.n, a.seq, CASE WHEN a.n <= 20 THEN y.r + (a.z - y.r) / a.n ELSE y.r + 0.02::DOUBLE * sign(a.z - y.r) END FROM y JOIN a ON a.drive_id = y.drive_id AND a.n = y.n + 1) SELECT drive_id, seq, round(r, 6) + 0 AS running FROM y""")
+def vertical_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed median of the sensors' vertical part, from the mean of twenty rows."""
+    return motion.signed_median(flat_view(spark, sf_dir, "imu").select("drive_id", "t_ns", "seq", "z"), "z", 20).select("drive_id", "seq", _r("running").alias("running"))
+
+
+@_query()
+def compass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compass of each drive is worth; tests hold it against drives through a known field."""
+    number = lambda df: df.withColumn("drive_id", F.col("drive_id").cast("long"))
+    magnet = number(flat_view(spark, sf_dir, "imu")).filter("kind = 'MAG_UNCAL'").select("drive_id", "t_ns", "kind", "x", "y", "z")
+    every = phone_samples(spark, sf_dir).select("drive_id", "t_ns", "kind", "x", "y", "z").unionByName(magnet)
+    truth = fix_view(spark, sf_dir).filter("source = 'GNSS' AND h_acc_m <= 30").select("drive_id", "t_ns", "bearing_deg", "speed_mps")
+    rows = compass.compass_rows(every, truth, number(flat_view(spark, sf_dir, "geomag")), number(flat_view(spark, sf_dir, "power")), max_gap_s=60.0)
+    return compass.compass_summary(rows).select("drive_id", "verdict", "reasons", "fit", "octants", "mounts", "n_errors", _r("p50_deg").alias("p50_deg"))

@@ -169,3 +169,24 @@ def test_rows_of_a_table_equal_steps(spark):
     s = {r.drive_id: r for r in cp.compass_summary(out).collect()}
     assert set(s) == {1, 2} and s[1].n_errors == len(late) and s[2].n_errors == 0 and s[2].availability is None and s[1].mounts == 1
     assert cp.compass_rows(df.limit(0), tr, geo, power).count() == 0
+
+
+def test_table_fits_equal_the_folds(spark):
+    from drivelake.operators import motion
+
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(12):
+        n = [3, 6, 40][k % 3]
+        a = rng.uniform(0, 2 * np.pi, n)
+        p = rng.normal(0, 50, 2) + np.column_stack([20 * np.cos(a), (20 if k % 2 else 8) * np.sin(a + 0.3)]) + rng.normal(0, 0.3, (n, 2))
+        rows += [(k, *map(float, x)) for x in p]
+        want[k] = fit_ellipse(p)
+    rows += [(99, float(i), 2.0 * i) for i in range(9)]
+    got = {r.k: r for r in motion.ellipse_fit(spark.createDataFrame(rows, "k long, x double, y double"), ["k"]).collect()}
+    assert len(got) == 13 and got[99].radius is None
+    for k, e in want.items():
+        assert (got[k].radius is None) == (e is None), k
+        if e is not None:
+            assert np.allclose([got[k].a, got[k].b, got[k].radius], [*e.centre, e.radius], rtol=1e-5)
+            assert np.allclose([got[k].w11, got[k].w12, got[k].w22], [e.shape[0, 0], e.shape[0, 1], e.shape[1, 1]], atol=1e-5)
