@@ -6,6 +6,8 @@ ways without nodes or with fewer than two have no segments. Empty tables give em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,17 +167,30 @@ def edges_of_segments(segs: DataFrame, lat0: float, lon0: float) -> DataFrame:
     return p.withColumns({"along_m": before, "bearing_deg": F.pmod(F.degrees(F.atan2(dx, dy)) + 360, F.lit(360.0))})
 
 
+def crossed_cells(edges: DataFrame, radius_m: float) -> DataFrame:
+    """edges with _cx, _cy of each grid cell within radius_m of them: column by column, in each the rows between which the edge passes. A diagonal of n columns has about 3 n cells, not n * n."""
+    cell = lambda c: F.floor(c / CELL_M)
+    west = F.col("x0") <= F.col("x1")
+    e = edges.withColumns({"_xl": F.least("x0", "x1"), "_xh": F.greatest("x0", "x1"), "_yl": F.when(west, F.col("y0")).otherwise(F.col("y1")), "_yh": F.when(west, F.col("y1")).otherwise(F.col("y0"))})
+    e = e.withColumn("_cx", F.explode(F.sequence(cell(F.col("_xl") - radius_m), cell(F.col("_xh") + radius_m))))
+    inside = lambda x: F.least(F.greatest(x, F.col("_xl")), F.col("_xh"))
+    y = lambda x: F.when(F.col("_xh") > F.col("_xl"), F.col("_yl") + (x - F.col("_xl")) / (F.col("_xh") - F.col("_xl")) * (F.col("_yh") - F.col("_yl")))
+    a, b = (F.coalesce(y(inside(x)), c) for x, c in ((F.col("_cx") * CELL_M - radius_m, F.col("_yl")), ((F.col("_cx") + 1) * CELL_M + radius_m, F.col("_yh"))))
+    # A thousandth of a metre more: what rounding could leave out.
+    cells = F.sequence(cell(F.least(a, b) - radius_m - 1e-3), cell(F.greatest(a, b) + radius_m + 1e-3))
+    return e.withColumn("_cy", F.explode(cells)).drop("_xl", "_xh", "_yl", "_yh")
+
+
 def project(points: DataFrame, edges: DataFrame, radius_m: float, lat0: float, lon0: float, keys: list[str]) -> DataFrame:
     """keys, way_id, piece, distance_m, along_m, cross_m (right positive), bearing_deg, lat_on, lon_on: the nearest place of every segment within radius_m of each point (keys, lat, lon).
 
-    Every edge lies in the grid cells of its box widened by the radius and a point in one cell, so a pair meets once; an equi-join by cell finds
+    Every edge lies in the grid cells that it crosses, widened by the radius, and a point in one cell, so a pair meets once; an equi-join by cell finds
     them. Of places equally near, to a nanometre, the first edge wins.
     """
     px, py = geo.to_enu(F.lit(lat0), F.lit(lon0), F.col("lat"), F.col("lon"))
     cell = lambda c: F.floor(c / CELL_M)
     q = points.select(*keys, px.alias("_px"), py.alias("_py")).withColumns({"_cx": cell(F.col("_px")), "_cy": cell(F.col("_py"))})
-    span = lambda a, b: F.sequence(cell(F.least(a, b) - radius_m), cell(F.greatest(a, b) + radius_m))
-    e = edges.withColumn("_cx", F.explode(span(F.col("x0"), F.col("x1")))).withColumn("_cy", F.explode(span(F.col("y0"), F.col("y1"))))
+    e = crossed_cells(edges, radius_m)
     t, d, side = geo.on_segment(F.col("_px"), F.col("_py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     met = q.join(e, ["_cx", "_cy"]).withColumns({"_t": t, "distance_m": d, "_side": side}).filter(F.col("distance_m") <= radius_m)
     on = [F.col("x0") + F.col("_t") * (F.col("x1") - F.col("x0")), F.col("y0") + F.col("_t") * (F.col("y1") - F.col("y0"))]
@@ -252,3 +267,48 @@ def matched_right(states: DataFrame, near: DataFrame, links: DataFrame) -> DataF
     axis = F.abs(geo.wrap_deg(F.col("_b") - F.col("bearing_deg"))) % 180 < 30
     ok = (F.col("_w") == F.col("way_id")) | (F.col("_linked").isNotNull() & axis)
     return met.groupBy("id").agg(F.coalesce(F.max(F.coalesce(ok, F.lit(False))), F.lit(False)).alias("right"))
+
+
+# Ways through the network
+
+
+def directed(segs: DataFrame, links: DataFrame) -> DataFrame:
+    """Steps of a drive through the network: way_id, piece, forward, to_way, to_piece, to_forward, length_m (of the segment that is left).
+
+    Driven forward a segment is left at its end, else at its start; one-way segments aren't driven backward. links: successors(segs).
+    """
+    lengths = segs.select("way_id", "piece", "length_m", "oneway", "start_node", "end_node")
+    out = links.join(lengths, ["way_id", "piece"]).select("way_id", "piece", (F.col("side") == "end").alias("forward"), "to_way", "to_piece", "length_m", F.when(F.col("side") == "end", F.col("end_node")).otherwise(F.col("start_node")).alias("_node"))
+    to = lengths.select(F.col("way_id").alias("to_way"), F.col("piece").alias("to_piece"), F.col("oneway").alias("_one"), F.col("start_node").alias("_a"), F.col("end_node").alias("_b"))
+    both = F.filter(F.array(F.when(F.col("_a") == F.col("_node"), F.lit(True)), F.when((F.col("_b") == F.col("_node")) & ~F.col("_one"), F.lit(False))), lambda x: x.isNotNull())
+    return out.join(to, ["to_way", "to_piece"]).select("way_id", "piece", "forward", "to_way", "to_piece", F.explode(both).alias("to_forward"), "length_m")
+
+
+def reachable(starts: DataFrame, steps: DataFrame, limit_m: float, stored: Callable[[DataFrame, str], DataFrame], rounds: int = 10_000) -> DataFrame:
+    """The least way from each start to the entry of every directed segment within limit_m: id, way_id, piece, forward, way_m.
+
+    starts: id, way_id, piece, forward, left_m (to the end of the segment that it stands on). steps: directed. Shortest ways by rounds of an equi-join: each
+    round goes one segment on from the places that the last one improved, so work follows the frontier; `stored` writes a round's table and reads it
+    again. Rounds are as many as segments in a row within the limit. A start's own segment counts only if a way leads back to it.
+    """
+    key = ["id", "way_id", "piece", "forward"]
+    onward = lambda df, dist: df.join(steps, ["way_id", "piece", "forward"]).select("id", F.col("to_way").alias("way_id"), F.col("to_piece").alias("piece"), F.col("to_forward").alias("forward"), dist.alias("way_m"))
+    best = lambda df: df.filter(F.col("way_m") <= limit_m).groupBy(*key).agg(F.min("way_m").alias("way_m"))
+    known = stored(best(onward(starts, F.col("left_m"))).withColumn("new", F.lit(True)), "way-0")
+    for i in range(1, rounds):
+        more = best(onward(known.filter("new").drop("new"), F.col("way_m") + F.col("length_m")))
+        both = known.select(*key, F.col("way_m").alias("_old")).join(more, key, "full")
+        better = F.col("way_m").isNotNull() & (F.col("_old").isNull() | (F.col("way_m") < F.col("_old")))
+        known = stored(both.select(*key, F.when(better, F.col("way_m")).otherwise(F.col("_old")).alias("way_m"), better.alias("new")), f"way-{i}")
+        if known.filter("new").isEmpty():
+            break
+    return known.drop("new")
+
+
+def networks_near(points: DataFrame, segs: DataFrame, edges: DataFrame, reach_m: float, lat0: float, lon0: float, key: str) -> DataFrame:
+    """key and the segments (all columns of segs) within about reach_m of its points (key, lat, lon): each drive's own piece of the network, by an equi-join on grid cells."""
+    px, py = geo.to_enu(F.lit(lat0), F.lit(lon0), F.col("lat"), F.col("lon"))
+    cell = lambda c: F.floor(c / CELL_M)
+    cells = points.select(key, cell(px).alias("_cx"), cell(py).alias("_cy")).distinct()
+    met = cells.join(crossed_cells(edges, reach_m + CELL_M).select("way_id", "piece", "_cx", "_cy").distinct(), ["_cx", "_cy"])
+    return met.select(key, "way_id", "piece").distinct().join(segs, ["way_id", "piece"])

@@ -10,7 +10,7 @@ from drivelake.operators import roads
 from drivelake.plans.registry import _hav, _query, _r, _wrap
 from drivelake.sources import tiles
 from drivelake.sources.fixes import FIX_SQL, fix_view
-from drivelake.sources.scratch import scratch_folder
+from drivelake.sources.scratch import scratch_folder, stored
 
 #: The plane that the queries measure in.
 LAT0, LON0 = 50.455, 30.525
@@ -186,3 +186,17 @@ def tile_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tiles.read_tiles(spark, path)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return w.select("way_id", F.size("node_ids").cast("long").alias("n"), F.array_join(F.col("node_ids").cast("array<string>"), ",").alias("nodes"), _r(total("lats"), 5).alias("lat"), _r(total("lons"), 5).alias("lon"), "oneway", "lanes", "name")
+
+
+@_query(f"""WITH RECURSIVE {_SEG_SQL}, st AS (SELECT s.way_id AS w, s.piece AS p, true AS f, s.len, s.b AS node FROM seg s UNION ALL SELECT s.way_id, s.piece, false, s.len, s.a FROM seg s WHERE NOT s.oneway),
+    en AS (SELECT way_id AS tw, piece AS tp, a AS node, true AS tf FROM seg UNION ALL SELECT way_id, piece, b, false FROM seg WHERE NOT oneway), sp AS (SELECT st.w, st.p, st.f, st.len, en.tw, en.tp, en.tf FROM st JOIN en USING (node) WHERE st.w <> en.tw OR st.p <> en.tp),
+    r AS (SELECT w AS sw, p AS s_p, tw AS w, tp AS p, tf AS f, len / 2 AS d FROM sp WHERE f AND len / 2 <= 45 UNION SELECT r.sw, r.s_p, sp.tw, sp.tp, sp.tf, r.d + sp.len FROM r JOIN sp ON sp.w = r.w AND sp.p = r.p AND sp.f = r.f WHERE r.d + sp.len <= 45)
+    SELECT sw AS from_way, s_p AS from_piece, w AS way_id, p AS piece, f AS forward, round(min(d), 3) + 0 AS way_m FROM r GROUP BY ALL""")
+def reachable_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the middle of each segment, driven forward: what is at most 45 m away."""
+    work = scratch_folder(spark)
+    segs = stored(roads.segments(_ways(spark, sf_dir)), work, "segments")
+    steps = stored(roads.directed(segs, roads.successors(segs)), work, "steps")
+    starts = segs.select(F.struct("way_id", "piece").alias("id"), "way_id", "piece", F.lit(True).alias("forward"), (F.col("length_m") / 2).alias("left_m"))
+    out = roads.reachable(starts, steps, 45.0, lambda df, name: stored(df, work, name))
+    return out.select(F.col("id.way_id").alias("from_way"), F.col("id.piece").alias("from_piece"), "way_id", "piece", "forward", _r("way_m", 3).alias("way_m"))
