@@ -113,61 +113,72 @@ class Near(NamedTuple):
 
 
 class Network:
-    """Some roads, with a grid over their edges."""
+    """Some roads, with a grid over their edges. Ways that were asked for are kept."""
 
     def __init__(self, roads: list[Road]):
         self.roads = {r.key: r for r in roads}
-        self.grid: dict[tuple[int, int], list[tuple[Key, int]]] = defaultdict(list)
         self.at: dict[int, list[tuple[Key, bool]]] = defaultdict(list)  # node -> what can be driven from it
-        for r in self.roads.values():
+        every = sorted(self.roads.values(), key=lambda r: r.key)
+        for r in every:
             self.at[r.start].append((r.key, True))
             if not r.oneway:
                 self.at[r.end].append((r.key, False))
-            for k in range(len(r.bearings)):
-                for cell in self._cells(*sorted(r.lats[k : k + 2]), *sorted(r.lons[k : k + 2])):
-                    self.grid[cell].append((r.key, k))
-        self.widest = max((r.half_width for r in self.roads.values()), default=0.0)
-
-    @staticmethod
-    def _cells(south: float, north: float, west: float, east: float) -> Iterator[tuple[int, int]]:
-        for i in range(math.floor(south / _CELL[0]), math.floor(north / _CELL[0]) + 1):
-            for j in range(math.floor(west / _CELL[1]), math.floor(east / _CELL[1]) + 1):
-                yield i, j
+        sizes = [len(r.bearings) for r in every]
+        join = lambda xs: np.concatenate([np.empty(0), *xs])
+        self.order = every
+        self.road = np.repeat(np.arange(len(every)), sizes)
+        self.edge = np.concatenate([np.empty(0, int), *(np.arange(n) for n in sizes)])
+        self.ends = np.column_stack([join([x[i : len(x) - 1 + i] for x in xs]) for i in (0, 1) for xs in ([r.lons for r in every], [r.lats for r in every])])
+        # Each edge lies in the cells of its box; edges are short.
+        low = np.floor(np.minimum(self.ends[:, 1::-1], self.ends[:, 3:1:-1]) / _CELL).astype(int)
+        high = np.floor(np.maximum(self.ends[:, 1::-1], self.ends[:, 3:1:-1]) / _CELL).astype(int)
+        cells: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for e, ((i0, j0), (i1, j1)) in enumerate(zip(low.tolist(), high.tolist())):
+            for i in range(i0, i1 + 1):
+                for j in range(j0, j1 + 1):
+                    cells[i, j].append(e)
+        self.grid = {c: np.array(x) for c, x in cells.items()}
+        self.widest = max((r.half_width for r in every), default=0.0)
+        self.ways: dict[tuple[Key, bool], tuple[float, dict[tuple[Key, bool], float]]] = {}
 
     def project(self, lat: float, lon: float, radius: float) -> list[Near]:
         """The nearest place of each road within a radius, nearest first, then by key."""
         plane = _Plane(lat, lon)
         dy, dx = radius / plane.per_lat, radius / plane.per_lon
-        edges = sorted({e for cell in self._cells(lat - dy, lat + dy, lon - dx, lon + dx) for e in self.grid.get(cell, ())})
-        if not edges:
+        span = lambda c, d, side: range(math.floor((c - d) / side), math.floor((c + d) / side) + 1)
+        here = [self.grid[c] for i in span(lat, dy, _CELL[0]) for j in span(lon, dx, _CELL[1]) if (c := (i, j)) in self.grid]
+        if not here:
             return []
-        ends = np.array([[self.roads[r].lons[k], self.roads[r].lats[k], self.roads[r].lons[k + 1], self.roads[r].lats[k + 1]] for r, k in edges])
-        x0, y0, x1, y1 = ((ends - [lon, lat, lon, lat]) * [plane.per_lon, plane.per_lat, plane.per_lon, plane.per_lat]).T
+        edges = here[0] if len(here) == 1 else np.unique(np.concatenate(here))
+        x0, y0, x1, y1 = ((self.ends[edges] - [lon, lat, lon, lat]) * [plane.per_lon, plane.per_lat, plane.per_lon, plane.per_lat]).T
         ux, uy = x1 - x0, y1 - y0
         length = np.hypot(ux, uy)
         t = np.where(length > 0, np.clip(-(x0 * ux + y0 * uy) / np.maximum(length * length, 1e-12), 0, 1), 0.0)
         px, py = x0 + t * ux, y0 + t * uy
         d = np.hypot(px, py)
-        found: dict[Key, tuple] = {}
-        for i in np.flatnonzero(d <= radius):
-            r, k = edges[i]
+        found: dict[int, tuple] = {}
+        for i in np.flatnonzero(d <= radius).tolist():
+            r, k = int(self.road[edges[i]]), int(self.edge[edges[i]])
             if r not in found or d[i] < found[r][0] - 1e-9:
-                road = self.roads[r]
-                side = -(ux[i] * -py[i] - uy[i] * -px[i]) / length[i] if length[i] > 0 else 0.0
+                road = self.order[r]
+                side = (ux[i] * py[i] - uy[i] * px[i]) / length[i] if length[i] > 0 else 0.0
                 found[r] = (float(d[i]), float(road.ends[k] + t[i] * (road.ends[k + 1] - road.ends[k])), float(side), float(road.bearings[k]), float(px[i]), float(py[i]))
-        return sorted((Near(self.roads[r], *v) for r, v in found.items()), key=lambda n: (n.distance, n.road.key))
+        return sorted((Near(self.order[r], *v) for r, v in found.items()), key=lambda n: (n.distance, n.road.key))
 
     def onward(self, key: Key, forward: bool) -> Iterator[tuple[Key, bool]]:
         """What a directed road leads to: other roads at the node where it ends."""
         r = self.roads[key]
         yield from ((k, f) for k, f in self.at[r.end if forward else r.start] if k != key)
 
-    def reachable(self, key: Key, along: float, forward: bool, limit: float) -> dict[tuple[Key, bool], float]:
-        """Way to the entry of each directed road within a limit (shortest first)."""
+    def from_end(self, key: Key, forward: bool, limit: float) -> dict[tuple[Key, bool], float]:
+        """Way from the end of a directed road to the entry of each one within a limit at least (shortest first); found once."""
+        known = self.ways.get((key, forward))
+        if known is not None and known[0] >= limit:
+            return known[1]
         out: dict[tuple[Key, bool], float] = {}
-        left = self.roads[key].length - along if forward else along
-        queue = [(left, *to) for to in self.onward(key, forward)]
+        queue = [(0.0, *to) for to in self.onward(key, forward)]
         heapq.heapify(queue)
+        limit = 25 * math.ceil(limit / 25)
         while queue:
             d, k, f = heapq.heappop(queue)
             if d > limit:
@@ -176,8 +187,16 @@ class Network:
                 out[k, f] = d
                 for to in self.onward(k, f):
                     heapq.heappush(queue, (d + self.roads[k].length, *to))
+        if len(self.ways) > 20_000:
+            self.ways.clear()
+        self.ways[key, forward] = limit, out
         return out
 
+    def reachable(self, key: Key, along: float, forward: bool, limit: float) -> dict[tuple[Key, bool], float]:
+        """Way from a place to the entry of each directed road within a limit."""
+        left = self.roads[key].length - along if forward else along
+        return {k: left + d for k, d in self.from_end(key, forward, limit - left).items() if left + d <= limit} if left <= limit else {}
+
 
 class Step(NamedTuple):
     """A pose after some way: covariance in the plane, heading and its error where they are known, turn by the gyroscope since the step before."""
@@ -233,11 +252,12 @@ class Matcher:
             score -= 0.5 * _half_turn(s.heading - math.radians(bearing)) ** 2 / spread + 0.5 * math.log(2 * math.pi * spread)
         return bearing, score - (r.service_penalty if n.road.road_class == "service" else r.minor_penalty if n.road.road_class in _MINOR else 0.0)
 
-    def _way(self, h: Hypothesis, reach: dict, key: Key, forward: bool, along: float) -> float | None:
-        if (h.key, h.forward) == (key, forward) and (d := along - h.along if forward else h.along - along) >= -20:
+    def _way(self, h: Hypothesis, left: float, ends: dict, key: Key, forward: bool, along: float, limit: float) -> float | None:
+        """Way from a hypothesis, `left` metres before its road's end, to a place; None beyond the limit. A little backward on one road is noise."""
+        if h.key == key and h.forward == forward and (d := along - h.along if forward else h.along - along) >= -20:
             return d
-        entry = reach.get((key, forward))
-        return None if entry is None else entry + (along if forward else self.network.roads[key].length - along)
+        entry = ends.get((key, forward))
+        return None if entry is None or left + entry > limit else left + entry + (along if forward else self.network.roads[key].length - along)
 
     def step(self, s: Step) -> None:
         r = self.rules
@@ -257,12 +277,14 @@ class Matcher:
             leave = r.leave_slow if s.speed < r.slow_mps else r.leave
             beta, turn_std = r.route_m + r.route_share * s.way, math.radians(r.turn_deg) + r.turn_share * abs(s.turn)
             peak = -math.log(2 * beta) - 0.5 * math.log(2 * math.pi * turn_std**2)
-            reach = [(h, self.network.reachable(h.key, h.along, h.forward, 2 * s.way + 60)) for h in self.found]
+            limit = 2 * s.way + 60
+            left = [self.network.roads[h.key].length - h.along if h.forward else h.along for h in self.found]
+            reach = [(h, x, self.network.from_end(h.key, h.forward, limit - x) if x <= limit else {}) for h, x in zip(self.found, left)]
             from_off = self.log_off + math.log(r.enter) - share
             for n, f, bearing, score in states:
                 ways = []
-                for h, map_ in reach:
-                    if (d := self._way(h, map_, n.road.key, f, n.along)) is not None:
+                for h, x, ends in reach:
+                    if (d := self._way(h, x, ends, n.road.key, f, n.along, limit)) is not None:
                         bend = _half_turn(s.turn - math.radians(bearing - h.bearing))
                         ways.append((h.log_p + math.log(1 - leave) + peak - abs(d - s.way) / beta - 0.5 * (bend / turn_std) ** 2, h))
                 best = max(ways, key=lambda w: w[0], default=None)
@@ -276,6 +298,7 @@ class Matcher:
         # The best stay, ties by segment, backward first; a road's share over a limit keeps its confident way.
         kept = sorted((h._replace(log_p=h.log_p - total) for h in new), key=lambda h: (-h.log_p, h.key, h.forward))[: r.hypotheses]
         self.found = kept
+        # One street's share is the same for all of its pieces that point the same way.
         self.found = [h._replace(confident=h.confident + s.way if self.probability(h) >= r.confident else 0.0) for h in kept]
 
     def off_road(self) -> float:
@@ -357,7 +380,20 @@ def with_networks(rows: DataFrame, networks: DataFrame, columns: list[str], orde
     return both.repartition("drive_id").sortWithinPartitions("drive_id", "first", *order).select("drive_id", "road", *kept)
 
 
+_known: dict[tuple, Road] = {}
+
+
 def road_from(x: dict) -> Road:
+    """A road of a networks row; drives of one task share the roads of one area."""
+    name = (x["way_id"], x["piece"], x["start_node"], x["end_node"], x["oneway"], x["road_class"], x["lanes"], x["name"], len(x["points"]), x["points"][0]["lat"], x["points"][-1]["lon"])
+    if (road := _known.get(name)) is None:
+        if len(_known) > 200_000:
+            _known.clear()
+        road = _known[name] = _road_from(x)
+    return road
+
+
+def _road_from(x: dict) -> Road:
     return road_of((x["way_id"], x["piece"]), x["start_node"], x["end_node"], bool(x["oneway"]), x["road_class"], x["lanes"], x["name"], [p["lat"] for p in x["points"]], [p["lon"] for p in x["points"]])
 
 
