@@ -312,3 +312,16 @@ def networks_near(points: DataFrame, segs: DataFrame, edges: DataFrame, reach_m:
     cells = points.select(key, cell(px).alias("_cx"), cell(py).alias("_cy")).distinct()
     met = cells.join(crossed_cells(edges, reach_m + CELL_M).select("way_id", "piece", "_cx", "_cy").distinct(), ["_cx", "_cy"])
     return met.select(key, "way_id", "piece").distinct().join(segs, ["way_id", "piece"])
+
+
+def networks_of_drives(points: DataFrame, segs: DataFrame, edges: DataFrame, reach_m: float, lat0: float, lon0: float, area_deg: float = 0.2, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Drives that begin in one area share a piece of the network: (drive_id, net_id), and net_id with the segments near any of their points.
+
+    points: drive_id, t_ns, seq, lat, lon. An area with more than about `most` drives is dealt to several net_ids by a hash of the drive, so no task gets
+    more; its roads come once for each.
+    """
+    first = points.groupBy("drive_id").agg(F.min_by(F.struct("lat", "lon"), F.struct("t_ns", "seq")).alias("p"))
+    area = first.select("drive_id", F.concat_ws("_", F.floor(F.col("p.lat") / area_deg), F.floor(F.col("p.lon") / area_deg)).alias("area"))
+    parts = area.groupBy("area").agg(F.ceil(F.count("*") / most).alias("_n"))
+    drives = area.join(parts, "area").select("drive_id", F.concat_ws("_", "area", F.pmod(F.xxhash64("drive_id"), F.col("_n"))).alias("net_id"))
+    return drives, networks_near(points.join(drives, "drive_id"), segs, edges, reach_m, lat0, lon0, "net_id")

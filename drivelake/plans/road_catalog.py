@@ -204,11 +204,12 @@ def reachable_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _networks(spark: SparkSession, sf_dir: str, reach_m: float) -> tuple[DataFrame, DataFrame]:
-    """Fixes, and each drive's piece of the network."""
+    """Fixes with the name of their piece of the network, and these pieces."""
     work = scratch_folder(spark)
     segs = stored(roads.segments(_ways(spark, sf_dir)), work, "segments")
     f = fix_view(spark, sf_dir).select("drive_id", "t_ns", "seq", "lat", "lon", "speed_mps", "bearing_deg")
-    return f, roads.networks_near(f, segs, roads.edges_of_segments(segs, LAT0, LON0), reach_m, LAT0, LON0, "drive_id")
+    drives, networks = roads.networks_of_drives(f, segs, roads.edges_of_segments(segs, LAT0, LON0), reach_m, LAT0, LON0)
+    return f.join(drives, "drive_id"), networks
 
 
 @_query()
@@ -216,7 +217,7 @@ def matched_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each drive's fixes as steps of five metres on its piece of the network; tests hold the matcher against made drives."""
     f, networks = _networks(spark, sf_dir, 120.0)
     var, turn = F.lit(25.0), F.lit(0.0)
-    steps = f.select("drive_id", "t_ns", "seq", "lat", "lon", var.alias("cov_ee"), turn.alias("cov_en"), var.alias("cov_nn"), F.radians("bearing_deg").alias("heading_rad"), F.lit(0.2).alias("heading_std_rad"), F.lit(5.0).alias("way_m"), turn.alias("turn_rad"), "speed_mps")
+    steps = f.select("drive_id", "net_id", "t_ns", "seq", "lat", "lon", var.alias("cov_ee"), turn.alias("cov_en"), var.alias("cov_nn"), F.radians("bearing_deg").alias("heading_rad"), F.lit(0.2).alias("heading_std_rad"), F.lit(5.0).alias("way_m"), turn.alias("turn_rad"), "speed_mps")
     m = road_matcher.match_drives(steps, networks)
     return m.select("drive_id", "seq", "way_id", "piece", "forward", _r("along_m", 3).alias("along_m"), _r("probability").alias("probability"), _r("off_road").alias("off_road"), _r("axis_rad").alias("axis_rad"), "hypotheses")
 
@@ -225,7 +226,7 @@ def matched_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offline_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest chain of each drive's fixes, twenty metres apart by the odometer; tests hold it against all chains."""
     f, networks = _networks(spark, sf_dir, 120.0)
-    rows = f.withColumn("odo_m", F.row_number().over(Window.partitionBy("drive_id").orderBy("t_ns", "seq")) * 20.0).select("drive_id", "t_ns", "seq", "odo_m", "lat", "lon")
+    rows = f.withColumn("odo_m", F.row_number().over(Window.partitionBy("drive_id").orderBy("t_ns", "seq")) * 20.0).select("drive_id", "net_id", "t_ns", "seq", "odo_m", "lat", "lon")
     rules = offline_match.OfflineRules(radius_m=25.0, candidates=4, most_more_m=60.0)
     m = offline_match.match_whole_drives(rows, networks, rules)
     return m.select("drive_id", "seq", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"), _r("bearing_deg", 4).alias("bearing_deg"), "reliable", "matched", "way_id", "piece", _r("along_m", 3).alias("along_m"), "begins")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from drivelake.streaming.road_matcher import Key, Near, Network, Road, road_from, with_networks
+from drivelake.streaming.road_matcher import Key, Near, Network, Networks, Road, with_networks
 
 
 @dataclass(frozen=True)
@@ -251,8 +251,7 @@ def match_whole_drives(rows: DataFrame, networks: DataFrame, rules: OfflineRules
     """
     names = [c.split(" ")[0] for c in OUT.split(", ")]
 
-    def flush(key, roads, held) -> list[tuple]:
-        network = Network(roads)
+    def flush(key, network, held) -> list[tuple]:
         chain = best_chain(held, network, rules)
         by = {(m.row.t_ns, m.row.seq): (m, k) for k, m in enumerate(chain)}
         out = []
@@ -262,7 +261,7 @@ def match_whole_drives(rows: DataFrame, networks: DataFrame, rules: OfflineRules
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drive, roads, held, begun, kind = None, [], [], False, None
+        at, drive, network, held, kind = Networks(), None, None, [], None
         types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
         def table(out: list[tuple]) -> pa.RecordBatch:
@@ -271,14 +270,16 @@ def match_whole_drives(rows: DataFrame, networks: DataFrame, rules: OfflineRules
 
         for b in batches:
             kind = b.schema.field(0).type
-            for key, road, *values in zip(*(c.to_pylist() for c in b.columns)):
-                if begun and key != drive:
-                    yield table(flush(drive, roads, held))
-                    roads, held = [], []
-                drive, begun = key, True
-                roads.append(road_from(road)) if road is not None else held.append(Row(*values))
-        if begun:
-            yield table(flush(drive, roads, held))
+            for key, net, road, *values in zip(*(c.to_pylist() for c in b.columns)):
+                row, first = at.takes(key, net, road)
+                if (first or not row) and held:
+                    yield table(flush(drive, network, held))
+                    held = []
+                if row:
+                    drive, network = key, at.network
+                    held.append(Row(*values))
+        if held:
+            yield table(flush(drive, network, held))
 
     kind = rows.schema["drive_id"].dataType.simpleString()
     ordered = with_networks(rows.filter("odo_m IS NOT NULL"), networks, ["t_ns", "seq", "odo_m", "lat", "lon"], ["t_ns", "seq"])

@@ -373,11 +373,40 @@ _ROAD = ("way_id", "piece", "start_node", "end_node", "oneway", "road_class", "l
 
 
 def with_networks(rows: DataFrame, networks: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """Each drive's roads (networks: drive_id and roads.segments' columns) in front of its rows, for a fold: `road` is null in rows. One shuffle by drive; nothing is multiplied."""
+    """drive_id, net_id, road and columns: the roads of a network (roads.segments' columns) in front of the rows of all drives that use it; `road` is null in rows.
+
+    networks and rows share net_id (roads.networks_of_drives), or networks have drive_id, one for each drive. One shuffle; nothing is multiplied.
+    """
     road = F.struct(*(F.col(c) for c in _ROAD))
-    both = networks.select("drive_id", road.alias("road")).withColumn("first", F.lit(0)).unionByName(rows.select("drive_id", *columns).withColumn("first", F.lit(1)), allowMissingColumns=True)
-    kept = [c for c in columns]
-    return both.repartition("drive_id").sortWithinPartitions("drive_id", "first", *order).select("drive_id", "road", *kept)
+    shared = "net_id" in networks.columns
+    net = F.col("net_id" if shared else "drive_id").alias("net_id")
+    both = networks.select(net, road.alias("road")).withColumn("first", F.lit(0)).unionByName(rows.select("drive_id", net, *columns).withColumn("first", F.lit(1)), allowMissingColumns=True)
+    return both.repartition("net_id").sortWithinPartitions("net_id", "first", "drive_id", *order).select("drive_id", "net_id", "road", *columns)
+
+
+class Networks:
+    """Reads rows of with_networks: tells for each row whether it begins another drive, and gives its network."""
+
+    def __init__(self) -> None:
+        self.net = self.drive = None
+        self.begun = False
+        self.roads: list[Road] = []
+        self.network: Network | None = None
+
+    def takes(self, drive: object, net: object, road: dict | None) -> tuple[bool, bool]:
+        """(a row of a drive, the first one of it)."""
+        if not self.begun or net != self.net:
+            self.net, self.roads, self.network, self.drive, self.begun, fresh = net, [], None, None, True, True
+        else:
+            fresh = self.network is None
+        if road is not None:
+            self.roads.append(road_from(road))
+            return False, False
+        if self.network is None:
+            self.network = Network(self.roads)
+        first = fresh or drive != self.drive
+        self.drive = drive
+        return True, first
 
 
 _known: dict[tuple, Road] = {}
@@ -408,17 +437,15 @@ def match_drives(steps: DataFrame, networks: DataFrame, rules: MatchRules = Matc
     usable = steps.filter("lat IS NOT NULL AND lon IS NOT NULL AND cov_ee IS NOT NULL AND cov_nn IS NOT NULL").fillna(0.0, ["cov_en", "way_m", "turn_rad", "speed_mps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drive, roads, matcher, begun = None, [], None, False
+        at, matcher = Networks(), None
         for b in batches:
             out = []
-            for key, road, t, seq, *values in zip(*(c.to_pylist() for c in b.columns)):
-                if not begun or key != drive:
-                    drive, roads, matcher, begun = key, [], None, True
-                if road is not None:
-                    roads.append(road_from(road))
+            for key, net, road, t, seq, *values in zip(*(c.to_pylist() for c in b.columns)):
+                row, first = at.takes(key, net, road)
+                if not row:
                     continue
-                if matcher is None:
-                    matcher = Matcher(Network(roads), rules)
+                if first:
+                    matcher = Matcher(at.network, rules)
                 s = Step(*values)
                 matcher.step(s)
                 h, axis, n = matcher.best(), axis_consensus(matcher.network, s, rules), len(matcher.found)
