@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drivelake.functions import geo
 from drivelake.functions.geo import R68_PER_SIGMA, R95_PER_SIGMA
 
 THRESHOLDS_M = (50, 100, 250, 500, 1000)
@@ -98,3 +99,10 @@ def circular_mean_deg(angle: str, weight: Column | None = None) -> Column:
     """Weighted mean direction in [0, 360)."""
     w = F.lit(1.0) if weight is None else weight
     return F.pmod(F.degrees(F.atan2(F.sum(w * F.sin(F.radians(angle))), F.sum(w * F.cos(F.radians(angle))))) + 360, F.lit(360.0))
+
+
+def circular_residual(rows: DataFrame, keys: list[str], angle: str, weight: Column) -> DataFrame:
+    """keys and rms_deg: root of the mean square by which angles (degrees) differ from their weighted circular mean. Rows without an angle don't count; groups without any have null."""
+    mean = rows.groupBy(*keys).agg(circular_mean_deg(angle, weight).alias("_mean"))
+    off = geo.wrap_deg(F.col(angle) - F.col("_mean"))
+    return rows.join(mean, keys).groupBy(*keys).agg(F.sqrt(F.avg(off * off)).alias("rms_deg"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivelake.operators import motion, trust
+from drivelake.operators import metrics, motion, retiming, rigid, tracks, trust
 from drivelake.plans.motion_catalog import _RECKON_SQL, _reckoned
-from drivelake.plans.registry import _hav, _query, _r
+from drivelake.plans.registry import _hav, _query, _r, _wrap
 from drivelake.sources.fixes import FIX_SQL, fix_view
 from drivelake.sources.views import flat_sql, flat_view, phone_samples, phone_sql
 from drivelake.streaming import compass, tracker
@@ -120,3 +120,49 @@ def compass_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = fix_view(spark, sf_dir).filter("source = 'GNSS' AND h_acc_m <= 30").select("drive_id", "t_ns", "bearing_deg", "speed_mps")
     rows = compass.compass_rows(every, truth, number(flat_view(spark, sf_dir, "geomag")), number(flat_view(spark, sf_dir, "power")), max_gap_s=60.0)
     return compass.compass_summary(rows).select("drive_id", "verdict", "reasons", "fit", "octants", "mounts", "n_errors", _r("p50_deg").alias("p50_deg"))
+
+
+_Z = ("(radians({lon} - lo0) * (6378137.0::DOUBLE / sqrt(1 - 6.69437999014e-3 * pow(sin(radians(la0)), 2)) * cos(radians(la0))))", "(radians({lat} - la0) * (6378137.0::DOUBLE / sqrt(1 - 6.69437999014e-3 * pow(sin(radians(la0)), 2)) * (1 - 6.69437999014e-3) / (1 - 6.69437999014e-3 * pow(sin(radians(la0)), 2))))")
+
+
+def _rounds() -> str:
+    """Five rounds of weighted turn and shift over the fixes (zx, zy, px, py, acc) of each tick (drive_id, t)."""
+    out = ["p0 AS (SELECT *, 1 / (acc * acc) AS w FROM ok)"]
+    for k in range(5):
+        out.append(f"m{k} AS (SELECT drive_id, t, sum(w * zx) / sum(w) AS zmx, sum(w * zy) / sum(w) AS zmy, sum(w * px) / sum(w) AS pmx, sum(w * py) / sum(w) AS pmy FROM p{k} GROUP BY ALL)")
+        out.append(f"h{k} AS (SELECT drive_id, t, any_value(zmx) AS zmx, any_value(zmy) AS zmy, any_value(pmx) AS pmx, any_value(pmy) AS pmy, sum(w * ((zx - zmx) * (px - pmx) + (zy - zmy) * (py - pmy))) AS hx, sum(w * ((zy - zmy) * (px - pmx) - (zx - zmx) * (py - pmy))) AS hy FROM p{k} JOIN m{k} USING (drive_id, t) GROUP BY ALL)")
+        out.append(f"r{k} AS (SELECT *, hx / sqrt(hx * hx + hy * hy) AS c, hy / sqrt(hx * hx + hy * hy) AS s FROM h{k})")
+        out.append(f"f{k} AS (SELECT drive_id, t, c, s, zmx - (c * pmx - s * pmy) AS tx, zmy - (s * pmx + c * pmy) AS ty FROM r{k})")
+        if k < 4:
+            out.append(f"p{k + 1} AS (SELECT ok.*, least(1, 2 * acc / greatest(sqrt(pow(zx - (c * px - s * py + tx), 2) + pow(zy - (s * px + c * py + ty), 2)), 1e-6)) / (acc * acc) AS w FROM ok JOIN f{k} USING (drive_id, t))")
+    return ", ".join(out)
+
+
+@_query(f"""WITH {_RECKON_SQL}, one AS (SELECT * EXCLUDE (k) FROM (SELECT drive_id, t_ns AS pt, east, north, row_number() OVER (PARTITION BY drive_id, t_ns ORDER BY seq DESC) AS k FROM r) WHERE k = 1),
+    g AS (SELECT f.drive_id, f.t_ns, f.seq, f.lat, f.lon, f.h_acc_m AS acc, o.east AS px, o.north AS py FROM (SELECT * FROM fix WHERE source = 'GNSS' AND h_acc_m > 0) f ASOF JOIN one o ON f.drive_id = o.drive_id AND f.t_ns >= o.pt),
+    a AS (SELECT drive_id, avg(lat) AS la0, avg(lon) AS lo0 FROM g GROUP BY drive_id), z AS (SELECT g.*, la0, lo0, {_Z[0].format(lon='lon')} AS zx, {_Z[1].format(lat='lat')} AS zy FROM g JOIN a USING (drive_id)),
+    tk AS (SELECT drive_id, unnest(generate_series((lo + 9999999999) // 10000000000 * 10000000000, hi, 10000000000)) AS t FROM (SELECT drive_id, min(t_ns) AS lo, max(t_ns) AS hi FROM fix GROUP BY drive_id)),
+    tp AS (SELECT tk.drive_id, tk.t, o.east AS qx, o.north AS qy FROM tk ASOF JOIN one o ON tk.drive_id = o.drive_id AND tk.t >= o.pt), w AS (SELECT tp.drive_id, tp.t, z.* EXCLUDE (drive_id), count(*) OVER v AS n, arg_max(px, (t_ns, seq)) OVER v AS lx, arg_max(py, (t_ns, seq)) OVER v AS ly FROM tp JOIN z ON z.drive_id = tp.drive_id AND z.t_ns BETWEEN tp.t - 300000000000 AND tp.t WINDOW v AS (PARTITION BY tp.drive_id, tp.t)),
+    ok AS (SELECT * FROM w WHERE n >= 6 QUALIFY max(sqrt(pow(px - lx, 2) + pow(py - ly, 2))) OVER (PARTITION BY drive_id, t) >= 150), {_rounds()}, e AS (SELECT f4.*, c * qx - s * qy + tx AS x, s * qx + c * qy + ty AS y, la0, lo0 FROM f4 JOIN tp USING (drive_id, t) JOIN a USING (drive_id))
+    SELECT e.drive_id, e.t AS t_ns, CAST(n AS INTEGER) AS n, round(la0 + degrees(y / (6378137.0::DOUBLE / sqrt(1 - 6.69437999014e-3 * pow(sin(radians(la0)), 2)) * (1 - 6.69437999014e-3) / (1 - 6.69437999014e-3 * pow(sin(radians(la0)), 2)))), 6) + 0 AS lat,
+    round(lo0 + degrees(x / (6378137.0::DOUBLE / sqrt(1 - 6.69437999014e-3 * pow(sin(radians(la0)), 2)) * cos(radians(la0)))), 6) + 0 AS lon, round(atan2(s, c), 5) + 0 AS turn_rad FROM e JOIN (SELECT DISTINCT drive_id, t, n FROM ok) USING (drive_id, t)""")
+def rigid_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dead-reckoned path over satellite fixes of five minutes, each ten seconds."""
+    f = fix_view(spark, sf_dir)
+    out = rigid.rigid_places(tracks.tick_grid(f, 10.0), f.filter("source = 'GNSS'"), _reckoned(spark, sf_dir))
+    return out.select("drive_id", "t_ns", "n", _r("lat", 6).alias("lat"), _r("lon", 6).alias("lon"), _r("turn_rad", 5).alias("turn_rad"))
+
+
+@_query()
+def retimed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each drive's satellite fixes moved along their route by the corners of the dead-reckoned bearing; tests hold it against tracks of known delay."""
+    f = fix_view(spark, sf_dir).filter("source = 'GNSS'")
+    turns = _reckoned(spark, sf_dir).select("drive_id", "t_ns", "seq", F.degrees("bearing").alias("heading_deg"))
+    return retiming.retime_tracks(f, turns).select("drive_id", "seq", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"), "corners")
+
+
+@_query(f"""WITH {FIX_SQL}, m AS (SELECT drive_id, degrees(atan2(sum(speed_mps * sin(radians(bearing_deg))), sum(speed_mps * cos(radians(bearing_deg))))) AS b FROM fix GROUP BY drive_id)
+    SELECT drive_id, round(sqrt(avg(pow({_wrap('bearing_deg - b')}, 2))), 5) + 0 AS rms_deg FROM fix JOIN m USING (drive_id) GROUP BY drive_id""")
+def circular_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far bearings lie from their mean, weighted by speed."""
+    return metrics.circular_residual(fix_view(spark, sf_dir), ["drive_id"], "bearing_deg", F.col("speed_mps")).select("drive_id", _r("rms_deg", 5).alias("rms_deg"))
