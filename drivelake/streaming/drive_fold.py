@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from drivelake.streaming.estimators import ESTIMATORS, Estimator
+from drivelake.streaming.road_filter import road_filter_of
+from drivelake.streaming.road_matcher import Network, Networks, with_networks
 from drivelake.streaming.tracker import Tracker
 from drivelake.streaming.trust_fold import COLUMNS, EVENTS, Event, Prediction, TrustRules, assess, events_of, observe
 
@@ -85,31 +87,48 @@ def fold_events_of(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def fold_batch(events: DataFrame, estimators: dict[object, str] | str = "baseline", rules: TrustRules = TrustRules()) -> DataFrame:
+#: Makers of estimators that need the roads near a drive, by name.
+ROAD_ESTIMATORS: dict[str, Callable[[Network], Estimator]] = {"baseline-roads": road_filter_of()}
+
+
+def fold_batch(events: DataFrame, estimators: dict[object, str] | str = "baseline", rules: TrustRules = TrustRules(), networks: DataFrame | None = None) -> DataFrame:
     """drive_id and OUT: each drive's verdicts and estimates, in the order (t_ns, rank, seq) of its events.
 
     estimators: a registered name for all drives, or names by the part of a run's key behind its last "|" (its variant). An estimator that isn't
-    registered is an error. Drives whose events are all others than fixes get no rows; an empty table gives an empty result.
+    registered is an error. networks (road_matcher.with_networks) brings the roads for estimators that need them; a drive without has none near. Drives whose events are all others than fixes get no rows; an empty table gives an empty result.
     """
-    named = [estimators] if isinstance(estimators, str) else list(estimators.values())
-    if unknown := [n for n in named if n not in ESTIMATORS]:
+    named, by_network = [estimators] if isinstance(estimators, str) else list(estimators.values()), networks is not None
+    if unknown := [n for n in named if n not in ESTIMATORS and n not in ROAD_ESTIMATORS]:
         raise ValueError(f"unknown estimators {unknown}")
-    made = {n: ESTIMATORS[n] for n in named}  # travels to the tasks, with those that a caller registered
+    made = {n: ESTIMATORS.get(n) for n in named}  # travels to the tasks, with those that a caller registered
+    on_roads = {n: ROAD_ESTIMATORS[n] for n in named if n in ROAD_ESTIMATORS}
+    name_of = lambda key: estimators if isinstance(estimators, str) else estimators[str(key).rsplit("|", 1)[-1]]
+
+    def begun(key: object, network: Network | None) -> Drive:
+        name = name_of(key)
+        return Drive(made[name] if name not in on_roads else lambda: on_roads[name](network or Network([])), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drive, fold = None, None
+        drive, fold, at = None, None, Networks()
         for b in batches:
             out = []
             for key, *values in zip(*(c.to_pylist() for c in b.columns)):
-                if fold is None or key != drive:
-                    drive, fold = key, Drive(made[estimators if isinstance(estimators, str) else estimators[str(key).rsplit("|", 1)[-1]]], rules)
+                if by_network:
+                    row, first = at.takes(key, *values[:2])
+                    if not row:
+                        continue
+                    values = values[2:]
+                    fold = begun(key, at.network) if first else fold
+                elif fold is None or key != drive:
+                    drive, fold = key, begun(key, None)
                 out += [(key, *row) for row in fold.take(Event(*values))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(kinds), kinds)], ["drive_id", *_NAMES])
 
     kind = events.schema["drive_id"].dataType.simpleString()
     simple = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
     kinds = [simple[kind], *(simple[c.split(" ")[1]] for c in OUT.split(", "))]
-    rows = events.select("drive_id", *COLUMNS).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "rank", "seq")
+    order = ["t_ns", "rank", "seq"]
+    rows = events.select("drive_id", *COLUMNS).repartition("drive_id").sortWithinPartitions("drive_id", *order) if networks is None else with_networks(events, networks, COLUMNS, order)
     return rows.mapInArrow(run, f"drive_id {kind}, {OUT}")
 
 

@@ -36,7 +36,7 @@ def speed(t, v):
 
 
 def moving(t, dt=0.05, **values):
-    base = {n: None for n in Motion._fields} | {"t_ns": round(t * S), "dt_s": dt, "yaw_rate": 0.0, "still": False, "still_s": 0.0, "gyro_mean": 0.0, "accel_std": 0.5, "up": (0, 0, 1), "tilt_rms": 0.0, "still_loose": False, "mount": 0}
+    base = {n: None for n in Motion._fields} | {"t_ns": round(t * S), "dt_s": dt, "yaw_rate": 0.0, "still": False, "still_s": 0.0, "gyro_mean": 0.0, "accel_std": 0.5, "up": (0, 0, 1), "tilt_rms": 0.0, "still_loose": False, "mount": 0, "horizontal_accel": 0.0, "steady_up": True}
     return Motion(**(base | values))
 
 
