@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drivelake.streaming.keyed import keyed_stream
+
 
 def newly_seen(members: DataFrame) -> DataFrame:
     """Members of scans (drive_id, t_ns, seq, seen_ns) that were seen later than all members of earlier scans."""
@@ -35,3 +37,26 @@ def at_most_every(rows: DataFrame, watched: list[str], period_s: float, least_s:
 
     ordered = rows.filter("drive_id IS NOT NULL AND t_ns IS NOT NULL").repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "seq")
     return ordered.mapInArrow(run, rows.schema)
+
+
+class _Kept:
+    """Rows that differ from the last one kept, or come a period after it."""
+
+    def __init__(self, period_ns: int, least_ns: int):
+        self.period, self.least, self.last, self.at = period_ns, least_ns, None, None
+
+    def take(self, row: tuple, late: bool = False) -> list[tuple]:
+        t, _, seq, *now = row
+        if self.at is not None and (t - self.at < self.least or now == self.last and t - self.at < self.period):
+            return []
+        self.last, self.at = now, t
+        return [(t, seq, *now)]
+
+
+def at_most_every_stream(rows: DataFrame, watched: list[str], period_s: float, least_s: float = 0.0, reorder_ns: int = 500_000_000, flush_ms: int = 2000, forget_ms: int = 600_000) -> DataFrame:
+    """drive_id, t_ns, seq and the watched columns of the rows of a stream that at_most_every keeps, under the conditions of keyed_stream."""
+    period, least = int(period_s * 1e9), int(least_s * 1e9)
+    kinds = dict(rows.dtypes)
+    ready = rows.filter("drive_id IS NOT NULL AND t_ns IS NOT NULL").withColumn("rank", F.lit(0))
+    out = ", ".join(["t_ns long", "seq long", *(f"{c} {kinds[c]}" for c in watched)])
+    return keyed_stream(ready, ["t_ns", "rank", "seq", *watched], lambda: _Kept(period, least), out, reorder_ns, flush_ms, forget_ms)

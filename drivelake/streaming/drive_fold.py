@@ -6,16 +6,14 @@ they are one state of one drive. Drives are independent: Spark spreads them over
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from drivelake.streaming.estimators import ESTIMATORS, Estimator
+from drivelake.streaming.keyed import keyed_stream
 from drivelake.streaming.road_filter import road_filter_of
 from drivelake.streaming.road_matcher import Network, Networks, with_networks
 from drivelake.streaming.tracker import Tracker
@@ -132,34 +130,23 @@ def fold_batch(events: DataFrame, estimators: dict[object, str] | str = "baselin
     return rows.mapInArrow(run, f"drive_id {kind}, {OUT}")
 
 
+class _Events:
+    """A drive's fold over rows of a stream."""
+
+    def __init__(self, make: Callable[[], Estimator], rules: TrustRules):
+        self.drive = Drive(make, rules)
+
+    def take(self, row: tuple, late: bool) -> list[tuple]:
+        return self.drive.take(Event(**dict(zip(_STREAMED, row))))
+
+
+_STREAMED = ["t_ns", "rank", "seq", *(c for c in COLUMNS if c not in ("t_ns", "rank", "seq"))]
+
+
 def fold_stream(events: DataFrame, estimator: str = "baseline", rules: TrustRules = TrustRules(), reorder_ns: int = 500_000_000, flush_ms: int = 2000, forget_ms: int = 600_000) -> DataFrame:
-    """A stream's rows, equal to those of fold_batch if no event comes more than reorder_ns behind a later one of its drive; what comes later
-    still is taken at once and marked. A drive that is silent for flush_ms of processing time is flushed, after forget_ms its state goes."""
-    kind = events.schema["drive_id"].dataType.simpleString()
+    """A stream's rows, equal to those of fold_batch under the conditions of keyed_stream; what comes later is marked late."""
     make = ESTIMATORS[estimator]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, waiting, seen = pickle.loads(state.get[0]) if state.exists else (Drive(make, rules), [], -(1 << 62))
-        if state.hasTimedOut and not waiting:
-            state.remove()
-            return
-        for b in batches:
-            lists = [[None if v is None or v is pd.NA or v != v else v for v in b[c].astype(object).tolist()] for c in COLUMNS]
-            waiting += [Event(*x) for x in zip(*lists)]
-        seen = max([seen, *(x.t_ns for x in waiting)])
-        limit = seen if state.hasTimedOut else seen - reorder_ns
-        waiting.sort(key=lambda x: (x.t_ns, x.rank, x.seq))
-        ready, waiting = [x for x in waiting if x.t_ns <= limit], [x for x in waiting if x.t_ns > limit]
-        out = [row for x in ready for row in fold.take(x)]
-        state.update((pickle.dumps((fold, waiting, seen)),))
-        state.setTimeoutDuration(flush_ms if waiting else forget_ms)
-        if out:
-            frame = pd.DataFrame(out, columns=_NAMES)
-            frame.insert(0, "drive_id", key[0])
-            yield frame
-
-    rows = events.select("drive_id", *COLUMNS).fillna({"used": 0})
-    return rows.groupBy("drive_id").applyInPandasWithState(run, f"drive_id {kind}, {OUT}", "memory binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed_stream(events.fillna({"used": 0}), _STREAMED, lambda: _Events(make, rules), OUT, reorder_ns, flush_ms, forget_ms)
 
 
 def verdicts_of(rows: DataFrame) -> DataFrame:

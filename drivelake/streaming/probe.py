@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drivelake.streaming.keyed import keyed_stream
+
 #: Reasons of a rejection that don't speak against the receiver, and those that mark our own output.
 AMBIGUOUS = {"INNOVATION_GATE", "RECOVERING"}
 OWN = {"SOURCE_OVERRIDDEN", "SYNTHETIC_INPUT"}
@@ -91,34 +93,61 @@ class Probe:
         return "CLOSE"
 
 
+def _probe_rows(statuses: DataFrame, verdicts: DataFrame, ticks: DataFrame) -> DataFrame:
+    """All three as (drive_id, t_ns, rank, seq, a, b, c): at equal times statuses come first, then verdicts, then ticks. Rows without drive or time are left out."""
+    lit = F.lit
+    none = lit(None).cast("string")
+    rows = statuses.select("drive_id", "t_ns", lit(0).alias("rank"), "seq", F.col("healthy").cast("string").alias("a"), none.alias("b"), none.alias("c"))
+    rows = rows.unionByName(verdicts.select("drive_id", "t_ns", lit(1).alias("rank"), "seq", F.col("source").alias("a"), F.col("state").alias("b"), F.col("reasons").alias("c")))
+    rows = rows.unionByName(ticks.select("drive_id", "t_ns", lit(2).alias("rank"), F.col("t_ns").alias("seq"), none.alias("a"), none.alias("b"), none.alias("c")))
+    return rows.filter("drive_id IS NOT NULL AND t_ns IS NOT NULL")
+
+
+class _Actions:
+    """The probe as a fold over rows."""
+
+    def __init__(self, rules: ProbeRules):
+        self.probe = Probe(rules)
+
+    def take(self, row: tuple, late: bool = False) -> list[tuple]:
+        t, rank, _, a, b, c = row
+        if rank == 0:
+            self.probe.on_status(t, a == "true")
+        elif rank == 1:
+            self.probe.on_verdict(t, a, b, set(filter(None, (c or "").split(","))))
+        elif (action := self.probe.step(t)) != "NONE":
+            return [(t, action, self.probe.phase, self.probe.result)]
+        return []
+
+
+_OUT = "t_ns long, action string, phase string, result string"
+_IN = ["t_ns", "rank", "seq", "a", "b", "c"]
+
+
 def probe_actions(statuses: DataFrame, verdicts: DataFrame, ticks: DataFrame, rules: ProbeRules = ProbeRules()) -> DataFrame:
     """drive_id, t_ns, action, phase, result of every tick at which something is done.
 
     statuses: drive_id, t_ns, seq, healthy; verdicts: drive_id, t_ns, seq, source, state, reasons (comma text); ticks: drive_id, t_ns. At equal times statuses come
     first, then verdicts. Rows stream through a task drive by drive, with one state in memory.
     """
-    lit = F.lit
-    none = lit(None).cast("string")
-    rows = statuses.select("drive_id", "t_ns", lit(0).alias("k"), "seq", F.col("healthy").cast("string").alias("a"), none.alias("b"), none.alias("c"))
-    rows = rows.unionByName(verdicts.select("drive_id", "t_ns", lit(1).alias("k"), "seq", F.col("source").alias("a"), F.col("state").alias("b"), F.col("reasons").alias("c")))
-    rows = rows.unionByName(ticks.select("drive_id", "t_ns", lit(2).alias("k"), F.col("t_ns").alias("seq"), none.alias("a"), none.alias("b"), none.alias("c")))
+    rows = _probe_rows(statuses, verdicts, ticks)
     kind = rows.schema["drive_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drive, probe = None, Probe(rules)
+        drive, fold = None, _Actions(rules)
         for batch in batches:
             out: list[tuple] = []
-            for key, t, k, a, b, c in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))):
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != drive:
-                    drive, probe = key, Probe(rules)
-                if k == 0:
-                    probe.on_status(t, a == "true")
-                elif k == 1:
-                    probe.on_verdict(t, a, b, set(filter(None, (c or "").split(","))))
-                elif (action := probe.step(t)) != "NONE":
-                    out.append((key, t, action, probe.phase, probe.result))
+                    drive, fold = key, _Actions(rules)
+                out += [(key, *x) for x in fold.take(row)]
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), *(pa.array(x, pa.string()) for x in columns[2:])], ["drive_id", "t_ns", "action", "phase", "result"])
 
-    ordered = rows.filter("drive_id IS NOT NULL AND t_ns IS NOT NULL").repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "k", "seq")
-    return ordered.mapInArrow(run, f"drive_id {kind}, t_ns long, action string, phase string, result string")
+    ordered = rows.select("drive_id", *_IN).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "rank", "seq")
+    return ordered.mapInArrow(run, f"drive_id {kind}, {_OUT}")
+
+
+def probe_stream(statuses: DataFrame, verdicts: DataFrame, ticks: DataFrame, rules: ProbeRules = ProbeRules(), reorder_ns: int = 500_000_000, flush_ms: int = 2000, forget_ms: int = 600_000) -> DataFrame:
+    """The actions of streams of statuses, verdicts and ticks, equal to those of probe_actions under the conditions of keyed_stream."""
+    return keyed_stream(_probe_rows(statuses, verdicts, ticks), _IN, lambda: _Actions(rules), _OUT, reorder_ns, flush_ms, forget_ms)

@@ -8,18 +8,17 @@ clear them aren't window frames, so this is a fold; what comes out are rows, on
 from __future__ import annotations
 
 import math
-import pickle
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from drivelake.streaming.keyed import keyed_stream
 
 Vec = tuple[float, float, float]
 
@@ -398,37 +397,22 @@ def motion_batch(samples: DataFrame, rules: MotionRules = MotionRules()) -> Data
     return rows.mapInArrow(run, f"drive_id {kind}, {MOTION}")
 
 
+class _Motions:
+    """The tracker as a fold over rows of a stream."""
+
+    def __init__(self, rules: MotionRules):
+        self.tracker = Tracker(rules)
+
+    def take(self, row: tuple, late: bool) -> list[tuple]:
+        t, _, _, kind, sub, *v = row
+        m = self.tracker.take(kind, t, sub, *v)
+        return [] if m is None else [m]
+
+
 def motion_stream(samples: DataFrame, rules: MotionRules = MotionRules(), reorder_ns: int = 500_000_000, flush_ms: int = 2000, forget_ms: int = 600_000) -> DataFrame:
-    """A stream's motion rows: samples wait in their drive's state until one comes that is reorder_ns later, so rows equal those of motion_batch
-    if none comes later than that; what comes later still is taken at once. A drive that is silent for flush_ms of processing time is flushed,
-    and after forget_ms its state goes."""
-    kind = samples.schema["drive_id"].dataType.simpleString()
-    names = [c.split(" ")[0] for c in MOTION.split(", ")]
+    """A stream's motion rows, equal to those of motion_batch under the conditions of keyed_stream."""
+    return keyed_stream(samples, _ORDER, lambda: _Motions(rules), MOTION, reorder_ns, flush_ms, forget_ms)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, waiting, seen = pickle.loads(state.get[0]) if state.exists else (Tracker(rules), [], -(1 << 62))
-        if state.hasTimedOut and not waiting:
-            state.remove()
-            return
-        for b in batches:
-            lists = [[None if v is None or v is pd.NA or v != v else v for v in b[c].astype(object).tolist()] for c in _ORDER]
-            waiting += [tuple(x) for x in zip(*lists)]
-        seen = max([seen, *(x[0] for x in waiting)])
-        limit = seen if state.hasTimedOut else seen - reorder_ns
-        waiting.sort(key=lambda x: x[:3])
-        ready, waiting = [x for x in waiting if x[0] <= limit], [x for x in waiting if x[0] > limit]
-        out = [m for t, _, _, what, sub, *v in ready if (m := tracker.take(what, t, sub, *v)) is not None]
-        state.update((pickle.dumps((tracker, waiting, seen)),))
-        state.setTimeoutDuration(flush_ms if waiting else forget_ms)
-        if out:
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("up", "forward"):
-                frame[c] = [None if v is None else list(v) for v in frame[c]]
-            frame.insert(0, "drive_id", key[0])
-            yield frame
-
-    rows = samples.select("drive_id", *_ORDER)
-    return rows.groupBy("drive_id").applyInPandasWithState(run, f"drive_id {kind}, {MOTION}", "memory binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 #: The path at a time, as struct members.
 _PATH = ("bearing", "east_m", "north_m", "way_m")

@@ -7,20 +7,18 @@ that holds the last trusted satellite fix, unless the caller has another one. Ch
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from drivelake.functions.geo import EARTH_RADIUS, R68_PER_SIGMA, WGS84_A, WGS84_E2
 from drivelake.operators.trust import BASE_CONFIDENCE, STATES
+from drivelake.streaming.keyed import keyed_stream
 from drivelake.streaming.tracker import Tracker
 
 #: The columns of events; rank orders kinds at equal times.
@@ -438,33 +436,20 @@ def trust_batch(events: DataFrame, rules: TrustRules = TrustRules()) -> DataFram
     return rows.mapInArrow(run, f"drive_id {kind}, {OUT}")
 
 
-def trust_stream(events: DataFrame, rules: TrustRules = TrustRules(), reorder_ns: int = 500_000_000, flush_ms: int = 2000) -> DataFrame:
-    """A stream's verdicts. Events wait in their drive's state until one comes that is reorder_ns later, and are judged in the order (t_ns, rank, seq).
+class _Verdicts:
+    """The fold over rows of a stream."""
 
-    So verdicts equal those of trust_batch if no event comes more than reorder_ns behind a later one of its drive; what comes later still is judged
-    at once and marked. A drive that is silent for flush_ms is flushed. State holds the events of reorder_ns and one memory a drive.
-    """
-    kind = events.schema["drive_id"].dataType.simpleString()
+    def __init__(self, rules: TrustRules):
+        self.rules, self.memory = rules, {}
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory, waiting, seen = json.loads(state.get[0]) if state.exists else ({}, [], -(1 << 62))
-        for b in batches:
-            lists = [[None if v is pd.NA or v != v else v for v in b[c].astype(object).tolist()] for c in COLUMNS]
-            waiting += [list(x) for x in zip(*lists)]
-        seen = max([seen, *(int(x[1]) for x in waiting)])
-        limit = seen if state.hasTimedOut else seen - reorder_ns
-        waiting.sort(key=lambda x: (x[1], x[2], x[0]))
-        ready = [x for x in waiting if x[1] <= limit]
-        waiting = waiting[len(ready) :]
-        out = [r for x in ready if (r := _judge(memory, Event(*x), rules)) is not None]
-        state.update((json.dumps([memory, waiting, seen], default=lambda v: v.item()),))
-        if waiting:
-            state.setTimeoutDuration(flush_ms)
-        if out:
-            frame = pd.DataFrame(out, columns=_NAMES)
-            frame.insert(0, "drive_id", key[0])
-            yield frame
-
-    # Whole numbers that may be null would come as doubles; texts keep nanoseconds whole.
-    rows = events.select("drive_id", *COLUMNS).fillna({"used": 0})
-    return rows.groupBy("drive_id").applyInPandasWithState(run, f"drive_id {kind}, {OUT}", "memory string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def take(self, row: tuple, late: bool) -> list[tuple]:
+        out = _judge(self.memory, Event(**dict(zip(_STREAMED, row))), self.rules)
+        return [] if out is None else [out]
+
+
+_STREAMED = ["t_ns", "rank", "seq", *(c for c in COLUMNS if c not in ("t_ns", "rank", "seq"))]
+
+
+def trust_stream(events: DataFrame, rules: TrustRules = TrustRules(), reorder_ns: int = 500_000_000, flush_ms: int = 2000, forget_ms: int = 600_000) -> DataFrame:
+    """A stream's verdicts, equal to those of trust_batch under the conditions of keyed_stream; what comes later still is judged at once and marked."""
+    return keyed_stream(events.fillna({"used": 0}), _STREAMED, lambda: _Verdicts(rules), OUT, reorder_ns, flush_ms, forget_ms)
