@@ -23,6 +23,8 @@ DIMS = 128
 SAMPLE = 1 << 16
 #: Terms of fewer than one in so many documents share the largest weight in those vectors.
 RARE = 100
+#: Ids of more than one document in so many are common: they don't tell copies from others.
+RARER = 64
 #: Tokens that are looked at together.
 TOKENS = 1 << 20
 #: Token ids fit 16 bits; they are the terms, so statistics of the whole table have a fixed size.
@@ -132,7 +134,8 @@ def _placed(ids: DataFrame, df: np.ndarray, n: int, total: int, shard_bytes: int
     """shard, k, ids: related documents in one shard of about shard_bytes.
 
     A tree cut from the vectors of a sample leads every document to a leaf; small neighbouring leaves share a shard. A leaf over
-    shard_bytes is split by a MinHash sample, which keeps near copies together, and what is then still over twice of it by a hash of the row.
+    shard_bytes is split by a MinHash sample of its rarer ids (those of one in RARER documents at most, if it has any), which keeps near copies together
+    and, unlike ids that nearly all texts hold, spreads the rest; what is then still over twice of it by a hash of the row.
     """
     kind, spark = ids.schema["k"].dataType.simpleString(), ids.sparkSession
     if total <= shard_bytes:
@@ -148,13 +151,14 @@ def _placed(ids: DataFrame, df: np.ndarray, n: int, total: int, shard_bytes: int
                 at += m
 
     share = min(1.0, min(SAMPLE, 64 * -(-total // shard_bytes)) / n)
-    sample = ids.filter(F.pmod(F.col("h"), F.lit(1 << 20)) < round(share * (1 << 20)) + 1).select("ids", "size", "h").mapInArrow(vectors, "v binary, size long, h long").collect()
+    sample = ids.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) <= share).select("ids", "size", "h").mapInArrow(vectors, "v binary, size long, h long").collect()
     sample.sort(key=lambda r: (r.h, r.v))
     sizes = np.array([r.size for r in sample], float)
     tree = cut_tree(np.frombuffer(b"".join(r.v for r in sample), "<f4").reshape(-1, DIMS).astype(float), sizes * (total / max(sizes.sum(), 1)), shard_bytes)
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = mix(np.arange(VOCABULARY, dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        order = mix(np.arange(VOCABULARY, dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(1)
+        order[df * RARER > n] |= np.uint64(1 << 63)
         for b in batches:
             leaf, least = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for m, owner, term, _ in _chunks(b.column(1)):
