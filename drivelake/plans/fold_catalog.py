@@ -158,7 +158,7 @@ def retimed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each drive's satellite fixes moved along their route by the corners of the dead-reckoned bearing; tests hold it against tracks of known delay."""
     f = fix_view(spark, sf_dir).filter("source = 'GNSS'")
     turns = _reckoned(spark, sf_dir).select("drive_id", "t_ns", "seq", F.degrees("bearing").alias("heading_deg"))
-    return retiming.retime_tracks(f, turns).select("drive_id", "seq", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"), "corners")
+    return retiming.retime_tracks(f, turns, retiming.RetimingRules(step_s=0.25)).select("drive_id", "seq", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"), "corners")
 
 
 @_query(f"""WITH {FIX_SQL}, m AS (SELECT drive_id, degrees(atan2(sum(speed_mps * sin(radians(bearing_deg))), sum(speed_mps * cos(radians(bearing_deg))))) AS b FROM fix GROUP BY drive_id)

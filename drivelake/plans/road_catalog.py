@@ -218,7 +218,7 @@ def matched_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, networks = _networks(spark, sf_dir, 120.0)
     var, turn = F.lit(25.0), F.lit(0.0)
     steps = f.select("drive_id", "net_id", "t_ns", "seq", "lat", "lon", var.alias("cov_ee"), turn.alias("cov_en"), var.alias("cov_nn"), F.radians("bearing_deg").alias("heading_rad"), F.lit(0.2).alias("heading_std_rad"), F.lit(5.0).alias("way_m"), turn.alias("turn_rad"), "speed_mps")
-    m = road_matcher.match_drives(steps, networks)
+    m = road_matcher.match_drives(steps, networks, road_matcher.MatchRules(candidates=4, hypotheses=8))
     return m.select("drive_id", "seq", "way_id", "piece", "forward", _r("along_m", 3).alias("along_m"), _r("probability").alias("probability"), _r("off_road").alias("off_road"), _r("axis_rad").alias("axis_rad"), "hypotheses")
 
 
