@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from array import array
 from functools import lru_cache
 from itertools import repeat
 
@@ -156,8 +157,12 @@ class ByteEncoder:
         self.quick = tiktoken.Encoding("same", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as uint16."""
-        return [np.asarray(self._one(t), np.uint16) for t in texts]
+        """The ids of each text, as uint16. Equal texts are encoded once."""
+        known: dict[str, np.ndarray] = {}
+        for t in texts:
+            if t not in known:
+                known[t] = np.frombuffer(array("H", self._one(t)), np.uint16)
+        return [known[t] for t in texts]
 
     def _one(self, text: str) -> list[int]:
         if not self.added.search(text):

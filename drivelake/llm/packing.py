@@ -76,9 +76,13 @@ def document_frequencies(ids: DataFrame) -> np.ndarray:
     return out
 
 
+#: A hash of each term.
+_SPREAD = mix(np.arange(VOCABULARY, dtype=np.uint64) + np.uint64(1))
+
+
 def _vectors(n: int, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A unit vector for each document: its terms by their weight, each with a sign in one dimension."""
-    spread = mix(term.astype(np.uint64) + np.uint64(1))
+    spread = _SPREAD[term]
     signed = np.where(spread >> np.uint64(63), weight[term], -weight[term])
     out = np.bincount(owner * DIMS + (spread % np.uint64(DIMS)).astype(np.int64), signed, n * DIMS).reshape(n, DIMS)
     return (out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)).astype("<f4")
