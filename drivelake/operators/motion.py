@@ -111,7 +111,9 @@ def unwrapped(rows: DataFrame, angle: str, name: str) -> DataFrame:
     """A sequence of angles (rad) without jumps of a full turn: each follows the one before by the shorter way. Null angles give null and end the sums."""
     w = by_drive()
     d = F.col(angle) - F.lag(angle).over(w)
-    turn = d - 2 * math.pi * F.ceil((d - math.pi) / (2 * math.pi))
+    # Jumps of less than three half turns are compared as they are: divided, one just inside a half turn rounds to it.
+    full = 2 * math.pi
+    turn = F.when(F.abs(d) >= 1.5 * full, d - full * F.ceil((d - math.pi) / full)).when(d > math.pi, d - full).when(d <= -math.pi, d + full).otherwise(d)
     rows = rows.withColumn("_d", F.coalesce(turn, F.lit(0.0)))
     return rows.withColumn(name, F.first(angle).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 

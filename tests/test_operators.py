@@ -262,3 +262,17 @@ def test_along_track_shift_of_a_bend(spark):
     road = [(i, float(b), float(v)) for i in (1, 2, 3) for b, v in zip(back, bend(back))]
     out = matching.along_track(spark.createDataFrame(rows, "id long, back_m double, bearing double"), spark.createDataFrame(road, "id long, back_m double, bearing double")).collect()
     assert [(r.id, abs(r.shift_m - 12) <= 2) for r in out] == [(1, True)]
+
+
+def test_a_turn_just_inside_half_a_circle_stays(spark):
+    a = [math.pi / 2, -math.pi / 2 + 5e-16, math.pi / 2, 0.0, 5 * math.pi]
+    rows = fix(spark, *((i * S, "GNSS", 0.0, 0.0, 1.0, 1.0, x, False) for i, x in enumerate(a)))
+    got = [r["u"] for r in motion.unwrapped(rows, "bearing_deg", "u").orderBy("seq").collect()]
+    assert got == pytest.approx([math.pi / 2, -math.pi / 2, math.pi / 2, 0.0, math.pi])
+
+
+def test_roads_moved_over_a_pole_keep_their_longitude(spark):
+    way = "way_id long, node_ids array<long>, lats array<double>, lons array<double>, road_class string, oneway boolean, lanes int, layer int, name string"
+    ways = spark.createDataFrame([(1, [1, 2], [89.99, 89.999], [30.0, 30.0], "road", False, 0, 0, "")], way)
+    r = roads.to_ways(roads.segments(ways), 0.0, 700.0).first()
+    assert r["lons"] == pytest.approx([30.0, 30.0]) and r["lats"] == pytest.approx([89.9963, 89.9947], abs=1e-4)
