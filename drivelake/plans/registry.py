@@ -22,8 +22,9 @@ def _query(sql: str | None = None) -> Callable:
 
 
 def _r(c: Column | str, digits: int = 6) -> Column:
-    """A double rounded; a negative zero becomes plain, as both engines must write it alike."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """A double rounded as the second engine does it: scaled in double precision, so what lies within an ulp of a tie goes up in both. A negative zero becomes plain."""
+    x, scale = F.col(c) if isinstance(c, str) else c, 10.0**digits
+    return F.when(F.abs(x) < 1e290, F.round(x * scale) / scale).otherwise(x) + F.lit(0.0)
 
 
 def _hav(a: str, b: str, c: str, d: str) -> str:

@@ -115,7 +115,9 @@ _DEST = f"(degrees(asin(least(greatest(sin(radians(lat)) * cos(700 / 6371008.8)
 def shifted_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network 700 m north and 300 m east, segment by segment."""
     w = roads.to_ways(roads.segments(_ways(spark, sf_dir)), 300.0, 700.0)
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    # The SQL adds the place where a way is cut after the others of the piece that begins there.
+    order = lambda c: F.when(F.col("from_piece") > 0, F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1))).otherwise(F.col(c))
+    mean = lambda c: F.aggregate(order(c), F.lit(0.0), lambda a, x: a + x) / F.size(c)
     return w.select(F.col("from_way").alias("way_id"), F.col("from_piece").alias("piece"), F.size("lats").cast("long").alias("n"), _r(mean("lats"), 7).alias("lat"), _r(mean("lons"), 7).alias("lon"))
 
 

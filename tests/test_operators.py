@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from drivelake.functions import geo
 from drivelake.operators import matching, metrics, motion, roads, scenario, tables, throttle, tracks, trust
+from drivelake.plans import registry
 from drivelake.streaming.probe import Probe
 
 S = 1_000_000_000
@@ -276,3 +277,11 @@ def test_roads_moved_over_a_pole_keep_their_longitude(spark):
     ways = spark.createDataFrame([(1, [1, 2], [89.99, 89.999], [30.0, 30.0], "road", False, 0, 0, "")], way)
     r = roads.to_ways(roads.segments(ways), 0.0, 700.0).first()
     assert r["lons"] == pytest.approx([30.0, 30.0]) and r["lats"] == pytest.approx([89.9963, 89.9947], abs=1e-4)
+
+
+def test_values_next_to_a_tie_round_as_in_the_second_engine(spark):
+    import duckdb
+
+    for x, d in ((30.546537049999998, 7), (1.005, 2), (-2.675, 2), (0.1 + 0.2, 6), (1e300, 6), (-0.0, 3)):
+        assert one(spark, registry._r(F.lit(x), d))[0] == duckdb.execute(f"SELECT round({x!r}::DOUBLE, {d})").fetchone()[0]
+    assert one(spark, registry._r(F.lit(None).cast("double")))[0] is None and math.isnan(one(spark, registry._r(F.lit(float("nan"))))[0])
