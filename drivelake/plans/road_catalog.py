@@ -24,10 +24,10 @@ _NODES_SQL = f"""rw AS (SELECT DISTINCT o_orderkey AS w FROM orders), nd AS (SEL
 
 
 def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("w")).distinct().selectExpr("w", "explode(sequence(0L, 2 + w % 3)) AS j")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("w")).distinct()
     base = _BASE.format(d="j DIV 2", e="(j - 1) DIV 2")
-    n = o.selectExpr("w", "j", f"{_NODE.format(d='j DIV 2')} AS node", f"50.45D + ({base} DIV 32) * 0.0003D + CASE WHEN j % 2 = 1 THEN 0.000113D ELSE 0 END AS lat", f"30.52D + ({base} % 32) * 0.0003D + CASE WHEN j % 2 = 1 THEN 0.000171D ELSE 0 END AS lon")
-    p = n.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("j", "node", "lat", "lon"))).alias("p"))
+    row = f"""struct({_NODE.format(d='j DIV 2')} AS node, 50.45D + ({base} DIV 32) * 0.0003D + CASE WHEN j % 2 = 1 THEN 0.000113D ELSE 0 END AS lat, 30.52D + ({base} % 32) * 0.0003D + CASE WHEN j % 2 = 1 THEN 0.000171D ELSE 0 END AS lon)"""
+    p = o.selectExpr("w", f"transform(sequence(0L, 2 + w % 3), j -> {row}) AS p")
     return p.selectExpr("w AS way_id", "p.node AS node_ids", "p.lat AS lats", "p.lon AS lons", f"{_CLASS} AS road_class", "w % 4 = 0 AS oneway", "CAST(w % 3 AS INT) AS lanes", "CAST(w % 2 AS INT) AS layer", "concat('r', w % 10) AS name")
 
 

@@ -285,3 +285,24 @@ def test_values_next_to_a_tie_round_as_in_the_second_engine(spark):
     for x, d in ((30.546537049999998, 7), (1.005, 2), (-2.675, 2), (0.1 + 0.2, 6), (1e300, 6), (-0.0, 3)):
         assert one(spark, registry._r(F.lit(x), d))[0] == duckdb.execute(f"SELECT round({x!r}::DOUBLE, {d})").fetchone()[0]
     assert one(spark, registry._r(F.lit(None).cast("double")))[0] is None and math.isnan(one(spark, registry._r(F.lit(float("nan"))))[0])
+
+
+def test_segments_and_edges_are_made_inside_the_rows_of_their_ways(spark):
+    way = "way_id long, node_ids array<long>, lats array<double>, lons array<double>, road_class string, oneway boolean, lanes int, layer int, name string"
+    rows = [(1, [1, 2, 3, 2, 4], [50.0, 50.001, 50.002, 50.001, 50.003], [30.0] * 5, "road", False, 0, 0, ""), (2, [7], [50.0], [30.0], "road", False, 0, 0, ""), (3, [3, 5], [50.002, 50.1], [30.0, 30.1], "road", True, 0, 0, "")]
+    seg = roads.segments(spark.createDataFrame(rows, way))
+    got = {(r.way_id, r.piece): (r.start_node, r.end_node, len(r.points)) for r in seg.collect()}
+    assert got == {(1, 0): (1, 2, 2), (1, 1): (2, 3, 2), (1, 2): (3, 2, 2), (1, 3): (2, 4, 2), (3, 0): (3, 5, 2)}
+    e = roads.edges_of_segments(seg, 50.0, 30.0)
+    assert e.count() == 5 and e.filter("along_m = 0 AND k = 0").count() == 5
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # nothing of the edges is sorted
+
+
+def test_edges_far_from_all_points_go_before_the_join(spark):
+    points = spark.createDataFrame([(1, 50.0, 30.0), (2, 50.001, 30.001)], "id long, lat double, lon double")
+    edge = "way_id long, piece long, k int, x0 double, y0 double, x1 double, y1 double, along_m double, len_m double, bearing_deg double"
+    edges = spark.createDataFrame([(1, 0, 0, -10.0, 5.0, 10.0, 5.0, 0.0, 20.0, 90.0), (2, 0, 0, 0.0, 9000.0, 10.0, 9000.0, 0.0, 10.0, 90.0)], edge)
+    assert [r.way_id for r in roads.within_box(edges, points.selectExpr("0D AS x", "1D AS y"), F.col("x"), F.col("y"), 20.0).collect()] == [1]
+    assert [(r.id, r.way_id) for r in roads.project(points, edges, 20.0, 50.0, 30.0, ["id"]).collect()] == [(1, 1)]
+    assert roads.project(points.filter("false"), edges, 20.0, 50.0, 30.0, ["id"]).count() == 0
