@@ -199,7 +199,7 @@ def reachable_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the middle of each segment, driven forward: what is at most 45 m away."""
     work = scratch_folder(spark)
     segs = stored(roads.segments(_ways(spark, sf_dir)), work, "segments")
-    steps = stored(roads.directed(segs, roads.successors(segs)), work, "steps")
+    steps = stored(roads.directed_steps(segs), work, "steps")
     starts = segs.select(F.struct("way_id", "piece").alias("id"), "way_id", "piece", F.lit(True).alias("forward"), (F.col("length_m") / 2).alias("left_m"))
     out = roads.reachable(starts, steps, 45.0, lambda df, name: stored(df, work, name))
     return out.select(F.col("id.way_id").alias("from_way"), F.col("id.piece").alias("from_piece"), "way_id", "piece", "forward", _r("way_m", 3).alias("way_m"))

@@ -306,3 +306,11 @@ def test_edges_far_from_all_points_go_before_the_join(spark):
     assert [r.way_id for r in roads.within_box(edges, points.selectExpr("0D AS x", "1D AS y"), F.col("x"), F.col("y"), 20.0).collect()] == [1]
     assert [(r.id, r.way_id) for r in roads.project(points, edges, 20.0, 50.0, 30.0, ["id"]).collect()] == [(1, 1)]
     assert roads.project(points.filter("false"), edges, 20.0, 50.0, 30.0, ["id"]).count() == 0
+
+
+def test_steps_by_one_join_are_those_of_the_links(spark):
+    way = "way_id long, node_ids array<long>, lats array<double>, lons array<double>, road_class string, oneway boolean, lanes int, layer int, name string"
+    rows = [(i, n, [50.0 + x / 1e3 for x in n], [30.0] * len(n), "road", one, 0, 0, "") for i, n, one in ((1, [1, 2, 3], False), (2, [2, 4], True), (3, [4, 2], False), (4, [3, 5, 3], False), (5, [3, 6], True))]
+    seg = roads.segments(spark.createDataFrame(rows, way))
+    by_links, by_join = (sorted(map(tuple, s.collect())) for s in (roads.directed(seg, roads.successors(seg)), roads.directed_steps(seg)))
+    assert len(by_links) > 10 and by_join == by_links
