@@ -314,3 +314,12 @@ def test_steps_by_one_join_are_those_of_the_links(spark):
     seg = roads.segments(spark.createDataFrame(rows, way))
     by_links, by_join = (sorted(map(tuple, s.collect())) for s in (roads.directed(seg, roads.successors(seg)), roads.directed_steps(seg)))
     assert len(by_links) > 10 and by_join == by_links
+
+
+def test_networks_hold_the_near_segments_only_and_far_edges_go_first(spark):
+    way = "way_id long, node_ids array<long>, lats array<double>, lons array<double>, road_class string, oneway boolean, lanes int, layer int, name string"
+    seg = roads.segments(spark.createDataFrame([(i, [2 * i, 2 * i + 1], [lat, lat], [30.0, 30.001], "road", False, 0, 0, "") for i, lat in ((1, 50.0), (2, 50.0005), (3, 50.2), (4, 50.00533))], way))
+    points = spark.createDataFrame([("a", 50.0, 30.0)], "net_id string, lat double, lon double")
+    near = roads.networks_near(points, seg, roads.edges_of_segments(seg, 50.0, 30.0), 100.0, 50.0, 30.0, "net_id")
+    assert {1, 2} <= {r.way_id for r in near.collect()} <= {1, 2, 4}
+    assert "_minx" in near._jdf.queryExecution().optimizedPlan().toString()
