@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from drivelake.llm import html_text, neighbours
 
@@ -206,3 +207,13 @@ def test_vectors_of_any_finite_size(spark):
             want = [i for i in np.argsort(-scores, kind="stable") if i != q][:20]
             hit += len({r.vec_id for r in rows if r.query_id == q} & set(want))
         assert hit >= (0 if size == 1e-200 else 0.95 * 400), (kind, size, hit)
+
+
+def test_a_wrapper_is_inferred_from_all_pages_of_a_layout(spark):
+    """A text that stands before few of many articles is known as the same on all of them, however the pages are dealt."""
+    article = lambda i: "".join(f"<p>{' '.join(f'w{i}x{j}' for j in range(30))} {k}</p>" for k in range(3))
+    page = lambda i: f"<html><body>{'<p>The office is closed today</p>' if i % 20 == 0 else ''}<div class='text'>{article(i)}</div></body></html>"
+    rows = spark.createDataFrame([(i, f"http://many.example/{i}", page(i)) for i in range(300)], "page_id long, url string, html string")
+    first = {r.page_id: r.text for r in html_text.extract_text(rows.repartition(2)).collect()}
+    assert len(first) == 300 and not [i for i, t in first.items() if "office" in t or not t.startswith(f"w{i}x0 ")]
+    assert first == {r.page_id: r.text for r in html_text.extract_text(rows.orderBy(F.desc("page_id")).repartition(5)).collect()}
