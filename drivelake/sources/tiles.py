@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import math
 import struct
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from drivelake.operators import roads
 
 #: The first word of a tile file, its version, units of a degree.
 MAGIC, VERSION, UNITS = 0x47505244, 1, 1e7
+#: Ways that go back to Spark at once.
+BATCH = 2000
 WAY = "way_id BIGINT, node_ids ARRAY<BIGINT>, lats ARRAY<DOUBLE>, lons ARRAY<DOUBLE>, road_class STRING, oneway BOOLEAN, lanes INT, layer INT, name STRING"
 
 
@@ -31,6 +34,11 @@ def encode_tile(ways: list[dict]) -> bytes:
 
 def decode_tile(raw: bytes) -> list[dict]:
     """The ways of a tile file; another format or version is an error."""
+    return list(ways_of_tile(raw))
+
+
+def ways_of_tile(raw: bytes) -> Iterator[dict]:
+    """The ways of a tile file one after another, as decode_tile gives them."""
     data, at = gzip.decompress(raw), 12
     magic, version, n = struct.unpack_from(">iii", data)
     if magic != MAGIC:
@@ -50,12 +58,10 @@ def decode_tile(raw: bytes) -> list[dict]:
         at += size
         return data[at - size : at].decode()
 
-    ways = []
     for _ in range(n):
         (way_id,), road_class, (oneway, lanes, layer), name, (m,) = take(">q"), text(), take(">?bb"), text(), take(">i")
         nodes = [take(">qii") for _ in range(m)]
-        ways.append({"way_id": way_id, "node_ids": [x[0] for x in nodes], "lats": [x[1] / UNITS for x in nodes], "lons": [x[2] / UNITS for x in nodes], "road_class": road_class, "oneway": oneway, "lanes": lanes, "layer": layer, "name": name})
-    return ways
+        yield {"way_id": way_id, "node_ids": [x[0] for x in nodes], "lats": [x[1] / UNITS for x in nodes], "lons": [x[2] / UNITS for x in nodes], "road_class": road_class, "oneway": oneway, "lanes": lanes, "layer": layer, "name": name}
 
 
 def write_tiles(ways: DataFrame, path: str) -> None:
@@ -73,15 +79,17 @@ def write_tiles(ways: DataFrame, path: str) -> None:
 
 
 def decode_tiles(files: DataFrame) -> DataFrame:
-    """The ways of tile files (tile, content), each once: that of the last tile by name. Rows are decoded in batches, without a shuffle but that by way."""
+    """The ways of tile files (tile, content), each once: that of the last tile by name. No shuffle but that by way; a task holds one tile and a batch of its ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
         for b in batches:
-            rows = [{"tile": t} | w for t, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in decode_tile(raw)]
-            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            for tile, raw in zip(b.column(0), b.column(1)):
+                ways = ways_of_tile(raw.as_py())
+                while rows := [{"tile": tile.as_py()} | w for w in itertools.islice(ways, BATCH)]:
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     schema = files.sparkSession.createDataFrame([], f"tile STRING, {WAY}").schema
     ways = files.select("tile", "content").mapInArrow(run, schema)

@@ -133,3 +133,13 @@ def test_ways_against_their_nodes_are_turned(spark):
     got = {r.way_id: r for r in roads.ways_of_elements(e).collect()}
     assert set(got) == {5, 7} and got[5].node_ids == [2, 1] and got[5].lats == [2.0, 1.0] and (got[5].oneway, got[5].lanes, got[5].layer, got[5].name) == (True, 2, 5, "")
     assert got[7].lats == [8.0, 7.0] and got[7].oneway
+
+
+def test_tiles_are_decoded_way_by_way(spark):
+    """A task holds a batch of ways, not all tiles that came with one batch of files."""
+    made = [{"way_id": i, "node_ids": [i, i + 1], "lats": [50.01, 50.02], "lons": [30.01, 30.02], "road_class": "road", "oneway": False, "lanes": 0, "layer": 0, "name": f"n{i}"} for i in range(2 * tiles.BATCH + 1)]
+    raw = tiles.encode_tile(made)
+    cut = gzip.compress(gzip.decompress(raw)[:-4])
+    assert next(tiles.ways_of_tile(cut)) == made[0]  # before the broken end is reached
+    files = spark.createDataFrame([("r1_1", raw), ("r1_2", tiles.encode_tile([]))], "tile string, content binary")
+    assert [r.asDict() for r in tiles.decode_tiles(files).orderBy("way_id").collect()] == made
