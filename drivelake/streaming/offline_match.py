@@ -53,6 +53,10 @@ class OfflineRules:
     limits: tuple[Limits, ...] = ()
 
 
+#: Nodes of all searches together that a network keeps (about 100 MB).
+KEPT = 500_000
+
+
 class Row(NamedTuple):
     """A time of a drive: its odometer, and a position where there is one."""
 
@@ -64,17 +68,30 @@ class Row(NamedTuple):
 
 
 class Ways:
-    """Shortest ways between nodes, kept while they are asked for."""
+    """Shortest ways between nodes of a network, kept for all drives on it."""
 
     def __init__(self, network: Network):
         self.network = network
-        self.any: dict[int, list[tuple[Key, bool]]] = defaultdict(list)
-        for r in network.roads.values():
-            self.any[r.start].append((r.key, True))
-            self.any[r.end].append((r.key, False))
+        if network.both is None:
+            network.both = defaultdict(list)
+            for r in network.roads.values():
+                network.both[r.start].append((r.key, True))
+                network.both[r.end].append((r.key, False))
+        self.any = network.both
 
     def search(self, node: int, limit: float, lawful: bool, banned: tuple[str, ...] = ()) -> dict[int, tuple[float, int | None, tuple[Key, bool] | None]]:
-        """Node -> way, the node before it and the directed road between."""
+        """Node -> way, the node before it and the directed road between. Found once for each limit; searches of KEPT nodes stay."""
+        at, asked = self.network, (node, limit, lawful, banned)
+        if (out := at.searches.get(asked)) is None:
+            out = self._search(node, limit, lawful, banned)
+            if at.searched + len(out) > KEPT:
+                at.searches.clear()
+                at.searched = 0
+            at.searches[asked] = out
+            at.searched += len(out)
+        return out
+
+    def _search(self, node: int, limit: float, lawful: bool, banned: tuple[str, ...]) -> dict[int, tuple[float, int | None, tuple[Key, bool] | None]]:
         out: dict[int, tuple[float, int | None, tuple[Key, bool] | None]] = {}
         queue: list = [(0.0, node, None, None)]
         while queue:

@@ -140,6 +140,9 @@ class Network:
         self.grid = {c: np.array(x) for c, x in cells.items()}
         self.widest = max((r.half_width for r in every), default=0.0)
         self.ways: dict[tuple[Key, bool], tuple[float, dict[tuple[Key, bool], float]]] = {}
+        self.both: dict[int, list[tuple[Key, bool]]] | None = None  # node -> roads by either end; made and used, as the searches, by offline_match
+        self.searches: dict[tuple, dict] = {}
+        self.searched = 0
 
     def project(self, lat: float, lon: float, radius: float) -> list[Near]:
         """The nearest place of each road within a radius, nearest first, then by key."""

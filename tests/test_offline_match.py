@@ -135,3 +135,19 @@ def test_fold_equals_the_chain(spark):
         assert [(r.way_id, r.piece) for r in got[d] if r.matched] == [m.near.road.key for m in chain]
         assert np.allclose([(r.lat, r.lon, r.bearing_deg) for r in got[d]], [x[2:5] for x in places_on_route(drives[d], chain, town())])
     assert om.match_whole_drives(df.limit(0), networks).count() == 0
+
+
+def test_drives_on_one_network_share_their_searches(monkeypatch):
+    network, drive = town(), rows([(0, 0), (300, 0), (300, 200)])
+    first = best_chain(drive, network)
+    assert [(m.near.road.key, m.near.along, m.link) for m in first] == [(m.near.road.key, m.near.along, m.link) for m in best_chain(drive, town())]
+    monkeypatch.setattr(om.heapq, "heappush", lambda *_: pytest.fail("searched again"))
+    assert best_chain(drive, network) == first
+
+
+def test_searches_that_do_not_fit_are_made_again(monkeypatch):
+    drive = rows([(0, 0), (300, 0), (300, 200)])
+    first = places_on_route(drive, best_chain(drive, network := town()), network)
+    monkeypatch.setattr(om, "KEPT", 10)
+    small = town()
+    assert places_on_route(drive, best_chain(drive, small), small) == first and small.searched <= max(10, *map(len, small.searches.values()))
