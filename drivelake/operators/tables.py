@@ -66,14 +66,16 @@ def split_ways(ways: DataFrame) -> DataFrame:
     """
     places = ways.select("way_id", F.size("nodes").alias("n"), F.posexplode("nodes").alias("pos", "node"))
     shared = places.groupBy("node").agg((F.count("*") > 1).alias("shared"))
-    w = Window.partitionBy("way_id").orderBy("pos")
-    cut = (F.col("shared") & (F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)).cast("int")
-    p = places.join(shared, "node").withColumn("_cut", cut)
-    p = p.withColumn("_before", F.coalesce(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A node where the way is cut ends one piece and begins the next.
-    both = F.when(F.col("_cut") == 1, F.array(F.col("_before"), F.col("_before") + 1)).otherwise(F.array(F.col("_before")))
-    rows = p.select("way_id", "pos", "node", F.explode(both).alias("piece"))
-    return rows.groupBy("way_id", "piece").agg(F.min_by("node", "pos").alias("start_node"), F.max_by("node", "pos").alias("end_node"), F.count("*").alias("n_nodes"))
+    cut = F.col("shared") & (F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)
+    p = places.join(shared, "node").select("way_id", F.struct("pos", "node", cut.alias("cut")).alias("place"))
+    rows = p.groupBy("way_id").agg(F.array_sort(F.collect_list("place")).alias("s"))
+    # Pieces are cut inside the row of their way. A node where the way is cut ends one piece and begins the next.
+    last = F.size("s") - 1
+    inner = F.filter(F.sequence(F.lit(0), last), lambda i: F.get("s", i)["cut"])
+    rows = rows.withColumn("b", F.concat(F.array(F.lit(0)), inner, F.array(last)))
+    node = lambda i: F.get("s", F.get("b", i))["node"]
+    piece = lambda i: F.struct(i.cast("long").alias("piece"), node(i).alias("start_node"), node(i + 1).alias("end_node"), (F.get("b", i + 1) - F.get("b", i) + 1).cast("long").alias("n_nodes"))
+    return rows.select("way_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("b") - 2), piece)).alias("_p")).select("way_id", "_p.*")
 
 
 def segment_edges(segments: DataFrame) -> DataFrame:

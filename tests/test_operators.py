@@ -323,3 +323,13 @@ def test_networks_hold_the_near_segments_only_and_far_edges_go_first(spark):
     near = roads.networks_near(points, seg, roads.edges_of_segments(seg, 50.0, 30.0), 100.0, 50.0, 30.0, "net_id")
     assert {1, 2} <= {r.way_id for r in near.collect()} <= {1, 2, 4}
     assert "_minx" in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_are_cut_inside_the_rows_of_ways(spark):
+    """No window or second aggregation holds the places of all ways of a task."""
+    ways = [(1, [1, 2, 3]), (2, [2, 4, 2, 5]), (3, [None, 3, 6]), (4, [7]), (5, []), (6, None), (7, [8, 3, None]), (8, [3, 3])]
+    out = tables.split_ways(spark.createDataFrame(ways, "way_id long, nodes array<long>"))
+    got = sorted(tuple(r) for r in out.select("way_id", "piece", "start_node", "end_node", "n_nodes").collect())
+    assert got == [(1, 0, 1, 2, 2), (1, 1, 2, 3, 2), (2, 0, 2, 2, 3), (2, 1, 2, 5, 2), (3, 0, 3, 3, 1), (3, 1, 3, 6, 2), (4, 0, 7, 7, 1), (7, 0, 8, 3, 2), (7, 1, 3, 3, 1), (8, 0, 3, 3, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("min_by") == 0
