@@ -89,7 +89,7 @@ def json_lists_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists inside JSON lines, their members' defaults left out."""
     path = f"{scratch_folder(spark)}/drives.jsonl"
     tables = record_tables(spark, sf_dir)
-    records.save({t: tables[t] for t in ("gnss_status", "cell_scan")}, path)
+    records.save({t: tables[t] for t in ("gnss_status", "cell_scan")}, path, packed=True)
     back = records.load(spark, path)
     sat = F.transform("sats", lambda s: F.concat_ws("|", s["svid"], s["used_in_fix"].cast("string"), s["has_ephemeris"].cast("string"), s["has_almanac"].cast("string"), F.coalesce(s["carrier_hz"], F.lit(-1.0)).cast("long")))
     cell = F.transform("cells", lambda s: F.concat_ws("|", s["rat"], s["area"], F.coalesce(s["cid"], F.lit(-1)), s["rsrp_dbm"]))

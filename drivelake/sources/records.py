@@ -58,8 +58,8 @@ def _members(names: list[str], change: Callable[[Column, str], Column]) -> Calla
     return lambda x: F.struct(*(change(x[n], n).alias(n) for n in names))
 
 
-def to_json_lines(tables: dict[str, DataFrame]) -> DataFrame:
-    """drive_id, t_ns, rank, seq, value: one JSON text a record, with nulls and default values left out."""
+def to_json_lines(tables: dict[str, DataFrame], with_drive: bool = False) -> DataFrame:
+    """drive_id, t_ns, rank, seq, value: one JSON text a record, with nulls and default values left out. with_drive: each tells its drive, "drive":{"id":...}."""
     out = None
     for k in KINDS.values():
         if k.table not in tables:
@@ -77,6 +77,8 @@ def to_json_lines(tables: dict[str, DataFrame]) -> DataFrame:
             columns.append(value.cast(json_type(c).split(": ", 1)[1]).alias(json_name(name)))
         if k.table == "gnss_meas":  # an empty list is its default
             columns[-1] = F.when(F.size("agc") > 0, columns[-1]).alias("agc")
+        if with_drive:
+            columns.insert(1, F.struct(F.col("drive_id").cast("string").alias("id")).alias("drive"))
         rows = tables[k.table].select("drive_id", "t_ns", F.lit(k.rank).alias("rank"), "seq", F.to_json(F.struct(*columns)).alias("value"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -84,17 +86,22 @@ def to_json_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_json_lines(tables: dict[str, DataFrame], path: str) -> None:
-    """Text files under path/drive_id=<id>/, each drive's lines in canonical order."""
-    rows = to_json_lines(tables).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "rank", "seq")
-    rows.select("drive_id", "value").write.mode("overwrite").partitionBy("drive_id").text(path)
+def write_json_lines(tables: dict[str, DataFrame], path: str, packed: bool = False) -> None:
+    """Text files under path/drive_id=<id>/, each drive's lines in canonical order. packed: whole drives share files path/part-*, and each line tells its drive;
+    for many small drives, whose files would cost more than their lines."""
+    rows = to_json_lines(tables, with_drive=packed).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "rank", "seq")
+    if packed:
+        rows.select("value").write.mode("overwrite").text(path)
+    else:
+        rows.select("drive_id", "value").write.mode("overwrite").partitionBy("drive_id").text(path)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """drive_id, seq, type, value of every line that isn't blank. A drive is a folder drive_id=<id> or a file <id>.jsonl; seq grows with the place in its file."""
+    """drive_id, seq, type, value of every line that isn't blank. A drive is a folder drive_id=<id> or a file <id>.jsonl, or what a line of a packed file part-* tells; seq grows with the place in its file."""
     m = F.col("_metadata")
     name = F.regexp_extract(m["file_path"], r"drive_id=([^/]+)/", 1)
-    drive = F.when(name != "", name).otherwise(F.regexp_extract(m["file_name"], r"^(.*?)(?:\.jsonl)?(?:\.gz)?$", 1))
+    own = F.when(F.startswith(m["file_name"], F.lit("part-")), F.from_json("value", "drive STRUCT<id: STRING>", {"allowNonNumericNumbers": "true"})["drive"])
+    drive = F.when(name != "", name).when(own.isNotNull(), own["id"]).otherwise(F.regexp_extract(m["file_name"], r"^(.*?)(?:\.jsonl)?(?:\.gz)?$", 1))
     # A block that fills a split has it for itself, so row numbers never reach the next block's first byte.
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
@@ -106,7 +113,9 @@ def parse_kind(lines: DataFrame, table: str) -> DataFrame:
     """The rows of one kind: unknown keys are ignored, lacking ones get their defaults, lists are never null."""
     k = KINDS[table]
     parsed = F.from_json("value", f"STRUCT<tNs: BIGINT, {json_type(k.columns)}>", {"allowNonNumericNumbers": "true"})
-    rows = lines.filter(F.col("type") == k.name).select("drive_id", "seq", parsed.alias("_r"))
+    # A text without the kind's name is of another kind unless it spells letters by escapes: most lines needn't be parsed for their type.
+    likely = F.col("value").contains(k.name) | F.col("value").contains("\\")
+    rows = lines.filter(likely).filter(F.col("type") == k.name).select("drive_id", "seq", parsed.alias("_r"))
     columns = []
     for c in split_columns(k.columns):
         name, kind = c.split(" ", 1)
@@ -271,13 +280,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Replaces the kinds that tables hold at the path: JSON lines for .jsonl, else a folder of Parquet tables by kind, each partitioned by drive.
+def save(tables: dict[str, DataFrame], path: str, packed: bool = False) -> None:
+    """Replaces the kinds that tables hold at the path: JSON lines for .jsonl (packed: many drives a file), else a folder of Parquet tables by kind, each partitioned by drive.
 
     Parquet tables are all written aside and then take their places, so tables that were loaded from the path may be saved to it.
     """
     if path.rstrip("/").endswith(".jsonl"):
-        write_json_lines(tables, path)
+        write_json_lines(tables, path, packed)
         return
     aside = f"_new-{uuid.uuid4().hex}"
     for t, df in tables.items():

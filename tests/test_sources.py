@@ -86,6 +86,26 @@ def test_every_kind_survives_json_and_parquet(spark, tmp_path):
             assert key(back[t].drop(*drop).collect()) == key(df.drop(*drop).collect()), t
 
 
+def test_packed_json_lines_share_files(spark, tmp_path):
+    """Many small drives: no file for each, and every drive comes back, one without a name and ones with signs that folders escape too."""
+    rows = [(d, 1, t, label, "") for d in [None, "a/b", "c=d", *map(str, range(40))] for t, label in ((5, "imu"), (4, 'x "type":"location"'))]
+    path = str(tmp_path / "x.jsonl")
+    records.save({"annotation": spark.createDataFrame(rows, KINDS["annotation"].ddl)}, path, packed=True)
+    assert not list((tmp_path / "x.jsonl").glob("drive_id=*")) and len(list((tmp_path / "x.jsonl").glob("part-*"))) < len(rows) / 2
+    back = records.load(spark, path)
+    key = lambda rows: sorted(((*r[:1], *r[2:]) for r in map(tuple, rows)), key=str)
+    assert key(back["annotation"].collect()) == key(rows) and back["imu"].count() == back["location"].count() == 0
+    lines = records.json_lines(spark, path).orderBy("drive_id", "seq").collect()
+    assert [r.drive_id for r in lines if '"imu"' in r.value] == [r.drive_id for r in lines if "location" in r.value]
+    assert all(a.value.count('"tNs":4') for a in lines[::2])  # in order inside a drive
+
+
+def test_a_type_spelled_by_escapes(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"type":"\\u0069mu","tNs":5,"kind":"ACCEL","x":1.0,"y":2,"z":-2}\n{"tNs":6,"drive":{"id":"e"},"type" : "annotation","label":"imu","note":""}\n')
+    t = records.load(spark, str(tmp_path / "d.jsonl"))
+    assert [(r.drive_id, r.t_ns) for r in t["imu"].collect()] == [("d", 5)] and [(r.drive_id, r.label) for r in t["annotation"].collect()] == [("d", "imu")]
+
+
 def test_folders_of_some_kinds_and_saving_what_was_loaded(spark, tmp_path):
     rows = [("a", 1, 5, "start", ""), ("b", 2, 6, "x", "n"), (None, 3, 7, None, None)]
     path = str(tmp_path / "lake")
