@@ -64,7 +64,7 @@ def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as JSON lines (defaults and nulls left out) and read again."""
     path = f"{scratch_folder(spark)}/drives.jsonl"
     tables = record_tables(spark, sf_dir)
-    records.save(tables, path)
+    records.save(tables, path, packed=True)
     back = records.load(spark, path)
     n = lambda c: F.round(F.coalesce(F.col(c), F.lit(-1.0)), 6)
     views = {
