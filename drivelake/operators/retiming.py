@@ -91,19 +91,27 @@ def anchors(track: _Track, gyro_t: np.ndarray, gyro_deg: np.ndarray, rules: Reti
         start, end = track.when(s - rules.window_m), track.when(s + rules.window_m)
         if not rules.least_s <= (end - start) / 1e9 <= rules.most_s:
             continue  # too fast to tell, or a stop in between
+        t = track.when(s)
+        now = float(track.at(t))
+        if math.isnan(now):
+            continue  # a corner in a gap can't be moved
         times = start + np.arange(int((end - start) / 2e8) + 1) * 2e8
-        heading = np.interp(times, gyro_t, gyro_deg)
         way = track.at(times[None, :] + shifts[:, None] * 1e9)
         known = ~np.isnan(way)
+        enough = known.sum(1) >= 0.8 * len(times)
+        if not enough.any():
+            continue
+        way, known = way[enough], known[enough]
+        heading = np.interp(times, gyro_t, gyro_deg)
         off = np.where(known, _half(heading - track.bearing(np.nan_to_num(way))), 0.0)
         middle = np.degrees(np.arctan2((np.sin(np.radians(off)) * known).sum(1), (np.cos(np.radians(off)) * known).sum(1)))
-        cost = np.where(known.sum(1) >= 0.8 * len(times), (known * _half(off - middle[:, None]) ** 2).sum(1) / np.maximum(known.sum(1), 1), np.inf)
+        cost = np.full(len(shifts), np.inf)
+        cost[enough] = (known * _half(off - middle[:, None]) ** 2).sum(1) / np.maximum(known.sum(1), 1)
         best = int(np.argmin(cost))
         rivals = cost[(np.abs(shifts - shifts[best]) >= rules.rival_s) & np.isfinite(cost)]
         clear = math.isfinite(cost[best]) and math.sqrt(cost[best]) <= rules.rms_deg and abs(shifts[best]) < rules.shift_s - rules.step_s and (not len(rivals) or rivals.min() > rules.rival_cost * cost[best])
-        t = track.when(s)
-        now, true = float(track.at(t)), float(track.at(t + shifts[best] * 1e9))
-        if clear and not math.isnan(now) and not math.isnan(true):
+        true = float(track.at(t + shifts[best] * 1e9))
+        if clear and not math.isnan(true):
             out.append((t, true - now))
     return out
 

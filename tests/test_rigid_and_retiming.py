@@ -92,3 +92,16 @@ def test_unclear_tracks_stay(spark):
     assert len(got) == 3 * 240 + 1 and {d: r.corners for (d, s), r in got.items() if s == 1} == {1: 0, 2: 0, 3: 3, 4: 0}
     assert all(got[d, s].lat == a for d, _, s, a, b, _ in rows if d in (1, 2)) and any(got[3, i].lat != x[1] for i, x in enumerate(route(2.0)[0]))
     assert retiming.retime_tracks(track.limit(0), spark.createDataFrame(turns[:1], "drive_id long, t_ns long, seq long, heading_deg double")).count() == 0
+
+
+def test_corners_in_gaps_cost_no_search(monkeypatch):
+    """No shift is tried at a corner whose place in time no track tells."""
+    t = np.arange(12) * 10 * 10**9
+    east, north = np.repeat(np.arange(6), 2) * 200.0, np.append(0, np.repeat(np.arange(1, 7), 2)[:11]) * 200.0
+    rules = retiming.RetimingRules()
+    track = retiming._Track(t.astype(float), 50 + north / 111_320, 30 + east / 111_320 / np.cos(np.radians(50)), rules.latency_s, rules.gap_s)
+    assert len(retiming.corners(track, rules)) >= 5
+    tried = []
+    at = retiming._Track.at
+    monkeypatch.setattr(retiming._Track, "at", lambda self, x: tried.append(np.size(x)) or at(self, x))
+    assert retiming.anchors(track, t.astype(float), np.zeros(12), rules) == [] and max(tried) == 1
