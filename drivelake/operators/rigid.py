@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,25 @@ def fit(z: np.ndarray, p: np.ndarray, acc: np.ndarray) -> tuple[complex, complex
     return turn, shift
 
 
+def fits(starts: np.ndarray, z: np.ndarray, p: np.ndarray, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """fit for many ticks at once, whose places lie one after another and begin at starts: turns, shifts, and whether the places tell a turn."""
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(z))))
+    total = lambda v: np.add.reduceat(v, starts)
+    w = 1 / acc**2
+    turn = shift = None
+    told = np.ones(len(starts), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(ROUNDS):
+            all_w = total(w)
+            zm, pm = total(w * z) / all_w, total(w * p) / all_w
+            h = total(w * (z - zm[row]) * np.conj(p - pm[row]))
+            told &= h != 0
+            turn = h / np.abs(h)
+            shift = zm - turn * pm
+            w = np.minimum(1, 2 * acc / np.maximum(np.abs(z - (turn[row] * p + shift[row])), 1e-6)) / acc**2
+    return turn, shift, told
+
+
 def rigid_places(ticks: DataFrame, fixes: DataFrame, path: DataFrame, window_s: float = 300.0) -> DataFrame:
     """drive_id, t_ns, n, lat, lon, turn_rad at each tick (drive_id, t_ns) that has LEAST fixes in the last window_s, SPAN_M apart at least.
 
@@ -56,15 +76,18 @@ def rigid_places(ticks: DataFrame, fixes: DataFrame, path: DataFrame, window_s:
     flat = rows.select("drive_id", "t_ns", "px", "py", last["lat0"].alias("lat0"), last["lon0"].alias("lon0"), *(F.col(f"fixes.{c}").alias(f"f_{c}") for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["drive_id", "t_ns", "n", "lat0", "lon0", "x", "y", "turn_rad"]
         for b in batches:
-            out: list[tuple] = []
-            for key, ns, x, y, la, lo, *arrays in zip(*(c.to_pylist() for c in b.columns)):
-                zx, zy, px, py, acc = map(np.array, arrays)
-                if (found := fit(zx + 1j * zy, px + 1j * py, acc)) is not None:
-                    at = found[0] * complex(x, y) + found[1]
-                    out.append((key, ns, len(acc), la, lo, at.real, at.imag, float(np.angle(found[0]))))
-            kinds = [b.schema.field(0).type, pa.int64(), pa.int32(), *[pa.float64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], ["drive_id", "t_ns", "n", "lat0", "lon0", "x", "y", "turn_rad"])
+            # A tick's lists have one length and no nulls; they are fitted as they lie, one after another.
+            counts = pc.list_value_length(b.column(6)).to_numpy(zero_copy_only=False).astype(np.int64)
+            zx, zy, px, py, acc = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(6, 11))
+            if len(counts):
+                turn, shift, told = fits(np.append(0, np.cumsum(counts)[:-1]), zx + 1j * zy, px + 1j * py, acc)
+            else:
+                turn = shift = told = np.zeros(0, complex)
+            at = turn * (b.column(2).to_numpy(zero_copy_only=False) + 1j * b.column(3).to_numpy(zero_copy_only=False)) + shift
+            columns = [b.column(0), b.column(1), pa.array(counts, pa.int32()), b.column(4), b.column(5), pa.array(at.real), pa.array(at.imag), pa.array(np.angle(turn))]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(told.astype(bool)))
 
     kind = ticks.schema["drive_id"].dataType.simpleString()
     fitted = flat.mapInArrow(run, f"drive_id {kind}, t_ns long, n int, lat0 double, lon0 double, x double, y double, turn_rad double")

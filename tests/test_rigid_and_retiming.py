@@ -94,6 +94,19 @@ def test_unclear_tracks_stay(spark):
     assert retiming.retime_tracks(track.limit(0), spark.createDataFrame(turns[:1], "drive_id long, t_ns long, seq long, heading_deg double")).count() == 0
 
 
+def test_many_fits_are_those_of_each_tick():
+    rng = np.random.default_rng(3)
+    sizes = [6, 9, 6, 40]
+    z, p, acc = rng.normal(0, 300, sum(sizes)) + 1j * rng.normal(0, 300, sum(sizes)), rng.normal(0, 300, sum(sizes)) + 1j * rng.normal(0, 300, sum(sizes)), rng.uniform(3, 90, sum(sizes))
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    p[starts[2] : starts[3]] = 5 + 5j  # a path that stays tells no turn
+    turn, shift, told = rigid.fits(starts, z, p, acc)
+    assert told.tolist() == [True, True, False, True]
+    for i, (a, n) in enumerate(zip(starts, sizes)):
+        one = rigid.fit(z[a : a + n], p[a : a + n], acc[a : a + n])
+        assert (one is None) == (not told[i]) and (one is None or np.allclose([turn[i], shift[i]], one, rtol=1e-9))
+
+
 def test_corners_in_gaps_cost_no_search(monkeypatch):
     """No shift is tried at a corner whose place in time no track tells."""
     t = np.arange(12) * 10 * 10**9
