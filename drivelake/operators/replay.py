@@ -76,6 +76,10 @@ def detection_latency(verdicts: DataFrame, windows: DataFrame) -> DataFrame:
     return moved.join(seen, ["drive_id", "step_idx"], "left").select("drive_id", "step_idx", ((F.col("_first") - F.col("start_ns")) / F.lit(1e9)).alias("latency_s"))
 
 
+#: What summarize reads of ticks.
+SUMMARIZED = ("drive_id", "t_ns", "r68", "mode", "err_m", "heading_err_deg", "kind")
+
+
 def summarize(ticks: DataFrame, verdicts: DataFrame, windows: DataFrame, spans: DataFrame) -> DataFrame:
     """One row a run: durations, ticks, errors, heading errors, calibration, mode fractions (a map), trust rates, and an array of windows with their metrics.
 

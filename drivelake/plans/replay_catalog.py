@@ -101,9 +101,13 @@ _FRACTION = "count(*) FILTER (age {}) / count(*)::DOUBLE"
     FROM sp LEFT JOIN a USING (drive_id) LEFT JOIN c USING (drive_id)""")
 def replay_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole summary of each drive's replay."""
+    work = scratch_folder(spark)
     p = _parts(spark, sf_dir)
-    v = replay.labelled(p["verdicts"], p["labels"], p["truth"])
-    s = replay.summarize(_tick_rows(p), v, p["windows"], p["spans"])
+    p["truth"] = stored(p["truth"], work, "truth")
+    # A summary reads ticks three times and verdicts twice; what it doesn't read isn't written.
+    ticks = stored(_tick_rows(p).select(*replay.SUMMARIZED), work, "ticks")
+    v = stored(replay.labelled(p["verdicts"], p["labels"], p["truth"]).select("drive_id", "t_ns", "state", "offset_m", "has_truth"), work, "labelled")
+    s = replay.summarize(ticks, v, p["windows"], p["spans"])
     meters = ("rmse_m", "p50_m", "p95_m", "max_m", "degraded_rmse_m", "degraded_p95_m", "heading_p50_deg", "heading_p95_deg")
     return s.select(
         "drive_id", _r("duration_s").alias("duration_s"), "ticks", "ticks_with_estimate", "ticks_with_truth", *(_r(c, 4).alias(c) for c in meters), _r("within68").alias("within68"), _r("within95").alias("within95"),

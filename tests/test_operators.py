@@ -333,3 +333,11 @@ def test_pieces_are_cut_inside_the_rows_of_ways(spark):
     assert got == [(1, 0, 1, 2, 2), (1, 1, 2, 3, 2), (2, 0, 2, 2, 3), (2, 1, 2, 5, 2), (3, 0, 3, 3, 1), (3, 1, 3, 6, 2), (4, 0, 7, 7, 1), (7, 0, 8, 3, 2), (7, 1, 3, 3, 1), (8, 0, 3, 3, 2)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("min_by") == 0
+
+
+def test_summary_reads_stored_errors(spark):
+    """What a summary reads several times is made once: no distance is left to be computed in its plan."""
+    from drivelake.plans.replay_catalog import replay_summaries
+
+    plan = replay_summaries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ASIN" not in plan.upper() and "has_truth" in plan
