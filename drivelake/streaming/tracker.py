@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drivelake.streaming.batches import rows_of
 from drivelake.streaming.keyed import keyed_stream
 
 Vec = tuple[float, float, float]
@@ -92,7 +93,8 @@ def _dot(a: Vec, b: Vec) -> float:
 
 
 def _norm(a: Vec) -> float:
-    return math.sqrt(_dot(a, a))
+    x, y, z = a
+    return math.sqrt(x * x + y * y + z * z)
 
 
 def _toward(a: Vec, b: Vec, share: float) -> Vec:
@@ -100,8 +102,9 @@ def _toward(a: Vec, b: Vec, share: float) -> Vec:
 
 
 def _unit(a: Vec) -> Vec | None:
-    n = _norm(a)
-    return None if n < 1e-9 else (a[0] / n, a[1] / n, a[2] / n)
+    x, y, z = a
+    n = math.sqrt(x * x + y * y + z * z)
+    return None if n < 1e-9 else (x / n, y / n, z / n)
 
 
 def _cross(a: Vec, b: Vec) -> Vec:
@@ -121,15 +124,18 @@ class _Recent:
         self.span, self.rows, self.base, self.sum, self.squares = span_ns, deque(), 0.0, 0.0, 0.0
 
     def add(self, t: int, v: float) -> None:
-        if not self.rows:
+        rows = self.rows
+        if not rows:
             self.base, self.sum, self.squares = v, 0.0, 0.0
-        self.rows.append((t, v))
-        self.sum += v - self.base
-        self.squares += (v - self.base) ** 2
-        while self.rows[0][0] < t - self.span:
-            _, old = self.rows.popleft()
-            self.sum -= old - self.base
-            self.squares -= (old - self.base) ** 2
+        rows.append((t, v))
+        base, since = self.base, t - self.span
+        off = v - base
+        total, squares = self.sum + off, self.squares + off**2
+        while rows[0][0] < since:
+            off = rows.popleft()[1] - base
+            total -= off
+            squares -= off**2
+        self.sum, self.squares = total, squares
 
     def mean(self) -> float:
         return self.base + self.sum / len(self.rows) if self.rows else 0.0
@@ -175,7 +181,7 @@ class Tracker:
     def take(self, kind: str, t: int, sub: str | None, x: float | None, y: float | None = None, z: float | None = None, w: float | None = None) -> Motion | None:
         """A sample: kind imu (sub ACCEL, GYRO, GYRO_UNCAL; others pass), orientation (sub a rotation vector; x, y, z, w) or vehicle_speed (x)."""
         if kind == "imu" and sub in ("ACCEL", "GYRO", "GYRO_UNCAL"):
-            if None in (x, y, z):
+            if x is None or y is None or z is None:
                 return None
             if sub == "ACCEL":
                 self._accelerate(t, (x, y, z))
@@ -198,29 +204,32 @@ class Tracker:
         self.gravity = a if self.gravity is None else _toward(self.gravity, a, 1 - math.exp(-dt / r.gravity_s))
         self.accel = t, a
         self.force, self.forces = (self.force[0] + a[0], self.force[1] + a[1], self.force[2] + a[2]), self.forces + 1
+        size = _norm(a)
         if r.up_s is not None:
-            self._correct_up(t, a, dt)
-        self.accels.add(t, _norm(a))
+            self._correct_up(t, a, size, dt)
+        self.accels.add(t, size)
 
-    def _correct_up(self, t: int, a: Vec, dt: float) -> None:
+    def _correct_up(self, t: int, a: Vec, size: float, dt: float) -> None:
         """Pulls the carried up toward the smoothed specific force, only while that can hardly be anything but gravity."""
-        r, size = self.rules, _norm(a)
+        r = self.rules
         self.quick = a if self.quick is None else _toward(self.quick, a, 0.1)
         self.slow = a if self.slow is None else _toward(self.slow, a, min(dt, 1.0))
         self.norm = size if self.norm is None else self.norm + (size - self.norm) * (dt / r.norm_s)
         if self.carried is None:
             self.carried = _unit(self.quick)
             return
-        if not self.turning or (aim := _unit(self.quick)) is None:
+        if not self.turning or abs(self.yaw) >= r.gate_yaw:
             return
-        if abs(_norm(self.quick) - self.norm) >= r.gate_accel or abs(self.yaw) >= r.gate_yaw:
+        x, y, z = self.quick
+        n = _norm(self.quick)
+        if n < 1e-9 or abs(n - self.norm) >= r.gate_accel:
             return
-        bridged = self.loose_since is not None and (t - self.loose_last) / 1e9 <= r.loose_bridge_s
-        stopped = r.still_up_s is not None and bridged and (t - self.loose_since) / 1e9 >= r.still_least_s and self.speed_hint is not None and self.speed_hint < r.still_speed
+        aim = x / n, y / n, z / n
+        bridged = self.speed_hint is not None and self.loose_since is not None and (t - self.loose_last) / 1e9 <= r.loose_bridge_s
+        stopped = bridged and r.still_up_s is not None and (t - self.loose_since) / 1e9 >= r.still_least_s and self.speed_hint < r.still_speed
         if not (stopped or self.loose or _norm(_flat(self.quick, self.carried)) < r.gate_horizontal):
             return
-        onset = math.dist(self.quick, self.slow)
-        pull = r.still_up_s if stopped and onset < r.still_onset else r.up_s
+        pull = r.still_up_s if stopped and math.dist(self.quick, self.slow) < r.still_onset else r.up_s
         self.carried = _unit(_toward(self.carried, aim, min(dt / pull, 1.0))) or self.carried
 
     def up(self, t: int) -> Vec | None:
@@ -254,12 +263,13 @@ class Tracker:
         """Shaking, new mounts, and which way is left: in a turn the horizontal force points to its centre."""
         r, side = self.rules, _flat(w, up)
         self.shakes.add(t, _dot(side, side))
-        step = side[0] * dt, side[1] * dt, side[2] * dt
-        self.tilts.append((t, step))
-        self.tilt = self.tilt[0] + step[0], self.tilt[1] + step[1], self.tilt[2] + step[2]
-        while self.tilts and self.tilts[0][0] < t - r.remount_ns:
-            _, old = self.tilts.popleft()
-            self.tilt = self.tilt[0] - old[0], self.tilt[1] - old[1], self.tilt[2] - old[2]
+        (x, y, z), (a, b, c), tilts, since = (side[0] * dt, side[1] * dt, side[2] * dt), self.tilt, self.tilts, t - r.remount_ns
+        tilts.append((t, (x, y, z)))
+        a, b, c = a + x, b + y, c + z
+        while tilts and tilts[0][0] < since:
+            x, y, z = tilts.popleft()[1]
+            a, b, c = a - x, b - y, c - z
+        self.tilt = a, b, c
         if _norm(self.tilt) > r.remount_rad and (self.mounted is None or t - self.mounted > r.remount_ns):
             self.mount, self.mounted = self.mount + 1, t
             self.left, self.left_weight, self.left_n = (0.0, 0.0, 0.0), 0.0, 0
@@ -385,7 +395,7 @@ def motion_batch(samples: DataFrame, rules: MotionRules = MotionRules()) -> Data
         drive, tracker = None, None
         for b in batches:
             out = []
-            for key, t, _, _, kind, sub, x, y, z, w in zip(*(c.to_pylist() for c in b.columns)):
+            for key, t, kind, sub, x, y, z, w in rows_of(b):
                 if tracker is None or key != drive:
                     drive, tracker = key, Tracker(rules)
                 if (m := tracker.take(kind, t, sub, x, y, z, w)) is not None:
@@ -394,7 +404,7 @@ def motion_batch(samples: DataFrame, rules: MotionRules = MotionRules()) -> Data
 
     kind = samples.schema["drive_id"].dataType.simpleString()
     rows = samples.select("drive_id", *_ORDER).repartition("drive_id").sortWithinPartitions("drive_id", "t_ns", "rank", "seq")
-    return rows.mapInArrow(run, f"drive_id {kind}, {MOTION}")
+    return rows.drop("rank", "seq").mapInArrow(run, f"drive_id {kind}, {MOTION}")
 
 
 class _Motions:
