@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drivelake.streaming.batches import rows_of
 from drivelake.streaming.tracker import Motion, Tracker, Vec, _cross, _dot, _flat, _norm, _toward, _unit
 
 BINS, BIN_MOST, ALIGN_MOST, LEAST_IN_BIN = 36, 400.0, 300, 10
@@ -423,7 +424,7 @@ def compass_rows(imu: DataFrame, truth: DataFrame, geomag: DataFrame | None = No
         drive, report = None, None
         for batch in batches:
             out = []
-            for key, t, what, sub, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+            for key, t, what, sub, a, b, c in rows_of(batch):
                 if report is None or key != drive:
                     drive, report = key, _Report(rules, max_gap_s)
                 if (row := report.take(t, what, sub, a, b, c)) is not None:
