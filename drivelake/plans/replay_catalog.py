@@ -115,8 +115,8 @@ def replay_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def replay_runs(spark: SparkSession, sf_dir: str, cells: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ticks, verdicts and summaries of every drive in cells (scenario, variant), with drive, scenario and variant.
+def replay_runs(spark: SparkSession, sf_dir: str, cells: list[tuple[str, str]], whole: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ticks, verdicts and summaries of every drive in cells (scenario, variant), with drive, scenario and variant. Not whole: ticks have what a summary reads only.
 
     A run's key is "drive|scenario|variant". The steps of both act on fixes and on the other records (a dropped source takes its statuses along),
     so a run's events are made from tables that are read once, without a join. Each run is folded for itself: runs are spread over all tasks.
@@ -154,7 +154,8 @@ def replay_runs(spark: SparkSession, sf_dir: str, cells: list[tuple[str, str]])
         estimates.append(estimates_of(rows))
     names = ("drive_id", "t_ns", "lat", "lon", "r68", "heading_deg", "speed_mps", "mode", "confidence")
     every = lambda dfs, columns: reduce(DataFrame.unionByName, (df.select(*columns) for df in dfs))
-    ticks = stored(_tick_rows(parts | {"estimates": every(estimates, names)}), work, "ticks")
+    made = _tick_rows(parts | {"estimates": every(estimates, names)})
+    ticks = stored(made if whole else made.select(*replay.SUMMARIZED), work, "ticks")
     labelled = stored(replay.labelled(every(verdicts, verdicts[0].columns), parts["labels"], parts["truth"]), work, "labelled")
     summaries = replay.summarize(ticks, labelled, parts["windows"], parts["spans"])
     key = lambda i: F.regexp_extract("drive_id", r"(?s)^(.*)\|([^|]*)\|([^|]*)$", i)
@@ -169,10 +170,10 @@ _KEYS = ["drive", "scenario", "variant"]
 def replay_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison table of every drive under four scenarios, through the full trust fold; a test holds its parts against each other."""
     cells = [(n, "hold-last-fix") for n in ("clean", "gnss_drop_2min", "gnss_jump_5km", "gnss_teleport_country")]
-    return replay.comparison(replay_runs(spark, sf_dir, cells)[2], _KEYS)
+    return replay.comparison(replay_runs(spark, sf_dir, cells, whole=False)[2], _KEYS)
 
 
 @_query()
 def filter_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison table of every drive without satellites for two minutes: the held fix against the filter on the gyroscope alone."""
-    return replay.comparison(replay_runs(spark, sf_dir, [("gnss_drop_2min", "hold-last-fix"), ("gnss_drop_2min", "gyro-only")])[2], _KEYS)
+    return replay.comparison(replay_runs(spark, sf_dir, [("gnss_drop_2min", "hold-last-fix"), ("gnss_drop_2min", "gyro-only")], whole=False)[2], _KEYS)

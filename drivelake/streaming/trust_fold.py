@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from drivelake.functions.geo import EARTH_RADIUS, R68_PER_SIGMA, WGS84_A, WGS84_E2
 from drivelake.operators.trust import BASE_CONFIDENCE, STATES
+from drivelake.streaming.batches import rows_of
 from drivelake.streaming.keyed import keyed_stream
 from drivelake.streaming.tracker import Tracker
 
@@ -421,7 +422,7 @@ def trust_batch(events: DataFrame, rules: TrustRules = TrustRules()) -> DataFram
         drive, memory = None, {}
         for b in batches:
             out = []
-            for key, *values in zip(*(c.to_pylist() for c in b.columns)):
+            for key, *values in rows_of(b):
                 if key != drive:
                     drive, memory = key, {}
                 row = _judge(memory, Event(*values), rules)
