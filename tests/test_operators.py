@@ -229,6 +229,24 @@ def test_near_pairs_of_any_cell_and_round_the_globe(spark):
         assert got == [(1, 7), (2, 8)]
 
 
+
+def test_near_places_pairs_bundles_and_splits_dense_cells(spark, monkeypatch):
+    here = [(i, 50.0 + i % 4 / 1e5, 30.0) for i in range(400)]  # a hundred rows at each of four places of one cell
+    points = spark.createDataFrame(here + [(900, 50.1, 30.0)], "id long, lat double, lon double")
+    others = spark.createDataFrame([(-i, lat, lon) for i, lat, lon in here] + [(7, None, 30.0)], "o_id long, o_lat double, o_lon double")
+    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon"))
+    near = tables.near_places(points, others, d, 2.0, 0.0005)
+    assert near.count() == 10 * 2 * 2  # ten pairs of places up to a metre apart, two bundles at each
+    want = sorted((i, -j) for i in range(400) for j in range(400) if abs(i % 4 - j % 4) <= 1)
+    for limits in ({}, {"POINTS": 30, "OTHERS": 50, "BUNDLE": 7}, {"POINTS": 1000, "OTHERS": 100}, {"POINTS": 100, "OTHERS": 1000}):
+        for name, limit in limits.items():
+            monkeypatch.setattr(tables, name, limit)
+        pairs = tables.near_pairs(points, others, d, 2.0, 0.0005)
+        assert pairs.columns == ["id", "lat", "lon", "o_id", "o_lat", "o_lon", "distance_m"]
+        assert sorted((r.id, r.o_id) for r in pairs.collect()) == want
+        assert limits != {"POINTS": 30, "OTHERS": 50, "BUNDLE": 7} or pairs.select(F.spark_partition_id()).distinct().count() > 1  # one cell, several tasks
+
+
 def test_probe_opens_recovers_and_passes_through():
     p = Probe()
     for t in range(12):
