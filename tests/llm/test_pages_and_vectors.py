@@ -147,6 +147,21 @@ def test_alignment_is_a_longest_common_subsequence():
         assert sum(i >= 0 and j >= 0 for i, j in pairs) == best[-1][-1]
 
 
+def test_large_alignment_is_whole_and_the_same(monkeypatch):
+    rng = random.Random(8)
+    lists = [tuple([str(rng.randrange(k)) for _ in range(rng.randrange(60))] for _ in "ab") for k in (1, 3, 8, 40) for _ in range(50)]
+    lists += [tuple([str(rng.randrange(k)) for _ in range(700)] for _ in "ab") for k in (2, 500)]
+    whole = [html_text._pairs(a, b) for a, b in lists]
+    for bits in (1, 50, 3000):
+        monkeypatch.setattr(html_text, "ALIGNED", bits)
+        assert [html_text._pairs(a, b) for a, b in lists] == whole
+    monkeypatch.undo()
+    # Ends that differ, and more bits in the table than are held at once.
+    a, b = (["x", *(f"{side}{i}" if i % 3 == 0 else f"s{i}" for i in range(21_000)), "y"] for side in "ab")
+    pairs = html_text._pairs(["l", *a], [*b, "r"])
+    assert (len(a) + 1) * (len(b) + 1) > html_text.ALIGNED and sum(i >= 0 and j >= 0 for i, j in pairs) == 14_002
+
+
 def test_wrapper_marks_repeats_options_and_slots():
     w = html_text.Wrapper()
     for h in ("<ul><li>a<li>b</ul><p>same</p>", "<ul><li>a</ul><h2>t</h2><p>same</p>", "<ul><li>c</ul><p>same</p>"):
