@@ -208,8 +208,10 @@ def reachable_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _networks(spark: SparkSession, sf_dir: str, reach_m: float) -> tuple[DataFrame, DataFrame]:
     """Fixes with the name of their piece of the network, and these pieces."""
     work = scratch_folder(spark)
-    segs = stored(roads.segments(_ways(spark, sf_dir)), work, "segments")
     f = fix_view(spark, sf_dir).select("drive_id", "t_ns", "seq", "lat", "lon", "speed_mps", "bearing_deg")
+    ways = stored(_ways(spark, sf_dir), work, "ways")
+    near = stored(roads.ways_near(ways, f, reach_m + 2 * roads.CELL_M + 2.0, LAT0, LON0), work, "near")
+    segs = stored(roads.segments(near, ways), work, "segments")
     drives, networks = roads.networks_of_drives(f, segs, roads.edges_of_segments(segs, LAT0, LON0), reach_m, LAT0, LON0)
     return f.join(drives, "drive_id"), networks
 

@@ -18,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drivelake.streaming.batches import rows_of
 from drivelake.streaming.estimators import _half_turn, _Plane
 
 #: Width of a lane, lanes where a road doesn't tell.
 LANE_M = 3.5
 LANES = {"motorway": 4, "trunk": 4, "primary": 4, "secondary": 2, "tertiary": 2, "unclassified": 2, "residential": 2, "road": 2}
 _MINOR = {"residential", "living_street", "unclassified", "road"}
-#: Sides of a cell of the local index, in degrees of latitude and longitude.
+#: Sides of a cell of the local index, in degrees of latitude and longitude; of a cell whose points share a list of edges, and metres that its radius is rounded up to.
 _CELL = 0.002, 0.003
+_SHARED, _ROUND_M = (0.0005, 0.00075), 25.0
+#: Edges of all such lists together that a network keeps; pairs of points and edges that are measured at once.
+_EDGES, _PAIRS = 4_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -112,6 +116,19 @@ class Near(NamedTuple):
     north: float
 
 
+class Hits(NamedTuple):
+    """The nearest place of each road near some points, as columns: by point, distance and key. road: its place in Network.order."""
+
+    point: np.ndarray
+    road: np.ndarray
+    distance: np.ndarray
+    along: np.ndarray
+    cross: np.ndarray
+    bearing: np.ndarray
+    east: np.ndarray
+    north: np.ndarray
+
+
 class Network:
     """Some roads, with a grid over their edges. Ways that were asked for are kept."""
 
@@ -138,6 +155,10 @@ class Network:
                 for j in range(j0, j1 + 1):
                     cells[i, j].append(e)
         self.grid = {c: np.array(x) for c, x in cells.items()}
+        self.low, self.high = np.minimum(self.ends[:, :2], self.ends[:, 2:]), np.maximum(self.ends[:, :2], self.ends[:, 2:])
+        self.from_m, self.to_m, self.bearing = join([r.ends[:-1] for r in every]), join([r.ends[1:] for r in every]), join([r.bearings for r in every])
+        self.lists: dict[tuple[int, int, int], np.ndarray] = {}
+        self.listed = 0
         self.widest = max((r.half_width for r in every), default=0.0)
         self.ways: dict[tuple[Key, bool], tuple[float, dict[tuple[Key, bool], float]]] = {}
         self.both: dict[int, list[tuple[Key, bool]]] | None = None  # node -> roads by either end; made and used, as the searches, by offline_match
@@ -168,6 +189,73 @@ class Network:
                 found[r] = (float(d[i]), float(road.ends[k] + t[i] * (road.ends[k + 1] - road.ends[k])), float(side), float(road.bearings[k]), float(px[i]), float(py[i]))
         return sorted((Near(self.order[r], *v) for r, v in found.items()), key=lambda n: (n.distance, n.road.key))
 
+    def _edges_near(self, lat: float, lon: float, radius: float) -> np.ndarray:
+        """Edges in rising order, among them all within a radius of a point; found once for a small cell."""
+        (a, b), k = _SHARED, math.ceil(radius / _ROUND_M)
+        at = math.floor(lat / a), math.floor(lon / b), k
+        if (out := self.lists.get(at)) is None:
+            south, west = at[0] * a, at[1] * b
+            plane = _Plane(min(max(abs(south), abs(south + a)), 90.0), west)  # a degree of longitude is shortest there
+            dy, dx = 1.02 * k * _ROUND_M / plane.per_lat, 1.02 * k * _ROUND_M / max(plane.per_lon, 1e-6)
+            rows, columns = ((math.floor((c - d) / side), math.floor((c + width + d) / side)) for c, d, width, side in ((south, dy, a, _CELL[0]), (west, dx, b, _CELL[1])))
+            if (rows[1] - rows[0] + 1) * (columns[1] - columns[0] + 1) > len(self.grid):
+                here = [x for (i, j), x in self.grid.items() if rows[0] <= i <= rows[1] and columns[0] <= j <= columns[1]]
+            else:
+                here = [self.grid[c] for i in range(rows[0], rows[1] + 1) for j in range(columns[0], columns[1] + 1) if (c := (i, j)) in self.grid]
+            out = np.unique(np.concatenate([np.empty(0, int), *here]))
+            met = (self.low[out] <= [west + b + dx, south + a + dy]) & (self.high[out] >= [west - dx, south - dy])
+            out = out[met.all(axis=1)]
+            if self.listed > _EDGES:
+                self.lists.clear()
+                self.listed = 0
+            self.lists[at] = out
+            self.listed += len(out)
+        return out
+
+    def project_many(self, lats: list[float], lons: list[float], radii: list[float]) -> Hits:
+        """As project of each point, all at once."""
+        found, begin, size, near = [], 0, 0, [self._edges_near(*x) for x in zip(lats, lons, radii)]
+        for k, x in enumerate(near):
+            size += len(x)
+            if size > _PAIRS or k == len(near) - 1:
+                found.append(self._project(lats[begin : k + 1], lons[begin : k + 1], radii[begin : k + 1], near[begin : k + 1], begin))
+                begin, size = k + 1, 0
+        return Hits(*map(np.concatenate, zip(*found))) if found else Hits(*np.empty((2, 0), int), *np.empty((6, 0)))
+
+    def _project(self, lats: list[float], lons: list[float], radii: list[float], near: list[np.ndarray], begin: int) -> Hits:
+        planes = [_Plane(*x) for x in zip(lats, lons)]
+        point, edges = np.repeat(np.arange(len(lats)), [len(x) for x in near]), np.concatenate(near)
+        lat, lon, radius, per_lat, per_lon = (np.array(c)[point] for c in (lats, lons, radii, [p.per_lat for p in planes], [p.per_lon for p in planes]))
+        lon0, lat0, lon1, lat1 = self.ends[edges].T
+        x0, y0, x1, y1 = (lon0 - lon) * per_lon, (lat0 - lat) * per_lat, (lon1 - lon) * per_lon, (lat1 - lat) * per_lat
+        ux, uy = x1 - x0, y1 - y0
+        length = np.hypot(ux, uy)
+        t = np.where(length > 0, np.clip(-(x0 * ux + y0 * uy) / np.maximum(length * length, 1e-12), 0, 1), 0.0)
+        px, py = x0 + t * ux, y0 + t * uy
+        d = np.hypot(px, py)
+        ok = np.flatnonzero(d <= radius)
+        point, edges, d = point[ok], edges[ok], d[ok]
+        road = self.road[edges]
+        # Of a road the first edge, unless a later one is nearer.
+        starts = np.flatnonzero(np.concatenate([[True], (point[1:] != point[:-1]) | (road[1:] != road[:-1])])) if len(ok) else ok
+        sizes, best = np.diff(np.append(starts, len(ok))), starts.copy()
+        for k in range(1, int(sizes.max(initial=1))):
+            g = np.flatnonzero(sizes > k)
+            at = starts[g] + k
+            nearer = d[at] < d[best[g]] - 1e-9
+            best[g[nearer]] = at[nearer]
+        best = best[np.lexsort((road[best], d[best], point[best]))]
+        i, e = ok[best], edges[best]
+        side = np.divide(ux[i] * py[i] - uy[i] * px[i], length[i], out=np.zeros(len(i)), where=length[i] > 0)
+        return Hits(point[best] + begin, road[best], d[best], self.from_m[e] + t[i] * (self.to_m[e] - self.from_m[e]), side, self.bearing[e], px[i], py[i])
+
+    def near_many(self, lats: list[float], lons: list[float], radii: list[float]) -> list[list[Near]]:
+        """What project gives for each point."""
+        hits = self.project_many(lats, lons, radii)
+        every = [Near(self.order[r], *v) for r, *v in zip(*(c.tolist() for c in hits[1:]))]
+        at = np.searchsorted(hits.point, np.arange(len(lats) + 1)).tolist()
+        return [every[i:j] for i, j in zip(at, at[1:])]
+
     def onward(self, key: Key, forward: bool) -> Iterator[tuple[Key, bool]]:
         """What a directed road leads to: other roads at the node where it ends."""
         r = self.roads[key]
@@ -235,6 +323,16 @@ def _log_add(values: list[float]) -> float:
     return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
 
 
+def radius_of(s: Step, rules: MatchRules) -> float:
+    """How far from a pose roads are looked for."""
+    return min(max(rules.radius_sigmas * _widest(s.ee, s.en, s.nn), rules.least_m), rules.most_m)
+
+
+def axis_radius_of(s: Step, network: Network, rules: MatchRules) -> float:
+    """How far from a pose axis_consensus looks for roads."""
+    return max(rules.least_m, 3 * math.sqrt(_widest(s.ee, s.en, s.nn) ** 2 + network.widest**2 / 3 + rules.geometry_m**2))
+
+
 class Matcher:
     """The state of one drive."""
 
@@ -262,10 +360,11 @@ class Matcher:
         entry = ends.get((key, forward))
         return None if entry is None or left + entry > limit else left + entry + (along if forward else self.network.roads[key].length - along)
 
-    def step(self, s: Step) -> None:
+    def step(self, s: Step, near: list[Near] | None = None) -> None:
+        """near: the places of network.project within radius_of(s, rules), if they are known."""
         r = self.rules
         wide = _widest(s.ee, s.en, s.nn)
-        near = self.network.project(s.lat, s.lon, min(max(r.radius_sigmas * wide, r.least_m), r.most_m))[: r.candidates]
+        near = (self.network.project(s.lat, s.lon, radius_of(s, r)) if near is None else near)[: r.candidates]
         states = [(n, f, *self._score(n, f, s)) for n in near for f in ((True,) if n.road.oneway else (True, False))]
         off = -0.5 * r.off_sigmas**2 - 0.5 * math.log(2 * math.pi * (wide**2 + r.geometry_m**2))
         if s.heading is not None and s.heading_std is not None:
@@ -302,7 +401,8 @@ class Matcher:
         kept = sorted((h._replace(log_p=h.log_p - total) for h in new), key=lambda h: (-h.log_p, h.key, h.forward))[: r.hypotheses]
         self.found = kept
         # One street's share is the same for all of its pieces that point the same way.
-        self.found = [h._replace(confident=h.confident + s.way if self.probability(h) >= r.confident else 0.0) for h in kept]
+        shares = self._shares(kept, kept)
+        self.found = [h._replace(confident=h.confident + s.way if p >= r.confident else 0.0) for h, p in zip(kept, shares)]
 
     def off_road(self) -> float:
         return math.exp(self.log_off)
@@ -312,8 +412,16 @@ class Matcher:
 
     def probability(self, h: Hypothesis) -> float:
         """Of the whole street in the hypothesis' direction: pieces of one street share it."""
-        street = lambda x: ("name", self.network.roads[x.key].name) if self.network.roads[x.key].name else ("way", x.key[0])
-        return sum(math.exp(x.log_p) for x in self.found if street(x) == street(h) and abs((x.bearing - h.bearing + 180) % 360 - 180) < 45)
+        return self._shares(self.found, [h])[0]
+
+    def _shares(self, found: list[Hypothesis], of: list[Hypothesis]) -> list[float]:
+        """probability of each of some hypotheses among those found."""
+        def street(x: Hypothesis) -> tuple:
+            name = self.network.roads[x.key].name
+            return ("name", name) if name else ("way", x.key[0])
+
+        every = [(street(x), x.bearing, math.exp(x.log_p)) for x in found]
+        return [sum([p for at, b, p in every if at == own and abs((b - h.bearing + 180) % 360 - 180) < 45]) for h, own in ((h, street(h)) for h in of)]
 
     def profile(self, h: Hypothesis, step: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
         """The road behind a hypothesis along its trail: metres back (rising) and travelled bearing (rad, unwrapped); empty arrays below two places."""
@@ -332,29 +440,28 @@ class Matcher:
         return where, np.unwrap(bearings)[::-1][first] if back else np.array([])
 
 
-def axis_consensus(network: Network, s: Step, rules: MatchRules = MatchRules(), most_sigma_m: float = 150.0, window_m: float = 40.0, straight_deg: float = 5.0, spread_deg: float = 10.0, support: float = 0.9, off_score: float = 0.05) -> float | None:
+def axis_consensus(network: Network, s: Step, rules: MatchRules = MatchRules(), most_sigma_m: float = 150.0, window_m: float = 40.0, straight_deg: float = 5.0, spread_deg: float = 10.0, support: float = 0.9, off_score: float = 0.05, near: list[Near] | None = None) -> float | None:
     """The bearing (rad) on which all roads round a pose agree, in the direction that the heading is nearer to; None where they don't, or bend.
 
     Roads within three sigmas of the pose and of the heading form axes of at most spread_deg; each axis counts by its best road, so parallel roads
     are no more evidence than one. The best axis must hold `support` of all scores, off-road included, and be straight over window_m.
+    near: the places of network.project within axis_radius_of(s, network, rules), if they are known.
     """
     wide = _widest(s.ee, s.en, s.nn)
     if wide > most_sigma_m or s.heading is None or s.heading_std is None:
         return None
-    radius = max(rules.least_m, 3 * math.sqrt(wide**2 + network.widest**2 / 3 + rules.geometry_m**2))
     spread = s.heading_std**2 + math.radians(rules.heading_deg) ** 2
-    found: list[tuple[float, float, bool]] = []  # off the heading, score, straight
-    for n in network.project(s.lat, s.lon, radius):
+    found: list[tuple[float, float, Near]] = []  # off the heading, score
+    for n in network.project(s.lat, s.lon, axis_radius_of(s, network, rules)) if near is None else near:
         off = _half_turn(math.radians(n.bearing) - s.heading)
         off = off if abs(off) <= math.pi / 2 else _half_turn(off + math.pi)
         extra = n.road.half_width**2 / 3 + rules.geometry_m**2
         ee, nn = s.ee + extra, s.nn + extra
         nis = (nn * n.east**2 - 2 * s.en * n.east * n.north + ee * n.north**2) / (ee * nn - s.en**2)
         if nis <= 9 and off * off <= 9 * spread:
-            bent = n.road.most_turned(max(0.0, n.along - window_m), min(n.road.length, n.along + window_m), n.bearing)
-            found.append((off, math.exp(-0.5 * (nis + off * off / spread)), bent <= straight_deg))
-    axes: list[list[tuple[float, float, bool]]] = []
-    for x in sorted(found):
+            found.append((off, math.exp(-0.5 * (nis + off * off / spread)), n))
+    axes: list[list[tuple[float, float, Near]]] = []
+    for x in sorted(found, key=lambda x: x[:2]):
         if axes and x[0] - axes[-1][0][0] <= math.radians(spread_deg):
             axes[-1].append(x)
         else:
@@ -363,7 +470,8 @@ def axis_consensus(network: Network, s: Step, rules: MatchRules = MatchRules(),
     if best is None:
         return None
     top = max(x[1] for x in best)
-    if top < support * (sum(max(x[1] for x in a) for a in axes) + off_score) or any(not straight and score >= 0.1 * top for _, score, straight in best):
+    bent = lambda n: n.road.most_turned(max(0.0, n.along - window_m), min(n.road.length, n.along + window_m), n.bearing) > straight_deg
+    if top < support * (sum(max(x[1] for x in a) for a in axes) + off_score) or any(score >= 0.1 * top and bent(n) for _, score, n in best):
         return None
     angle = math.atan2(sum(w * math.sin(s.heading + o) for o, w, _ in best), sum(w * math.cos(s.heading + o) for o, w, _ in best))
     return angle % (2 * math.pi)
@@ -406,12 +514,23 @@ class Networks:
             self.roads.append(road_from(road))
             return False, False
         if self.network is None:
-            self.network = Network(self.roads)
+            self.network = network_of(self.roads)
         first = fresh or drive != self.drive
         self.drive = drive
         return True, first
 
 
+_last: Network | None = None
+
+
+def network_of(roads: list[Road]) -> Network:
+    """The network of some roads; the last one, with what it has found, if its roads are the same objects. Parts of one area have the same roads, as a rule."""
+    global _last
+    if _last is None or len(roads) != len(_last.roads) or any(_last.roads.get(r.key) is not r for r in roads):
+        _last = Network(roads)
+    return _last
+
+
 _known: dict[tuple, Road] = {}
 
 
@@ -440,23 +559,38 @@ def match_drives(steps: DataFrame, networks: DataFrame, rules: MatchRules = Matc
     usable = steps.filter("lat IS NOT NULL AND lon IS NOT NULL AND cov_ee IS NOT NULL AND cov_nn IS NOT NULL").fillna(0.0, ["cov_en", "way_m", "turn_rad", "speed_mps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, matcher = Networks(), None
-        for b in batches:
-            out = []
-            for key, net, road, t, seq, *values in zip(*(c.to_pylist() for c in b.columns)):
-                row, first = at.takes(key, net, road)
-                if not row:
-                    continue
+        at, matcher, out = Networks(), None, []
+        held: list[tuple] = []  # steps on one network: key, t, seq, whether a drive begins, Step
+
+        def go(network: Network) -> None:
+            nonlocal matcher
+            steps = [x[4] for x in held]
+            reach = [radius_of(s, rules) for s in steps]
+            wider = [max(d, axis_radius_of(s, network, rules)) if _widest(s.ee, s.en, s.nn) <= 150.0 else d for s, d in zip(steps, reach)]
+            for (key, t, seq, first, s), d, near in zip(held, reach, network.near_many([s.lat for s in steps], [s.lon for s in steps], wider)):
                 if first:
-                    matcher = Matcher(at.network, rules)
-                s = Step(*values)
-                matcher.step(s)
-                h, axis, n = matcher.best(), axis_consensus(matcher.network, s, rules), len(matcher.found)
+                    matcher = Matcher(network, rules)
+                matcher.step(s, [n for n in near[: rules.candidates] if n.distance <= d])
+                wide = axis_radius_of(s, network, rules)
+                h, axis, n = matcher.best(), axis_consensus(network, s, rules, near=[n for n in near if n.distance <= wide]), len(matcher.found)
                 told = (None,) * 6 if h is None else (*h.key, h.forward, h.along, h.bearing, matcher.probability(h))
-                r = None if h is None else matcher.network.roads[h.key]
+                r = None if h is None else network.roads[h.key]
                 out.append((key, t, seq, *told, matcher.off_road(), h and h.confident, r and r.name, *(r.place(h.along) if r else (None, None)), axis, n))
+            held.clear()
+
+        for b in batches:
+            for key, net, road, t, seq, *values in rows_of(b):
+                before = at.network
+                row, first = at.takes(key, net, road)
+                if held and (not row or at.network is not before):
+                    go(before)
+                if row:
+                    held.append((key, t, seq, first, Step(*values)))
+            if held:
+                go(at.network)
             kinds = [b.schema.field(0).type, *({"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[c.split(" ")[1]] for c in MATCH.split(", "))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], ["drive_id", *(c.split(" ")[0] for c in MATCH.split(", "))])
+            out.clear()
 
     kind = steps.schema["drive_id"].dataType.simpleString()
     return with_networks(usable, networks, ["t_ns", "seq", *names], ["t_ns", "seq"]).mapInArrow(run, f"drive_id {kind}, {MATCH}")

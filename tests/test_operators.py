@@ -343,6 +343,18 @@ def test_networks_hold_the_near_segments_only_and_far_edges_go_first(spark):
     assert "_minx" in near._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_ways_near_the_points_are_cut_as_the_whole_network_cuts_them(spark):
+    way = "way_id long, node_ids array<long>, lats array<double>, lons array<double>, road_class string, oneway boolean, lanes int, layer int, name string"
+    rows = [(1, [1, 2, 3], [50.0, 50.001, 50.1], [30.0] * 3, "road", False, 0, 0, ""), (2, [4, 5, 6], [50.1, 50.09, 50.2], [30.0] * 3, "road", False, 0, 0, ""), (3, [2, 7, 8], [50.001] * 3, [30.0, 30.001, 30.002], "road", True, 0, 0, "")]
+    # Way 4, far from all points, shares a node of way 3 by another place.
+    ways = spark.createDataFrame([*rows, (4, [9, 7], [60.0, 60.1], [30.0] * 2, "road", False, 0, 0, "")], way)
+    points = spark.createDataFrame([(50.0, 30.0), (50.0005, 30.0003)], "lat double, lon double")
+    near = roads.ways_near(ways, points, 60.0, 50.0, 30.0)
+    assert {r.way_id for r in near.collect()} == {1, 3}
+    whole = roads.segments(ways).filter("way_id IN (1, 3)")
+    assert sorted(roads.segments(near, ways).collect()) == sorted(whole.collect()) and whole.count() == 4
+
+
 def test_pieces_are_cut_inside_the_rows_of_ways(spark):
     """No window or second aggregation holds the places of all ways of a task."""
     ways = [(1, [1, 2, 3]), (2, [2, 4, 2, 5]), (3, [None, 3, 6]), (4, [7]), (5, []), (6, None), (7, [8, 3, None]), (8, [3, 3])]

@@ -167,3 +167,20 @@ def test_reachable_by_joins_equals_the_local_search(spark):
         n = net.roads[r.way_id, r.piece]
         want = net.reachable(n.key, n.length - 100 if r.forward else 100.0, r.forward, 700.0)
         assert set(want) == set(got.get(r.id, {})) and all(abs(want[k] - got[r.id][k]) < 1e-6 for k in want)
+
+
+def test_points_projected_at_once_are_those_projected_one_by_one(monkeypatch):
+    rng = random.Random(4)
+    for pairs in (rm._PAIRS, 50):
+        monkeypatch.setattr(rm, "_PAIRS", pairs)
+        net = Network([road(k, 2 * k, 2 * k + 1, *[(rng.uniform(-900, 900), rng.uniform(-900, 900)) for _ in range(rng.randrange(2, 7))]) for k in range(60)])
+        points = [(*at(rng.uniform(-1200, 1200), rng.uniform(-1200, 1200)), rng.choice([5.0, 30.0, 150.0, 400.0])) for _ in range(150)]
+        points += [(net.order[k].lats[1], net.order[k].lons[1], 30.0) for k in range(60)]  # as near to two edges of a road
+        assert net.near_many(*map(list, zip(*points))) == [net.project(*x) for x in points]
+    assert Network([]).near_many([LAT], [LON], [50.0]) == [[]] and net.near_many([], [], []) == []
+
+
+def test_parts_of_an_area_share_their_network():
+    roads, net = [*town().roads.values()], rm.network_of([*town().roads.values()])
+    first = rm.network_of(roads)
+    assert first is not net and rm.network_of(roads[::-1]) is first and rm.network_of(roads[1:]) is not first
