@@ -161,8 +161,14 @@ class Network:
         self.listed = 0
         self.widest = max((r.half_width for r in every), default=0.0)
         self.ways: dict[tuple[Key, bool], tuple[float, dict[tuple[Key, bool], float]]] = {}
-        self.both: dict[int, list[tuple[Key, bool]]] | None = None  # node -> roads by either end; made and used, as the searches, by offline_match
-        self.searches: dict[tuple, dict] = {}
+        # Made and used by offline_match: places of the roads' nodes and of the roads, their traits, whether each node has one place, ways onward, searches and tables of ways.
+        self.ends_at: np.ndarray | None = None
+        self.road_place: dict[Key, int] = {}
+        self.lengths = self.one_way = np.empty(0)
+        self.one_place = False
+        self.onwards: dict[tuple, list] = {}
+        self.tables: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.searches: dict[tuple, tuple] = {}
         self.searched = 0
 
     def project(self, lat: float, lon: float, radius: float) -> list[Near]:

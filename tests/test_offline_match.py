@@ -151,3 +151,37 @@ def test_searches_that_do_not_fit_are_made_again(monkeypatch):
     monkeypatch.setattr(om, "KEPT", 10)
     small = town()
     assert places_on_route(drive, best_chain(drive, small), small) == first and small.searched <= max(10, *map(len, small.searches.values()))
+
+
+def _streets(rng, n=7, inconsistent=False):
+    """Streets of 90 m between the places of a grid, some one-way; a node may lie a little off in some of them."""
+    roads, off = [], 20 if inconsistent else 0
+    for k, (i, j, i1, j1) in enumerate((i, j, i + a, j + b) for i in range(n) for j in range(n) for a, b in ((1, 0), (0, 1))):
+        shift = rng.choice([0, 0, off])
+        roads.append(road(k, 100 * i + j, 100 * i1 + j1, (90 * i + shift, 90 * j), (90 * i1, 90 * j1), oneway=rng.random() < 0.3))
+    return roads
+
+
+def test_chains_are_the_same_by_tables_and_by_searches_and_where_nothing_can_lead_on_at_once(monkeypatch):
+    rng = random.Random(6)
+    for inconsistent in (False, True):
+        roads = _streets(rng, inconsistent=inconsistent)
+        points = [(rng.uniform(0, 630), rng.uniform(0, 630)) for _ in range(25)]
+        drive = [Row(i * 6_000_000_000, i, 40.0 * i, *at(*p)) for i, p in enumerate(points)]
+        limits = (Limits(30, 80, without_classes=("service",)), Limits(60, 100, without_names=("Back",)))
+        for rules in (OfflineRules(), OfflineRules(radius_m=60.0, candidates=5, most_more_m=30.0), OfflineRules(radius_m=80.0, limits=limits)):
+            first = best_chain(drive, network := Network(roads), rules)
+            assert network.one_place != inconsistent and any(m.link for m in first)
+            with monkeypatch.context() as m:
+                m.setattr(om, "TABLE", 0)
+                m.setattr(om, "LINKS", 1)
+                m.setattr(om, "_apart", lambda seen, *_: [False] * len(seen))
+                assert best_chain(drive, again := Network(roads), rules) == first and not again.tables
+                assert places_on_route(drive, first, again, rules) == places_on_route(drive, first, network, rules)
+
+
+def test_searches_do_not_grow_with_the_different_ways_between_positions():
+    network = Network(_streets(random.Random(2)))
+    for step in range(10, 90, 5):
+        best_chain([Row(i * 6_000_000_000, i, float(step * i), *at(step * i / 2, step * i / 3)) for i in range(12)], network)
+    assert len(network.searches) <= 2 * len({n for r in network.order for n in (r.start, r.end)})
