@@ -228,9 +228,12 @@ def matched_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def offline_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likeliest chain of each drive's fixes, twenty metres apart by the odometer; tests hold it against all chains."""
-    f, networks = _networks(spark, sf_dir, 120.0)
+    """The likeliest chain of each drive's fixes, twenty metres apart by the odometer; tests hold it against all chains.
+
+    The rules are the fixed ones: all roads within 150 m, the 40 nearest of them, and ways of twice the odometer and 300 m. Pieces of the network reach
+    half of such a way, and the radius, beyond the fixes.
+    """
+    f, networks = _networks(spark, sf_dir, 500.0)
     rows = f.withColumn("odo_m", F.row_number().over(Window.partitionBy("drive_id").orderBy("t_ns", "seq")) * 20.0).select("drive_id", "net_id", "t_ns", "seq", "odo_m", "lat", "lon")
-    rules = offline_match.OfflineRules(radius_m=25.0, candidates=4, most_more_m=60.0)
-    m = offline_match.match_whole_drives(rows, networks, rules)
+    m = offline_match.match_whole_drives(rows, networks)
     return m.select("drive_id", "seq", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"), _r("bearing_deg", 4).alias("bearing_deg"), "reliable", "matched", "way_id", "piece", _r("along_m", 3).alias("along_m"), "begins")

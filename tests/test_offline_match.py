@@ -185,3 +185,14 @@ def test_searches_do_not_grow_with_the_different_ways_between_positions():
     for step in range(10, 90, 5):
         best_chain([Row(i * 6_000_000_000, i, float(step * i), *at(step * i / 2, step * i / 3)) for i in range(12)], network)
     assert len(network.searches) <= 2 * len({n for r in network.order for n in (r.start, r.end)})
+
+
+def test_the_query_matches_by_the_fixed_rules(spark, monkeypatch):
+    from drivelake.plans import road_catalog
+
+    asked, place = [], "drive_id long, seq long, lat double, lon double, bearing_deg double, reliable boolean, matched boolean, way_id long, piece long, along_m double, begins boolean"
+    monkeypatch.setattr(road_catalog, "_networks", lambda spark, sf_dir, reach: (asked.append(reach), (spark.createDataFrame([], "drive_id long, net_id string, t_ns long, seq long, lat double, lon double"), None))[1])
+    monkeypatch.setattr(om, "match_whole_drives", lambda rows, networks, rules=OfflineRules(): (asked.append(rules), spark.createDataFrame([], place))[1])
+    assert road_catalog.offline_matches(spark, "none").count() == 0
+    reach, rules = asked
+    assert rules == OfflineRules() and reach >= rules.radius_m + rules.most_more_m / 2
