@@ -6,7 +6,6 @@ from north; east and north are metres in a plane around an anchor that moves wit
 
 from __future__ import annotations
 
-import copy
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -91,6 +90,16 @@ class _Plane:
         return self.lat + north / self.per_lat, (self.lon + east / self.per_lon + 180) % 360 - 180
 
 
+_EYE = np.eye(7)
+
+
+def _twin(x):
+    """As copy.copy of a plain object, without the ways round that take most of its time."""
+    out = object.__new__(type(x))
+    out.__dict__.update(x.__dict__)
+    return out
+
+
 def _half_turn(rad: float) -> float:
     return math.pi - (math.pi - rad) % (2 * math.pi)
 
@@ -128,7 +137,7 @@ class HeadingBank:
         self.fixes = 0
 
     def clone(self) -> HeadingBank:
-        out = copy.copy(self)
+        out = _twin(self)
         if self.plane is not None:
             out.means, out.covs, out.logs = self.means.copy(), self.covs.copy(), self.logs.copy()
         return out
@@ -331,17 +340,18 @@ class Filter:
 
     def _move(self, dt: float, t: int) -> None:
         r, x = self.rules, self.x
-        psi, v, rate = x[PSI], x[V], self.yaw - x[BIAS]
+        _, _, psi, v, bias, _, abias = x.tolist()
+        rate = self.yaw - bias
         s, c = math.sin(psi), math.cos(psi)
         self.way += abs(v) * dt
         self.rel_east, self.rel_north = self.rel_east + v * s * dt, self.rel_north + v * c * dt
-        f, q = np.eye(7), np.zeros(7)
+        f, q = _EYE.copy(), [0.0] * 7
         x[PSI] = _half_turn(psi - rate * dt)
         f[PSI, BIAS] = dt
         hand = r.hand_noise * max(0.0, self.shaking - r.hand_floor)
         q[PSI] = (r.heading_walk**2 + hand**2) * dt + (rate * dt * r.gyro_scale) ** 2
         if self.along is not None and self._accel_drives(t):
-            x[V] = v + (self.along - x[ABIAS]) * dt
+            x[V] = v + (self.along - abias) * dt
             f[V, ABIAS] = -dt
             q[V], q[ABIAS] = r.accel_noise**2 * dt, (r.accel_bias_walk * self._unsteady()) ** 2 * dt
         else:
@@ -352,9 +362,9 @@ class Filter:
             x[E], x[N] = x[E] + v * s * dt, x[N] + v * c * dt
             f[E, PSI], f[E, V], f[N, PSI], f[N, V] = v * c * dt, s * dt, -v * s * dt, c * dt
             q[E] = q[N] = r.place_walk**2 * dt
-        self.p = f @ self.p @ f.T
-        self.p[np.diag_indices(7)] += q
-        self.p = (self.p + self.p.T) / 2
+        p = f @ self.p @ f.T
+        p.ravel()[::8] += q
+        self.p = (p + p.T) / 2
         if x[V] < 0 and self.along is not None:
             x[V] = 0.0
         if self.plane is not None and not self.known:
@@ -362,7 +372,9 @@ class Filter:
             # Any direction: the variance of a disc as wide as the way may have been.
             before = self.blind
             self.blind += (abs(v) + 2 * math.sqrt(self.p[V, V])) * dt
-            self.p[[E, N], [E, N]] += (self.blind**2 - before**2) / 2
+            more = (self.blind**2 - before**2) / 2
+            self.p[E, E] += more
+            self.p[N, N] += more
         if self.known and self.p[PSI, PSI] > math.pi**2:
             self.known = False
             self.bank.clear()
@@ -370,20 +382,23 @@ class Filter:
     def _update(self, h: np.ndarray, miss: np.ndarray | float, noise: float, only: tuple[int, ...] | None = None, damp: dict[int, float] | None = None) -> None:
         """One measurement with rows h. only: the states that it may move; damp: shares of the gain. The form of the covariance holds for any gain, so it stays consistent."""
         h, miss = np.atleast_2d(h), np.atleast_1d(miss)
-        gain = self.p @ h.T @ np.linalg.inv(h @ self.p @ h.T + noise * np.eye(len(h)))
+        if len(h) == 1:
+            gain = self.p @ h.T * (1 / (h @ self.p @ h.T + noise))
+        else:
+            gain = self.p @ h.T @ np.linalg.inv(h @ self.p @ h.T + noise * np.eye(len(h)))
         if only is not None:
             gain[[i for i in range(7) if i not in only]] = 0.0
         for i, share in (damp or {}).items():
             gain[i] *= share
         self.x = self.x + gain @ miss
         self.x[PSI] = _half_turn(self.x[PSI])
-        keep = np.eye(7) - gain @ h
+        keep = _EYE - gain @ h
         p = keep @ self.p @ keep.T + noise * gain @ gain.T
         self.p = (p + p.T) / 2
 
     def _scalar(self, i: int, value: float, noise: float, local: bool = False) -> None:
         miss = value - self.x[i]
-        self._update(np.eye(7)[i], _half_turn(miss) if i == PSI else miss, noise, (i,) if local else None)
+        self._update(_EYE[i], _half_turn(miss) if i == PSI else miss, noise, (i,) if local else None)
 
     def _forget(self, i: int, var: float) -> None:
         """State i gets a variance of its own."""
@@ -541,7 +556,7 @@ class Filter:
 
     def _fuse(self, miss: np.ndarray, spread: float, coarse: bool = False) -> None:
         damp = {PSI: self.rules.coarse_heading_gain, BIAS: self.rules.coarse_heading_gain} if coarse else None
-        self._update(np.eye(7)[:2], miss, spread, damp=damp)
+        self._update(_EYE[:2], miss, spread, damp=damp)
         self.blind = 0.0
 
     def _velocity(self, x: Event, scale: float) -> None:
@@ -606,9 +621,11 @@ class Filter:
     def estimate(self, t_ns: int) -> Estimate | None:
         if self.plane is None:
             return None
-        then = copy.copy(self)
-        then.x, then.p, then.bank = self.x.copy(), self.p.copy(), self.bank.clone()
-        then._advance(t_ns)
+        then = self
+        if self.t is None or t_ns > self.t:
+            then = _twin(self)
+            then.x, then.p, then.bank = self.x.copy(), self.p.copy(), self.bank.clone()
+            then._advance(t_ns)
         r, x, p = self.rules, then.x, then.p
         std = math.sqrt(p[V, V])
         if self._since(t_ns, self.satellite_t) <= r.tracking_s:

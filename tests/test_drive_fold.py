@@ -421,3 +421,20 @@ def test_held_fix_needs_trust():
     h.on_event(fix(0, LAT, LON, acc=None), "TRUSTED")
     e = h.estimate(4 * S)
     assert e.r68 == pytest.approx(90) and e.mode == "COARSE_ONLY" and h.estimate(S).mode == "GNSS_TRACKING"
+
+
+def test_an_estimate_leaves_the_filter_as_it_is_and_copies_nothing_at_its_own_time(monkeypatch):
+    for course in (90.0, None):  # the heading known, and a bank of headings
+        f = Filter()
+        f.on_event(fix(0, LAT, LON, speed=10.0, bearing=course), "TRUSTED")
+        f.on_event(fix(1, north(40), LON, acc=80.0, source="NETWORK"), "TRUSTED")
+        f.on_motion(moving(1.5, yaw_rate=0.1))
+        before = f.x.copy(), f.p.copy(), f.t, f.known, f.way, f.bank.clone().__dict__
+        later = f.estimate(4 * S)
+        assert later != f.estimate(3 * S) and f.estimate(4 * S) == later
+        after = f.x, f.p, f.t, f.known, f.way, f.bank.__dict__
+        assert all(np.array_equal(a, b) for a, b in zip(before[:2], after)) and before[2:5] == after[2:5]
+        assert all(np.array_equal(a, b) for a, b in zip(before[5].values(), after[5].values()))
+        with monkeypatch.context() as m:
+            m.setattr(HeadingBank, "clone", lambda _: pytest.fail("copied"))
+            assert f.estimate(f.t).t_ns == f.t
