@@ -498,7 +498,8 @@ def with_networks(rows: DataFrame, networks: DataFrame, columns: list[str], orde
     shared = "net_id" in networks.columns
     net = F.col("net_id" if shared else "drive_id").alias("net_id")
     both = networks.select(net, road.alias("road")).withColumn("first", F.lit(0)).unionByName(rows.select("drive_id", net, *columns).withColumn("first", F.lit(1)), allowMissingColumns=True)
-    return both.repartition("net_id").sortWithinPartitions("net_id", "first", "drive_id", *order).select("drive_id", "net_id", "road", *columns)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a count that is told stays: the work of a partition is its steps, not its bytes
+    return both.repartition(n, "net_id").sortWithinPartitions("net_id", "first", "drive_id", *order).select("drive_id", "net_id", "road", *columns)
 
 
 class Networks:

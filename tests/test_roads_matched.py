@@ -184,3 +184,9 @@ def test_parts_of_an_area_share_their_network():
     roads, net = [*town().roads.values()], rm.network_of([*town().roads.values()])
     first = rm.network_of(roads)
     assert first is not net and rm.network_of(roads[::-1]) is first and rm.network_of(roads[1:]) is not first
+
+
+def test_networks_stay_dealt_to_all_partitions(spark):
+    segs = spark.range(40).selectExpr("id AS net_id", "id AS way_id", "0L AS piece", "1L AS start_node", "2L AS end_node", "false AS oneway", "'' AS road_class", "0 AS lanes", "'' AS name", "array(struct(50.0D AS lat, 30.0D AS lon)) AS points")
+    rows = spark.range(40).selectExpr("id AS drive_id", "id AS net_id", "0L AS t_ns")
+    assert rm.with_networks(rows, segs, ["t_ns"], ["t_ns"]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
